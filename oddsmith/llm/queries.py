@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, simhash, toxicity
-from oddsmith.llm.common import table
+from oddsmith.llm import decontaminate, sharding, simhash, toxicity
+from oddsmith.llm.common import fresh_path, table
 
 
 def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     )
 
 
+def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), fresh_path(spark, "slot-map"), n_shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot", "map_version",
+    )
+
+
 def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"), k=3, bits=2)
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -32,7 +40,7 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array_decontamination, op8_simhash_ball, op9_toxic_segments)}
+    return {f.__name__: f for f in (op2_suffix_array_decontamination, op7_virtual_slots, op8_simhash_ball, op9_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
