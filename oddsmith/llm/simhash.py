@@ -89,7 +89,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(least, "root").select("fp", "least")
-    label = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    label = materialize(distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "label")
+    # both sides are plain exchanges, so adaptive execution splits the partition of a fingerprint that many rows share
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
