@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, sharding, simhash, toxicity
+from oddsmith.llm import decontaminate, packing, sharding, simhash, toxicity
 from oddsmith.llm.common import fresh_path, table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary's place on this machine; the files are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=0)
+
+
 def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -40,7 +51,7 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array_decontamination, op7_virtual_slots, op8_simhash_ball, op9_toxic_segments)}
+    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_suffix_array_decontamination, op7_virtual_slots, op8_simhash_ball, op9_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
