@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import decontaminate, packing, sharding, simhash, toxicity
+from oddsmith.llm import audio, decontaminate, packing, sharding, simhash, toxicity
 from oddsmith.llm.common import fresh_path, table
 
 
@@ -30,6 +30,10 @@ def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     )
 
 
+def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), fresh_path(spark, "slot-map"), n_shards=8)
     return placed.select(
@@ -51,7 +55,7 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_suffix_array_decontamination, op7_virtual_slots, op8_simhash_ball, op9_toxic_segments)}
+    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_suffix_array_decontamination, op3_audio_features, op7_virtual_slots, op8_simhash_ball, op9_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
