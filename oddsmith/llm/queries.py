@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import audio, decontaminate, packing, sharding, simhash, toxicity
+from oddsmith.llm import audio, decontaminate, packing, sharding, simhash, toxicity, warc
 from oddsmith.llm.common import fresh_path, table
 
 
@@ -34,6 +34,11 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.convert_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to", "record_id", "date")
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), fresh_path(spark, "slot-map"), n_shards=8)
     return placed.select(
@@ -55,7 +60,7 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_suffix_array_decontamination, op3_audio_features, op7_virtual_slots, op8_simhash_ball, op9_toxic_segments)}
+    return {f.__name__: f for f in (op1_cutting_stock_packing, op2_suffix_array_decontamination, op3_audio_features, op4_arc_to_warc, op7_virtual_slots, op8_simhash_ball, op9_toxic_segments)}
 
 
 def oracle_sql() -> dict[str, str]:
