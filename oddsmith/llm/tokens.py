@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from itertools import islice
 
 #: The byte-level pattern restricted to characters below U+0250, where these classes are all letters, numbers and white space.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r \x85\xa0"
 _SPLIT = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\x00-ɏ]")
-_CACHE = 1 << 19
+_CACHE = 1 << 20
 _AT_ONCE = 1 << 18
 
 
+#: Byte-level models read bytes as characters: printable Latin-1 as themselves, the others, in order, from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_AS_CHAR = {b: b for b in _PRINTABLE} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
 class CachedBpe:
     """Encodes like tokenizers.Tokenizer without special tokens, but each distinct pre-token only once.
 
@@ -40,7 +46,10 @@ class CachedBpe:
         if len(self.cache) + len(missing) > _CACHE:
             self.cache.clear()
             missing = list(words)
-        self.cache.update(zip(missing, self._raw(missing), strict=True))
+        tokenize, pack = self.tokenizer.model.tokenize, struct.pack
+        for w in missing:  # a pre-token goes to the model directly, without another pass of the splitter
+            ids = [t.id for t in tokenize(w.encode().decode("latin-1").translate(_AS_CHAR))]
+            self.cache[w] = pack(f"<{len(ids)}I", *ids)
 
     def _joined(self, words: list[str]) -> bytes:
         return b"".join(map(self.cache.__getitem__, words))
