@@ -2,10 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from oddsmith.functions.dialect import DUCK, SPARK
+from oddsmith.plans import relational
 
-def oracle_sql() -> dict:
-    return {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+PACKS = [relational]
+#: Plans that need Python on the executors, by name; their oracles, where SQL can express them, are in their modules.
+CUSTOM: list = []
+
+
+def register(spark: SparkSession, sf_dir: str) -> None:
+    """The tables of a folder as temporary views."""
+    for name in TABLES:
+        try:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        except Exception as e:  # a folder may lack tables that a plan does not use
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            spark.catalog.dropTempView(name)
+
+
+def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir)
+        return spark.sql(text)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for pack in PACKS:
+        found |= {name: _sql(text) for name, text in pack.plans(SPARK).items()}
+    for module in CUSTOM:
+        found |= module.queries()
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    found: dict[str, str] = {}
+    for pack in PACKS:
+        found |= pack.plans(DUCK)
+    for module in CUSTOM:
+        found |= module.oracle_sql()
+    return found
