@@ -13,7 +13,7 @@ class Spark:
         return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     def epoch_ms(self, ts: str) -> str:
-        return f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})"
+        return f"(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts}) div 1000)"
 
     def series(self, first: str | int, last: str | int) -> str:
         return f"explode(sequence({first}, {last}))"
@@ -110,7 +110,7 @@ class Duck(Spark):
         return "'" + text.replace("'", "''") + "'"
 
     def epoch_ms(self, ts: str) -> str:
-        return f"epoch_ms({ts})"
+        return f"(epoch_us({ts}) // 1000)"
 
     def series(self, first: str | int, last: str | int) -> str:
         return f"unnest(generate_series({first}, {last}))"

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from oddsmith.functions.dialect import DUCK, SPARK
-from oddsmith.plans import candles, core, markets, relational, sports, text
+from oddsmith.plans import candles, core, custom, markets, relational, sports, text
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 PACKS = [relational, core, candles, sports, markets, text]
 #: Plans that need Python on the executors, by name; their oracles, where SQL can express them, are in their modules.
-CUSTOM: list = []
+CUSTOM = [custom]
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
