@@ -86,7 +86,7 @@ bins AS (SELECT {d.series(0, 23)} AS bin), g AS (SELECT e.asset, b.bin, lo + b.b
 v AS (SELECT g.asset, g.bin, sum(CASE WHEN x.h = x.l THEN CASE WHEN x.l >= g.b0 AND (x.l < g.b1 OR g.bin = 23) THEN x.v ELSE 0e0 END
     ELSE x.v * greatest(0e0, least(x.h, g.b1) - greatest(x.l, g.b0)) / nullif(x.h - x.l, 0e0) END) AS volume, min(g.b0 + g.w / 2e0) AS mid
   FROM g JOIN bars x ON x.asset = g.asset AND x.h >= g.b0 AND x.l <= g.b1 GROUP BY g.asset, g.bin)
-SELECT asset, CAST(bin AS BIGINT) AS bin, round(mid, 6) AS mid, round(volume, 3) AS volume FROM v""",
+SELECT asset, CAST(bin AS BIGINT) AS bin, round(mid, 6) AS mid, round(volume, 5) AS volume FROM v""",
         "structure_consolidation": f"""WITH {bars}, {tr}, s AS (SELECT asset, rn, sum(tr) OVER {frame(20)} AS path, max(h) OVER {frame(20)} - min(l) OVER {frame(20)} AS span FROM tr)
 SELECT asset, rn, round(0.5e0 * least(greatest(({P.safe_div("path", "span", "1e0")} - 1e0) / 3e0, 0e0), 1e0), 6) AS path_part FROM s WHERE rn >= 21""",
         "orderflow_imbalance": f"""WITH {book}, {depth("0.005")} SELECT m.book_id, round(m.mid, 6) AS mid, round((m.ask - m.bid) / m.mid * 10000e0, 6) AS spread_bps,

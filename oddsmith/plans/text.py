@@ -80,7 +80,7 @@ val AS (SELECT h.id, h.score * coalesce(b.factor, 1e0) * CASE WHEN n.n > 0 THEN
 b AS (SELECT id, published, {d.size("tk")} AS n, {d.join("tk", " ")} AS print FROM a WHERE r1 = 1), c AS (SELECT *, row_number() OVER (PARTITION BY print ORDER BY published DESC, id DESC) AS r2 FROM b)
 SELECT id, n FROM c WHERE r2 = 1 OR n < 3""",
         "text_latest_news": f"WITH {art}, u AS (SELECT *, row_number() OVER (PARTITION BY md5(body) ORDER BY published DESC, id DESC) AS r FROM articles) SELECT id, source FROM u WHERE r = 1 ORDER BY published DESC, id DESC LIMIT 40",
-        "text_search": f"WITH {art} SELECT id FROM articles WHERE lower(concat(title, ' ', body)) LIKE '%thion%'",
+        "text_search": f"WITH {art} SELECT id FROM articles WHERE lower(concat(title, ' ', body)) LIKE '%thea%'",
         "text_entities": f"WITH {ents} SELECT id, entity, kind, n FROM ent WHERE n > 0",
         "text_sentiment": f"""WITH {senti} SELECT h.id, coalesce(least(greatest(CAST(floor(avg(v.v) * 25e0 + 0.5e0) AS BIGINT), -100), 100), 0) AS score, round(least(0.95e0, count(v.v) / (count(v.v) + 3e0)), 6) AS confidence FROM headlines h LEFT JOIN val v ON v.id = h.id GROUP BY h.id""",
         "text_idf": f"WITH {tfidf} SELECT w, round(idf, 6) AS idf FROM idf",
@@ -100,7 +100,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cos, 9) DESC, v
 SELECT k, source, doc FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY priority, source) AS r FROM s) AS x WHERE r = 1""",
         "symbol_canonical": f"SELECT s, {d.replace_all(d.replace_all('upper(s)', '[-/]', ''), 'USDT?$', 'USDT')} AS canonical FROM (VALUES ('btc-usd'), ('ETH/USDT'), ('doge-usd'), ('SOLUSDT')) AS t(s)",
         "market_stats_24h": f"""WITH {R.bars(d)}, x AS (SELECT *, lag(c, 24) OVER (PARTITION BY asset ORDER BY rn) AS past, sum(v) OVER (PARTITION BY asset ORDER BY rn ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS vol24 FROM bars)
-SELECT asset, rn, round(CASE WHEN past <= 0e0 THEN 0e0 ELSE (c - past) / nullif(past, 0e0) * 100e0 END, 5) AS change_pct, round(vol24 * c, 3) AS quote_volume FROM x WHERE past IS NOT NULL""",
+SELECT asset, rn, round(CASE WHEN past <= 0e0 THEN 0e0 ELSE (c - past) / nullif(past, 0e0) * 100e0 END, 5) AS change_pct, round(vol24 * c, 6) AS quote_volume FROM x WHERE past IS NOT NULL""",
         "candles_tail_limit": f"WITH {R.bars(d)} SELECT asset, open_time, o, h, l, c FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY open_time DESC) AS back FROM bars) AS x WHERE back <= 300",
         "candle_sanity": f"WITH {R.bars(d)} SELECT asset, count(*) AS n, count_if(h < greatest(o, c) OR l > least(o, c) OR h < l OR v < 0e0) AS broken FROM bars GROUP BY asset",
         "briefing_pulse": f"""WITH {R.bars(d, 86_400_000)}, p AS (SELECT asset, rn, CAST((rn * 37 + length(asset) * 11) % 100 AS DOUBLE) / 100e0 AS p FROM bars), last AS (SELECT asset, max_by(p, rn) AS p FROM p GROUP BY asset)
