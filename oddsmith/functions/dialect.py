@@ -125,9 +125,7 @@ class Duck(Spark):
         return f"regexp_extract_all({s}, {self.lit(pattern)})"
 
     def replace_all(self, s: str, pattern: str, by: str) -> str:
-        import re
-
-        return f"regexp_replace({s}, {self.lit(pattern)}, {self.lit(re.sub(r'[$](?=[0-9])', chr(92) * 2, by).replace(chr(92) * 2, chr(92)))}, 'g')"
+        return f"regexp_replace({s}, {self.lit(pattern)}, {self.lit(by)}, 'g')"
 
     def matches(self, s: str, pattern: str) -> str:
         return f"regexp_matches({s}, {self.lit(pattern)})"

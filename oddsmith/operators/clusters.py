@@ -49,15 +49,14 @@ def story_clusters(articles: DataFrame, window_ms: int = STORY_HOURS * 3_600_000
     return articles.groupBy("window").applyInPandas(each, "id bigint, cluster bigint")
 
 
-def link_groups(links: DataFrame, rounds: int = 20) -> DataFrame:
+def link_groups(links: DataFrame) -> DataFrame:
     """(id, root) of links(a, b): the least id spreads over links with pointer jumping until nothing changes."""
     both = links.select("a", "b").union(links.select("b", "a")).distinct().cache()
     label = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("root").alias("near"))
         moved = label.join(near, label["id"] == near["a"], "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = moved.alias("x").join(moved.alias("y"), F.col("x.root") == F.col("y.id")).select(F.col("x.id").alias("id"), F.col("y.root").alias("root")).checkpoint()
         if jump.join(label, "id").where(jump["root"] != label["root"]).isEmpty():
             return jump
         label = jump
-    return label

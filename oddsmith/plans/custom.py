@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmith.functions.dialect import DUCK, SPARK
-from oddsmith.operators import clusters, features, folds, learning, ratings, store
-from oddsmith.plans import candles, markets, relations
+from oddsmith.operators import clusters, features, folds, learning, matches, ratings, store
+from oddsmith.plans import candles, markets, relations, sports
 from oddsmith.plans import text as texts
 from oddsmith.streaming import candles as streams
 
@@ -71,6 +71,19 @@ def structure_value_area(spark, sf_dir):
     return _rounded(folds.value_area(spark.sql(candles.plans(SPARK)["structure_volume_bins"])))
 
 
+def structure_breakout(spark, sf_dir):
+    own = bars(spark, sf_dir)
+    return _rounded(folds.breakouts(own, folds.support_levels(own)))
+
+
+def sports_match_ensemble(spark, sf_dir):
+    played = games(spark, sf_dir)
+    form = spark.sql(sports.form_frame(SPARK))
+    fixtures = played.select("league", "home", "away").distinct()
+    outcomes = matches.outcome_rows(fixtures, ratings.batch_elo(played), ratings.attack_defence(played), form)
+    return _rounded(matches.pooled(outcomes), 4)
+
+
 def candle_features(spark, sf_dir):
     return _rounded(features.feature_vector(bars(spark, sf_dir)))
 
@@ -171,7 +184,7 @@ def stream_throttled(spark, sf_dir):
 
 
 REGISTERED = (
-    ta_ema, ta_rsi, ta_atr, ta_macd_adx_stochrsi, vol_ewma, structure_levels, structure_value_area, candle_features, candle_models, candle_predict,
+    ta_ema, ta_rsi, ta_atr, ta_macd_adx_stochrsi, vol_ewma, structure_levels, structure_value_area, structure_breakout, sports_match_ensemble, candle_features, candle_models, candle_predict,
     sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_features, learn_walk_forward, metric_isotonic_fit,
     store_throttle, store_upsert, text_story_clusters, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
 )

@@ -19,13 +19,22 @@ def _weighted(parts: dict[str, str]) -> str:
     return f"({top}) / nullif({low}, 0e0)"
 
 
+def _form(d: Spark) -> str:
+    sq = lambda x: f"(0.5e0 * (1e0 + tanh(({x}) / 3e0)))"
+    return f"""per AS (SELECT league, team, ago, exp(-0.18e0 * ago) AS w, (0.40e0 * result + 0.25e0 * {sq("gf - ga")} + 0.20e0 * CAST(opponent % 101 AS DOUBLE) / 100e0) / 0.85e0 AS raw FROM team_games WHERE ago < 15),
+form AS (SELECT league, team, sum(w * raw) / sum(w) AS raw, count(*) AS n FROM per GROUP BY league, team)"""
+
+
+def form_frame(d: Spark) -> str:
+    """(league, team, raw, n): the recency-weighted form of each team."""
+    return f"WITH {R.games(d)}, {R.team_games(d)}, {_form(d)} SELECT league, team, raw, n FROM form"
+
+
 def plans(d: Spark) -> dict[str, str]:
     games, team = R.games(d), R.team_games(d)
     cells, raw = R.matrix(d), R.matrix(d, -0.13, normalised=False)
     rec = "WITH RECURSIVE" if d.name == "duckdb" else "WITH"
-    sq = lambda x: f"(0.5e0 * (1e0 + tanh(({x}) / 3e0)))"
-    form = f"""per AS (SELECT league, team, ago, exp(-0.18e0 * ago) AS w, (0.40e0 * result + 0.25e0 * {sq("gf - ga")} + 0.20e0 * CAST(opponent % 101 AS DOUBLE) / 100e0) / 0.85e0 AS raw FROM team_games WHERE ago < 15),
-form AS (SELECT league, team, sum(w * raw) / sum(w) AS raw, count(*) AS n FROM per GROUP BY league, team)"""
+    form = _form(d)
     elo = """elo AS (SELECT n_nationkey AS team, 1400e0 + CAST(n_nationkey * 37 % 250 AS DOUBLE) AS rating FROM nation),
 ties AS (SELECT h.team AS home, a.team AS away, 1e0 / (1e0 + power(10e0, -(h.rating + 60e0 - a.rating) / 400e0)) AS e, h.rating + 60e0 - a.rating AS diff FROM elo h JOIN elo a ON h.team <> a.team)"""
     odds = """game_odds AS (SELECT g.game_id AS gid, b.book AS book, g.game_id * 10 + b.book AS id, k.key AS key, k.ord AS ord, 1.5e0 + CAST((g.game_id * k.m + b.book * 13) % 45 AS DOUBLE) / 10e0 AS odds

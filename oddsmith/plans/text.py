@@ -83,6 +83,9 @@ SELECT id, n FROM c WHERE r2 = 1 OR n < 3""",
         "text_search": f"WITH {art} SELECT id FROM articles WHERE lower(concat(title, ' ', body)) LIKE '%thea%'",
         "text_entities": f"WITH {ents} SELECT id, entity, kind, n FROM ent WHERE n > 0",
         "text_sentiment": f"""WITH {senti} SELECT h.id, coalesce(least(greatest(CAST(floor(avg(v.v) * 25e0 + 0.5e0) AS BIGINT), -100), 100), 0) AS score, round(least(0.95e0, count(v.v) / (count(v.v) + 3e0)), 6) AS confidence FROM headlines h LEFT JOIN val v ON v.id = h.id GROUP BY h.id""",
+        "text_entity_sentiment": f"""WITH {senti}, mention AS (SELECT DISTINCT p.id, a.entity, p.pos FROM pos p JOIN (VALUES ('bitcoin', 'btc'), ('btc', 'btc'), ('fed', 'fed'), ('nvidia', 'nvidia'), ('ethereum', 'eth')) AS a(word, entity) ON a.word = p.w),
+near AS (SELECT DISTINCT m.entity, m.id, v.pos, v.v FROM mention m JOIN (SELECT h.id, h.pos, h.score * coalesce(b.factor, 1e0) * CASE WHEN n.n > 0 THEN -1e0 ELSE 1e0 END AS v FROM hits h JOIN neg n ON n.id = h.id AND n.pos = h.pos LEFT JOIN boost b ON b.id = h.id AND b.pos = h.pos) AS v ON v.id = m.id AND abs(v.pos - m.pos) <= 12)
+SELECT entity, count(*) AS hits, least(greatest(CAST(floor(avg(v) * 25e0 + 0.5e0) AS BIGINT), -100), 100) AS score, round(least(0.95e0, count(*) / (count(*) + 3e0)), 6) AS confidence FROM near GROUP BY entity""",
         "text_idf": f"WITH {tfidf} SELECT w, round(idf, 6) AS idf FROM idf",
         "text_tfidf_cosine": f"WITH {tfidf} SELECT a.id AS a, b.id AS b, round(sum(a.x * b.x), 6) AS cosine FROM vec a JOIN vec b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id",
         "text_importance": f"""WITH {ents}, e AS (SELECT id, max(CASE WHEN n > 0 THEN weight * CASE WHEN n = 1 THEN 0.8e0 ELSE 1e0 END ELSE 0e0 END) AS w FROM ent GROUP BY id),
@@ -108,6 +111,12 @@ SELECT count_if(p > 0.52e0) AS bullish, count_if(p < 0.48e0) AS bearish, count_i
         "briefing_watch_next": f"""WITH {R.games(d)}, x AS (SELECT game_id, kickoff, CAST(game_id % 50 + 30 AS DOUBLE) / 100e0 AS top_p, CAST(game_id % 20 + 10 AS DOUBLE) / 100e0 AS next_p FROM games)
 SELECT game_id, round(top_p - next_p, 6) AS margin FROM x WHERE kickoff > 852076800000 AND kickoff <= 852076800000 + 72 * 3600000 AND round(top_p - next_p, 9) > 0.15e0 ORDER BY round(top_p - next_p, 9) DESC, game_id LIMIT 5""",
         "briefing_risk_flags": """SELECT 'stale' AS flag, count(*) AS n FROM events WHERE event_id % 4000 > 1800 UNION ALL SELECT 'low confidence', count(*) FROM orders WHERE o_orderkey % 89 + 5 < 35 UNION ALL SELECT 'demo', count(*) FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'standing caveat', 1""",
+        "briefing_report": f"""WITH {_HEADLINES}, lines AS (
+  SELECT 1 AS ord, 'news' AS section, concat(CAST(count(*) AS VARCHAR(10)), ' stories, ', CAST(count_if(class = 'OFFICIAL') AS VARCHAR(10)), ' official') AS line FROM headlines WHERE class <> 'UNVERIFIED'
+  UNION ALL SELECT 2, 'markets', concat(CAST(count(*) AS VARCHAR(10)), ' parts priced') FROM part
+  UNION ALL SELECT 3, 'fixtures', concat(CAST(count(*) AS VARCHAR(10)), ' orders in play') FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT 4, 'risk', 'probabilities are estimates, not advice')
+SELECT CAST(ord AS BIGINT) AS ord, section, line FROM lines""",
         "briefing_hedge_phrases": "SELECT event_id, CASE WHEN c < 0.35e0 THEN 'weak' WHEN c <= 0.6e0 THEN 'moderate' ELSE 'strong' END AS tier, CASE WHEN c >= 0.6e0 THEN 'clearly up' WHEN c >= 0.52e0 THEN 'leaning up' WHEN c > 0.48e0 THEN 'balanced' WHEN c > 0.4e0 THEN 'leaning down' ELSE 'clearly down' END AS phrase FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) / 100e0 AS c FROM events) AS x",
         "briefing_what_changed": """WITH a AS (SELECT o_custkey AS k, max(o_orderkey % 100) / 100e0 AS conf, max(o_orderkey % 3) AS dir FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY o_custkey), b AS (SELECT o_custkey AS k, max(o_orderkey % 100) / 100e0 AS conf, max(o_orderkey % 3) AS dir FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' GROUP BY o_custkey)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'removed' WHEN a.dir <> b.dir THEN 'flip' ELSE 'moved' END AS change FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.dir <> b.dir OR abs(a.conf - b.conf) > 0.1e0""",

@@ -140,7 +140,19 @@ def test_adapters(spark):
     assert sorted((r.k, r.v, r.provider) for r in two.collect()) == [(1, "x", "a"), (2, "z", "b")]
 
 
-@pytest.mark.parametrize("name", ["stream_candles", "stream_deduplicated", "stream_throttled", "candle_predict"])
+def test_demo_season_and_candles(spark):
+    from collections import Counter
+
+    from oddsmith.sources import demo
+
+    rows = demo.season(spark, 8).collect()
+    assert len(rows) == 56 and set(Counter((r.home, r.away) for r in rows).values()) == {1} and all(r.home != r.away for r in rows)
+    assert all(len({t for r in rows if r["round"] == k for t in (r.home, r.away)}) == 8 for k in range(14))
+    bars = demo.candles(spark, 2, 50)
+    assert bars.where("h < greatest(o, c) or l > least(o, c)").count() == 0 and bars.collect() == demo.candles(spark, 2, 50).collect()
+
+
+@pytest.mark.parametrize("name", ["stream_candles", "stream_deduplicated", "stream_throttled", "candle_predict", "sports_match_ensemble"])
 def test_registered_custom_plans_run(spark, name):
     from oddsmith.plans import catalog
 
