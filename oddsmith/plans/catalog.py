@@ -2,33 +2,30 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from oddsmith.functions.dialect import DUCK, SPARK
-from oddsmith.plans import candles, core, custom, markets, relational, sports, text
+from oddsmith.plans import candles, core, custom, extra, markets, relational, sports, text
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-PACKS = [relational, core, candles, sports, markets, text]
+PACKS = [relational, core, candles, sports, markets, text, extra]
 #: Plans that need Python on the executors, by name; their oracles, where SQL can express them, are in their modules.
 CUSTOM = [custom]
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """The tables of a folder as temporary views."""
+def register(spark: SparkSession, sf_dir: str, text: str | None = None) -> None:
+    """The tables of a folder that a plan's text names (all without a text) as temporary views."""
     for name in TABLES:
-        try:
+        if text is None or re.search(rf"\b{name}\b", text):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        except Exception as e:  # a folder may lack tables that a plan does not use
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            spark.catalog.dropTempView(name)
 
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, text)
         return spark.sql(text)
 
     return run

@@ -66,7 +66,7 @@ SELECT id, key, round(CASE WHEN sum(x) OVER w = 0e0 THEN 1e0 / count(*) OVER w E
         "prob_devig_power": f"{rec} {_ODDS}, {devig_power(d)} SELECT id, key, round(fair, 6) AS fair FROM devig",
         "prob_analyse_edge": f"""{rec} {_ODDS}, {devig_power(d)} SELECT id, key, round(m - fair, 6) AS edge, round(1e0 / m, 6) AS fair_odds, round(sum(1e0 / odds) OVER (PARTITION BY id) - 1e0, 6) AS overround
 FROM (SELECT *, CAST((id + ord) % 60 + 20 AS DOUBLE) / 100e0 AS m FROM devig) AS x""",
-        "prob_shrink_recency": f"""SELECT o_orderkey AS id, round({P.shrink("o_totalprice / 100000e0", "CAST(o_orderkey % 40 AS DOUBLE)", "1.35e0", "6e0")}, 6) AS shrunk,
+        "prob_shrink_recency": f"""SELECT o_orderkey AS id, round({P.shrink("o_totalprice / 130000e0", "CAST(o_orderkey % 40 AS DOUBLE)", "1.35e0", "6e0")}, 6) AS shrunk,
   round(exp(-0.18e0 * (o_orderkey % 15)), 6) AS recency, round(ln(2e0) / 0.18e0, 6) AS half_life FROM orders""",
         "prob_kelly": f"""WITH {_ODDS}, x AS (SELECT id, key, odds, CAST((id * 7 + ord) % 60 + 10 AS DOUBLE) / 100e0 AS p FROM odds)
 SELECT id, key, round({P.kelly_fraction("p", "odds")}, 6) AS kelly, round(least(0.02e0, 0.25e0 * {P.kelly_fraction("p", "odds")}), 6) AS stake, round(odds * p - 1e0, 6) AS ev, round(1e0 / odds, 6) AS breakeven FROM x""",
@@ -81,7 +81,7 @@ SELECT id, round(score, 6) AS score, {P.risk_level("round(score, 9)")} AS level
 SELECT id, round(confidence, 6) AS confidence, {P.confidence_label("round(confidence, 9)")} AS label, {limiting} AS limiting FROM c""",
         "prob_build_prediction": f"""WITH {R.predictions(d)}, {outs}, src AS (
   SELECT id, key, model, p - 0.3333e0 AS contribution, abstained FROM model_outputs),
-f AS (SELECT id, count_if(coalesce(contribution, 0e0) >= 0e0) AS supporting, count_if(contribution < 0e0) AS opposing, bool_or(abstained) AS any_missing FROM src GROUP BY id)
+f AS (SELECT id, count(CASE WHEN coalesce(contribution, 0e0) >= 0e0 THEN 1 END) AS supporting, count(CASE WHEN contribution < 0e0 THEN 1 END) AS opposing, bool_or(abstained) AS any_missing FROM src GROUP BY id)
 SELECT p.id, f.supporting, f.opposing, round(sum(p.p), 9) AS total, CASE WHEN bool_or(p.is_demo) THEN 'demo' WHEN bool_or(f.any_missing) THEN 'partial' ELSE 'live' END AS data_mode
 FROM predictions p JOIN f ON f.id = p.id GROUP BY p.id, f.supporting, f.opposing""",
         # ensembles

@@ -16,20 +16,19 @@ from oddsmith.plans import text as texts
 from oddsmith.streaming import candles as streams
 
 
-def _register(spark: SparkSession, sf_dir: str) -> None:
+def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     from oddsmith.plans.catalog import register
 
-    register(spark, sf_dir)
+    register(spark, sf_dir, text)
+    return spark.sql(text)
 
 
 def bars(spark: SparkSession, sf_dir: str, width_ms: int = 3_600_000) -> DataFrame:
-    _register(spark, sf_dir)
-    return spark.sql(f"WITH {relations.bars(SPARK, width_ms)} SELECT * FROM bars")
+    return _sql(spark, sf_dir, f"WITH {relations.bars(SPARK, width_ms)} SELECT * FROM bars")
 
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _register(spark, sf_dir)
-    return spark.sql(f"WITH {relations.games(SPARK)} SELECT * FROM games")
+    return _sql(spark, sf_dir, f"WITH {relations.games(SPARK)} SELECT * FROM games")
 
 
 def _scratch(spark: SparkSession, label: str) -> str:
@@ -67,8 +66,7 @@ def structure_levels(spark, sf_dir):
 
 
 def structure_value_area(spark, sf_dir):
-    _register(spark, sf_dir)
-    return _rounded(folds.value_area(spark.sql(candles.plans(SPARK)["structure_volume_bins"])))
+    return _rounded(folds.value_area(_sql(spark, sf_dir, candles.plans(SPARK)["structure_volume_bins"])))
 
 
 def structure_breakout(spark, sf_dir):
@@ -78,7 +76,7 @@ def structure_breakout(spark, sf_dir):
 
 def sports_match_ensemble(spark, sf_dir):
     played = games(spark, sf_dir)
-    form = spark.sql(sports.form_frame(SPARK))
+    form = _sql(spark, sf_dir, sports.form_frame(SPARK))
     fixtures = played.select("league", "home", "away").distinct()
     outcomes = matches.outcome_rows(fixtures, ratings.batch_elo(played), ratings.attack_defence(played), form)
     return _rounded(matches.pooled(outcomes), 4)
@@ -122,8 +120,7 @@ def learn_walk_forward(spark, sf_dir):
 
 
 def _observations(spark, sf_dir):
-    _register(spark, sf_dir)
-    return spark.sql(f"WITH {relations.predictions(SPARK)} SELECT key AS domain, p, CASE WHEN key = actual THEN 1e0 ELSE 0e0 END AS y FROM predictions")
+    return _sql(spark, sf_dir, f"WITH {relations.predictions(SPARK)} SELECT key AS domain, p, CASE WHEN key = actual THEN 1e0 ELSE 0e0 END AS y FROM predictions")
 
 
 def metric_isotonic_fit(spark, sf_dir):
@@ -131,14 +128,12 @@ def metric_isotonic_fit(spark, sf_dir):
 
 
 def store_throttle(spark, sf_dir):
-    _register(spark, sf_dir)
-    rows = spark.sql(f"SELECT user_id, event_id, {SPARK.epoch_ms('ts')} AS at FROM events")
+    rows = _sql(spark, sf_dir, f"SELECT user_id, event_id, {SPARK.epoch_ms('ts')} AS at FROM events")
     return store.throttled(rows, "user_id", "at")
 
 
 def store_upsert(spark, sf_dir):
-    _register(spark, sf_dir)
-    path, rows = _scratch(spark, "store"), spark.sql("SELECT o_custkey AS subject, o_orderstatus AS timeframe, o_orderkey AS id, o_orderdate AS generated_at FROM orders")
+    path, rows = _scratch(spark, "store"), _sql(spark, sf_dir, "SELECT o_custkey AS subject, o_orderstatus AS timeframe, o_orderkey AS id, o_orderdate AS generated_at FROM orders")
     store.append_new(rows.where("id % 2 = 0"), path, ["subject", "timeframe"], "id")
     store.append_new(rows, path, ["subject", "timeframe"], "id")
     store.append_new(rows, path, ["subject", "timeframe"], "id")
@@ -146,16 +141,14 @@ def store_upsert(spark, sf_dir):
 
 
 def text_story_clusters(spark, sf_dir):
-    _register(spark, sf_dir)
-    rows = spark.sql(f"WITH {relations.articles(SPARK)} SELECT id, published, {texts.tokens(SPARK, 'title')} AS tokens, CAST(floor(published / 14400000e0) AS BIGINT) AS window FROM articles")
+    rows = _sql(spark, sf_dir, f"WITH {relations.articles(SPARK)} SELECT id, published, {texts.tokens(SPARK, 'title')} AS tokens, CAST(floor(published / 14400000e0) AS BIGINT) AS window FROM articles")
     return clusters.story_clusters(rows)
 
 
 def title_link_groups(spark, sf_dir):
-    _register(spark, sf_dir)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(_scratch(spark, "links"))
-    return clusters.link_groups(spark.sql(markets.plans(SPARK)["title_jaccard_links"]).select("a", "b"))
+    return clusters.link_groups(_sql(spark, sf_dir, markets.plans(SPARK)["title_jaccard_links"]).select("a", "b"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

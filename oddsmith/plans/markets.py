@@ -62,7 +62,7 @@ links AS (SELECT a.id AS a, b.id AS b, count(*) / CAST(min(a.n) + min(b.n) - cou
     return {
         "market_binary_outcomes": f"WITH {quotes} SELECT market, venue, round(p, 6) AS yes, round(1e0 - p, 6) AS no, round(least(greatest(p - spread / 2e0, 0e0), 1e0), 6) AS bid, round(least(p + spread / 2e0, 1e0), 6) AS ask FROM quotes",
         "market_book_reflection": f"""WITH {book}, no_bids AS (SELECT book_id, round(qty / 1000e0, 4) AS size, CAST(CAST(round(price * 100) AS BIGINT) % 100 AS DOUBLE) / 100e0 AS p FROM book WHERE side = 'bid')
-SELECT book_id, round(1e0 - p, 4) AS yes_ask, sum(size) AS size, row_number() OVER (PARTITION BY book_id ORDER BY round(1e0 - p, 4)) AS best FROM no_bids GROUP BY book_id, round(1e0 - p, 4)""",
+SELECT book_id, round(1e0 - p, 4) AS yes_ask, sum(size) AS size, CAST(row_number() OVER (PARTITION BY book_id ORDER BY round(1e0 - p, 4)) AS BIGINT) AS best FROM no_bids GROUP BY book_id, round(1e0 - p, 4)""",
         "market_category": f"WITH {_TITLES} SELECT id, CASE {categories} ELSE 'other' END AS category FROM titles",
         "market_ticker_underlying": f"""WITH t AS (SELECT * FROM (VALUES ('KXBTCD-25DEC31'), ('KXETH-26'), ('SOLY-1'), ('KXDOGEMAXY-2'), ('FED-25')) AS x(ticker))
 SELECT ticker, {d.regex_one(d.at(d.split("ticker", "-"), 1), "^(?:KX)?(BTC|ETH|SOL|XRP|DOGE)(?:D|H|Y|MAXY?|MINY?)?$")} AS underlying FROM t""",
@@ -81,7 +81,7 @@ SELECT book_id, CASE WHEN max(cum) < 20000e0 THEN NULL ELSE round(greatest(0e0,
 SELECT id, points, CASE WHEN points = 0 THEN 'low' WHEN points <= 2 THEN 'medium' ELSE 'high' END AS risk FROM s""",
         "opportunity_evaluate": f"WITH {opp} SELECT market, venue, round(edge, 6) AS edge, round(ev, 6) AS ev, round(total, 5) AS score, {d.join(reasons, ',')} AS reasons, {d.size(reasons)} = 0 AS actionable FROM opps",
         "opportunity_time_shape": f"SELECT event_id, round({shape}, 6) AS shape FROM (SELECT event_id, CASE WHEN event_id % 20 = 0 THEN NULL ELSE CAST(event_id * 7 % 9000 AS DOUBLE) END AS hours FROM events) AS x",
-        "opportunity_rank_score": f"WITH {opp} SELECT market, venue, rk FROM (SELECT market, venue, row_number() OVER (ORDER BY round(total, 6) DESC, market, venue) AS rk FROM (SELECT * FROM opps ORDER BY round(total, 6) DESC, market, venue LIMIT 100) AS t) AS r",
+        "opportunity_rank_score": f"WITH {opp} SELECT market, venue, CAST(rk AS BIGINT) AS rk FROM (SELECT market, venue, row_number() OVER (ORDER BY round(total, 6) DESC, market, venue) AS rk FROM (SELECT * FROM opps ORDER BY round(total, 6) DESC, market, venue LIMIT 100) AS t) AS r",
         "opportunity_rank_edge_change": f"""WITH {opp}, top AS (SELECT market, venue, round(abs(edge), 6) AS e, round(abs({P.logit("model")} - {P.logit("p")}), 6) AS moved, round(edge, 6) AS signed_edge FROM opps)
 SELECT market, venue, e, moved, signed_edge FROM top ORDER BY moved DESC, e DESC, market, venue LIMIT 100""",
         "opportunity_list_ending_soon": f"WITH {opp} SELECT market, venue, hours FROM opps ORDER BY hours ASC NULLS LAST, market, venue LIMIT 100",

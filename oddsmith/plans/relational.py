@@ -89,12 +89,12 @@ SELECT s, {d.regex_one("s", "^game:(.+):([^:]+)$", 1)} AS league, n.n_name FROM
 JOIN nation n ON CAST(n.n_nationkey AS VARCHAR(20)) = {d.regex_one("s", "^game:(.+):([^:]+)$", 2)}""",
         "join_pair_history": f"""WITH {games}
 SELECT least(home, away) AS a, greatest(home, away) AS b, count(*) AS n,
-  sum(CASE WHEN (home < away AND hs > aws) OR (home > away AND aws > hs) THEN 1 ELSE 0 END) AS a_wins, sum(CASE WHEN hs = aws THEN 1 ELSE 0 END) AS draws
+  count(CASE WHEN (home < away AND hs > aws) OR (home > away AND aws > hs) THEN 1 END) AS a_wins, count(CASE WHEN hs = aws THEN 1 END) AS draws
 FROM (SELECT DISTINCT home, away, kickoff, hs, aws FROM games) AS g GROUP BY 1, 2""",
         # aggregations (AGG)
         "agg_count_sum_mean": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
         "agg_count_distinct": "SELECT lang, count(DISTINCT source) AS sources FROM documents GROUP BY lang",
-        "agg_conditional": "SELECT l_returnflag, count_if(l_quantity > 25e0) AS big, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS open FROM lineitem GROUP BY l_returnflag",
+        "agg_conditional": "SELECT l_returnflag, count(CASE WHEN l_quantity > 25e0 THEN 1 END) AS big, count(CASE WHEN l_linestatus = 'O' THEN 1 END) AS open FROM lineitem GROUP BY l_returnflag",
         "agg_leading_outcome": f"WITH {pred} SELECT id, key AS leading, round(p, 6) AS p FROM (SELECT *, {first_max} AS rk FROM predictions) AS x WHERE rk = 1",
         "agg_mode_first_seen": """WITH n AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS first_seen FROM customer GROUP BY c_nationkey, c_mktsegment)
 SELECT c_nationkey, c_mktsegment AS majority, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, first_seen) AS rk FROM n) AS x WHERE rk = 1""",
@@ -133,7 +133,7 @@ SELECT f.league, f.fold, count(*) AS n, round(avg(power(c.base - f.y, 2)), 6) AS
 WHERE f.rn > 120 GROUP BY f.league, f.fold""",
         # sorts, limits, sets (RNK, SET)
         "rank_orders_multi": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderpriority DESC, abs(o_totalprice - 150000e0), o_orderkey LIMIT 100",
-        "topk_per_group": "SELECT o_custkey, o_orderkey, rk FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) AS x WHERE rk <= 3",
+        "topk_per_group": "SELECT o_custkey, o_orderkey, CAST(rk AS BIGINT) AS rk FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) AS x WHERE rk <= 3",
         "nulls_last_order": f"WITH {games} SELECT game_id, CASE WHEN game_id % 4 = 0 THEN NULL ELSE kickoff END AS ending FROM games ORDER BY ending ASC NULLS LAST, game_id LIMIT 50",
         "set_union_all": "SELECT CAST(c_custkey AS BIGINT) AS k, 'customer' AS side FROM customer UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'supplier' FROM supplier",
         "set_distinct_two_stage": f"""WITH a AS (SELECT doc_id, source, lower(substr(text, 1, 40)) AS head, CAST(length(text) AS BIGINT) AS n, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id DESC) AS first_url FROM documents),

@@ -12,7 +12,7 @@ def bars(d: Spark, width_ms: int = 3_600_000, name: str = "bars") -> str:
   SELECT event_type AS asset, {t} AS open_time, min_by(value, ts) AS o, max(value) AS h, min(value) AS l, max_by(value, ts) AS c,
     sum(value) AS v, sum(CASE WHEN user_id % 2 = 0 THEN value ELSE 0e0 END) AS tb, count(*) AS n
   FROM events GROUP BY event_type, {t}),
-{name} AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY open_time) AS rn FROM {name}_raw)"""
+{name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY asset ORDER BY open_time) AS BIGINT) AS rn FROM {name}_raw)"""
 
 
 def games(d: Spark) -> str:

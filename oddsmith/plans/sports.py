@@ -73,7 +73,7 @@ r AS (SELECT *, 100e0 * (rank() OVER (PARTITION BY league ORDER BY gf) - 1 + cou
 SELECT league, team, round(attack, 5) AS attack, round(defence, 5) AS defence, round({_weighted(PERCENTILE)}, 5) AS strength FROM r""",
         "sports_absence_impact": f"""WITH {games}, {team}, x AS (SELECT team, avg(CASE WHEN game_id % 3 = 0 THEN gf END) AS without_p, avg(CASE WHEN game_id % 3 <> 0 THEN gf END) AS with_p,
     avg(CASE WHEN game_id % 3 = 0 THEN CASE WHEN gf > ga THEN 1e0 ELSE 0e0 END END) AS w0, avg(CASE WHEN game_id % 3 <> 0 THEN CASE WHEN gf > ga THEN 1e0 ELSE 0e0 END END) AS w1,
-    count_if(game_id % 3 = 0) AS n0, count_if(game_id % 3 <> 0) AS n1 FROM team_games GROUP BY team)
+    count(CASE WHEN game_id % 3 = 0 THEN 1 END) AS n0, count(CASE WHEN game_id % 3 <> 0 THEN 1 END) AS n1 FROM team_games GROUP BY team)
 SELECT team, CASE WHEN least(n0, n1) < 4 THEN NULL ELSE round(least(0.8e0, n0 / (n0 + 6e0)) * (without_p - with_p) / nullif(with_p, 0e0) * 100e0, 5) END AS goals_pct,
   CASE WHEN least(n0, n1) < 4 THEN NULL ELSE round(least(0.8e0, n0 / (n0 + 6e0)) * (w0 - w1) * 100e0, 5) END AS win_pp FROM x""",
         "sports_decayed_features": f"""WITH {games}, {team}, a AS (SELECT league, team, game_id, gf, ga, row_number() OVER (PARTITION BY league, team ORDER BY kickoff, game_id) AS k FROM team_rows),
@@ -96,7 +96,7 @@ SELECT pair, round(hw, 6) AS home, round(dr, 6) AS draw, round(aw, 6) AS away, r
 FROM (SELECT pair, p, 'match' AS side, h + a AS g FROM cells UNION ALL SELECT pair, p, 'home', h FROM cells UNION ALL SELECT pair, p, 'away', a FROM cells) AS x
 JOIN (VALUES ('match', 0.5e0), ('match', 1.5e0), ('match', 2.5e0), ('match', 3.0e0), ('match', 3.5e0), ('match', 4.5e0), ('home', 0.5e0), ('home', 1.5e0), ('home', 2.5e0), ('away', 0.5e0), ('away', 1.5e0), ('away', 2.5e0)) AS t(side, line) ON t.side = x.side GROUP BY pair, t.side, t.line""",
         "bets_correct_scores": f"""WITH {cells}, r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(p, 12) DESC, h, a) AS rk FROM cells)
-SELECT pair, CAST(h AS BIGINT) AS h, CAST(a AS BIGINT) AS a, rk, round(p, 6) AS p, round(1e0 - sum(p) OVER (PARTITION BY pair), 6) AS remainder FROM r WHERE rk <= 8""",
+SELECT pair, CAST(h AS BIGINT) AS h, CAST(a AS BIGINT) AS a, CAST(rk AS BIGINT) AS rk, round(p, 6) AS p, round(1e0 - sum(p) OVER (PARTITION BY pair), 6) AS remainder FROM r WHERE rk <= 8""",
         "bets_expected_goals": f"WITH {cells} SELECT pair, round(sum(h * p), 6) AS home_goals, round(sum(a * p), 6) AS away_goals FROM cells GROUP BY pair",
         # a quarter line is two half stakes on the adjacent half lines
         "bets_asian_handicap": f"""WITH {cells}, lines AS (SELECT {d.series(-8, 8)} AS q), l AS (SELECT q / 4e0 AS line, CASE WHEN abs(q) % 2 = 0 THEN q / 4e0 ELSE (q - 1) / 4e0 END AS lo, CASE WHEN abs(q) % 2 = 0 THEN q / 4e0 ELSE (q + 1) / 4e0 END AS hi FROM lines),

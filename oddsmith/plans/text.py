@@ -95,7 +95,7 @@ SELECT id, CASE WHEN class IN ('SOCIAL', 'UNVERIFIED') THEN least(35, CAST(floor
 SELECT category, verified AND sources / greatest(1e0, (now_min - first_seen) / 60e0) >= 0.4e0 AND sources >= 3 AS breaking, round(sources / greatest(1e0, (now_min - first_seen) / 60e0), 6) AS velocity FROM c""",
         "text_board_order": f"WITH {_HEADLINES} SELECT category, max_by(title, {rel} * 10000e0 - minute) AS headline, count(*) AS n, max(minute) AS latest FROM headlines GROUP BY category",
         "embedding_cosine_knn": f"""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT a.vec_id AS q, b.vec_id AS v, {dot} / sqrt({norm("a")} * {norm("b")}) AS cos FROM q a JOIN embeddings b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cos, 9) DESC, v) AS rk FROM s) SELECT q, v, rk, round(cos, 6) AS cosine FROM r WHERE rk <= 5""",
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cos, 9) DESC, v) AS rk FROM s) SELECT q, v, CAST(rk AS BIGINT) AS rk, round(cos, 6) AS cosine FROM r WHERE rk <= 5""",
         "json_extract": f"SELECT event_id, {d.json_text('props', 'k')} AS k FROM events",
         "date_parts": f"SELECT o_orderkey, {d.date_text('o_orderdate', 'yyyyMMdd')} AS ymd, {d.date_text('o_orderdate', 'yyyy')} AS y, {d.epoch_ms('o_orderdate')} AS ms, {d.month_start('o_orderdate')} AS month_start FROM orders",
         "date_ages": f"SELECT o_orderkey, round(({d.epoch_ms('l_shipdate')} - {d.epoch_ms('o_orderdate')}) / 86400000e0, 6) AS days, round(({d.epoch_ms('l_shipdate')} - {d.epoch_ms('o_orderdate')}) / 31557600000e0, 6) AS years FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
@@ -105,14 +105,14 @@ SELECT k, source, doc FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY
         "market_stats_24h": f"""WITH {R.bars(d)}, x AS (SELECT *, lag(c, 24) OVER (PARTITION BY asset ORDER BY rn) AS past, sum(v) OVER (PARTITION BY asset ORDER BY rn ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS vol24 FROM bars)
 SELECT asset, rn, round(CASE WHEN past <= 0e0 THEN 0e0 ELSE (c - past) / nullif(past, 0e0) * 100e0 END, 5) AS change_pct, round(vol24 * c, 6) AS quote_volume FROM x WHERE past IS NOT NULL""",
         "candles_tail_limit": f"WITH {R.bars(d)} SELECT asset, open_time, o, h, l, c FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY open_time DESC) AS back FROM bars) AS x WHERE back <= 300",
-        "candle_sanity": f"WITH {R.bars(d)} SELECT asset, count(*) AS n, count_if(h < greatest(o, c) OR l > least(o, c) OR h < l OR v < 0e0) AS broken FROM bars GROUP BY asset",
+        "candle_sanity": f"WITH {R.bars(d)} SELECT asset, count(*) AS n, count(CASE WHEN h < greatest(o, c) OR l > least(o, c) OR h < l OR v < 0e0 THEN 1 END) AS broken FROM bars GROUP BY asset",
         "briefing_pulse": f"""WITH {R.bars(d, 86_400_000)}, p AS (SELECT asset, rn, CAST((rn * 37 + length(asset) * 11) % 100 AS DOUBLE) / 100e0 AS p FROM bars), last AS (SELECT asset, max_by(p, rn) AS p FROM p GROUP BY asset)
-SELECT count_if(p > 0.52e0) AS bullish, count_if(p < 0.48e0) AS bearish, count_if(p >= 0.48e0 AND p <= 0.52e0) AS neutral, round(avg(p), 6) AS mean_p, min_by(asset, concat(CAST(1000 - CAST(round(abs(p - 0.5e0) * 1000) AS BIGINT) AS VARCHAR(10)), asset)) AS strongest FROM last""",
+SELECT count(CASE WHEN p > 0.52e0 THEN 1 END) AS bullish, count(CASE WHEN p < 0.48e0 THEN 1 END) AS bearish, count(CASE WHEN p >= 0.48e0 AND p <= 0.52e0 THEN 1 END) AS neutral, round(avg(p), 6) AS mean_p, min_by(asset, concat(CAST(1000 - CAST(round(abs(p - 0.5e0) * 1000) AS BIGINT) AS VARCHAR(10)), asset)) AS strongest FROM last""",
         "briefing_watch_next": f"""WITH {R.games(d)}, x AS (SELECT game_id, kickoff, CAST(game_id % 50 + 30 AS DOUBLE) / 100e0 AS top_p, CAST(game_id % 20 + 10 AS DOUBLE) / 100e0 AS next_p FROM games)
 SELECT game_id, round(top_p - next_p, 6) AS margin FROM x WHERE kickoff > 852076800000 AND kickoff <= 852076800000 + 72 * 3600000 AND round(top_p - next_p, 9) > 0.15e0 ORDER BY round(top_p - next_p, 9) DESC, game_id LIMIT 5""",
         "briefing_risk_flags": """SELECT 'stale' AS flag, count(*) AS n FROM events WHERE event_id % 4000 > 1800 UNION ALL SELECT 'low confidence', count(*) FROM orders WHERE o_orderkey % 89 + 5 < 35 UNION ALL SELECT 'demo', count(*) FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'standing caveat', 1""",
         "briefing_report": f"""WITH {_HEADLINES}, lines AS (
-  SELECT 1 AS ord, 'news' AS section, concat(CAST(count(*) AS VARCHAR(10)), ' stories, ', CAST(count_if(class = 'OFFICIAL') AS VARCHAR(10)), ' official') AS line FROM headlines WHERE class <> 'UNVERIFIED'
+  SELECT 1 AS ord, 'news' AS section, concat(CAST(count(*) AS VARCHAR(10)), ' stories, ', CAST(count(CASE WHEN class = 'OFFICIAL' THEN 1 END) AS VARCHAR(10)), ' official') AS line FROM headlines WHERE class <> 'UNVERIFIED'
   UNION ALL SELECT 2, 'markets', concat(CAST(count(*) AS VARCHAR(10)), ' parts priced') FROM part
   UNION ALL SELECT 3, 'fixtures', concat(CAST(count(*) AS VARCHAR(10)), ' orders in play') FROM orders WHERE o_orderstatus = 'P'
   UNION ALL SELECT 4, 'risk', 'probabilities are estimates, not advice')
