@@ -58,3 +58,39 @@ def test_drop_keeps_one_and_all_columns(spark):
     assert kept.columns == docs.columns
     assert sorted(r.component_id for r in kept.collect()) == [2, 3, 4]
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def brute_kept(rows, least=0.8):
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= least * (len(sets[i]) + len(sets[j]) - both):
+                part = [part[j] if p == part[i] else p for p in part]
+    best = {}
+    for p, (doc, _) in zip(part, rows, strict=True):
+        best[p] = min(best.get(p, (True, 0)), (doc is None, doc or 0))
+    return sorted(best.values())
+
+
+def test_drop_reaches_jaccard_of_four_fifths(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words = [f"w{i}" for i in range(200)]
+    edited = [words[:at] + ["new"] + words[at + 1 :] for at in range(5, 200, 12)]  # of the base 0.95 alike, of each other 0.9
+    far = words[:3] + [w if i % 30 else "far" for i, w in enumerate(words[3:])]  # seven edits: below 0.8 of the base
+    rows = [(900000 + i, " ".join(w)) for i, w in enumerate([words, *edited])] + [(900100, " ".join(far)), (None, "only null ids in this class"), (None, "Only null ids in this class"), (900200, "a b"), (900200, "a b")]
+    docs = docs.union(spark.createDataFrame(rows, docs.schema))
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+    assert (False, 900000) in kept and (False, 900001) not in kept and kept.count((False, 900200)) == 1 and kept.count((True, 0)) == 1
+
+
+def test_candidates_of_a_large_group_stay_linear(spark):
+    n = 300
+    sets = spark.createDataFrame([(i, list(range(simhash.BANDS))) for i in range(n)], "row long, bands array<long>")
+    assert n - 1 <= simhash.candidate_pairs(sets).count() <= 2 * simhash.BANDS * n
