@@ -38,7 +38,7 @@ def plans(d: Spark) -> dict[str, str]:
     elo = """elo AS (SELECT n_nationkey AS team, 1400e0 + CAST(n_nationkey * 37 % 250 AS DOUBLE) AS rating FROM nation),
 ties AS (SELECT h.team AS home, a.team AS away, 1e0 / (1e0 + power(10e0, -(h.rating + 60e0 - a.rating) / 400e0)) AS e, h.rating + 60e0 - a.rating AS diff FROM elo h JOIN elo a ON h.team <> a.team)"""
     odds = """game_odds AS (SELECT g.game_id AS gid, b.book AS book, g.game_id * 10 + b.book AS id, k.key AS key, k.ord AS ord, 1.5e0 + CAST((g.game_id * k.m + b.book * 13) % 45 AS DOUBLE) / 10e0 AS odds
-  FROM games g CROSS JOIN (VALUES (1), (2), (3)) AS b(book) CROSS JOIN (VALUES ('home', 0, 3), ('draw', 1, 7), ('away', 2, 11)) AS k(key, ord, m) WHERE g.game_id % 20 = 0)"""
+  FROM games g CROSS JOIN (VALUES (1), (2), (3)) AS b(book) CROSS JOIN (VALUES ('home', 0, 3), ('draw', 1, 7), ('away', 2, 11)) AS k(key, ord, m))"""
     return {
         "sports_elo_davidson": f"""WITH {elo}, x AS (SELECT *, 0.85e0 * sqrt(e * (1e0 - e)) AS dr FROM ties)
 SELECT home, away, round(e / (1e0 + dr), 6) AS home_win, round(dr / (1e0 + dr), 6) AS draw, round((1e0 - e) / (1e0 + dr), 6) AS away_win, round(diff / 175e0, 6) AS goal_diff FROM x""",
@@ -79,7 +79,7 @@ SELECT team, CASE WHEN least(n0, n1) < 4 THEN NULL ELSE round(least(0.8e0, n0 /
         "sports_decayed_features": f"""WITH {games}, {team}, a AS (SELECT league, team, game_id, gf, ga, row_number() OVER (PARTITION BY league, team ORDER BY kickoff, game_id) AS k FROM team_rows),
 p AS (SELECT x.league, x.team, x.game_id, x.k, sum(power(0.92e0, x.k - 1 - y.k) * y.gf) / sum(power(0.92e0, x.k - 1 - y.k)) AS scored, sum(power(0.92e0, x.k - 1 - y.k) * y.ga) / sum(power(0.92e0, x.k - 1 - y.k)) AS conceded
   FROM a x JOIN a y ON y.league = x.league AND y.team = x.team AND y.k < x.k AND y.k >= x.k - 200 WHERE x.k > 5 GROUP BY x.league, x.team, x.game_id, x.k)
-SELECT league, team, game_id, round(scored, 5) AS scored, round(conceded, 5) AS conceded FROM p WHERE k % 10 = 0""",
+SELECT league, team, game_id, round(scored, 5) AS scored, round(conceded, 5) AS conceded FROM p""",
         "sports_factors": f"""WITH {elo}, f AS (SELECT home, away, e, CAST((home * 7 + away) % 100 AS DOUBLE) AS fh, CAST((home + away * 5) % 100 AS DOUBLE) AS fa, (home + away) % 6 AS n, home % 4 AS wins, (home * 3) % 20 AS rest_h, (away * 5) % 20 AS rest_a FROM ties)
 SELECT home, away, round(0.25e0 * (fh - fa) / 100e0, 6) AS form, round((e - 0.5e0) * 0.5e0, 6) AS elo,
   round(least(greatest({P.shrink("wins / nullif(CAST(n AS DOUBLE), 0e0)", "n", "0.5e0", "6e0")} - 0.5e0, -0.03e0), 0.03e0), 6) AS h2h,

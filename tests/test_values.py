@@ -9,7 +9,7 @@ import pytest
 from oddsmith.functions import probability as P
 from oddsmith.functions.dialect import SPARK
 from oddsmith.operators import folds, learning, ratings, store
-from oddsmith.plans import markets, relations
+from oddsmith.plans import catalog, custom, markets, relations
 from oddsmith.plans import text as texts
 from oddsmith.sources import adapters
 
@@ -157,3 +157,27 @@ def test_registered_custom_plans_run(spark, name):
     from oddsmith.plans import catalog
 
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_odds_queries_see_every_order_and_game(spark):
+    found = catalog.queries()
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    for name in ("prob_normalize", "prob_odds_conversions", "prob_devig_multiplicative", "prob_devig_power", "prob_analyse_edge", "prob_kelly"):
+        assert found[name](spark, SF).count() == 3 * orders.count(), name
+    games = custom.games(spark, SF).collect()
+    rows = found["odds_book_comparison"](spark, SF).collect()
+    assert sorted((r.gid, r.key) for r in rows) == sorted((g.game_id, k) for g in games for k in ("home", "draw", "away"))
+    sides = sorted((g.kickoff, g.game_id, g.league, *s) for g in games for s in ((g.home, g.hs, g.aws), (g.away, g.aws, g.hs)))
+    past, want = {}, {}
+    for _, game, league, team, gf, ga in sides:
+        own = past.setdefault((league, team), [])
+        if len(own) >= 5:
+            weights = [0.92**i for i in range(min(200, len(own)))]
+            last = own[::-1][:200]
+            want[league, team, game] = [sum(w * x[i] for w, x in zip(weights, last, strict=True)) / sum(weights) for i in (0, 1)]
+        own.append((gf, ga))
+    got = {(r.league, r.team, r.game_id): [r.scored, r.conceded] for r in found["sports_decayed_features"](spark, SF).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
