@@ -46,9 +46,11 @@ _DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _CLOUD_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _KEYWORD = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*\Z")
-_SECRET = re.compile(r"\s*[\"']?([^\s\"',;<>]{6,256})")
+_SECRET = re.compile(r"\s*[\"']?([^\s\"',;<>]{6,})")
 _TITLE = re.compile("(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\.?[  ](?=[^\W\d_])")
 _NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_PART = re.compile(r"[^\W\d_]+")
+_POSSESSIVE = re.compile("['’][sS]$")
 
 
 @dataclass(frozen=True)
@@ -91,11 +93,26 @@ def _numbers(text: str) -> Iterator[Entity]:
         at = found.end()
 
 
+def _named(word: str) -> bool:
+    return word[0].isupper() or unicodedata.category(word[0]) == "Lo"
+
+
+def _mentions(text: str, genders: dict[str, str]) -> Iterator[Entity]:
+    """Capitalised mentions of detected names anywhere in the text: whole words, without a possessive, or parts of a compound."""
+    for m in _NAME.finditer(text):
+        word = m.group()
+        bare = _POSSESSIVE.sub("", word)
+        spans = [(0, len(w)) for w in (word, bare) if w.lower() in genders][:1] or [p.span() for p in _PART.finditer(word)]
+        for i, j in spans:
+            if word[i:j].lower() in genders and _named(word[i:j]):
+                yield Entity("name", m.start() + i, m.start() + j, word[i:j].lower(), genders[word[i:j].lower()])
+
+
 def find_entities(text: str) -> list[Entity]:
     """Entities in order, without overlaps; of two that overlap the one that begins first (then the longer) counts.
 
     Kinds: email, phone, ip, card, ssn, iban, secret (cloud keys and values after a password or token keyword), name
-    (the words after a title). Each search starts at a rare character, so long texts cost one scan per kind.
+    (the capitalised words after a title, and every further capitalised mention of such a word in the text). Each search starts at a rare character, so long texts cost one scan per kind.
     """
     found = list(_numbers(text))
     at = text.find("@")
@@ -111,19 +128,22 @@ def find_entities(text: str) -> list[Entity]:
         while at >= 0:
             if _KEYWORD.search(text, max(0, at - 24), at) and (m := _SECRET.match(text, at + 1)):
                 found.append(Entity("secret", m.start(1), m.end(1), m.group(1)))
+                at = m.end(1) - 1
             at = text.find(mark, at + 1)
+    genders: dict[str, str] = {}
     for m in _TITLE.finditer(text):
         if text[m.start() - 1 : m.start()].isalnum():
             continue
         at, gender = m.end(), TITLES[m.group().rstrip(" . ")]
-        for _ in range(3):
-            word = _NAME.match(text, at)
-            if not word or not (word.group()[0].isupper() or unicodedata.category(word.group()[0]) == "Lo"):
-                break
-            found.append(Entity("name", word.start(), word.end(), word.group().lower(), gender))
+        while (word := _NAME.match(text, at)) and _named(word.group()):
+            shown = _POSSESSIVE.sub("", word.group())
+            found.append(Entity("name", word.start(), word.start() + len(shown), shown.lower(), gender))
+            genders[shown.lower()] = gender
             at = word.end() + 1
-            if text[word.end() : at] not in (" ", " "):
+            if shown != word.group() or text[word.end() : at] not in (" ", " "):
                 break
+    if genders:
+        found += _mentions(text, genders)
     kept: list[Entity] = []
     for e in sorted(found, key=lambda e: (e.start, -e.end)):
         if not kept or e.start >= kept[-1].end:

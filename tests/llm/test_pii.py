@@ -69,3 +69,16 @@ def test_tables(spark):
     kept = pii.replace_personal_data(docs.withColumn("entities", docs["lang"]), S.key)
     assert kept.columns == [*docs.columns, "entities"] and kept.where("n_chars <> length(text)").count() == 0
     assert pii.surrogate_texts(docs.limit(0), S.key).count() == 0
+
+
+def test_further_mentions_and_long_values():
+    text = "Mr John Ronald Reuel Tolkien Smith met John Smith. Smith's dog and SMITH-Jones; a smith stayed. O'Smithson too."
+    out, found = pii.pseudonymize(text, S)
+    shown = [(text[e.start : e.end], new) for e, new in found]
+    assert [old for old, _ in shown] == ["John", "Ronald", "Reuel", "Tolkien", "Smith", "John", "Smith", "Smith", "SMITH"]
+    assert len({new.lower() for old, new in shown if old.lower() == "smith"}) == 1 and len({new for old, new in shown if old == "John"}) == 1
+    assert "Smith " not in out and "SMITH" not in out and "a smith stayed" in out and "O'Smithson" in out
+    assert len({pii.pseudonymize(t, S)[0].split()[1].rstrip("s'") for t in ("Frau Weber", "Frau Weber's")}) == 1
+    token = "".join(chr(97 + i * 7 % 26) + str(i % 10) for i in range(400))
+    out, found = pii.pseudonymize(f"token = {token} end", S)
+    assert len(found) == 1 and len(out) == len(token) + 12 and not any(token[i : i + 12] in out for i in range(0, 788, 4))
