@@ -121,7 +121,7 @@ SELECT model, n, round(brier, 6) AS brier, CASE WHEN n < 30 THEN 1e0 ELSE round(
         "data_quality": f"""WITH {quality}, cov AS (SELECT count(DISTINCT o_orderpriority) AS expected FROM orders)
 SELECT s.subject, {P.js_round("100e0 * (0.28e0 * avg(fresh) + 0.24e0 * avg(completeness) + 0.18e0 * avg(reliability) + 0.14e0 * avg(corroboration) + 0.16e0 * count(DISTINCT capability) / min(c.expected))")} AS score,
   bool_or(age > max_age) AS stale, round(min(own), 6) AS worst FROM scored s CROSS JOIN cov c GROUP BY s.subject""",
-        "data_quality_missing": """SELECT c.c_custkey, p.o_orderpriority AS missing FROM (SELECT c_custkey FROM customer WHERE c_custkey <= 200) AS c CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) AS p
+        "data_quality_missing": """SELECT c.c_custkey, p.o_orderpriority AS missing FROM customer c CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) AS p
 WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = p.o_orderpriority)""",
         "freshness_state": """SELECT event_id, CASE WHEN age IS NULL THEN 'expired' WHEN age < 5e0 THEN 'live' WHEN age / 900e0 < 0.5e0 THEN 'fresh' WHEN age / 900e0 < 1e0 THEN 'aging' WHEN age / 900e0 < 3e0 THEN 'stale' ELSE 'expired' END AS state,
   CASE WHEN age IS NULL THEN 'unknown' WHEN age < 60e0 THEN concat(CAST(CAST(floor(age) AS BIGINT) AS VARCHAR(20)), 's') WHEN age < 3600e0 THEN concat(CAST(CAST(floor(age / 60e0) AS BIGINT) AS VARCHAR(20)), 'm') ELSE concat(CAST(CAST(floor(age / 3600e0) AS BIGINT) AS VARCHAR(20)), 'h') END AS age_text

@@ -181,3 +181,12 @@ def test_odds_queries_see_every_order_and_game(spark):
         own.append((gf, ga))
     got = {(r.league, r.team, r.game_id): [r.scored, r.conceded] for r in found["sports_decayed_features"](spark, SF).collect()}
     assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-5) for k in want)
+
+
+def test_missing_capabilities_of_all_customers(spark):
+    sf = SF.replace("0.001", "0.01")
+    customers = {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    held = {(r.o_custkey, r.o_orderpriority) for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    want = {(c, p) for c in customers for p in {p for _, p in held}} - held
+    got = [tuple(r) for r in catalog.queries()["data_quality_missing"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want and max(c for c, _ in got) > 200
