@@ -124,11 +124,11 @@ class Features:
         self.mel = mel_filters(self.rate).T.copy()
 
     def log_mel(self, samples: bytes):
-        """(frames, MELS) log energies; recordings shorter than a frame give one frame, padded with silence."""
+        """(frames, MELS) log energies; the last frame, or the only one, is padded with silence."""
         import numpy as np
 
         x = resample((np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128, DOWN, self.taps)
-        n = max(1, 1 + (len(x) - FRAME) // HOP)
+        n = max(1, 1 - (FRAME - len(x)) // HOP)
         x = np.pad(x, (0, max(0, FRAME + (n - 1) * HOP - len(x))))
         frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
         out = np.empty((n, MELS))

@@ -79,3 +79,15 @@ def test_tables(spark):
     for r in tensors.collect():
         assert 0 <= r.start_s < r.end_s and 1 <= r.n_frames <= audio.FRAMES and len(r.log_mel) == audio.FRAMES * audio.MELS
     assert audio.media_digests(docs.limit(0)).count() == 0
+
+
+def test_every_sample_is_in_a_frame():
+    f = audio.Features()
+    for size in (1, 399, 400, 401, 559, 560, 561, 576, 2304):
+        quiet = bytes([128]) * size
+        frames = len(f.log_mel(quiet))
+        n = -(-size // audio.DOWN)
+        assert (frames - 1) * audio.HOP + audio.FRAME >= n and (frames == 1 or (frames - 2) * audio.HOP + audio.FRAME < n)
+    end = audio.payload_of(b"text " * 460)
+    other = end[:-40] + bytes(255 - b for b in end[-40:])
+    assert not np.allclose(f.log_mel(end), f.log_mel(other), atol=1e-3)
