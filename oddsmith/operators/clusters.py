@@ -2,51 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STORY_HOURS, LEAST_SIMILARITY = 48, 0.45
 
 
+def _vectors(articles: DataFrame) -> DataFrame:
+    """articles with `words`, the sorted (w, x) of each: term count times the IDF over all articles, of length one."""
+    n = articles.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    tf = articles.select("id", F.explode("tokens").alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("tf"))
+    idf = tf.groupBy("w").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("w", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    words = tf.join(idf, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("w", (F.col("tf") * F.col("idf")).alias("x")))).alias("words"))
+    return articles.join(words, "id", "left")
+
+
 def story_clusters(articles: DataFrame, window_ms: int = STORY_HOURS * 3_600_000) -> DataFrame:
-    """(id, cluster): articles(id, published, tokens, window), oldest first, join the cluster whose normalised centroid is most alike.
+    """(id, cluster): articles(id, published, tokens), oldest first, join the cluster whose normalised centroid is most alike.
 
-    The order decides, so a window of news is one group; windows keep groups bounded by time.
+    The order decides, so a stretch of news is one sorted pass that holds only the clusters whose mean time is at most
+    window_ms back: no later article can join the others. A stretch ends where window_ms go by without an article.
     """
+    buckets = articles.select(F.floor(F.col("published") / window_ms).alias("bucket")).distinct()
+    in_order = Window.orderBy("bucket")
+    breaks = buckets.select("bucket", F.when(F.col("bucket") - F.lag("bucket").over(in_order) > 1, 1).otherwise(0).alias("new"))
+    stretches = breaks.select("bucket", F.sum("new").over(in_order).alias("stretch"))
+    rows = _vectors(articles.select("id", "published", "tokens")).withColumn("bucket", F.floor(F.col("published") / window_ms)).join(stretches, "bucket")
+    rows = rows.select("stretch", "published", "id", F.col("words.w").alias("w"), F.col("words.x").alias("x"))
 
-    def each(pdf):
+    def each(batches):
         import math
-        from collections import Counter
 
         import pandas as pd
 
-        pdf = pdf.sort_values(["published", "id"])
-        df = Counter(w for t in pdf["tokens"] for w in set(t))
-        idf = {w: math.log((len(pdf) + 1) / (n + 1)) + 1 for w, n in df.items()}
-        clusters: list[dict] = []
-        rows = []
-        for r in pdf.itertuples():
-            v = {w: n * idf[w] for w, n in Counter(r.tokens).items()}
-            size = math.sqrt(sum(x * x for x in v.values())) or 1.0
-            v = {w: x / size for w, x in v.items()}
-            best, found = LEAST_SIMILARITY, None
-            for c in clusters:
-                if abs(r.published - c["time"] / c["n"]) > window_ms:
-                    continue
-                norm = math.sqrt(sum(x * x for x in c["sum"].values())) or 1.0
-                alike = sum(x * c["sum"].get(w, 0.0) for w, x in v.items()) / norm
-                if alike > best or (found is None and alike >= best):
-                    best, found = alike, c
-            if found is None:
-                found = {"id": r.id, "sum": Counter(), "time": 0, "n": 0}
-                clusters.append(found)
-            for w, x in v.items():
-                found["sum"][w] += x
-            found["time"], found["n"] = found["time"] + r.published, found["n"] + 1
-            rows.append((r.id, found["id"]))
-        return pd.DataFrame(rows, columns=["id", "cluster"])
-
-    return articles.groupBy("window").applyInPandas(each, "id bigint, cluster bigint")
+        def close(opened, holders, k):
+            for w in opened.pop(k)["sum"]:
+                holders[w].discard(k)
+                if not holders[w]:
+                    del holders[w]
+
+        stretch, made, opened, holders = None, 0, {}, {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            found_ids = []
+            for r in pdf.itertuples():
+                if r.stretch != stretch:
+                    stretch, made, opened, holders = r.stretch, 0, {}, {}
+                v = dict(zip(r.w, r.x, strict=True)) if r.w is not None else {}
+                size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+                v = {w: x / size for w, x in v.items()}
+                best, found = LEAST_SIMILARITY, None
+                for k in sorted({k for w in v for k in holders.get(w, ())}):
+                    c = opened[k]
+                    if abs(r.published - c["time"] / c["n"]) > window_ms:
+                        close(opened, holders, k)
+                        continue
+                    alike = sum(x * c["sum"].get(w, 0.0) for w, x in v.items()) / c["norm"]
+                    if alike > best or (found is None and alike >= best):
+                        best, found = alike, k
+                if found is None:
+                    found, made = made, made + 1
+                    opened[found] = {"id": r.id, "sum": {}, "time": 0, "n": 0}
+                c = opened[found]
+                for w, x in v.items():
+                    c["sum"][w] = c["sum"].get(w, 0.0) + x
+                    holders.setdefault(w, set()).add(found)
+                c["time"], c["n"], c["norm"] = c["time"] + r.published, c["n"] + 1, math.sqrt(sum(x * x for x in c["sum"].values())) or 1.0
+                found_ids.append(c["id"])
+                if not v:
+                    del opened[found]
+            for k in [k for k, c in opened.items() if abs(r.published - c["time"] / c["n"]) > window_ms]:
+                close(opened, holders, k)
+            yield pd.DataFrame({"id": pdf["id"], "cluster": pd.Series(found_ids, dtype="int64")})
+
+    return rows.repartition("stretch").sortWithinPartitions("stretch", "published", "id").mapInPandas(each, "id bigint, cluster bigint")
 
 
 def link_groups(links: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def store_upsert(spark, sf_dir):
 
 
 def text_story_clusters(spark, sf_dir):
-    rows = _sql(spark, sf_dir, f"WITH {relations.articles(SPARK)} SELECT id, published, {texts.tokens(SPARK, 'title')} AS tokens, CAST(floor(published / 14400000e0) AS BIGINT) AS window FROM articles")
+    rows = _sql(spark, sf_dir, f"WITH {relations.articles(SPARK)} SELECT id, published, {texts.tokens(SPARK, 'title')} AS tokens FROM articles")
     return clusters.story_clusters(rows)
 
 

@@ -2,13 +2,14 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from oddsmith.functions import probability as P
 from oddsmith.functions.dialect import SPARK
-from oddsmith.operators import folds, learning, ratings, store
+from oddsmith.operators import clusters, folds, learning, ratings, store
 from oddsmith.plans import catalog, custom, markets, relations
 from oddsmith.plans import text as texts
 from oddsmith.sources import adapters
@@ -190,3 +191,39 @@ def test_missing_capabilities_of_all_customers(spark):
     want = {(c, p) for c in customers for p in {p for _, p in held}} - held
     got = [tuple(r) for r in catalog.queries()["data_quality_missing"](spark, sf).collect()]
     assert len(got) == len(want) and set(got) == want and max(c for c, _ in got) > 200
+
+
+def test_stories_reach_over_48_hours(spark):
+    hour = 3_600_000
+    rows = [(1, 0, "fed cuts rates"), (2, 4 * hour - 1, "storm hits coast"), (3, 4 * hour + 1, "storm hits coast"), (4, 40 * hour, "fed cuts rates"), (5, 69 * hour, "fed cuts rates"), (6, 118 * hour, "fed cuts rates"), (7, 119 * hour, ""), (8, 500 * hour, "fed cuts rates")]
+    rows = [(i, at, title.split()) for i, at, title in rows]
+    got = clusters.story_clusters(spark.createDataFrame(rows, "id long, published long, tokens array<string>"))
+    # the mean of 1 and 4 is hour 20, 49 before 5
+    assert {r.id: r.cluster for r in got.collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 5: 5, 6: 6, 7: 7, 8: 8}
+
+
+def test_stories_by_brute_force(spark):
+    rows = custom._sql(spark, SF, f"WITH {relations.articles(SPARK)} SELECT id, published, {texts.tokens(SPARK, 'title')} AS tokens FROM articles").collect()
+    df = Counter(w for r in rows for w in set(r.tokens))
+    found, want = [], {}
+    for r in sorted(rows, key=lambda r: (r.published, r.id)):
+        v = {w: n * (math.log((len(rows) + 1) / (df[w] + 1)) + 1) for w, n in Counter(r.tokens).items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        alike = [(sum(x / size * c[2][w] for w, x in v.items()) / (math.sqrt(sum(x * x for x in c[2].values())) or 1), -i) for i, c in enumerate(found) if abs(r.published - c[1] / c[3]) <= 48 * 3_600_000]
+        best = max(alike, default=(0, 0))
+        if best[0] < 0.45:
+            found.append([r.id, 0, Counter(), 0])
+            best = (1, -(len(found) - 1))
+        c = found[-best[1]]
+        for w, x in v.items():
+            c[2][w] += x / size
+        c[1], c[3], want[r.id] = c[1] + r.published, c[3] + 1, c[0]
+    assert {r.id: r.cluster for r in catalog.queries()["text_story_clusters"](spark, SF).collect()} == want
+
+
+def test_tfidf_reads_all_articles(spark):
+    n = custom._sql(spark, SF, f"WITH {relations.articles(SPARK)}, t AS (SELECT id, {texts.tokens(SPARK, 'title')} AS tokens FROM articles) SELECT DISTINCT w FROM t LATERAL VIEW explode(tokens) x AS w").count()
+    found = catalog.queries()
+    assert found["text_idf"](spark, SF).count() == n > 50
+    rows = found["text_tfidf_cosine"](spark, SF).collect()
+    assert len({r.a for r in rows}) > 50 and len({r.b for r in rows}) > 100 and all(r.a != r.b and 0 < r.cosine <= 1 for r in rows)
