@@ -56,8 +56,8 @@ def plans(d: Spark) -> dict[str, str]:
     query = d.regex_one("url", "[?]([^#]*)")
     kept = d.sort(d.filter(d.split(query, "&"), "q", f"q <> '' AND NOT {d.matches('q', '^(utm_[a-z]+|ref|fbclid|gclid)=')}"))
     canonical = f"concat({host}, {d.replace_all(path, '/+$', '')}, CASE WHEN {d.size(kept)} > 0 THEN concat('?', {d.join(kept, '&')}) ELSE '' END)"
-    tfidf = f"""{_HEADLINES}, tk AS (SELECT id, minute, {head_tokens} AS tok FROM headlines), fl AS (SELECT id, {d.unnest("tok")} AS w FROM tk), tf AS (SELECT id, w, CAST(count(*) AS DOUBLE) AS tf FROM fl GROUP BY id, w),
-nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM headlines), idf AS (SELECT w, ln((min(nd.n) + 1e0) / (count(*) + 1e0)) + 1e0 AS idf FROM tf CROSS JOIN nd GROUP BY w),
+    tfidf = f"""{art}, tk AS (SELECT id, published, {head_tokens} AS tok FROM articles), fl AS (SELECT id, {d.unnest("tok")} AS w FROM tk), tf AS (SELECT id, w, CAST(count(*) AS DOUBLE) AS tf FROM fl GROUP BY id, w),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM articles), idf AS (SELECT w, ln((min(nd.n) + 1e0) / (count(*) + 1e0)) + 1e0 AS idf FROM tf CROSS JOIN nd GROUP BY w),
 vec AS (SELECT tf.id, tf.w, tf.tf * idf.idf / sqrt(sum(power(tf.tf * idf.idf, 2)) OVER (PARTITION BY tf.id)) AS x FROM tf JOIN idf ON idf.w = tf.w)"""
     senti = f"""{_HEADLINES}, {_LEXICON}, tk AS (SELECT id, {d.regex_all("lower(title)", "[a-z]+")} AS tok FROM headlines), pos AS ({positions(d, "tk", "tok")}),
 hits AS (SELECT p.id, p.pos, l.score FROM pos p JOIN lexicon l ON l.word = p.w),
@@ -87,7 +87,7 @@ SELECT id, n FROM c WHERE r2 = 1 OR n < 3""",
 near AS (SELECT DISTINCT m.entity, m.id, v.pos, v.v FROM mention m JOIN (SELECT h.id, h.pos, h.score * coalesce(b.factor, 1e0) * CASE WHEN n.n > 0 THEN -1e0 ELSE 1e0 END AS v FROM hits h JOIN neg n ON n.id = h.id AND n.pos = h.pos LEFT JOIN boost b ON b.id = h.id AND b.pos = h.pos) AS v ON v.id = m.id AND abs(v.pos - m.pos) <= 12)
 SELECT entity, count(*) AS hits, least(greatest(CAST(floor(avg(v) * 25e0 + 0.5e0) AS BIGINT), -100), 100) AS score, round(least(0.95e0, count(*) / (count(*) + 3e0)), 6) AS confidence FROM near GROUP BY entity""",
         "text_idf": f"WITH {tfidf} SELECT w, round(idf, 6) AS idf FROM idf",
-        "text_tfidf_cosine": f"WITH {tfidf} SELECT a.id AS a, b.id AS b, round(sum(a.x * b.x), 6) AS cosine FROM vec a JOIN vec b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id",
+        "text_tfidf_cosine": f"WITH {tfidf}, asked AS (SELECT id AS q FROM articles ORDER BY published DESC, id DESC LIMIT 100), qv AS (SELECT v.id, v.w, v.x FROM vec v JOIN asked ON asked.q = v.id) SELECT a.id AS a, b.id AS b, round(sum(a.x * b.x), 6) AS cosine FROM qv a JOIN vec b ON a.w = b.w AND a.id <> b.id GROUP BY a.id, b.id",
         "text_importance": f"""WITH {ents}, e AS (SELECT id, max(CASE WHEN n > 0 THEN weight * CASE WHEN n = 1 THEN 0.8e0 ELSE 1e0 END ELSE 0e0 END) AS w FROM ent GROUP BY id),
 s AS (SELECT h.id, 100e0 * (0.20e0 * {rel} + 0.20e0 * e.w + 0.10e0 * {prior} + 0.12e0 + 0.14e0 * (1e0 / 3e0)) AS raw, h.class FROM headlines h JOIN e ON e.id = h.id)
 SELECT id, CASE WHEN class IN ('SOCIAL', 'UNVERIFIED') THEN least(35, CAST(floor(raw + 0.5e0) AS BIGINT)) ELSE CAST(floor(raw + 0.5e0) AS BIGINT) END AS importance FROM s""",
