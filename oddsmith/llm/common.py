@@ -8,8 +8,9 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if its counted rows times its row width stay under this many bytes.
+#: A side is broadcast only if its measured bytes stay under this many.
 BROADCAST_BYTES = 64 << 20
 #: Of each byte: lower case for A-Z, a space for ASCII other than letters and digits, itself beyond ASCII.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -38,9 +39,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the counted rows fit the bound; otherwise leave the join to the planner (df should be materialised)."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def frame_bytes(df: DataFrame) -> int:
+    """Bytes of all rows of df as measured: octets of strings and binaries, elements of arrays, 8 per other value and 16 per row."""
+
+    def width(c, kind) -> object:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            own = F.octet_length(c).cast("long")
+        elif isinstance(kind, T.ArrayType):
+            own = F.aggregate(F.coalesce(c, F.array().cast(kind)), F.lit(0).cast("long"), lambda a, x: a + width(x, kind.elementType))
+        elif isinstance(kind, T.StructType):
+            own = sum((width(c[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+        else:
+            return F.lit(8).cast("long")
+        return F.coalesce(own, F.lit(0).cast("long")) + 8
+
+    total = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16).cast("long"))
+    return df.agg(F.coalesce(F.sum(total), F.lit(0))).first()[0]
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the measured bytes of df, which should be materialised, fit the bound; otherwise leave the join to the planner."""
+    return F.broadcast(df) if frame_bytes(df) <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from grouped sums over all pages; a page's own vote is taken out of its host's a
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,11 @@ from pyspark.sql import functions as F
 from oddsmith.llm.common import broadcast_if_small, materialize, small_batches, utf8_list
 
 BUCKETS = 1 << 18
+#: Languages with a class of their own, those with the most documents; the documents of all others are one class, OTHER.
 MAX_LANGUAGES = 256
+OTHER = "other"
+#: Languages that a task counts, or the driver reads, at a time.
+AT_ONCE = 16
 #: 4-grams overlap and are not independent: their log-likelihoods count this much.
 TEMPER = 0.25
 #: Pseudo-counts that hosts get from their domain, domains from all pages, and every likelihood table.
@@ -43,63 +48,134 @@ _SPACED = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 def fit_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"):
     """(languages, log-probabilities[language, bucket], log share of each) from all rows with a text and a language.
 
-    Counts are summed per task before the shuffle; their size is languages times BUCKETS, whatever the corpus.
+    Counts are summed per task before the shuffle; their size is languages times BUCKETS, whatever the corpus. Beyond
+    MAX_LANGUAGES languages the ones with the fewest documents are counted together as OTHER.
     """
     import numpy as np
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    by_size = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    languages = [r["lang"] for r in by_size.take(MAX_LANGUAGES + 1)]
+    if len(languages) > MAX_LANGUAGES:
+        named = [x for x in languages if x != OTHER][: MAX_LANGUAGES - 1]
+        rows = rows.withColumn("lang", F.when(F.col("lang").isin(named), F.col("lang")).otherwise(F.lit(OTHER)))
+        languages = [*named, OTHER]
+    languages = sorted(languages)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         sums: dict[str, object] = {}
         n: dict[str, int] = {}
+
+        def flush() -> Iterator:
+            for lang, own in sums.items():
+                seen = np.flatnonzero(own)
+                bucket, value = np.append(seen, -1), np.append(own[seen], n[lang])
+                for at in range(0, len(bucket), 1 << 16):
+                    b, v = bucket[at : at + (1 << 16)], value[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b), pa.string()), pa.array(b.astype(np.int64)), pa.array(v.astype(np.int64))], names=["lang", "bucket", "n"])
+            sums.clear()
+            n.clear()
+
         for batch in batches:
             for part in small_batches(batch, 0):
                 by: dict[str, list[bytes]] = {}
                 for data, lang in zip(utf8_list(part.column(0)), part.column(1).to_pylist(), strict=True):
                     by.setdefault(lang, []).append(data)
                 for lang, own in by.items():
-                    if lang not in sums and len(sums) >= MAX_LANGUAGES:
-                        raise ValueError("more than MAX_LANGUAGES languages in the documents")
+                    if lang not in sums and len(sums) >= AT_ONCE:
+                        yield from flush()
                     n[lang] = n.get(lang, 0) + len(own)
                     sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate([gram_buckets(x) for x in own]), minlength=BUCKETS)
-        for lang, own in sums.items():
-            seen = np.flatnonzero(own)
-            bucket, value = np.append(seen, -1), np.append(own[seen], n[lang])
-            for at in range(0, len(bucket), 1 << 16):
-                b, v = bucket[at : at + (1 << 16)], value[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(b), pa.string()), pa.array(b.astype(np.int64)), pa.array(v.astype(np.int64))], names=["lang", "bucket", "n"])
+        yield from flush()
 
     counted = rows.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()
-    languages = sorted(set(table["lang"].to_pylist()))
-    place = {lang: i for i, lang in enumerate(languages)}
-    counts, share = np.full((len(languages), BUCKETS), SMOOTHING), np.ones(len(languages))
-    at = np.array([place[x] for x in table["lang"].to_pylist()], np.int64)
-    bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
-    gram = bucket >= 0
-    counts[at[gram], bucket[gram]] += n[gram]
-    share[at[~gram]] += n[~gram]
-    if not languages:
-        return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0)
-    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(share / share.sum())
+    counted = materialize(counted, "grams")
+    log_p, share = np.empty((len(languages), BUCKETS), np.float32), np.ones(len(languages))
+    for at in range(0, len(languages), AT_ONCE):
+        own = languages[at : at + AT_ONCE]
+        found = counted.where(F.col("lang").isin(own)).toArrow()  # AT_ONCE * (BUCKETS + 1) rows at most
+        place = {lang: i for i, lang in enumerate(own)}
+        row = np.array([place[x] for x in found["lang"].to_pylist()], np.int64)
+        bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
+        counts, gram = np.full((len(own), BUCKETS), SMOOTHING), bucket >= 0
+        counts[row[gram], bucket[gram]] += n[gram]
+        share[at + row[~gram]] += n[~gram]
+        log_p[at : at + len(own)] = np.log(counts / counts.sum(axis=1, keepdims=True))
+    return languages, log_p, np.log(share / share.sum()) if languages else np.zeros(0)
+
+
+_OPEN = re.compile(rb"<(?:!--|(script|style|noscript)\b|(html|meta)\b)?", re.I)
+_LANG = re.compile(rb"\blang\s*=\s*[\"']?([a-z]{2,3})\b", re.I)
+_CONTENT = re.compile(rb"\bcontent\s*=\s*[\"']?([a-z]{2,3})\b", re.I)
+
+
+def text_and_declared(data: bytes) -> tuple[bytes, str]:
+    """(text without markup, declared language or "") of a page in one pass that never goes back.
+
+    Comments, scripts and styles go with what they enclose; one without an end, and a tag without an end, are text. The
+    language is that of the first html tag or content-language meta tag that has one.
+    """
+    low, out, at, declared = data.lower(), [], 0, ""
+    missing: set[bytes] = set()
+
+    def after(mark: bytes, start: int) -> int:
+        if mark in missing:
+            return -1
+        found = low.find(mark, start)
+        if found < 0:
+            missing.add(mark)  # nor is there one further on
+            return -1
+        return found + len(mark)
+
+    while m := _OPEN.search(low, at):
+        start, end = m.start(), -1
+        if m.group().startswith(b"<!--"):
+            end = after(b"-->", m.end())
+        elif m.group(1):
+            closing = after(b"</" + m.group(1), m.end())
+            end = max(after(b">", closing), closing) if closing >= 0 else -1
+        if end < 0:
+            end = after(b">", m.end())
+            if end >= 0 and m.group(2) and not declared:
+                tag = low[start : min(end, m.end() + 4096)]
+                said = _LANG.search(tag) if m.group(2) == b"html" else b"content-language" in tag and _CONTENT.search(tag)
+                declared = said.group(1).decode() if said else ""
+        out.append(data[at:start])
+        if end < 0:
+            out.append(b" ")
+            at = m.end()
+        else:
+            out.append(b" ")
+            at = end
+    return b"".join([*out, data[at:]]), declared
+
+
+#: Labels that, before a country's suffix, make no domain of their own.
+_REGISTRIES = ("ac", "co", "com", "edu", "gov", "gob", "go", "ne", "net", "or", "org")
+
+
+def domain_of(host: str) -> tuple[str, str]:
+    """(domain, suffix) of a host: its last two labels, or three below a country's registry; an address or a bare name has no suffix."""
+    labels = host.split(".")
+    if len(labels) < 2 or ":" in host or labels[-1].isdigit():
+        return host, ""
+    n = 3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in _REGISTRIES else 2
+    return ".".join(labels[-n:]), labels[-1]
 
 
 def text_evidence(pages: DataFrame, model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, domain, suffix, segment, declared, n_grams, text array<double>): tempered log-likelihoods, less the largest.
 
-    Markup is removed before; texts without letters have equal likelihoods.
+    Markup is removed before; texts without letters have equal likelihoods. Null html or url gives empty evidence of
+    that kind; repeated rows stay; an empty table gives an empty result; other columns are dropped.
     """
-    import re
-
     languages, log_p, _ = model
     held = pages.sparkSession.sparkContext.broadcast((languages, log_p))
     code = "|".join(re.escape(x.lower()) for x in languages if x) or "(?!)"
     address = re.compile(r"\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@\s]*@)?([^/?#:\s]+)(?::\d*)?([^?#]*)", re.I)
     segment_of = re.compile(rf"/({code})(?:[-_][a-z]+)?(?=/|$)", re.I)
-    declared_of = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([a-z]{2,3})\b", re.I)
-    drop = re.compile(rb"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.I | re.S)
 
     def each(batches: Iterator) -> Iterator:
         import html as markup
@@ -117,10 +193,9 @@ def text_evidence(pages: DataFrame, model, id_col: str = "page_id", url_col: str
                     data = data or b""
                     m = address.match(url or "")
                     host = m.group(1).lower().rstrip(".") if m else ""
-                    labels = host.split(".")
+                    domain, suffix = domain_of(host)
                     segment = segment_of.search(m.group(2)) if m else None
-                    d = declared_of.search(data)
-                    text = drop.sub(b" ", data)
+                    text, declared = text_and_declared(data)
                     if b"&" in text:
                         text = markup.unescape(text.decode("utf-8", "replace")).encode("utf-8", "replace")
                     grams = gram_buckets(text)
@@ -128,7 +203,7 @@ def text_evidence(pages: DataFrame, model, id_col: str = "page_id", url_col: str
                     for at in range(0, len(grams), 1 << 16):
                         scores += log_p[grams[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
                     scores = TEMPER * (scores - scores.max(initial=-np.inf)) if len(names) else scores
-                    out.append((host, ".".join(labels[-2:]), labels[-1], segment.group(1).lower() if segment else "", (d.group(1) or d.group(2)).decode().lower() if d else "", len(grams), scores.tolist()))
+                    out.append((host, domain, suffix, segment.group(1).lower() if segment else "", declared, len(grams), scores.tolist()))
                 arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["page_id", "host", "domain", "suffix", "segment", "declared", "n_grams", "text"])
 
@@ -149,7 +224,6 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     alphabetically first language. Repeated rows are each a page. Without documents that have a language, lang is "und".
     Other columns are dropped.
     """
-    spark = pages.sparkSession
     model = fit_text_model(docs)
     languages, _, log_share = model
     evidence = text_evidence(pages, model, id_col, url_col, html_col)
@@ -164,7 +238,7 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     hosts = materialize(_votes(rows, ["host", "domain"], n), "hosts")
     domains = materialize(hosts.groupBy("domain").agg(F.array(*(F.sum(F.col("votes")[i]) for i in range(n))).alias("domain_votes")), "domains")
     priors = materialize(hosts.join(domains, "domain").select(F.col("host").alias("h"), "votes", "domain_votes"), "priors")
-    joined = rows.join(broadcast_if_small(priors, 100 + 16 * n), rows["host"] == F.col("h"))
+    joined = rows.join(broadcast_if_small(priors), rows["host"] == F.col("h"))
     own = [(F.col("vote") == i).cast("double") for i in range(n)]
     others = F.when(F.col("vote") >= 0, 1.0).otherwise(0.0)
     size = lambda c: sum((F.col(c)[i] for i in range(n)), F.lit(0.0)) - others
@@ -174,9 +248,8 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
         host_prior.append((F.col("votes")[i] - own[i] + HOST_STRENGTH * domain) / (size("votes") + HOST_STRENGTH))
     score = [F.col("text")[i] + F.log(host_prior[i]) for i in range(n)]
     for column in ("declared", "segment", "suffix"):
-        ratios = _likelihood_ratios(rows, column, n)
-        known = spark.createDataFrame(ratios, f"k_{column} string, r_{column} array<double>")
-        joined = joined.join(F.broadcast(known), F.col(column) == F.col(f"k_{column}"), "left")
+        known = likelihood_ratios(rows, column, n).select(F.col(column).alias(f"k_{column}"), F.col("ratios").alias(f"r_{column}"))
+        joined = joined.join(broadcast_if_small(known), F.col(column) == F.col(f"k_{column}"), "left")
         score = [s + F.coalesce(F.col(f"r_{column}")[i], F.lit(0.0)) for i, s in enumerate(score)]
     joined = joined.withColumn("score", F.array(*score))
     top_score = F.array_max("score")
@@ -188,17 +261,12 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     )
 
 
-#: Values of an evidence column that are looked at by name: codes and suffixes are few, but pages may write anything.
-MAX_VALUES = 10_000
-
-
-def _likelihood_ratios(rows: DataFrame, column: str, n: int) -> list[tuple[str, list[float]]]:
-    """log P(value | language) with smoothing, for each value; votes by text stand for the language.
+def likelihood_ratios(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """(value, ratios): log P(value | language) with smoothing, for each value of the column; votes by text stand for the language.
 
-    At most MAX_VALUES values are read; beyond that the table is an error, as the columns hold short codes by nature.
+    There may be any number of values: they stay a table, which is joined by shuffle where it is too large to broadcast.
     """
-    found = _votes(rows.where((F.col(column) != "") & (F.col("vote") >= 0)), [column], n).limit(MAX_VALUES + 1).collect()
-    if len(found) > MAX_VALUES:
-        raise ValueError(f"more than {MAX_VALUES} values of {column}")
-    totals = [sum(r["votes"][i] for r in found) for i in range(n)]
-    return [(r[column], [math.log((r["votes"][i] + SMOOTHING) / (totals[i] + SMOOTHING * (len(found) + 1))) for i in range(n)]) for r in found]
+    found = materialize(_votes(rows.where((F.col(column) != "") & (F.col("vote") >= 0)), [column], n), "values")
+    sums = found.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("votes")[i]).alias(f"v{i}") for i in range(n))).first()
+    totals = [(sums[f"v{i}"] or 0.0) + SMOOTHING * (sums["n"] + 1) for i in range(n)]
+    return found.select(column, F.array(*(F.log((F.col("votes")[i] + SMOOTHING) / total) for i, total in enumerate(totals))).alias("ratios"))

@@ -7,6 +7,7 @@ rounded patterns are dealt to the pieces, which are ranked within their length.
 
 from __future__ import annotations
 
+import logging
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -14,15 +15,17 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsmith.llm.common import crc, materialize, small_batches
+from oddsmith.llm.common import broadcast_if_small, crc, materialize, small_batches
 from oddsmith.llm.tokens import CachedBpe
 
 CAPACITY = 1024
-#: Ranks are taken within (length, bucket), so that a length which very many documents share is spread over tasks.
-RANK_BUCKETS = 64
+#: Ranks are taken within (length, bucket); a length has as many buckets as keep about this many pieces in each.
+BUCKET_PIECES = 250_000
+_HASHES = 1 << 20
 #: The linear program ends when it is this close to its bound.
 GAP = 0.0005
-ROUNDS = 60
+#: Pricing ends after so many rounds at the latest; cutting_stock then warns of the gap it reached.
+ROUNDS = 200
 
 
 def price(lengths, duals, capacity: int):
@@ -80,7 +83,7 @@ def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, gap: float =
 
     Revised simplex with delayed columns from a first-fit basis: each pricing solves one knapsack and offers the best
     pattern that ends with each length; those that still price out enter one by one. It ends at the gap to Farley's
-    bound, or after ROUNDS pricings; the patterns meet the demand at any time.
+    bound, or after ROUNDS pricings with a warning that names the gap reached; the patterns meet the demand at any time.
     """
     import numpy as np
 
@@ -124,6 +127,8 @@ def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, gap: float =
             inverse[touched] -= np.outer(direction[touched], inverse[row])
             duals = duals - gain * inverse[row]
             basis[row] = column
+    else:
+        logging.getLogger(__name__).warning("cutting stock: %d rounds end %.4f above the bound", ROUNDS, x.sum() / max(bound, 1e-9) - 1)
     return [(Counter({int(lengths[i]): n for i, n in c.items()}), float(v)) for c, v in zip(basis, x, strict=True) if v > 1e-9], float(bound)
 
 
@@ -190,15 +195,20 @@ def pack(
 
     A document is its ids and end_id after them; null and empty texts are end_id alone. Documents longer than capacity
     are cut at its multiples, each full piece is a sequence of its own; the rest stays whole. Rows with equal ids are
-    packed each. Pieces are ranked within their length by id, start and checksum. ids (little-endian unsigned 32-bit)
-    are returned on demand. An empty table gives an empty result; other columns are dropped.
+    packed each. Pieces are ranked within their length by a bucket of their hash, then by id, start and checksum; the
+    hash covers the row's place in the input too, so that repeated rows do not share a bucket. ids (little-endian
+    unsigned 32-bit) are returned on demand. An empty table gives an empty result; other columns are dropped.
     """
     spark = docs.sparkSession
     pieces = _pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, with_ids)
-    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "start", "ids_crc32"), F.lit(RANK_BUCKETS))
-    pieces = materialize(pieces.withColumn("bucket", bucket), "pieces")
-    counts = materialize(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")  # capacity * RANK_BUCKETS rows at most
-    demand = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(_HASHES))
+    pieces = materialize(pieces.withColumn("spread", spread), "pieces")
+    demand = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
+    buckets = [min(_HASHES, -(-demand.get(n, 0) // BUCKET_PIECES)) for n in range(capacity + 1)]
+    own_buckets = F.split(F.lit(",".join(map(str, buckets))), ",")[F.col("length").cast("int")].cast("long")
+    pieces = pieces.withColumn("bucket", F.floor(F.col("spread") * own_buckets / _HASHES).cast("long")).drop("spread")
+    # one row per BUCKET_PIECES pieces and capacity rows besides
+    counts = materialize(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
     spans, used, sequence = [], Counter(), 0
     for pattern, times in whole_patterns(demand, capacity):
         offset = 0
@@ -211,7 +221,7 @@ def pack(
     base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     base = base.select("length", "bucket", F.coalesce("base", F.lit(0)).alias("base"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = pieces.withColumn("own", own).join(F.broadcast(base), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("own") - 1)
+    ranked = pieces.withColumn("own", own).join(broadcast_if_small(materialize(base, "bases")), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("own") - 1)
     dealt = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
     columns = ["doc_id", "start", pieces["length"], "ids_crc32", "doc_tokens", (F.col("rank") + F.col("shift")).alias("sequence_id"), "offset"]
     return dealt.select(*columns, *["ids"] * with_ids)

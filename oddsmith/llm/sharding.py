@@ -18,6 +18,8 @@ N_SLOTS = 4096
 MAX_SLOTS = 1 << 16
 #: Rebalancing stops when the largest shard exceeds the smallest by this share of the mean.
 TOLERANCE = 0.001
+#: A slot of more than this many mean slots in bytes or rows is hot: its rows are dealt over all slots.
+HOT = 8
 
 
 @dataclass(frozen=True)
@@ -94,14 +96,16 @@ class SlotMap:
 
 
 def slotted(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot): size is the UTF-8 bytes of the text (null: none) plus 1.
+    """(doc_id, size, text_crc32, virtual_slot, spread): size is the UTF-8 bytes of the text (null: none) plus 1.
 
     The slot hashes the id alone, so a changed text stays where it is; rows without an id hash their text's checksum.
+    spread is another slot, which hashes the row's place too; rows of a hot slot go there.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\0"), F.col("text_crc32").cast("string")))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int"))
+    spread = F.xxhash64(key, "text_crc32", F.monotonically_increasing_id())
+    return rows.select("*", F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int").alias("virtual_slot"), F.pmod(spread, F.lit(n_slots)).cast("int").alias("spread"))
 
 
 def slot_sums(rows: DataFrame) -> DataFrame:
@@ -114,11 +118,18 @@ def assign_shards(docs: DataFrame, path: str, n_shards: int = 8, n_slots: int =
 
     Stores the first map and its rebalanced successor under path, then places rows by the stored map. slot is the
     row's place in its shard, gapless from 0: the places of a virtual slot follow those of the ones before it in the
-    shard, so rows are numbered within virtual slots and no shard is gathered in one task. Null texts count one byte;
-    repeated rows stay and get places of their own; an empty table gives an empty result; other columns are dropped.
+    shard, so rows are numbered within virtual slots and no shard is gathered in one task. A slot that holds over HOT
+    mean slots, as when one id repeats in very many rows, is hot: its rows are dealt over all slots. Null texts count one
+    byte; repeated rows stay and get places of their own; an empty table gives an empty result; other columns are dropped.
     """
     spark = docs.sparkSession
     rows = materialize(slotted(docs, n_slots, id_col, text_col), "slotted")
+    sums = slot_sums(rows).collect()  # n_slots rows at most
+    most = {c: HOT * sum(r[c] for r in sums) / n_slots for c in ("rows", "bytes")}
+    hot = [r["virtual_slot"] for r in sums if r["rows"] > HOT and any(r[c] > m for c, m in most.items())]
+    if hot:
+        rows = rows.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(hot), F.col("spread")).otherwise(F.col("virtual_slot")))
+    rows = rows.drop("spread")
     sums = {r["virtual_slot"]: r for r in slot_sums(rows).collect()}  # n_slots rows at most
     slot_bytes = [sums[s]["bytes"] if s in sums else 0 for s in range(n_slots)]
     first = SlotMap.initial(n_shards, n_slots)

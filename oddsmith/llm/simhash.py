@@ -66,14 +66,17 @@ def ball_links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """Links (u, v), u > v, that connect the distinct fingerprints fp at most `bits` apart.
 
     Each fingerprint emits every variant within half the radius (65 for two bits: itself and one flip of each bit).
-    Two fingerprints within the radius share a variant, and a variant has no more than 65 fingerprints, however large
-    the corpus. Within a variant each fingerprint is linked to the one before it in order, which connects the same
-    components as all pairs; links are then deduplicated and their distance verified.
+    Two fingerprints within the radius share a variant, and any two that share one are within it, as the radius is even:
+    so within a variant each fingerprint is linked to the one before it in order, which connects the same components as
+    all pairs. A variant has no more fingerprints than a fingerprint has variants, however large the corpus. Links are
+    then deduplicated and their distance verified. Odd radii are refused: their halves would miss or overshoot.
     """
-    if bits not in (2, 3):
-        raise ValueError("variants are generated for half the radius = 1, that is for 2 or 3 bits")
-    flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << b) - (1 << 64 if b == 63 else 0))) for b in range(64)]
-    balls = fps.select("fp", F.explode(F.array(*flips)).alias("variant"))
+    if bits not in (2, 4):
+        raise ValueError("the radius is twice that of the variants, which is 1 or 2 bits: bits is 2 or 4")
+    single = [1 << b for b in range(64)]
+    masks = [0, *single, *(a | b for a in single for b in single if a < b and bits == 4)]
+    signed = F.split(F.lit(",".join(str(m - (1 << 64) if m >> 63 else m) for m in masks)), ",").cast("array<bigint>")
+    balls = fps.select("fp", F.explode(signed).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     near = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
     pairs = balls.select(F.col("fp").alias("u"), near.alias("v")).where("v is not null").distinct()
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
@@ -191,7 +194,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     distinct = materialize(distinct.select("__set", "first.*"), "distinct")
     pairs = materialize(candidate_pairs(distinct.select("row", "bands")), "pairs")
     nodes = materialize(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), "nodes")
-    nodes = broadcast_if_small(nodes, 16)
+    nodes = broadcast_if_small(nodes)
     sets = materialize(_shingle_sets(rows.join(nodes, rows["__row"] == nodes["row"], "left_semi"), text_col, k), "sets")
     one, two = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"h{x}"), F.size("hashes").alias(f"n{x}")) for x in "uv")
     sized = pairs.join(one, "u").join(two, "v").where(F.least("nu", "nv") >= least * F.greatest("nu", "nv"))
@@ -202,5 +205,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     moved = linked.join(kept, "root").select("__set", "best")
     label = materialize(distinct.join(moved, "__set", "left").select("__set", F.coalesce("best", "row").alias("best")), "label")
     gone = materialize(rows.select("__row", "__set").join(label, "__set").where("__row <> best").select(F.col("__row").alias("gone")), "gone")
-    gone = broadcast_if_small(gone, 16)
+    gone = broadcast_if_small(gone)
     return rows.join(gone, rows["__row"] == gone["gone"], "left_anti").select(*docs.columns)

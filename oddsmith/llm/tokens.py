@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterator
 from itertools import islice
 
 #: The byte-level pattern restricted to characters below U+0250, where these classes are all letters, numbers and white space.
@@ -13,6 +14,9 @@ _SPLIT = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^{_S}{_L}{_N
 _BEYOND = re.compile("[^\x00-ɏ]")
 _CACHE = 1 << 20
 _AT_ONCE = 1 << 18
+#: Between a character that is no white space and a single space before another one no pre-token spans: long texts are cut there.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_LONG = 1 << 20
 
 
 #: Byte-level models read bytes as characters: printable Latin-1 as themselves, the others, in order, from U+0100 on.
@@ -21,10 +25,11 @@ _AS_CHAR = {b: b for b in _PRINTABLE} | {b: 0x100 + i for i, b in enumerate(x fo
 
 
 class CachedBpe:
-    """Encodes like tokenizers.Tokenizer without special tokens, but each distinct pre-token only once.
+    """Encodes like tokenizers.Tokenizer with add_special_tokens=False, but each distinct pre-token only once.
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in turn. Texts with
-    characters from U+0250 on go through the library whole. The cache holds _CACHE pre-tokens at most.
+    characters from U+0250 on, or with the string of an added token, go through the library itself, long ones in parts
+    that end where no pre-token does. The cache holds _CACHE pre-tokens at most.
     """
 
     def __init__(self, path: str):
@@ -32,14 +37,28 @@ class CachedBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """text in parts of about _LONG characters, cut before a single space between words and not in an added token."""
+        at = 0
+        while len(text) - at > 2 * _LONG:
+            cut = _CUT.search(text, at + _LONG)
+            while cut and any(m.start() < cut.start() < m.end() for m in self.added.finditer(text, max(at, cut.start() - 256), cut.start() + 256)):
+                cut = _CUT.search(text, cut.end())
+            if not cut:
+                break
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
     def _learn(self, words) -> None:
         """After this the cache has all of words."""
         missing = [w for w in words if w not in self.cache]
@@ -62,8 +81,8 @@ class CachedBpe:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _BEYOND.search(text):
-                out[i] = self._raw([text])[0]
+            if _BEYOND.search(text) or self.added.search(text):
+                out[i] = b"".join(self._raw([part])[0] for part in self._parts(text))
             elif len(text) > 8 * _AT_ONCE:
                 found, parts = _SPLIT.finditer(text), []
                 while words := [m.group() for m in islice(found, _AT_ONCE)]:

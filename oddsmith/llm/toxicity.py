@@ -3,7 +3,7 @@
 Features of a token are the word and its leading 4 to 8 bytes. Documents with a feature are counted by label in two
 hashed tables of fixed size, the counts give log-odds under an informative Dirichlet prior, and a token scores as its
 feature with the largest lower confidence bound. A linear scan (Ruzzo and Tompa, 1999) finds all maximal segments; the
-Karlin-Altschul law turns their scores into expectations, and a logistic curve turns the evidence into a probability.
+Karlin-Altschul law turns their scores into expectations, and a logistic curve over the logarithm of the evidence gives a probability.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ PRIOR_DOCS, ERRORS, DRIFT = 20.0, 1.5, 0.05
 LEAST = 0.7
 #: A segment counts if fewer than this many as good are expected in a clean document of the same length.
 MAX_EXPECTED = 1.0
-EVIDENCE_CAP = 100.0
+LEAST_EVIDENCE = -math.log(MAX_EXPECTED)
 _CACHE = 1 << 20
 
 
@@ -116,10 +116,11 @@ class ToxicityModel:
 
     def score(self, n: int, segments: list[tuple[int, int, float]]) -> tuple[float, list[tuple[int, int, float, float]]]:
         """Probability of the label and the significant passages (first word, words, score, expected number)."""
-        found = [(f, e - f, s, self.volume * max(n, 1) * math.exp(-self.decay * s)) for f, e, s in segments]
-        found = [x for x in found if x[3] < MAX_EXPECTED]
-        evidence = min(EVIDENCE_CAP, sum(-math.log(max(x[3], 1e-300)) for x in found))
-        return 1 / (1 + math.exp(-(self.offset + self.slope * evidence))), found
+        rare = [(f, e, s, self.decay * s - math.log(self.volume * max(n, 1))) for f, e, s in segments]  # minus the log of the expected number
+        rare = [x for x in rare if x[3] > LEAST_EVIDENCE]
+        x = self.offset + self.slope * math.log1p(math.fsum(r[3] for r in rare))
+        score = 1 / (1 + math.exp(-x)) if x > 0 else math.exp(x) / (1 + math.exp(x))
+        return score, [(f, e - f, s, math.exp(-r)) for f, e, s, r in rare]
 
     def judge(self, data: bytes | None) -> tuple[float, list[tuple[int, int, float, float]]]:
         words = words_of(data)
@@ -130,7 +131,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(text, toxic) of labelled documents outside the held-out fifth, by crc32 of the id as text. Two labels of one id: the larger; null labels or ids: no label."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).cast("int").alias("toxic")).where("__id is not null and toxic is not null")
     known = known.where(F.crc32(F.col("__id").cast("string")) % 5 != 0).groupBy("__id").agg(F.max("toxic").alias("toxic"))
-    known = broadcast_if_small(materialize(known, "labels"), 24)
+    known = broadcast_if_small(materialize(known, "labels"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     return rows.join(known, "__id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
@@ -195,7 +196,6 @@ def _logistic(bins: list[tuple[float, float, float]]) -> tuple[float, float]:
     import numpy as np
 
     x, t, c = (np.array(v, float) for v in zip(*bins, strict=True))
-    x = x / 10
     n, w = t + c, np.array([math.log((t.sum() + 0.5) / (c.sum() + 0.5)), 0.0])
     loss = lambda w: float((n * np.logaddexp(0, w[0] + w[1] * x) - t * (w[0] + w[1] * x)).sum() + 0.05 * w @ w)
     for _ in range(60):
@@ -207,7 +207,7 @@ def _logistic(bins: list[tuple[float, float, float]]) -> tuple[float, float]:
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
         w = w - size * step
-    return float(w[0]), float(max(w[1], 0.0) / 10)
+    return float(w[0]), float(max(w[1], 0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -253,10 +253,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model.decay = _decay(scores, max(1.0, tokens - sum(scores.values())))
     best = F.coalesce(F.array_max("segments"), F.lit(0.0))
     model.volume = n_clean / (clean.agg(F.sum(F.greatest("n", F.lit(1)) * F.exp(-model.decay * best))).first()[0] + 1.0)
-    expected = lambda s: F.lit(model.volume) * F.greatest(F.col("n"), F.lit(1)) * F.exp(-model.decay * s)
-    sure = F.transform(F.filter("segments", lambda s: expected(s) < MAX_EXPECTED), lambda s: -F.log(F.greatest(expected(s), F.lit(1e-300))))
-    evidence = F.round(F.least(F.lit(EVIDENCE_CAP), F.aggregate(sure, F.lit(0.0), lambda a, x: a + x)), 1)
-    bins = scanned.groupBy(evidence.alias("x")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).collect()  # at most 1001 rows
+    rare = lambda s: model.decay * s - F.log(F.lit(model.volume) * F.greatest(F.col("n"), F.lit(1)))
+    sure = F.filter(F.transform("segments", rare), lambda x: x > LEAST_EVIDENCE)
+    # the logarithm of the evidence to two places: no cap, and a few thousand bins whatever the texts
+    evidence = F.round(F.log1p(F.aggregate(sure, F.lit(0.0), lambda a, x: a + x)), 2)
+    bins = scanned.groupBy(evidence.alias("x")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).collect()
     model.offset, model.slope = _logistic([(r["x"], r["t"], r["c"]) for r in bins])
     return model
 
@@ -285,7 +286,11 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns.
+
+    Null, empty and wordless texts score as a document without evidence and stay unless that reaches the threshold;
+    repeated rows stay or go together; an empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -37,6 +37,7 @@ class ArcRecord:
     version: int
     fields: dict[str, str]
     block: bytes
+    opens: bool = False  # the version block that begins the file
 
 
 def _stamp(seconds: int) -> str:
@@ -72,12 +73,13 @@ def arc_record(version: int, url: str | None, block: bytes, date: str, ip: str =
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     """Records of an ARC file, plain or with each record gzipped, the version block first.
 
-    The version comes from the version block's first line; a header line with fewer fields than its version has, or a
+    Only the first record can be a version block: its address begins with filedesc: and it is plain text. A page of such
+    an address is a record like any other, and a file without a version block is read as version 1. The version comes from the version block's first line; a header line with fewer fields than its version has, or a
     block shorter than it declares, is an error.
     """
     if data[:2] == b"\x1f\x8b":
         data = b"".join(_members(data))
-    at, version = 0, 1
+    at, version, first = 0, 1, True
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -90,15 +92,20 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         block = data[end + 1 : end + 1 + length]
         if length < 0 or len(block) < length:
             raise ValueError(f"bad or unmet length at byte {at}")
-        if parts[0].startswith("filedesc:"):
-            version = int(block.split(None, 1)[0])
+        opens = first and parts[0].startswith("filedesc:") and "text/plain" in parts[3:-1]
+        first = False
+        if opens:
+            stated = block.split(None, 1)[:1]
+            version = int(stated[0]) if stated and stated[0].isdigit() else 0
+            if version not in ARC_FIELDS:
+                raise ValueError(f"version block without a known version: {block[:40]!r}")
         names = ARC_FIELDS[version]
         if len(parts) < len(names):
             raise ValueError(f"version {version} header with {len(parts)} fields at byte {at}")
         # a content type may hold spaces; everything else is one field
         spare = len(parts) - len(names)
         joined = [*parts[:3], " ".join(parts[3 : 4 + spare]), *parts[4 + spare :]]
-        yield ArcRecord(version, dict(zip(names, joined, strict=True)), block)
+        yield ArcRecord(version, dict(zip(names, joined, strict=True)), block, opens)
         at = end + 1 + length
 
 
@@ -119,7 +126,7 @@ def warc_date(arc_date: str) -> str:
 
 
 def warc_type(record: ArcRecord) -> str:
-    if record.fields["url"].startswith("filedesc:"):
+    if record.opens:
         return "warcinfo"
     return "response" if record.block.startswith(b"HTTP/") else "resource"
 
@@ -175,8 +182,13 @@ CONVERTED = "page_id bigint, url string, date string, record_id string, kind str
 
 
 def pages_to_arc(pages: DataFrame, version: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(arc): legacy archives of the pages, an HTTP response each, some megabytes per row. Null html: no payload. The
-    page's id is kept in an HTTP header, and its capture is dated that many seconds after the first of 2010."""
+    """(arc): legacy archives of the pages, an HTTP response each, some megabytes per row. The page's id is kept in an
+    HTTP header, and its capture is dated that many seconds after the first of 2010.
+
+    Null html: no payload; null id: no such header; null or empty url: about:blank; white space in urls is escaped.
+    Repeated rows are captured each, a page longer than ARCHIVE_BYTES is an archive of its own, an empty table gives no
+    archives; other columns are dropped.
+    """
 
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -229,7 +241,7 @@ def with_revisits(records: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     responses = records.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
     kept = responses.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "record_id", "url", "date")).alias("first"))
     kept = materialize(kept.where("n > 1").select(F.col("digest").alias("same"), "first"), "repeated")
-    joined = records.join(broadcast_if_small(kept, 400), (F.col("digest") == F.col("same")) & (F.col("payload_bytes") >= least) & (F.col("kind") == "response"), "left")
+    joined = records.join(broadcast_if_small(kept), (F.col("digest") == F.col("same")) & (F.col("payload_bytes") >= least) & (F.col("kind") == "response"), "left")
     moved = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     refers = [F.when(moved, F.col(f"first.{c}")).alias(n) for c, n in (("page_id", "refers_to"), ("record_id", "refers_to_id"), ("url", "refers_to_url"), ("date", "refers_to_date"))]
     plain = [c for c in records.columns if c != "kind"]
@@ -239,7 +251,8 @@ def with_revisits(records: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
 def write_warc(records: DataFrame, path: str) -> None:
     """Store records as WARC archives under path: rows (warc) of gzipped records, some megabytes each, warcinfo records too.
 
-    A revisit keeps its HTTP head; its payload is that of the record it refers to.
+    A revisit keeps its HTTP head; its payload is that of the record it refers to. Repeated rows are written each, an
+    empty table writes no archives.
     """
 
     def each(batches: Iterator) -> Iterator:
@@ -256,7 +269,7 @@ def write_warc(records: DataFrame, path: str) -> None:
                     elif r["kind"] == "revisit":
                         block = head
                         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-                        headers += [("WARC-Profile", profile), ("WARC-Refers-To", f"<{r['refers_to_id']}>"), ("WARC-Refers-To-Target-URI", r["refers_to_url"]), ("WARC-Refers-To-Date", r["refers_to_date"]), ("X-Refers-To-Page", str(r["refers_to"])), ("X-Payload-Length", str(r["payload_bytes"]))]
+                        headers += [("WARC-Profile", profile), ("WARC-Refers-To", f"<{r['refers_to_id']}>"), ("WARC-Refers-To-Target-URI", r["refers_to_url"]), ("WARC-Refers-To-Date", r["refers_to_date"])]
                     if r["kind"] in ("response", "revisit"):
                         headers += [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", _base32(r["digest"]))]
                     headers.append(("WARC-Block-Digest", _base32(hashlib.sha1(block).hexdigest())))
@@ -267,16 +280,18 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def read_warc(archives: DataFrame, warc_col: str = "warc") -> DataFrame:
-    """(page_id, kind, record_id, url, date, payload_bytes, payload_digest, refers_to, refers_to_id) per response, resource or revisit.
+    """(page_id, kind, record_id, url, date, payload_bytes, payload_digest, refers_to_id) per response, resource or revisit.
 
-    Digests of stored payloads are computed from the bytes read and must equal the header's, as block digests must.
+    Digests of stored payloads are computed from the bytes read and must equal the header's, as block digests must. A
+    revisit's payload_bytes are null: its record holds no payload. A null archive has no records; repeated archives are
+    read each; other columns are dropped.
     """
 
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["page_id", "kind", "record_id", "url", "date", "payload_bytes", "payload_digest", "refers_to", "refers_to_id"]
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        names = ["page_id", "kind", "record_id", "url", "date", "payload_bytes", "payload_digest", "refers_to_id"]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             for data in batch.column(0):
                 out = []
@@ -289,29 +304,42 @@ def read_warc(archives: DataFrame, warc_col: str = "warc") -> DataFrame:
                     head, payload = split_http(block)
                     if kind == "revisit":
                         digest = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        size = int(h["x-payload-length"])
+                        size = None
                     else:
                         digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
                         if "warc-payload-digest" in h and h["warc-payload-digest"] != _base32(digest):
                             raise ValueError(f"payload digest differs in {h['warc-record-id']}")
                     at = head.find(b"\r\n" + PAGE_HEADER + b": ")
                     page = int(head[at + len(PAGE_HEADER) + 4 :].split(b"\r\n", 1)[0]) if at >= 0 else None
-                    to = int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None
-                    out.append((page, kind, h["warc-record-id"].strip("<>"), h.get("warc-target-uri"), h["warc-date"], size, digest, to, h.get("warc-refers-to", "").strip("<>") or None))
+                    out.append((page, kind, h["warc-record-id"].strip("<>"), h.get("warc-target-uri"), h["warc-date"], size, digest, h.get("warc-refers-to", "").strip("<>") or None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return archives.select(F.col(warc_col).alias("warc")).mapInArrow(
-        each, "page_id bigint, kind string, record_id string, url string, date string, payload_bytes bigint, payload_digest string, refers_to bigint, refers_to_id string"
+        each, "page_id bigint, kind string, record_id string, url string, date string, payload_bytes bigint, payload_digest string, refers_to_id string"
     )
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """records of read_warc with refers_to, and with payload_bytes of revisits, from the record that WARC-Refers-To names.
+
+    Rows with one identifier are captures of the same page and count as one target. A revisit whose target is missing,
+    or whose target has another payload digest, keeps nulls.
+    """
+    wanted = records.where("refers_to_id is not null").select(F.col("refers_to_id").alias("record_id")).distinct()
+    targets = records.where("kind <> 'revisit'").join(broadcast_if_small(materialize(wanted, "wanted")), "record_id", "left_semi")
+    targets = targets.groupBy(F.col("record_id").alias("to_id"), F.col("payload_digest").alias("to_digest")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("to_bytes"))
+    targets = broadcast_if_small(materialize(targets, "targets"))
+    joined = records.join(targets, (F.col("refers_to_id") == F.col("to_id")) & (F.col("payload_digest") == F.col("to_digest")), "left")
+    return joined.withColumn("payload_bytes", F.coalesce("payload_bytes", "to_bytes")).drop("to_id", "to_digest", "to_bytes")
+
+
 def convert_pages(pages: DataFrame, path: str, version: int = 1) -> DataFrame:
-    """pages to ARC, to WARC archives under path, and read back: a row per page, as read_warc.
+    """pages to ARC, to WARC archives under path, and read back: a row per page, as read_warc, with references resolved.
 
     Null html is an empty payload, null urls become about:blank, repeated rows are captured each, an empty table writes
     archives without responses; other columns are dropped.
     """
     records = materialize(convert_arc(pages_to_arc(pages, version)), "converted")
     write_warc(with_revisits(records), path)
-    return read_warc(pages.sparkSession.read.schema("warc binary").parquet(path))
+    return resolved(materialize(read_warc(pages.sparkSession.read.schema("warc binary").parquet(path)), "read-back"))

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -40,3 +41,30 @@ def test_evidence_beyond_text(spark):
     assert found[100].text_lang == "und" and found[100].confidence > found[103].confidence
     assert langid.identify(pages.limit(0), docs).count() == 0
     assert {r.lang for r in langid.identify(pages, docs.limit(0)).collect()} == {"und"}
+
+
+def test_text_and_declared():
+    page = b'<!-- <html lang="fr"> --><HTML class=x LANG="de-AT"><script>var a = "<p>";</script >gut <b>so</b><style>p</style'
+    text, declared = langid.text_and_declared(page)
+    assert text.split() == [b"gut", b"so"] and declared == "de"
+    assert langid.text_and_declared(b'<meta http-equiv="content-language" content="es">x')[1] == "es"
+    assert langid.text_and_declared(b"1 < 2 and 3")[0].split() == [b"1", b"2", b"and", b"3"]
+    for bad in (b"<script ", b"<html ", b"<meta content-language ", b"<!-- ", b"</script", b"<", b"<style ><b"):
+        start = time.process_time()
+        langid.text_and_declared(bad * 200_000)
+        assert time.process_time() - start < 5
+
+
+def test_domains():
+    hosts = {"a.b.co.uk": ("b.co.uk", "uk"), "x.site.de": ("site.de", "de"), "10.0.0.1": ("10.0.0.1", ""), "intranet": ("intranet", ""), "co.uk": ("co.uk", "uk"), "": ("", "")}
+    assert {h: langid.domain_of(h) for h in hosts} == hosts
+
+
+def test_many_suffixes_and_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    monkeypatch.setattr(langid, "AT_ONCE", 2)
+    docs = spark.createDataFrame([("the and of this", "en")] * 5 + [("der und die das", "de")] * 5 + [(f"zq{i}zq", f"x{i}") for i in range(6)], "text string, lang string")
+    assert langid.fit_text_model(docs)[0] == ["de", "en", "other"]
+    pages = spark.range(10_050).selectExpr("id as page_id", "concat('http://a.t', id, '/x') as url", "'the and of this' as html")
+    rows = langid.identify(pages, docs)
+    assert rows.where("lang = 'en'").count() == 10_050 and rows.select("suffix").distinct().count() == 10_050

@@ -2,14 +2,21 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from oddsmith.llm import packing
+from oddsmith.llm import packing, tokens
 from oddsmith.llm.tokens import CachedBpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+OWN, LIBRARY = CachedBpe(PATH), Tokenizer.from_file(PATH)
+
+
+def library_ids(text):
+    return np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @settings(max_examples=40, deadline=None)
@@ -31,20 +38,28 @@ def test_patterns_meet_the_demand(demand):
     assert sum(v for _, v in patterns) >= max(bound, total / 32) - 1e-6 and bound <= sum(t for _, t in plan) + 1e-6
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.text(st.sampled_from("abé 'sT1²_\n\t\x85\xa0\x1c-漢🙂ǅ"), max_size=60))
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " "]), st.text(st.sampled_from("abé 'sT1²_\n\t\x85\xa0\x1c-漢🙂ǅ"), max_size=60)), max_size=4).map("".join))
 def test_ids_are_those_of_the_library(text):
-    bpe = test_ids_are_those_of_the_library.__dict__.setdefault("bpe", CachedBpe(PATH))
-    assert bpe.encode([text, None, ""]) == [np.array(bpe.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b"", b""]
+    assert OWN.encode([text, None, ""]) == [library_ids(text), b"", b""]
+
+
+def test_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "_LONG", 50)
+    monkeypatch.setattr(tokens, "_AT_ONCE", 20)
+    text = " ".join(f"w{i} 漢字 it's  <|endoftext|> a\n b <|end of|>" for i in range(60))
+    for t in (text, text.replace("漢字", "x"), text.replace(" ", ""), "x" * 500 + text):
+        assert OWN.encode([t, t]) == [library_ids(t)] * 2
 
 
-def test_every_id_in_one_piece(spark):
+@pytest.mark.parametrize("bucket_pieces", [packing.BUCKET_PIECES, 7])
+def test_every_id_in_one_piece(spark, monkeypatch, bucket_pieces):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", bucket_pieces)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("offset", packing.F.lit("x"))
     odd = [(None, None, "x"), (-1, "", None), (-2, "same", "x"), (-2, "same", "x"), (-3, "long <|endoftext|> " * 9000, "x")]
     docs = docs.union(spark.createDataFrame(odd, "doc_id long, text string, offset string"))
     rows = packing.pack(docs, PATH, with_ids=True).collect()
-    bpe = CachedBpe(PATH)
-    want = Counter(np.array(bpe.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4").tobytes() for r in docs.collect())
+    want = Counter(library_ids(r.text or "") + b"\0\0\0\0" for r in docs.collect())
     own, lanes = defaultdict(list), defaultdict(list)
     for r in rows:
         assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32

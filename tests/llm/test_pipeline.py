@@ -2,13 +2,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from oddsmith.llm import pii, toxicity
 from oddsmith.llm.queries import SURROGATE_KEY
-from oddsmith.llm.tokens import CachedBpe
 from tests.llm.test_decontaminate import brute
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,12 +18,12 @@ def test_stages_by_brute_force(spark):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = {r.doc_id: r.text for r in docs.collect() if model.judge(r.text.encode())[0] < 0.5}
-    parts = dict(brute_components([(i, brute_fingerprint(t)) for i, t in rows.items()]))
-    rows = {i: t for i, t in rows.items() if parts[i] == i}
+    kept = {i for _, i in brute_kept(list(rows.items()))}
+    rows = {i: t for i, t in rows.items() if i in kept}
     rows = {i: t for i, t in rows.items() if not brute(t, items)[1]}
     rows = {i: pii.pseudonymize(t, pii.Surrogates(SURROGATE_KEY))[0] for i, t in rows.items()}
-    bpe = CachedBpe(public_tokenizers.path("byte_bpe_50k.json"))
-    sizes = {i: len(bpe.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows.items()}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows.items()}
     got, lanes = defaultdict(list), defaultdict(int)
     for r in corpus_pipeline.run(spark, SF).collect():
         got[r.doc_id].append((r.start, r.length))

@@ -1,5 +1,7 @@
+import random
 from collections import defaultdict
 
+import pytest
 import xxhash
 
 from oddsmith.llm import simhash
@@ -17,7 +19,7 @@ def brute_fingerprint(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(rows):
+def brute_components(rows, bits=2):
     ids = list(range(len(rows)))
 
     def root(i):
@@ -27,7 +29,7 @@ def brute_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= 2:
+            if (rows[i][1] ^ rows[j][1]).bit_count() <= bits:
                 ids[root(i)] = root(j)
     least = defaultdict(list)
     for i, (doc, _) in enumerate(rows):
@@ -52,6 +54,30 @@ def test_chain_of_links_and_sign_bit(spark):
     assert {(r.u, r.v) for r in links} == near
 
 
+def test_other_radii(spark):
+    rng = random.Random(5)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [x ^ sum(1 << b for b in rng.sample(range(64), n)) for x in fps for n in (1, 2, 3, 4, 5)] + [0, 7, 15, 31]
+    signed = sorted({x - (1 << 64) if x >> 63 else x for x in fps})
+    links = [(r.u, r.v) for r in simhash.ball_links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), 4).collect()]
+    root = dict(brute_components([(x, x % 2**64) for x in signed], 4))
+    joined = {x: x for x in signed}
+
+    def own(x):
+        while joined[x] != x:
+            x = joined[x]
+        return x
+
+    for u, v in links:
+        assert ((u ^ v) & (2**64 - 1)).bit_count() <= 4
+        a, b = sorted((own(u), own(v)))
+        joined[b] = a
+    assert {x: own(x) for x in signed} == root
+    for bits in (1, 3):
+        with pytest.raises(ValueError):
+            simhash.ball_links(spark.createDataFrame([(0,), (7,)], "fp bigint"), bits)
+
+
 def test_drop_keeps_one_and_all_columns(spark):
     docs = spark.createDataFrame([(3, "a b c d", "x", 1), (1, "A b c d", "y", 2), (2, "other words stay here", "z", 3), (None, None, None, 4)], "doc_id long, text string, fp string, component_id int")
     kept = simhash.drop_near_duplicates(docs)

@@ -19,6 +19,14 @@ def test_arc_versions_and_gzip():
     assert warc.warc_date("20010203040506") == "2001-02-03T04:05:06Z" and warc.warc_date("2001") == "2001-01-01T00:00:00Z"
 
 
+def test_only_the_first_record_is_a_version_block():
+    page = warc.arc_record(1, "filedesc://x", b"HTTP/1.1 200 OK\r\n\r\nx", "20010203040506", content_type="text/plain")
+    got = list(warc.parse_arc(warc.arc_version_block(1) + page))
+    assert [warc.warc_type(r) for r in got] == ["warcinfo", "response"]
+    page = warc.arc_record(1, "filedesc://x", b"HTTP/1.1 200 OK\r\n\r\nx", "20010203040506")
+    assert [warc.warc_type(r) for r in warc.parse_arc(page)] == ["response"]
+
+
 @pytest.mark.parametrize("bad", [b"http://a 0.0.0.0 20010101000000 text/html 9\nshort", b"http://a 0 text/html 0\n\n", b"no end", b"a b c d x\n"])
 def test_damaged_archives_are_errors(bad):
     with pytest.raises(ValueError):
@@ -43,7 +51,7 @@ def expected(rows):
 def test_pages_there_and_back(spark, version):
     rows = [(r.page_id, r.url, r.html, "x") for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
     big = "ü" * 500
-    rows += [(901, "http://a b", big, None), (905, None, big, None), (903, "", big, "z"), (905, None, big, None), (None, "u", big, None), (906, "s", "ü" * 499, None), (907, "s", "ü" * 499, None), (908, None, None, None), (909, "v", "", None), (910, "w\r\nWARC/1.1", "WARC/1.1\r\n\r\n" * 200000, None)]
+    rows += [(901, "http://a b", big, None), (905, None, big, None), (903, "", big, "z"), (905, None, big, None), (None, "u", big, None), (906, "s", "ü" * 499, None), (907, "s", "ü" * 499, None), (908, None, None, None), (909, "v", "", None), (910, "w\r\nWARC/1.1", "WARC/1.1\r\n\r\n" * 200000, None), (911, "filedesc://x", "a page", None), (912, "filedesc:", None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
     got = warc.convert_pages(pages, common.fresh_path(spark, "warc"), version).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.kind, r.refers_to) for r in got), key=str) == expected(rows)
