@@ -27,7 +27,7 @@ def op1_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    found = decontaminate.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -35,7 +35,7 @@ def op2_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
 
 
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.media_digests(table(spark, sf_dir, "documents"))
+    return audio.media_digests(audio.stored(table(spark, sf_dir, "documents")))
 
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,11 +61,46 @@ def test_hysteresis(e):
     assert audio.hysteresis(np.array(e), 0.5, -0.5) == brute_hysteresis(e, 0.5, -0.5)
 
 
+def brute_feature(payload):
+    """The feature string and spans of a payload by plain formulas over the whole recording."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    taps = audio._low_pass(2)
+    x = np.convolve(np.pad(x, 16), taps, "same")[16 : 16 + len(x)][::2]
+    n = max(1, int(np.ceil((len(x) - 200) / 80)) + 1)
+    x = np.pad(x, (0, max(0, 200 + (n - 1) * 80 - len(x))))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(200) / 200)
+    mel = np.log(np.abs(np.fft.rfft(np.array([x[80 * i : 80 * i + 200] * window for i in range(n)]), 256)) ** 2 @ audio.mel_filters(8000).T + 1e-6)
+    energy = mel.mean(axis=1)
+    spans = brute_hysteresis(energy - energy.mean(), audio.ON, audio.OFF)
+    inside = np.concatenate([mel[a:b] for a, b in spans]) if spans else np.zeros((0, 24))
+    shown = lambda v: ",".join(f"{y + 0.0:.2f}" for y in v)
+    tensors = sum(-(-min(audio._BLOCK, b - s) // 32) for a, b in spans for s in range(a, b, audio._BLOCK))
+    text = f"frames={n};segments={len(spans)};tensors={tensors};active={len(inside) / n:.4f};mel={shown(mel.mean(axis=0))};active_mel={shown(inside.mean(axis=0)) if len(inside) else ''}"
+    return text, [(a * 80 / 8000, ((b - 1) * 80 + 200) / 8000) for a, b in spans]
+
+
+def test_blocks_equal_the_whole(monkeypatch):
+    rng, f = np.random.default_rng(3), audio.Features()
+    for size in (576, 5760, 57600):
+        payload = rng.integers(0, 256, size, np.uint8).tobytes()
+        whole = f.log_mel(payload)
+        kept = audio.Recording(payload, f)
+        monkeypatch.setattr(audio, "_BLOCK", 32)
+        parts = np.concatenate([b for _, b in f.blocks(payload)])
+        assert np.allclose(whole, parts, atol=1e-9)
+        again = audio.Recording(payload, f)
+        assert again.spans == kept.spans and [t[:3] for t in again.tensors()] == [t[:3] for t in kept.tensors()]
+        assert all(np.allclose(a[3], b[3]) for a, b in zip(again.tensors(), kept.tensors(), strict=True))
+        monkeypatch.undo()
+
+
 def test_tables(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "é" * 300, None), (3, "é" * 300, "y"), (None, "loud and quiet " * 40 + "\0" * 3000, "z"), (5, "long text " * 60000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, media string")
-    found = {(r.doc_id, r.n_bytes): r for r in audio.media_digests(docs).collect()}
-    assert audio.media_digests(docs).count() == 6 and len(found) == 5
+    media = audio.stored(docs)
+    rows_found = audio.media_digests(media).collect()
+    found = {(r.doc_id, r.n_bytes): r for r in rows_found}
+    assert len(rows_found) == 6 and len(found) == 5
     for doc, text, _ in rows:
         data = (text or "").encode()
         r = found[doc, len(data)]
@@ -73,12 +108,16 @@ def test_tables(spark):
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r.media_bytes == len(payload) + 44 and r.media_sha256 == hashlib.sha256(audio.to_wav(payload)).hexdigest()
     assert found[1, 0].feature == found[2, 0].feature and len({r.feature for r in found.values()}) == 4
-    tensors = audio.segment_tensors(audio.media_column(docs))
+    for r in found.values():
+        assert (r.feature, [tuple(x) for x in r.spans]) == brute_feature(audio.payload_of(dict(((d, len((t or "").encode())), (t or "").encode()) for d, t, _ in rows)[r.doc_id, r.n_bytes]))
+    tensors = audio.segment_tensors(media)
     table = audio.as_fixed_shape(tensors.toArrow())
     assert table.num_rows > 0 and table["log_mel"].chunk(0).to_numpy_ndarray().shape[1:] == (audio.FRAMES, audio.MELS)
     for r in tensors.collect():
         assert 0 <= r.start_s < r.end_s and 1 <= r.n_frames <= audio.FRAMES and len(r.log_mel) == audio.FRAMES * audio.MELS
-    assert audio.media_digests(docs.limit(0)).count() == 0
+    assert len({(r.doc_id, r.part) for r in tensors.collect() if r.doc_id == 5}) == int(found[5, 600000].feature.split("tensors=")[1].split(";")[0])
+    assert audio.media_digests(audio.stored(docs.limit(0))).count() == 0
+    assert audio.segment_tensors(media.where("doc_id = 1").withColumn("media", media.media.substr(1, 0).cast("binary")).where("media is null")).count() == 0
 
 
 def test_every_sample_is_in_a_frame():
