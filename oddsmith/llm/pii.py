@@ -18,8 +18,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from oddsmith.llm.common import small_batches
+from oddsmith.llm.common import materialize, small_batches
 
 ROUNDS = 8
 #: Given names that stay within their gender, and titles that tell it.
@@ -33,13 +34,13 @@ TITLES = {
 #: Vowels and consonants of the scripts whose names are respelled; other letters move within their Unicode block.
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 
-_NUMBER_START = re.compile(r"[+(]?\d")
+_NUMBER_START = re.compile(r"[+(]?[0-9]")
 _NUMBER = re.compile(
-    r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<card>\d{4}(?P<s>[ -]?)\d{4}(?P=s)\d{4}(?P=s)\d{4}(?:\d{1,3})?(?!\w)|\d{4}[ -]\d{6}[ -]\d{5}(?!\w)|3[47]\d{13}(?!\w))"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
-    r"|\+(?:[2-9]\d{0,2})[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w))"
+    r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
+    r"|(?P<card>[0-9]{4}(?P<s>[ -]?)[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{4}(?:[0-9]{1,3})?(?!\w)|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?!\w)|3[47][0-9]{13}(?!\w))"
+    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
+    r"|(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)"
+    r"|\+(?:[2-9][0-9]{0,2})[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?!\w))"
 )
 _LOCAL = re.compile(r"[\w.+%-]{1,64}\Z")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}")
@@ -50,6 +51,26 @@ _SECRET = re.compile(r"\s*[\"']?([^\s\"',;<>]{6,})")
 _TITLE = re.compile("(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\.?[  ](?=[^\W\d_])")
 _NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _PART = re.compile(r"[^\W\d_]+")
+#: Verbs of people, which make the two capitalised words before them a name; labels whose value is a name.
+VERBS = (
+    "said", "says", "wrote", "writes", "told", "asked", "replied", "explained", "added", "met", "called", "lives", "lived",
+    "sagte", "sagt", "schrieb", "fragte", "erklärte", "dijo", "dice", "escribió", "preguntó", "disse", "scrisse",
+    "сказал", "сказала", "написал", "написала", "спросил", "спросила",
+)
+LABELS = ("name", "full name", "first name", "last name", "contact", "author", "patient", "customer", "client", "signed", "nombre", "nom", "autor", "auteur", "имя")
+#: Capitalised words at the head of a sentence that begin no name.
+HEADS = (
+    "the", "a", "an", "this", "that", "these", "those", "in", "on", "at", "by", "for", "from", "of", "to", "and", "but", "or", "if", "when", "as", "my", "our", "your",
+    "his", "her", "its", "their", "he", "she", "it", "we", "they", "you", "i", "who", "what", "no", "all", "some", "der", "die", "das", "ein", "eine", "und", "le", "la",
+    "les", "un", "une", "el", "los", "las", "una", "et", "y",
+)
+_VERB = re.compile(r"(?<=[  ])(?:" + "|".join(VERBS) + r")(?!\w)")
+_BEFORE_VERB = re.compile(r"(?<![^\s\"'“„«(\[—–-])([^\W\d_]+(?:['’-][^\W\d_]+)*)[  ]([^\W\d_]+(?:['’-][^\W\d_]+)*)[  ]\Z")
+_LABEL = re.compile(r"(?i:(?<!\w)(?:" + "|".join(LABELS) + r"))[  ]?:[  ]*(?=[^\W\d_])")
+_GIVEN = re.compile(r"(?<!\w)(?:" + "|".join(n.capitalize() for n in MALE + FEMALE) + r")(?![\w])")
+_SYMBOLS = frozenset("!@#$%^&*+=~|")
+#: Country calling codes of one and of two digits; all others have three.
+CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _POSSESSIVE = re.compile("['’][sS]$")
 
 
@@ -108,11 +129,57 @@ def _mentions(text: str, genders: dict[str, str]) -> Iterator[Entity]:
                 yield Entity("name", m.start() + i, m.start() + j, word[i:j].lower(), genders[word[i:j].lower()])
 
 
+def _secretive(value: str) -> bool:
+    """Whether a value after a keyword looks like a secret and not like a word: digits, mixed case, symbols, or great length."""
+    bare = value.rstrip(".!?:)]}")
+    mixed = any(c.islower() for c in bare) and any(c.isupper() for c in bare[1:])
+    return len(bare) >= 6 and (mixed or len(bare) >= 24 or any(c.isdigit() or c in _SYMBOLS for c in bare))
+
+
+def country_code(digits: str) -> int:
+    """Digits of the country's calling code of an international number."""
+    return 1 if digits[:1] in CODES else 2 if digits[:2] in CODES else 3
+
+
+def _run(text: str, at: int) -> list[tuple[int, int, str]]:
+    """(start, end, word) of the capitalised words from `at` on, single spaces between them; a possessive ends the run."""
+    out = []
+    while (word := _NAME.match(text, at)) and _named(word.group()):
+        shown = _POSSESSIVE.sub("", word.group())
+        out.append((word.start(), word.start() + len(shown), shown))
+        at = word.end() + 1
+        if shown != word.group() or text[word.end() : at] not in (" ", " "):
+            break
+    return out
+
+
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, word, gender) of names by context: after a title or a label, from a listed given name on, before a verb of people."""
+    found = []
+    for m in _TITLE.finditer(text):
+        if not text[m.start() - 1 : m.start()].isalnum():
+            found += [(*w, TITLES[m.group().rstrip(" . ")]) for w in _run(text, m.end())]
+    for m in _LABEL.finditer(text):
+        words = _run(text, m.end())
+        found += [(*w, "n") for w in words] if 2 <= len(words) <= 4 else []
+    for m in _GIVEN.finditer(text):
+        gender = "m" if m.group().lower() in MALE else "f"
+        own = _run(text, m.start()) if not text[m.end() : m.end() + 1] in ("'", "’", "-") else [(m.start(), m.end(), m.group())]
+        found += [(*w, gender) for w in own if w[2].lower() not in HEADS]
+    for m in _VERB.finditer(text):
+        pair = _BEFORE_VERB.search(text[max(0, m.start() - 160) : m.start()])
+        if pair and all(_named(pair.group(i)) and pair.group(i)[1:].islower() for i in (1, 2)) and pair.group(1).lower() not in HEADS:
+            shift = max(0, m.start() - 160)
+            found += [(shift + pair.start(i), shift + pair.end(i), pair.group(i), "n") for i in (1, 2)]
+    return found
+
+
 def find_entities(text: str) -> list[Entity]:
     """Entities in order, without overlaps; of two that overlap the one that begins first (then the longer) counts.
 
-    Kinds: email, phone, ip, card, ssn, iban, secret (cloud keys and values after a password or token keyword), name
-    (the capitalised words after a title, and every further capitalised mention of such a word in the text). Each search starts at a rare character, so long texts cost one scan per kind.
+    Kinds: email, phone, ip, card, ssn, iban, secret (cloud keys, and values after a password or token keyword that do
+    not look like words), name (see _names, and every further capitalised mention of such a word in the text). Each
+    search starts at a rare string, so long texts cost one scan per kind.
     """
     found = list(_numbers(text))
     at = text.find("@")
@@ -126,22 +193,14 @@ def find_entities(text: str) -> list[Entity]:
     for mark in "=:":
         at = text.find(mark)
         while at >= 0:
-            if _KEYWORD.search(text, max(0, at - 24), at) and (m := _SECRET.match(text, at + 1)):
+            if _KEYWORD.search(text, max(0, at - 24), at) and (m := _SECRET.match(text, at + 1)) and _secretive(m.group(1)):
                 found.append(Entity("secret", m.start(1), m.end(1), m.group(1)))
                 at = m.end(1) - 1
             at = text.find(mark, at + 1)
     genders: dict[str, str] = {}
-    for m in _TITLE.finditer(text):
-        if text[m.start() - 1 : m.start()].isalnum():
-            continue
-        at, gender = m.end(), TITLES[m.group().rstrip(" . ")]
-        while (word := _NAME.match(text, at)) and _named(word.group()):
-            shown = _POSSESSIVE.sub("", word.group())
-            found.append(Entity("name", word.start(), word.start() + len(shown), shown.lower(), gender))
-            genders[shown.lower()] = gender
-            at = word.end() + 1
-            if shown != word.group() or text[word.end() : at] not in (" ", " "):
-                break
+    for start, end, word, gender in _names(text):
+        found.append(Entity("name", start, end, word.lower(), gender))
+        genders[word.lower()] = gender
     if genders:
         found += _mentions(text, genders)
     kept: list[Entity] = []
@@ -211,8 +270,8 @@ class Surrogates:
             body = canonical[0] + self.respelled(canonical[1:-1], ["0123456789"] * (len(canonical) - 2), f"card\0{off}\0{canonical[0]}")
             return body + str((luhn(body + "0") - off) % 10)
         if kind == "phone":
-            country = 1 if canonical[0] == "1" and len(canonical) == 11 else min(2, len(canonical) - 5)
-            spots = {country, country + 3} if country == 1 and len(canonical) == 11 else set()
+            country = min(country_code(canonical), len(canonical) - 4)
+            spots = {1, 4} if canonical[0] == "1" and len(canonical) == 11 else set()
             sets = ["" if i < country else ("23456789" if canonical[i] in "23456789" else "01") if i in spots else "0123456789" for i in range(len(canonical))]
             return self.respelled(canonical, sets, f"phone\0{canonical[:country]}")
         if kind == "email":
@@ -265,7 +324,8 @@ def in_format(shown: str, surrogate: str) -> str:
     return "".join(next(own) if c.isalnum() else c for c in shown)
 
 
-def pseudonymize(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[tuple[Entity, str]]]:
+def pseudonymize(text: str | None, surrogates: Surrogates) -> tuple[str | None, list[tuple[Entity, str, str]]]:
+    """The text with surrogates, and each entity with its surrogate as shown and in canonical form."""
     if not text:
         return text, []
     out, at, found = [], 0, []
@@ -273,65 +333,75 @@ def pseudonymize(text: str | None, surrogates: Surrogates) -> tuple[str | None,
         shown = text[e.start : e.end]
         made = surrogates.of(e.kind, e.canonical, e.gender)
         new = made if e.kind == "ip" else in_format(shown, made)
-        found.append((e, new))
+        found.append((e, new, made))
         out += [text[at : e.start], new]
         at = e.end
     return ("".join([*out, text[at:]]) if found else text), found
 
 
-SPANS = "array<struct<kind:string,start:bigint,end:bigint,canonical_sha256:string,surrogate:string>>"
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,canonical_sha256:string,surrogate_sha256:string,surrogate:string>>"
 
 
-def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, entities) for every row, with surrogates in place of entities; places are characters of the old text.
+def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str = "entities") -> DataFrame:
+    """docs with surrogates in the text, and spans_col: the entities, by characters of the old text.
 
-    Null stays null, empty stays empty; repeated rows and entities get the same surrogates; other columns are dropped.
-    The values themselves are not returned, only a keyed digest of each canonical value.
+    Values are not returned, only a keyed digest of each canonical value and of each canonical surrogate. Null and empty
+    texts stay as they are and have no entities.
     """
+    at = docs.columns.index(text_col)
 
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = Surrogates(key)
-        span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("canonical_sha256", pa.string()), ("surrogate", pa.string())])
+        names = ("kind", "start", "end", "canonical_sha256", "surrogate_sha256", "surrogate")
+        span = pa.list_(pa.struct([(n, pa.int64() if n in ("start", "end") else pa.string()) for n in names]))
+        digest = lru_cache(1 << 16)(lambda kind, value: hmac.new(key, f"{kind}\0{value}".encode(), hashlib.sha256).hexdigest())
         for batch in batches:
-            for part in small_batches(batch, 1):
-                out = [pseudonymize(t, own) for t in part.column(1).to_pylist()]
-                digest = lambda e: hmac.new(key, f"{e.kind}\0{e.canonical}".encode(), hashlib.sha256).hexdigest()
-                spans = [[{"kind": e.kind, "start": e.start, "end": e.end, "canonical_sha256": digest(e), "surrogate": s} for e, s in found] for _, found in out]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t for t, _ in out], pa.string()), pa.array(spans, pa.list_(span))], names=["doc_id", "text", "entities"])
+            for part in small_batches(batch, at):
+                out = [pseudonymize(t, own) for t in part.column(at).to_pylist()]
+                spans = [[dict(zip(names, (e.kind, e.start, e.end, digest(e.kind, e.canonical), digest(e.kind, made), new), strict=True)) for e, new, made in found] for _, found in out]
+                part = part.set_column(at, part.schema.field(at), pa.array([t for t, _ in out], part.column(at).type))
+                yield part.append_column(spans_col, pa.array(spans, span))
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, entities {SPANS}")
+    return docs.mapInArrow(each, T.StructType([*docs.schema, T.StructField(spans_col, T.DataType.fromDDL(SPANS))]))
 
 
-def collisions(surrogated: DataFrame) -> DataFrame:
-    """(kind, surrogate) that two different entities share, over all rows of surrogate_texts: empty if distinctness holds.
+def collisions(surrogated: DataFrame, spans_col: str = "entities") -> DataFrame:
+    """(kind, surrogate_sha256) that two different entities share, over all rows of with_surrogates: empty if distinctness holds.
 
-    Surrogates are compared without separators and case; the sums are partial before the shuffle, so a frequent entity is no hot group.
+    Values and surrogates are compared in canonical form, so shown forms of one phone number are one. Minima and maxima
+    are partial before the shuffle, so a frequent entity is no hot group.
     """
-    one = surrogated.select(F.explode("entities").alias("e")).select("e.kind", F.lower(F.regexp_replace("e.surrogate", r"[ ().-]", "")).alias("surrogate"), "e.canonical_sha256")
-    one = one.where("kind <> 'ip' and kind <> 'email' and kind <> 'phone'").union(
-        surrogated.select(F.explode("entities").alias("e")).where("e.kind in ('ip', 'email')").select("e.kind", F.lower("e.surrogate"), "e.canonical_sha256")
-    )
-    both = one.groupBy("kind", "surrogate").agg(F.min("canonical_sha256").alias("a"), F.max("canonical_sha256").alias("b"))
-    return both.where("a <> b").select("kind", "surrogate")
+    one = surrogated.select(F.explode(spans_col).alias("e")).select("e.kind", "e.surrogate_sha256", "e.canonical_sha256")
+    both = one.groupBy("kind", "surrogate_sha256").agg(F.min("canonical_sha256").alias("a"), F.max("canonical_sha256").alias("b"))
+    return both.where("a <> b").select("kind", "surrogate_sha256")
 
 
-def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """docs with surrogates in the text and all other columns as they are, but for the length in characters."""
-    at = docs.columns.index(text_col)
+def checked(surrogated: DataFrame, spans_col: str = "entities") -> DataFrame:
+    """The rows of with_surrogates, written and read back, once no two entities share a surrogate; otherwise an error."""
+    rows = materialize(surrogated, "surrogates")
+    if shared := collisions(rows, spans_col).count():
+        raise ValueError(f"{shared} surrogates stand for more than one entity")
+    return rows
 
-    def each(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        own = Surrogates(key)
-        for batch in batches:
-            for part in small_batches(batch, at):
-                texts = [pseudonymize(t, own)[0] for t in part.column(at).to_pylist()]
-                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.column(at).type))
+def surrogate_texts(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, entities) for every row, checked for collisions over all rows.
+
+    Null stays null, empty stays empty; repeated rows and entities get the same surrogates; an empty table gives an empty
+    result; other columns are dropped.
+    """
+    return checked(with_surrogates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), key))
+
 
-    out = docs.mapInArrow(each, docs.schema)
+def replace_personal_data(docs: DataFrame, key: bytes, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with surrogates in the text, checked for collisions, and all other columns as they are, but for the length in characters.
+
+    Null and empty texts stay as they are; repeated rows stay and equal texts stay equal; a null length stays null; an
+    empty table gives an empty result.
+    """
+    out = checked(with_surrogates(docs, key, text_col, "__entities"), "__entities").drop("__entities")
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(F.col(length_col).isNotNull(), F.length(text_col)).cast(kind))

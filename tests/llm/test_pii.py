@@ -1,8 +1,10 @@
 import re
 from itertools import product
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from oddsmith.llm import pii
 
@@ -16,7 +18,7 @@ TEXT = (
 
 def test_kinds_formats_and_coreference():
     out, found = pii.pseudonymize(TEXT, S)
-    shown = [(e.kind, TEXT[e.start : e.end], s) for e, s in found]
+    shown = [(e.kind, TEXT[e.start : e.end], s) for e, s, _ in found]
     kinds = [k for k, _, _ in shown]
     assert kinds == ["email"] * 2 + ["phone"] * 2 + ["card", "ip"] + ["secret"] * 3 + ["card", "ssn", "iban"] + ["name"] * 6
     for kind, old, new in shown:
@@ -46,7 +48,7 @@ def test_permutations_are_complete_and_move_everything():
 @given(st.text(st.sampled_from("aB1.@+(): -=_MrŞß漢\n"), max_size=60))
 def test_any_text(text):
     out, found = pii.pseudonymize(text, S)
-    assert sum(len(text[e.start : e.end]) for e, _ in found) - sum(len(s) for _, s in found) == len(text) - len(out)
+    assert sum(len(text[e.start : e.end]) for e, _, _ in found) - sum(len(s) for _, s, _ in found) == len(text) - len(out)
 
 
 def test_tables(spark):
@@ -74,7 +76,7 @@ def test_tables(spark):
 def test_further_mentions_and_long_values():
     text = "Mr John Ronald Reuel Tolkien Smith met John Smith. Smith's dog and SMITH-Jones; a smith stayed. O'Smithson too."
     out, found = pii.pseudonymize(text, S)
-    shown = [(text[e.start : e.end], new) for e, new in found]
+    shown = [(text[e.start : e.end], new) for e, new, _ in found]
     assert [old for old, _ in shown] == ["John", "Ronald", "Reuel", "Tolkien", "Smith", "John", "Smith", "Smith", "SMITH"]
     assert len({new.lower() for old, new in shown if old.lower() == "smith"}) == 1 and len({new for old, new in shown if old == "John"}) == 1
     assert "Smith " not in out and "SMITH" not in out and "a smith stayed" in out and "O'Smithson" in out
@@ -82,3 +84,35 @@ def test_further_mentions_and_long_values():
     token = "".join(chr(97 + i * 7 % 26) + str(i % 10) for i in range(400))
     out, found = pii.pseudonymize(f"token = {token} end", S)
     assert len(found) == 1 and len(out) == len(token) + 12 and not any(token[i : i + 12] in out for i in range(0, 788, 4))
+
+
+def test_names_by_context_and_their_mentions():
+    text = "Mr. John Smith met us. Smith said he would call. Angela Merkel wrote to Bob. John Smith left. Contact: Ada Lovelace; the Merkel plan. The Board said no. New rules, says it."
+    out, found = pii.pseudonymize(text, S)
+    shown = [text[e.start : e.end] for e, _, _ in found]
+    assert shown == ["John", "Smith", "Smith", "Angela", "Merkel", "John", "Smith", "Ada", "Lovelace", "Merkel"]
+    assert not any(w in out for w in ("Smith", "John", "Merkel", "Angela", "Lovelace")) and "The Board said no. New rules, says it." in out
+
+
+def test_words_are_no_secrets():
+    text = "the token: economy, password: required. secret=long-term token: Economy. api_key: see_below"
+    assert pii.pseudonymize(text, S)[0] == text
+    for value in ("hunter2", "aBcDeF", "qwer!ty", "x" * 24, "eyJhbGciOi.J9abc"):
+        assert len(pii.pseudonymize(f"password: {value}", S)[1]) == 1
+
+
+def test_country_codes_stay():
+    for number, keep in (("+7 912 345 6789", "+7 "), ("+49 30 1234567", "+49 "), ("+351 21 123 4567", "+351 "), ("+1 415-555-0199", "+1 ")):
+        (entity, new, _), *more = pii.pseudonymize(f"call {number} now", S)[1]
+        assert not more and entity.kind == "phone" and new.startswith(keep) and new != number
+    assert pii.pseudonymize("٣٣٣-٣٣٣-٣٣٣٣ and ٤٥٣٩ ١٤٨٨ ٠٣٤٣ ٦٤٦٧", S)[0] == "٣٣٣-٣٣٣-٣٣٣٣ and ٤٥٣٩ ١٤٨٨ ٠٣٤٣ ٦٤٦٧"
+
+
+def test_a_collision_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "625-555-7196 and +1 (625) 555-7196, 626-555-7196")], "doc_id long, text string")
+    made = pii.surrogate_texts(docs, S.key)
+    assert [len({e[c] for e in made.first().entities}) for c in ("canonical_sha256", "surrogate_sha256")] == [2, 2]
+    entities = made.select("doc_id", "text", F.transform("entities", lambda e: e.withField("surrogate_sha256", F.lit("one"))).alias("entities"))
+    assert pii.collisions(entities).count() == 1
+    with pytest.raises(ValueError):
+        pii.checked(entities)
