@@ -101,3 +101,39 @@ def articles(d: Spark) -> str:
     return f"""articles AS (
   SELECT doc_id AS id, doc_id * 60000 AS published, source, lang, trim({first}) AS title, text AS body
   FROM documents WHERE text IS NOT NULL AND length(trim({first})) > 0)"""
+
+
+#: What the derived headlines say: who, what, and of what; eight documents in a row report one story.
+SUBJECTS = (
+    "Bitcoin", "Federal Reserve", "Nvidia", "U.S. Treasury", "the SEC", "Manchester City", "crude oil", "Tesla and Apple", "BTCUSDT", "bitcoin ETF inflows", "USA", "Fed officials",
+    "European Union", "chipmakers", "Ethereum", "Premier League", "Senate", "gold prices", "barça", "OpenAI", "quiet corner",
+)
+VERBS = (
+    "surges sharply", "did not crash", "warns of losses", "slightly gains", "isn’t bankrupt", "plunges", "holds talks", "denies any fraud", "beats estimates", "massively outperforms",
+    "faces lawsuit", "wins approval", "never halts trading",
+)
+TAILS = (
+    "as Bitcoin miners expand", "after interest rates decision", "amid recession fears", "in Tokyo", "while the Fed and the ECB wait", "on strong growth", "over tariffs", "without panic",
+    "as Apple suppliers in China delay plans",
+)
+CLASSES = ("OFFICIAL", "PRIMARY_SOURCE", "HIGH_RELIABILITY", "ESTABLISHED_MEDIA", "SECONDARY", "SOCIAL", "UNVERIFIED")
+NEWS_CATEGORIES = ("markets", "business", "crypto", "world", "tech", "sports", "other")
+
+
+def headlines(d: Spark) -> str:
+    """Every article under a headline of known words and its own first words: (id, published, source, class, category, lead, title, cluster).
+
+    Eight articles in a row carry one lead; a cluster is the articles of one lead within 48 hours, under its least id.
+    """
+    pick = lambda items, i: d.at(d.array(*(d.lit(x) for x in items)), f"CAST({i} % {len(items)} + 1 AS INT)")
+    own = d.regex_one("title", "^([^ ]+ [^ ]+ [^ ]+)")
+    return f"""{articles(d)},
+told AS (SELECT *, CAST(floor(id / 8e0) AS BIGINT) AS k FROM articles),
+led AS (
+  SELECT id, published, source, {pick(CLASSES, "ascii(substr(coalesce(source, 'x'), length(coalesce(source, 'x')), 1))")} AS class, {pick(NEWS_CATEGORIES, "k")} AS category,
+    concat({pick(SUBJECTS, "k")}, ' ', {pick(VERBS, "CAST(floor(k / 3e0) AS BIGINT)")}, ' ', {pick(TAILS, "CAST(floor(k / 7e0) AS BIGINT)")}) AS lead, {own} AS own
+  FROM told),
+headlines AS (
+  SELECT id, published, source, class, category, lead, concat(lead, CASE WHEN id % 4 = 0 THEN ' ' ELSE ': ' END, own) AS title,
+    min(id) OVER (PARTITION BY lead, CAST(floor(published / 172800000e0) AS BIGINT)) AS cluster
+  FROM led)"""

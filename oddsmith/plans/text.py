@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
+from oddsmith.functions import lexicons as L
 from oddsmith.functions.dialect import Spark
 from oddsmith.plans import relations as R
 
-STOPWORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "is", "are", "was", "were", "be", "by", "at", "it", "as", "with", "that", "this", "from", "der", "die", "das", "und", "la", "le", "les", "de", "que", "el", "en")
-#: Importance weights of news by class of source, prior of a category, weight of an entity.
-RELIABILITY = {"OFFICIAL": "1e0", "PRIMARY": "0.97e0", "EXCHANGE": "0.92e0", "REPUTABLE": "0.85e0", "SECONDARY": "0.65e0", "SOCIAL": "0.35e0", "UNVERIFIED": "0.15e0"}
-CATEGORY_PRIOR = {"markets": "0.9e0", "business": "0.85e0", "crypto": "0.85e0", "world": "0.8e0", "tech": "0.7e0", "sports": "0.55e0"}
-
-_HEADLINES = """headlines AS (SELECT * FROM (VALUES
-  (1, 'Bitcoin surges as Fed signals rate cut', 'OFFICIAL', 'crypto', 0), (2, 'Bitcoin surges as Fed signals cut to rates', 'SECONDARY', 'crypto', 40), (3, 'Stocks did not crash despite very weak earnings', 'REPUTABLE', 'business', 90),
-  (4, 'Nvidia posts strong growth and record profit', 'PRIMARY', 'tech', 130), (5, 'Rumour: exchange hacked, massive losses feared', 'SOCIAL', 'crypto', 200), (6, 'Bitcoin rally fades, extremely bearish outlook', 'REPUTABLE', 'crypto', 260),
-  (7, 'Lakers win again', 'SECONDARY', 'sports', 300), (8, 'Fed holds interest rates; inflation not falling', 'OFFICIAL', 'markets', 360), (9, 'Quiet day', 'UNVERIFIED', 'world', 400), (10, 'Ethereum upgrade a success, strong gains', 'REPUTABLE', 'crypto', 460)
-) AS t(id, title, class, category, minute))"""
-_ALIASES = """aliases AS (SELECT * FROM (VALUES ('btc', 'asset', 0.95e0, '\\bbitcoin\\b|\\bbtc\\b'), ('fed', 'macro', 1e0, '\\bfed\\b|\\bfederal reserve\\b'), ('nvidia', 'company', 0.85e0, '\\bnvidia\\b'), ('eth', 'asset', 0.85e0, '\\bethereum\\b'),
-  ('interest-rates', 'macro', 0.95e0, '\\binterest rates?\\b|\\brate cut\\b'), ('lakers', 'team', 0.35e0, '\\blakers\\b'), ('cpi', 'macro', 0.95e0, '\\binflation\\b|\\bcpi\\b')) AS t(entity, kind, weight, pattern))"""
-_LEXICON = """lexicon AS (SELECT * FROM (VALUES ('surges', 3e0), ('rally', 2e0), ('strong', 2e0), ('growth', 2e0), ('record', 2e0), ('profit', 2e0), ('gains', 2e0), ('success', 2e0), ('win', 1e0), ('crash', -3e0), ('weak', -2e0), ('hacked', -3e0), ('losses', -2e0), ('feared', -2e0), ('bearish', -2e0), ('fades', -1e0), ('falling', -1e0)) AS t(word, score)),
-boosts AS (SELECT * FROM (VALUES ('very', 1.3e0), ('extremely', 1.6e0), ('massive', 1.4e0)) AS t(word, factor)), negators AS (SELECT * FROM (VALUES ('not'), ('no'), ('never'), ('without')) AS t(word))"""
-
-
 def tokens(d: Spark, text: str) -> str:
     """Lower-case runs of letters and digits, joined by single dots or hyphens, of two characters and more, without stopwords."""
-    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
+    stop = ", ".join(f"'{w}'" for w in L.STOPWORDS)
     plain = d.replace_all(f"lower({text})", "['’]", "")
     return d.filter(d.regex_all(plain, "[a-z0-9]+(?:[-.][a-z0-9]+)*"), "w", f"length(w) >= 2 AND w NOT IN ({stop})")
 
 
-def positions(d: Spark, source: str, tok: str) -> str:
-    """SELECT with one row per token and its place."""
-    if d.name == "duckdb":
-        return f"SELECT id, unnest({tok}) AS w, unnest(generate_series(1, len({tok}))) AS pos FROM {source}"
-    return f"SELECT id, w, pos + 1 AS pos FROM {source} LATERAL VIEW posexplode({tok}) t AS pos, w"
-
-
 def fnv1a(d: Spark, s: str) -> str:
     """32-bit FNV-1a over the characters of ASCII text, as BIGINT."""
     chars = d.filter(f"string_split({s}, '')" if d.name == "duckdb" else f"split({s}, '')", "c", "c <> ''")
@@ -45,7 +23,6 @@ def fnv1a(d: Spark, s: str) -> str:
 def plans(d: Spark) -> dict[str, str]:
     art = R.articles(d)
     head_tokens = tokens(d, "title")
-    aliases = _ALIASES if d.name == "duckdb" else _ALIASES.replace("\\b", "\\\\b")
     tags = d.replace_all(d.replace_all("html", "<[^>]*>", " "), "&nbsp;", " ")
     decoded = tags
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
@@ -59,41 +36,22 @@ def plans(d: Spark) -> dict[str, str]:
     tfidf = f"""{art}, tk AS (SELECT id, published, {head_tokens} AS tok FROM articles), fl AS (SELECT id, {d.unnest("tok")} AS w FROM tk), tf AS (SELECT id, w, CAST(count(*) AS DOUBLE) AS tf FROM fl GROUP BY id, w),
 nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM articles), idf AS (SELECT w, ln((min(nd.n) + 1e0) / (count(*) + 1e0)) + 1e0 AS idf FROM tf CROSS JOIN nd GROUP BY w),
 vec AS (SELECT tf.id, tf.w, tf.tf * idf.idf / sqrt(sum(power(tf.tf * idf.idf, 2)) OVER (PARTITION BY tf.id)) AS x FROM tf JOIN idf ON idf.w = tf.w)"""
-    senti = f"""{_HEADLINES}, {_LEXICON}, tk AS (SELECT id, {d.regex_all("lower(title)", "[a-z]+")} AS tok FROM headlines), pos AS ({positions(d, "tk", "tok")}),
-hits AS (SELECT p.id, p.pos, l.score FROM pos p JOIN lexicon l ON l.word = p.w),
-neg AS (SELECT h.id, h.pos, count(n.word) AS n FROM hits h LEFT JOIN pos p ON p.id = h.id AND p.pos BETWEEN h.pos - 3 AND h.pos - 1 LEFT JOIN negators n ON n.word = p.w GROUP BY h.id, h.pos),
-boost AS (SELECT h.id, h.pos, max_by(b.factor, p.pos) AS factor FROM hits h JOIN pos p ON p.id = h.id AND p.pos BETWEEN h.pos - 2 AND h.pos - 1 JOIN boosts b ON b.word = p.w GROUP BY h.id, h.pos),
-val AS (SELECT h.id, h.score * coalesce(b.factor, 1e0) * CASE WHEN n.n > 0 THEN -1e0 ELSE 1e0 END AS v FROM hits h JOIN neg n ON n.id = h.id AND n.pos = h.pos LEFT JOIN boost b ON b.id = h.id AND b.pos = h.pos)"""
-    ents = f"""{_HEADLINES}, {aliases}, ent AS (SELECT h.id, a.entity, a.kind, a.weight, {d.size(d.regex_all("lower(h.title)", "@").replace(d.lit("@"), "a.pattern"))} AS n FROM headlines h CROSS JOIN aliases a)"""
-    prior = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in CATEGORY_PRIOR.items()) + " ELSE 0.6e0 END"
-    rel = "CASE class " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RELIABILITY.items()) + " ELSE 0.15e0 END"
     dot = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))" if d.name == "duckdb" else "aggregate(zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0e0, (s, x) -> s + x)"
     norm = lambda t: dot.replace("b.embedding", f"{t}.embedding").replace("a.embedding", f"{t}.embedding")
     return {
         "text_strip_html": f"SELECT page_id, md5({plain}) AS digest, CAST(length({plain}) AS BIGINT) AS n FROM pages",
-        "text_tokenize": f"WITH {art} SELECT id, {d.size(tokens(d, 'title'))} AS n, {d.join(tokens(d, 'title'), ' ')} AS tokens FROM articles WHERE lang = 'en'",
+        "text_tokenize": f"WITH {art} SELECT id, {d.size(tokens(d, 'title'))} AS n, {d.join(tokens(d, 'title'), ' ')} AS tokens FROM articles",
         "text_canonical_url": f"SELECT page_id, {canonical} AS url FROM pages",
         "text_fnv1a": f"SELECT page_id, {fnv1a(d, canonical)} AS hash FROM pages",
-        "text_fingerprint": f"WITH {art} SELECT id, md5({d.join(d.sort(d.distinct(tokens(d, 'title'))), ' ')}) AS fingerprint FROM articles WHERE lang = 'en'",
+        "text_fingerprint": f"WITH {art} SELECT id, md5({d.join(d.sort(d.distinct(tokens(d, 'title'))), ' ')}) AS fingerprint FROM articles",
         "text_normalize_article": f"WITH {art} SELECT id, title, CASE WHEN length(body) <= length(title) + 40 THEN NULL ELSE md5(body) END AS summary FROM articles WHERE length(trim(title)) > 0",
         "text_dedupe": f"""WITH {art}, f AS (SELECT id, published, md5(body) AS url_hash, {d.sort(d.distinct(tokens(d, "title")))} AS tk FROM articles), a AS (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY published DESC, id DESC) AS r1 FROM f),
 b AS (SELECT id, published, {d.size("tk")} AS n, {d.join("tk", " ")} AS print FROM a WHERE r1 = 1), c AS (SELECT *, row_number() OVER (PARTITION BY print ORDER BY published DESC, id DESC) AS r2 FROM b)
 SELECT id, n FROM c WHERE r2 = 1 OR n < 3""",
         "text_latest_news": f"WITH {art}, u AS (SELECT *, row_number() OVER (PARTITION BY md5(body) ORDER BY published DESC, id DESC) AS r FROM articles) SELECT id, source FROM u WHERE r = 1 ORDER BY published DESC, id DESC LIMIT 40",
         "text_search": f"WITH {art} SELECT id FROM articles WHERE lower(concat(title, ' ', body)) LIKE '%thea%'",
-        "text_entities": f"WITH {ents} SELECT id, entity, kind, n FROM ent WHERE n > 0",
-        "text_sentiment": f"""WITH {senti} SELECT h.id, coalesce(least(greatest(CAST(floor(avg(v.v) * 25e0 + 0.5e0) AS BIGINT), -100), 100), 0) AS score, round(least(0.95e0, count(v.v) / (count(v.v) + 3e0)), 6) AS confidence FROM headlines h LEFT JOIN val v ON v.id = h.id GROUP BY h.id""",
-        "text_entity_sentiment": f"""WITH {senti}, mention AS (SELECT DISTINCT p.id, a.entity, p.pos FROM pos p JOIN (VALUES ('bitcoin', 'btc'), ('btc', 'btc'), ('fed', 'fed'), ('nvidia', 'nvidia'), ('ethereum', 'eth')) AS a(word, entity) ON a.word = p.w),
-near AS (SELECT DISTINCT m.entity, m.id, v.pos, v.v FROM mention m JOIN (SELECT h.id, h.pos, h.score * coalesce(b.factor, 1e0) * CASE WHEN n.n > 0 THEN -1e0 ELSE 1e0 END AS v FROM hits h JOIN neg n ON n.id = h.id AND n.pos = h.pos LEFT JOIN boost b ON b.id = h.id AND b.pos = h.pos) AS v ON v.id = m.id AND abs(v.pos - m.pos) <= 12)
-SELECT entity, count(*) AS hits, least(greatest(CAST(floor(avg(v) * 25e0 + 0.5e0) AS BIGINT), -100), 100) AS score, round(least(0.95e0, count(*) / (count(*) + 3e0)), 6) AS confidence FROM near GROUP BY entity""",
         "text_idf": f"WITH {tfidf} SELECT w, round(idf, 6) AS idf FROM idf",
         "text_tfidf_cosine": f"WITH {tfidf}, asked AS (SELECT id AS q FROM articles ORDER BY published DESC, id DESC LIMIT 100), qv AS (SELECT v.id, v.w, v.x FROM vec v JOIN asked ON asked.q = v.id) SELECT a.id AS a, b.id AS b, round(sum(a.x * b.x), 6) AS cosine FROM qv a JOIN vec b ON a.w = b.w AND a.id <> b.id GROUP BY a.id, b.id",
-        "text_importance": f"""WITH {ents}, e AS (SELECT id, max(CASE WHEN n > 0 THEN weight * CASE WHEN n = 1 THEN 0.8e0 ELSE 1e0 END ELSE 0e0 END) AS w FROM ent GROUP BY id),
-s AS (SELECT h.id, 100e0 * (0.20e0 * {rel} + 0.20e0 * e.w + 0.10e0 * {prior} + 0.12e0 + 0.14e0 * (1e0 / 3e0)) AS raw, h.class FROM headlines h JOIN e ON e.id = h.id)
-SELECT id, CASE WHEN class IN ('SOCIAL', 'UNVERIFIED') THEN least(35, CAST(floor(raw + 0.5e0) AS BIGINT)) ELSE CAST(floor(raw + 0.5e0) AS BIGINT) END AS importance FROM s""",
-        "text_breaking": f"""WITH {_HEADLINES}, c AS (SELECT category, count(DISTINCT class) AS sources, min(minute) AS first_seen, 480 AS now_min, bool_or(class NOT IN ('SOCIAL', 'UNVERIFIED')) AS verified FROM headlines GROUP BY category)
-SELECT category, verified AND sources / greatest(1e0, (now_min - first_seen) / 60e0) >= 0.4e0 AND sources >= 3 AS breaking, round(sources / greatest(1e0, (now_min - first_seen) / 60e0), 6) AS velocity FROM c""",
-        "text_board_order": f"WITH {_HEADLINES} SELECT category, max_by(title, {rel} * 10000e0 - minute) AS headline, count(*) AS n, max(minute) AS latest FROM headlines GROUP BY category",
         "embedding_cosine_knn": f"""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT a.vec_id AS q, b.vec_id AS v, {dot} / sqrt({norm("a")} * {norm("b")}) AS cos FROM q a JOIN embeddings b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cos, 9) DESC, v) AS rk FROM s) SELECT q, v, CAST(rk AS BIGINT) AS rk, round(cos, 6) AS cosine FROM r WHERE rk <= 5""",
         "json_extract": f"SELECT event_id, {d.json_text('props', 'k')} AS k FROM events",
@@ -111,10 +69,10 @@ SELECT count(CASE WHEN p > 0.52e0 THEN 1 END) AS bullish, count(CASE WHEN p < 0.
         "briefing_watch_next": f"""WITH {R.games(d)}, x AS (SELECT game_id, kickoff, CAST(game_id % 50 + 30 AS DOUBLE) / 100e0 AS top_p, CAST(game_id % 20 + 10 AS DOUBLE) / 100e0 AS next_p FROM games)
 SELECT game_id, round(top_p - next_p, 6) AS margin FROM x WHERE kickoff > 852076800000 AND kickoff <= 852076800000 + 72 * 3600000 AND round(top_p - next_p, 9) > 0.15e0 ORDER BY round(top_p - next_p, 9) DESC, game_id LIMIT 5""",
         "briefing_risk_flags": """SELECT 'stale' AS flag, count(*) AS n FROM events WHERE event_id % 4000 > 1800 UNION ALL SELECT 'low confidence', count(*) FROM orders WHERE o_orderkey % 89 + 5 < 35 UNION ALL SELECT 'demo', count(*) FROM orders WHERE o_orderkey % 11 = 0 UNION ALL SELECT 'standing caveat', 1""",
-        "briefing_report": f"""WITH {_HEADLINES}, lines AS (
-  SELECT 1 AS ord, 'news' AS section, concat(CAST(count(*) AS VARCHAR(10)), ' stories, ', CAST(count(CASE WHEN class = 'OFFICIAL' THEN 1 END) AS VARCHAR(10)), ' official') AS line FROM headlines WHERE class <> 'UNVERIFIED'
-  UNION ALL SELECT 2, 'markets', concat(CAST(count(*) AS VARCHAR(10)), ' parts priced') FROM part
-  UNION ALL SELECT 3, 'fixtures', concat(CAST(count(*) AS VARCHAR(10)), ' orders in play') FROM orders WHERE o_orderstatus = 'P'
+        "briefing_report": f"""WITH {R.headlines(d)}, lines AS (
+  SELECT 1 AS ord, 'news' AS section, concat(CAST(count(DISTINCT cluster) AS VARCHAR(20)), ' stories, ', CAST(count(DISTINCT CASE WHEN class = 'OFFICIAL' THEN cluster END) AS VARCHAR(20)), ' official') AS line FROM headlines WHERE class <> 'UNVERIFIED'
+  UNION ALL SELECT 2, 'markets', concat(CAST(count(*) AS VARCHAR(20)), ' parts priced') FROM part
+  UNION ALL SELECT 3, 'fixtures', concat(CAST(count(*) AS VARCHAR(20)), ' orders in play') FROM orders WHERE o_orderstatus = 'P'
   UNION ALL SELECT 4, 'risk', 'probabilities are estimates, not advice')
 SELECT CAST(ord AS BIGINT) AS ord, section, line FROM lines""",
         "briefing_hedge_phrases": "SELECT event_id, CASE WHEN c < 0.35e0 THEN 'weak' WHEN c <= 0.6e0 THEN 'moderate' ELSE 'strong' END AS tier, CASE WHEN c >= 0.6e0 THEN 'clearly up' WHEN c >= 0.52e0 THEN 'leaning up' WHEN c > 0.48e0 THEN 'balanced' WHEN c > 0.4e0 THEN 'leaning down' ELSE 'clearly down' END AS phrase FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) / 100e0 AS c FROM events) AS x",
