@@ -19,8 +19,9 @@ from oddsmith.llm.common import broadcast_if_small, crc, materialize, small_batc
 from oddsmith.llm.tokens import CachedBpe
 
 CAPACITY = 1024
-#: Ranks are taken within (length, bucket); a length has as many buckets as keep about this many pieces in each.
+#: Ranks are taken within (length, bucket); a length has as many buckets as keep about this many pieces in each, and up to SPREAD in any case.
 BUCKET_PIECES = 250_000
+SPREAD = 64
 _HASHES = 1 << 20
 #: The linear program ends when it is this close to its bound.
 GAP = 0.0005
@@ -204,10 +205,11 @@ def pack(
     spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(_HASHES))
     pieces = materialize(pieces.withColumn("spread", spread), "pieces")
     demand = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    buckets = [min(_HASHES, -(-demand.get(n, 0) // BUCKET_PIECES)) for n in range(capacity + 1)]
+    pieces_of = [demand.get(n, 0) for n in range(capacity + 1)]
+    buckets = [min(_HASHES, max(-(-n // BUCKET_PIECES), min(SPREAD, -(-n // SPREAD)))) for n in pieces_of]
     own_buckets = F.split(F.lit(",".join(map(str, buckets))), ",")[F.col("length").cast("int")].cast("long")
     pieces = pieces.withColumn("bucket", F.floor(F.col("spread") * own_buckets / _HASHES).cast("long")).drop("spread")
-    # one row per BUCKET_PIECES pieces and capacity rows besides
+    # one row per BUCKET_PIECES pieces and SPREAD * capacity rows besides
     counts = materialize(pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
     spans, used, sequence = [], Counter(), 0
     for pattern, times in whole_patterns(demand, capacity):
