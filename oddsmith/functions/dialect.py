@@ -102,6 +102,16 @@ class Spark:
     def month_start(self, ts: str) -> str:
         return f"CAST(date_trunc('MONTH', {ts}) AS TIMESTAMP_NTZ)"
 
+    def from_hex(self, digits: str) -> str:
+        return f"CAST(conv({digits}, 16, 10) AS BIGINT)"
+
+    def char(self, code: str) -> str:
+        """The character of a code point; nothing for numbers that are none."""
+        return f"CASE WHEN {code} BETWEEN 1 AND 1114111 AND NOT {code} BETWEEN 55296 AND 57343 THEN decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32') ELSE '' END"
+
+    def base36(self, n: str) -> str:
+        return f"lower(conv({n}, 10, 36))"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -195,5 +205,15 @@ class Duck(Spark):
     def month_start(self, ts: str) -> str:
         return f"CAST(date_trunc('month', {ts}) AS TIMESTAMP)"
 
+    def from_hex(self, digits: str) -> str:
+        return f"coalesce(TRY_CAST(concat('0x', {digits}) AS BIGINT), -1)"
+
+    def char(self, code: str) -> str:
+        return f"CASE WHEN {code} BETWEEN 1 AND 1114111 AND NOT {code} BETWEEN 55296 AND 57343 THEN chr(CAST({code} AS INT)) ELSE '' END"
+
+    def base36(self, n: str) -> str:
+        digits = f"list_transform(generate_series(6, 0, -1), lambda e: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(({n} // CAST(power(36, e) AS BIGINT)) % 36 AS INT) + 1, 1))"
+        return f"coalesce(nullif(ltrim(array_to_string({digits}, ''), '0'), ''), '0')"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -90,3 +90,33 @@ def link_groups(links: DataFrame) -> DataFrame:
         if jump.join(label, "id").where(jump["root"] != label["root"]).isEmpty():
             return jump
         label = jump
+
+
+def title_links(titles: DataFrame, above: float = 0.6) -> DataFrame:
+    """(a, b, jaccard), a < b: pairs of token sets of titles(id, tokens) whose similarity is above the bound, each set under its least id.
+
+    Prefix filtering: with the rarest tokens first, two sets beyond the bound share one of the first
+    n - ceil(above * n) + 1 tokens of each, so that common words make no candidates. Empty sets link to nothing.
+    """
+    sets = titles.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("id")).withColumn("n", F.size("tokens"))
+    words = sets.select("id", "n", F.explode("tokens").alias("w"))
+    frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
+    head = words.join(frequency, "w").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(above * F.col("n")) + 1)
+    one, two = (head.select("w", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = one.join(two, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > above * F.greatest("na", "nb"))).select("a", "b").distinct()
+    one, two = (sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    both = F.size(F.array_intersect("ta", "tb"))
+    scored = pairs.join(one, "a").join(two, "b").withColumn("jaccard", both / (F.size("ta") + F.size("tb") - both))
+    return scored.where(F.col("jaccard") > above).select("a", "b", "jaccard")
+
+
+def title_groups(titles: DataFrame, above: float = 0.6) -> DataFrame:
+    """(id, root, event_key, event_title) of titles(id, title, tokens) in groups of two and more: linked titles, and those of equal token sets.
+
+    The shortest title of a group, the least id at ties, names it; its sorted tokens are the key.
+    """
+    own = titles.where(F.size("tokens") > 0).join(titles.groupBy("tokens").agg(F.min("id").alias("first")), "tokens")
+    rooted = own.join(link_groups(title_links(titles, above)).withColumnRenamed("id", "first"), "first", "left").withColumn("root", F.coalesce("root", "first"))
+    groups = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.length("title").alias("size"), "id", "title", "tokens")).alias("best")).where("n > 1")
+    return rooted.join(groups, "root").select("id", "root", F.array_join("best.tokens", "-").alias("event_key"), F.col("best.title").alias("event_title"))

@@ -186,39 +186,41 @@ def value_area(bins: DataFrame, share: float = 0.7) -> DataFrame:
 
 
 def breakouts(bars: DataFrame, levels: DataFrame) -> DataFrame:
-    """(asset, kind, level, strength): the last close beyond a level that three earlier closes respected, or a pierced level that held.
+    """(asset, kind, level, is_support, strength): the last bar against each level that the three closes before did not pass.
 
-    kind is breakout, rejection or none; a breakout on thin volume (under 1.5 times the mean of the 20 bars before) is none at
-    four tenths of its strength. Assets with fewer than five bars or without levels have no row.
+    kind is breakout (a close beyond it, upwards), breakdown (downwards), rejection (it was pierced and held) or none: a
+    break on thin volume, under 1.5 times the mean of the 20 bars before. The strongest level counts, the first at ties.
+    Without any such level the kind is none with no strength; assets with fewer than five bars or without levels have no row.
     """
 
     def each(key, pdf, lev):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("rn")
-        out = []
-        n = len(pdf)
+        pdf, out, n = pdf.sort_values("rn"), [], len(pdf)
         if n >= 5 and len(lev):
             h, low, c, v = (pdf[k].to_numpy(float) for k in ("h", "l", "c", "v"))
-            period = min(14, max(2, n // 3))
-            move = atr(h, low, c, period)[-1]
-            move = c[-1] * 0.005 if not np.isfinite(move) or move <= 0 else move
+            scale = atr(h, low, c, min(14, max(2, n // 3)))[-1]
+            scale = scale if np.isfinite(scale) and scale > 0 else c[-1] * 0.005
             usual = v[-21:-1].mean()
             ratio = v[-1] / usual if usual > 0 else 0.0
-            for r in lev.itertuples():
-                before, up = c[-4:-1], r.level
-                for side in (1, -1):
-                    if not (side * (up - before) > 0).all():
-                        continue
-                    past = side * (c[-1] - up)
-                    pierced = side * ((h[-1] if side > 0 else low[-1]) - up)
-                    score = lambda d: 0.35 * r.strength + 0.35 * min(1.0, ratio / 3) + 0.30 * min(1.0, max(0.0, d) / move)  # noqa: B023, E731
-                    if past > up * 0.001:
-                        out.append(("breakout" if ratio >= 1.5 else "none", up, score(past) * (1.0 if ratio >= 1.5 else 0.4)))
-                    elif pierced > 0 and past <= 0:
-                        out.append(("rejection", up, score(pierced)))
-        best = sorted(out, key=lambda x: (-x[2], x[1]))[:1]
-        return pd.DataFrame([(key[0], *b) for b in best], columns=["asset", "kind", "level", "strength"])
-
-    return bars.select("asset", "rn", "h", "l", "c", "v").groupBy("asset").cogroup(levels.select("asset", "level", "strength").groupBy("asset")).applyInPandas(each, "asset string, kind string, level double, strength double")
+            for level, strength, support in zip(lev["level"], lev["strength"], lev["is_support"], strict=True):
+                under, over = (c[-4:-1] <= level).all(), (c[-4:-1] >= level).all()
+                if under and c[-1] > level * 1.001:
+                    kind = "breakout"
+                elif over and c[-1] < level * 0.999:
+                    kind = "breakdown"
+                elif (under and h[-1] > level >= c[-1]) or (over and low[-1] < level <= c[-1]):
+                    kind = "rejection"
+                else:
+                    continue
+                reach = abs((h[-1] if kind == "rejection" else c[-1]) - level) / scale
+                score = 0.35 * strength + 0.35 * min(1.0, ratio / 3) + 0.30 * min(1.0, reach)
+                thin = ratio < 1.5 and kind != "rejection"
+                out.append(("none" if thin else kind, level, bool(support), score * (0.4 if thin else 1.0)))
+            out.append(("none", None, None, 0.0))
+        best = sorted(out, key=lambda x: -x[3])[:1]
+        return pd.DataFrame([(key[0], *b) for b in best], columns=["asset", "kind", "level", "is_support", "strength"])
+
+    sides = levels.select("asset", "level", "strength", "is_support").groupBy("asset")
+    return bars.select("asset", "rn", "h", "l", "c", "v").groupBy("asset").cogroup(sides).applyInPandas(each, "asset string, kind string, level double, is_support boolean, strength double")

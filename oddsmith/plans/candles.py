@@ -87,14 +87,12 @@ v AS (SELECT g.asset, g.bin, sum(CASE WHEN x.h = x.l THEN CASE WHEN x.l >= g.b0
     ELSE x.v * greatest(0e0, least(x.h, g.b1) - greatest(x.l, g.b0)) / nullif(x.h - x.l, 0e0) END) AS volume, min(g.b0 + g.w / 2e0) AS mid
   FROM g JOIN bars x ON x.asset = g.asset AND x.h >= g.b0 AND x.l <= g.b1 GROUP BY g.asset, g.bin)
 SELECT asset, CAST(bin AS BIGINT) AS bin, round(mid, 6) AS mid, round(volume, 5) AS volume FROM v""",
-        "structure_consolidation": f"""WITH {bars}, {tr}, s AS (SELECT asset, rn, sum(tr) OVER {frame(20)} AS path, max(h) OVER {frame(20)} - min(l) OVER {frame(20)} AS span FROM tr)
-SELECT asset, rn, round(0.5e0 * least(greatest(({P.safe_div("path", "span", "1e0")} - 1e0) / 3e0, 0e0), 1e0), 6) AS path_part FROM s WHERE rn >= 21""",
         "orderflow_imbalance": f"""WITH {book}, {depth("0.005")} SELECT m.book_id, round(m.mid, 6) AS mid, round((m.ask - m.bid) / m.mid * 10000e0, 6) AS spread_bps,
   round(CASE WHEN coalesce(n.bids + n.asks, 0e0) = 0e0 THEN 0e0 ELSE (n.bids - n.asks) / nullif(n.bids + n.asks, 0e0) END, 6) AS imbalance FROM mids m LEFT JOIN near n ON n.book_id = m.book_id""",
         "orderflow_walls": f"""WITH {book}, close_levels AS (SELECT b.book_id, b.side, b.price, b.qty, abs(b.price - m.mid) / m.mid AS dist FROM book b JOIN mids m ON m.book_id = b.book_id WHERE abs(b.price - m.mid) <= m.mid * 0.05e0),
 med AS (SELECT book_id, side, {d.quantile("qty", 0.5)} AS med, count(*) AS n FROM close_levels GROUP BY book_id, side)
 SELECT l.book_id, l.side, l.price, round(l.qty / m.med, 6) AS multiple, CAST(row_number() OVER (PARTITION BY l.book_id, l.side ORDER BY l.dist, l.price) AS BIGINT) AS nearest
-FROM close_levels l JOIN med m ON m.book_id = l.book_id AND m.side = l.side WHERE m.n >= 5 AND l.qty >= 1.5e0 * m.med""",
+FROM close_levels l JOIN med m ON m.book_id = l.book_id AND m.side = l.side WHERE m.n >= 5 AND l.qty >= 5e0 * m.med""",
         "orderflow_depth_score": f"""WITH {book}, {depth("0.01")} SELECT m.book_id, round(CASE WHEN coalesce(n.bids, 0e0) = 0e0 OR coalesce(n.asks, 0e0) = 0e0 THEN 0e0 ELSE
   0.35e0 * exp(-((m.ask - m.bid) / m.mid * 10000e0) / 10e0) + 0.3e0 * least(1e0, n.n / 40e0) + 0.2e0 * (1e0 - abs(n.bids - n.asks) / nullif(n.bids + n.asks, 0e0)) + 0.15e0 * (1e0 - n.largest / nullif(n.bids + n.asks, 0e0)) END, 6) AS depth_score
 FROM mids m LEFT JOIN near n ON n.book_id = m.book_id""",

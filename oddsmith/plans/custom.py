@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmith.functions.dialect import DUCK, SPARK
-from oddsmith.operators import clusters, features, folds, learning, matches, ratings, store
+from oddsmith.operators import clusters, features, folds, learning, matches, ratings, store, volatility
+from oddsmith.operators.orderflow import book_features
 from oddsmith.plans import candles, markets, relations, sports
 from oddsmith.plans import text as texts
 from oddsmith.streaming import candles as streams
@@ -32,9 +33,12 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared one; a temporary folder only where none is configured, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{found.rstrip('/')}/oddsmith-{label}-{uuid.uuid4().hex}"
+    """A fresh folder under the one that driver and executors share; in local runs without one, under a temporary folder."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None)
+    if not found and not conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(found or tempfile.gettempdir()).rstrip('/')}/oddsmith-{label}-{uuid.uuid4().hex}"
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -82,16 +86,48 @@ def sports_match_ensemble(spark, sf_dir):
     return _rounded(matches.pooled(outcomes), 4)
 
 
+def _features(spark, sf_dir):
+    trends = _sql(spark, sf_dir, candles.plans(SPARK)["structure_trend"])
+    book = _sql(spark, sf_dir, f"WITH {relations.asset_books(SPARK)} SELECT * FROM asset_books")
+    return features.feature_vector(bars(spark, sf_dir), trends, book, _sql(spark, sf_dir, f"WITH {relations.derivatives(SPARK)} SELECT * FROM derivatives"))
+
+
 def candle_features(spark, sf_dir):
-    return _rounded(features.feature_vector(bars(spark, sf_dir)))
+    return _rounded(_features(spark, sf_dir))
 
 
 def candle_models(spark, sf_dir):
-    return _rounded(features.model_outputs(features.feature_vector(bars(spark, sf_dir))))
+    found = features.model_outputs(_features(spark, sf_dir))
+    return _rounded(found.select("asset", "model", "p", "confidence", "abstained", F.size("parts").cast("bigint").alias("terms"), F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["contribution"]).alias("tilt")))
 
 
 def candle_predict(spark, sf_dir):
-    return _rounded(features.predict(features.feature_vector(bars(spark, sf_dir))))
+    """Skills of the models, data quality and the calibration curve come from the predictions that have come true."""
+    skills = _sql(spark, sf_dir, "SELECT CAST(NULL AS STRING) AS model, CAST(NULL AS DOUBLE) AS skill WHERE false")
+    graded = _sql(spark, sf_dir, "SELECT event_type AS asset, 100e0 * avg(CASE WHEN value IS NULL THEN 0e0 ELSE 1e0 END) AS score FROM events GROUP BY event_type")
+    observed = _observations(spark, sf_dir).where("domain = 'F'").select(F.lit("candles").alias("domain"), "p", "y")
+    curve = learning.isotonic_fit(observed).select("x", "y")
+    return _rounded(features.predict(_features(spark, sf_dir), skills, graded, curve))
+
+
+def vol_atr_regime(spark, sf_dir):
+    rows = volatility.regimes(folds.recursive_indicators(bars(spark, sf_dir)).select("asset", "rn", "atr14"))
+    return _rounded(rows.where("atr_percentile is not null").select("asset", "rn", "atr_percentile", "vol_regime"))
+
+
+def vol_forecast(spark, sf_dir):
+    own = bars(spark, sf_dir)
+    indicators = folds.recursive_indicators(own)
+    one, day = (volatility.forecasts(own, indicators, h).withColumn("horizon", F.lit(h).cast("bigint")) for h in (1, 24))
+    return _rounded(one.union(day))
+
+
+def structure_consolidation(spark, sf_dir):
+    return _rounded(features.consolidation(bars(spark, sf_dir)))
+
+
+def orderflow_book_features(spark, sf_dir):
+    return _rounded(book_features(_sql(spark, sf_dir, f"WITH {relations.asset_books(SPARK)} SELECT * FROM asset_books")))
 
 
 def sports_elo_batch(spark, sf_dir):
@@ -145,10 +181,18 @@ def text_story_clusters(spark, sf_dir):
     return clusters.story_clusters(rows)
 
 
+def _titles(spark, sf_dir):
+    return _sql(spark, sf_dir, f"WITH {relations.titles(SPARK)} SELECT id, title, {markets.title_tokens(SPARK, 'title')} AS tokens FROM titles")
+
+
+def title_jaccard_links(spark, sf_dir):
+    return _rounded(clusters.title_links(_titles(spark, sf_dir), markets.LINK_ABOVE))
+
+
 def title_link_groups(spark, sf_dir):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(_scratch(spark, "links"))
-    return clusters.link_groups(_sql(spark, sf_dir, markets.plans(SPARK)["title_jaccard_links"]).select("a", "b"))
+    return clusters.title_groups(_titles(spark, sf_dir), markets.LINK_ABOVE)
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +222,9 @@ def stream_throttled(spark, sf_dir):
 
 REGISTERED = (
     ta_ema, ta_rsi, ta_atr, ta_macd_adx_stochrsi, vol_ewma, structure_levels, structure_value_area, structure_breakout, sports_match_ensemble, candle_features, candle_models, candle_predict,
+    vol_atr_regime, vol_forecast, structure_consolidation, orderflow_book_features,
     sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_features, learn_walk_forward, metric_isotonic_fit,
-    store_throttle, store_upsert, text_story_clusters, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
+    store_throttle, store_upsert, text_story_clusters, title_jaccard_links, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
 )
 
 
@@ -193,6 +238,9 @@ def oracle_sql() -> dict[str, str]:
     wilder = lambda name, x: f"""{name}_src AS (SELECT asset, rn, {x} AS x FROM step WHERE rn >= 2),
 {name} AS (SELECT asset, CAST(15 AS BIGINT) AS rn, avg(x) AS e FROM {name}_src WHERE rn <= 15 GROUP BY asset HAVING count(*) = 14
   UNION ALL SELECT s.asset, s.rn, s.x / 14e0 + r.e * 13e0 / 14e0 FROM {name} r JOIN {name}_src s ON s.asset = r.asset AND s.rn = r.rn + 1)"""
+    title_pairs = f"""WITH RECURSIVE {relations.titles(d)}, named_tokens AS (SELECT id, title, {markets.title_tokens(d, "title")} AS tk FROM titles),
+toks AS (SELECT *, min(id) OVER (PARTITION BY tk) AS first FROM named_tokens WHERE len(tk) > 0), sets AS (SELECT DISTINCT first AS id, tk FROM toks), flat AS (SELECT id, len(tk) AS n, unnest(tk) AS w FROM sets),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) / CAST(min(a.n) + min(b.n) - count(*) AS DOUBLE) AS j FROM flat a JOIN flat b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / CAST(min(a.n) + min(b.n) - count(*) AS DOUBLE) > 0.6)"""
     return {
         "ta_ema": f"WITH RECURSIVE {b}, {candles.ema_sql(12, 2 / 13)} SELECT asset, rn, round(e, 6) AS ema12 FROM rec",
         "ta_rsi": f"""WITH RECURSIVE {b}, {step}, {wilder("up", "greatest(s, 0e0)")}, {wilder("down", "greatest(-s, 0e0)")}
@@ -201,6 +249,41 @@ SELECT u.asset, u.rn, round(CASE WHEN u.e + d.e = 0e0 THEN 50e0 ELSE 100e0 * u.e
         "vol_ewma": f"""WITH RECURSIVE {b}, ret AS (SELECT asset, rn, ln(c / lag(c) OVER (PARTITION BY asset ORDER BY rn)) AS r FROM bars),
 rec AS (SELECT asset, CAST(2 AS BIGINT) AS rn, r * r AS s FROM ret WHERE rn = 2 UNION ALL SELECT n.asset, n.rn, 0.94e0 * x.s + 0.06e0 * p.r * p.r FROM rec x JOIN ret n ON n.asset = x.asset AND n.rn = x.rn + 1 JOIN ret p ON p.asset = x.asset AND p.rn = x.rn)
 SELECT asset, rn, round(sqrt(s), 6) AS ewma_vol FROM rec""",
+        "title_jaccard_links": f"""{title_pairs} SELECT a, b, round(j, 6) AS jaccard FROM pairs""",
+        "title_link_groups": f"""{title_pairs}, edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT a AS id, b AS other FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+rooted AS (SELECT t.id, t.title, t.tk, least(t.first, coalesce((SELECT min(other) FROM reach r WHERE r.id = t.first), t.first)) AS root FROM toks t),
+named AS (SELECT root, arg_min(title, [length(title), id]) AS event_title, arg_min(tk, [length(title), id]) AS tk FROM rooted GROUP BY root HAVING count(*) > 1)
+SELECT r.id, r.root, array_to_string(n.tk, '-') AS event_key, n.event_title FROM rooted r JOIN named n USING (root)""",
+        "vol_atr_regime": f"""WITH RECURSIVE {b}, {step}, {wilder("atr", "tr")},
+past AS (SELECT a.asset, a.rn, a.e, count(*) AS n, (sum(CASE WHEN b.e < a.e THEN 1e0 ELSE 0e0 END) + sum(CASE WHEN b.e = a.e THEN 0.5e0 ELSE 0e0 END)) / count(*) AS rank, median(b.e) AS middle
+  FROM atr a JOIN atr b ON b.asset = a.asset AND b.rn BETWEEN a.rn - 99 AND a.rn GROUP BY a.asset, a.rn, a.e),
+graded AS (SELECT *, CASE WHEN rank < 0.25e0 THEN 0 WHEN rank < 0.7e0 THEN 1 WHEN rank < 0.9e0 THEN 2 ELSE 3 END + CASE WHEN n >= 5 AND middle > 0 AND e / middle >= 1.75e0 THEN 1 ELSE 0 END AS level FROM past WHERE n >= 2)
+SELECT asset, rn, round(rank, 6) AS atr_percentile, ['low', 'normal', 'elevated', 'extreme'][least(level, 3) + 1] AS vol_regime FROM graded""",
+        "vol_forecast": f"""WITH RECURSIVE {b}, ret AS (SELECT asset, rn, ln(c / lag(c) OVER (PARTITION BY asset ORDER BY rn)) AS r FROM bars),
+rec AS (SELECT asset, CAST(2 AS BIGINT) AS rn, r * r AS s FROM ret WHERE rn = 2 UNION ALL SELECT n.asset, n.rn, 0.94e0 * x.s + 0.06e0 * p.r * p.r FROM rec x JOIN ret n ON n.asset = x.asset AND n.rn = x.rn + 1 JOIN ret p ON p.asset = x.asset AND p.rn = x.rn),
+e AS (SELECT asset, sqrt(arg_max(s, rn)) AS ewma FROM rec GROUP BY asset), size AS (SELECT asset, count(*) AS n FROM bars GROUP BY asset HAVING count(*) >= 30),
+g AS (SELECT b.asset, s.n, sqrt(greatest(0, avg(0.5e0 * power(ln(h / l), 2) - (2e0 * ln(2e0) - 1e0) * power(ln(c / o), 2)))) AS gk FROM bars b JOIN size s ON s.asset = b.asset
+  WHERE b.rn > s.n - least(20, greatest(2, s.n // 3)) GROUP BY b.asset, s.n),
+f AS (SELECT g.asset, h.horizon, (0.6e0 * ewma + 0.4e0 * gk) * sqrt(h.horizon) AS move, (0.55e0 * CASE WHEN greatest(ewma, gk) = 0 THEN 1e0 ELSE least(ewma, gk) / greatest(ewma, gk) END + 0.45e0 * least(1e0, n / 200e0)) / (1e0 + ln(1e0 + h.horizon) / 6e0) AS conf
+  FROM g JOIN e USING (asset) CROSS JOIN (VALUES (1), (24)) AS h(horizon))
+SELECT asset, round(move, 6) AS expected_move, round(-1.645e0 * move, 6) AS range_low, round(1.645e0 * move, 6) AS range_high, round(conf, 6) AS vol_confidence, CAST(horizon AS BIGINT) AS horizon FROM f""",
+        "structure_consolidation": f"""WITH {b}, x AS (SELECT asset, rn, greatest(h - l, coalesce(abs(h - lag(c) OVER w), 0), coalesce(abs(l - lag(c) OVER w), 0)) AS tr, h, l, c, count(*) OVER (PARTITION BY asset) AS n FROM bars WINDOW w AS (PARTITION BY asset ORDER BY rn)),
+last AS (SELECT asset, n, sum(tr) AS path, max(h) - min(l) AS span FROM x WHERE rn > n - 20 AND n >= 22 GROUP BY asset, n),
+band AS (SELECT asset, rn, CASE WHEN count(*) OVER w = 20 AND avg(c) OVER w > 0 THEN 4e0 * stddev_pop(c) OVER w / avg(c) OVER w END AS bw FROM x WINDOW w AS (PARTITION BY asset ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+now AS (SELECT asset, arg_max(bw, rn) AS bw FROM band GROUP BY asset), rank AS (SELECT b.asset, count(*) AS n, sum(CASE WHEN b.bw < w.bw THEN 1e0 WHEN b.bw = w.bw THEN 0.5e0 ELSE 0e0 END) / count(*) AS r FROM band b JOIN now w USING (asset) WHERE b.bw IS NOT NULL GROUP BY b.asset),
+p AS (SELECT l.asset, CASE WHEN span <= 0 THEN 1e0 ELSE least(1e0, greatest(0e0, (path / span - 1e0) / 3e0)) END AS part, r.n, r.r FROM last l LEFT JOIN rank r USING (asset))
+SELECT asset, round(0.5e0 * part + 0.5e0 * CASE WHEN coalesce(n, 0) < 3 THEN part ELSE 1e0 - r END, 6) AS consolidation FROM p""",
+        "orderflow_book_features": f"""WITH {relations.asset_books(d)}, m AS (SELECT asset, (max(price) FILTER (side = 'bid') + min(price) FILTER (side = 'ask')) / 2 AS mid, min(price) FILTER (side = 'ask') - max(price) FILTER (side = 'bid') AS gap FROM asset_books GROUP BY asset),
+x AS (SELECT b.*, m.mid, m.gap / m.mid * 10000 AS bps, abs(price - mid) / mid AS dist FROM asset_books b JOIN m USING (asset)),
+s AS (SELECT asset, coalesce(sum(qty) FILTER (side = 'bid' AND dist <= 0.005), 0) AS b0, coalesce(sum(qty) FILTER (side = 'ask' AND dist <= 0.005), 0) AS a0, coalesce(sum(qty) FILTER (side = 'bid' AND dist <= 0.01), 0) AS b1, coalesce(sum(qty) FILTER (side = 'ask' AND dist <= 0.01), 0) AS a1,
+  max(bps) AS bps, count(*) FILTER (dist <= 0.01 AND qty > 0) AS n, max(qty) FILTER (dist <= 0.01) AS largest FROM x GROUP BY asset),
+med AS (SELECT asset, side, median(qty) AS med FROM x WHERE dist <= 0.05 AND qty > 0 GROUP BY asset, side HAVING count(*) >= 5),
+w AS (SELECT x.asset, x.side, qty / med AS multiple, dist, row_number() OVER (PARTITION BY x.asset, x.side ORDER BY dist, price) AS r FROM x JOIN med USING (asset, side) WHERE dist <= 0.05 AND qty >= 5 * med)
+SELECT s.asset, round(CASE WHEN b0 + a0 = 0 THEN 0 ELSE (b0 - a0) / (b0 + a0) END, 6) AS book_imbalance,
+  round(CASE WHEN b1 > 0 AND a1 > 0 THEN 0.35 * exp(-bps / 10) + 0.3 * least(1, n / 40) + 0.2 * (1 - abs(b1 - a1) / (b1 + a1)) + 0.15 * (1 - largest / (b1 + a1)) ELSE 0 END, 6) AS book_depth,
+  round(wb.multiple, 6) AS bid_wall, round(wb.dist, 6) AS bid_wall_distance, round(wa.multiple, 6) AS ask_wall, round(wa.dist, 6) AS ask_wall_distance
+FROM s LEFT JOIN w wb ON wb.asset = s.asset AND wb.side = 'bid' AND wb.r = 1 LEFT JOIN w wa ON wa.asset = s.asset AND wa.side = 'ask' AND wa.r = 1""",
         "sports_elo_sum": f"""WITH {relations.games(d)}, t AS (SELECT league, home AS team FROM games UNION ALL SELECT league, away FROM games)
 SELECT league, 1500e0 * count(DISTINCT team) AS total, count(DISTINCT team) AS teams, count(*) AS sides FROM t GROUP BY league""",
         "store_upsert": """WITH r AS (SELECT o_custkey AS subject, o_orderstatus AS timeframe, o_orderkey AS id, o_orderdate AS generated_at, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END, o_orderkey DESC) AS n FROM orders)

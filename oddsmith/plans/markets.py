@@ -7,7 +7,11 @@ from oddsmith.functions.dialect import Spark
 from oddsmith.plans import relations as R
 
 #: Function words that titles are compared without.
-TITLE_STOPWORDS = ("the", "will", "in", "on", "by", "of", "to", "be", "or", "and", "at", "for", "is", "a", "an", "before", "after", "with", "from", "this", "that", "than", "have", "has", "do", "does", "it", "its")
+TITLE_STOPWORDS = (
+    "a", "an", "the", "will", "would", "be", "is", "are", "was", "were", "been", "to", "of", "in", "on", "at", "by", "for", "or", "and", "do", "does", "did", "it", "its", "this", "that", "than",
+)
+#: Fixed value: titles are linked above this similarity.
+LINK_ABOVE = 0.6
 #: Ordered keyword patterns of market categories, the first that matches counts.
 CATEGORIES = (
     ("crypto", "bitcoin|btc|ethereum|eth|solana|crypto"), ("sports", "nba|nfl|cup|league|match|championship"), ("politics", "election|president|senate|congress|minister"),
@@ -15,14 +19,9 @@ CATEGORIES = (
     ("weather", "hurricane|temperature|rain|snow"), ("science", "nasa|vaccine|launch|quantum"),
 )
 
-#: Titles for parsing and linking: (id, title, description).
-_TITLES = """titles AS (SELECT * FROM (VALUES
-  (1, 'Will Bitcoin be above $120k by December 31?', 'Resolves by CoinDesk price at https://x.test'), (2, 'Bitcoin above $120,000 on December 31', 'May be determined by the exchange'),
-  (3, 'Will BTC drop below $60,000 before July?', NULL), (4, 'Will Ethereum hit 5k or 6k?', 'In the sole discretion of the admin, or similar'),
-  (5, 'Will the Fed cut rates in September?', 'Official source: federalreserve.gov'), (6, 'Fed cuts rates in September 2026', 'a consensus of credible reporting'),
-  (7, 'Lakers win the NBA championship', 'Widely reported major result'), (8, 'Solana above $300 by March', 'Price from Binance Exchange'),
-  (9, 'Will it rain in Paris?', 'a significant amount'), (10, 'Hurricane landfall in Florida', 'National Hurricane Center'), (11, 'New movie tops box office', NULL), (12, 'Something else entirely', 'plain text')
-) AS t(id, title, description))"""
+
+#: Series of venue tickers, with and without a known underlying.
+TICKERS = ("KXBTCD", "KXETH", "SOLY", "KXDOGEMAXY", "FED", "BTC", "KXXRPH", "KXBTCMINY", "DOGEX", "KXNBA", "ETHMAX")
 
 
 def title_tokens(d: Spark, title: str) -> str:
@@ -53,8 +52,6 @@ opps AS (SELECT *, CASE WHEN spread >= abs(edge) THEN least(35e0, raw) ELSE raw
         "CASE WHEN demo THEN 'demo' ELSE '' END", "CASE WHEN abs(edge) < 0.04e0 THEN 'edge' ELSE '' END", "CASE WHEN conf < 0.45e0 THEN 'confidence' ELSE '' END", "CASE WHEN grade IN ('poor', 'illiquid') THEN 'liquidity' ELSE '' END",
         "CASE WHEN spread >= abs(edge) THEN 'spread' ELSE '' END", "CASE WHEN risk = 'high' AND abs(edge) < 0.10e0 THEN 'risk' ELSE '' END", "CASE WHEN total < 45e0 THEN 'score' ELSE '' END"), "x", "x <> ''")
     tokens = title_tokens(d, "title")
-    pairs = f"""{_TITLES}, toks AS (SELECT id, title, {tokens} AS tk FROM titles), flat AS (SELECT id, {d.size("tk")} AS n, {d.unnest("tk")} AS w FROM toks),
-links AS (SELECT a.id AS a, b.id AS b, count(*) / CAST(min(a.n) + min(b.n) - count(*) AS DOUBLE) AS j FROM flat a JOIN flat b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id)"""
     digital = lambda s, k, v, t: P.normal_cdf(f"(ln({s} / {k}) / ({v} * sqrt({t})))")
     categories = " ".join(f"WHEN {d.matches('lower(title)', p)} THEN '{c}'" for c, p in CATEGORIES)
     risk_text = "lower(coalesce(description, ''))"
@@ -63,17 +60,22 @@ links AS (SELECT a.id AS a, b.id AS b, count(*) / CAST(min(a.n) + min(b.n) - cou
         "market_binary_outcomes": f"WITH {quotes} SELECT market, venue, round(p, 6) AS yes, round(1e0 - p, 6) AS no, round(least(greatest(p - spread / 2e0, 0e0), 1e0), 6) AS bid, round(least(p + spread / 2e0, 1e0), 6) AS ask FROM quotes",
         "market_book_reflection": f"""WITH {book}, no_bids AS (SELECT book_id, round(qty / 1000e0, 4) AS size, CAST(CAST(round(price * 100) AS BIGINT) % 100 AS DOUBLE) / 100e0 AS p FROM book WHERE side = 'bid')
 SELECT book_id, round(1e0 - p, 4) AS yes_ask, sum(size) AS size, CAST(row_number() OVER (PARTITION BY book_id ORDER BY round(1e0 - p, 4)) AS BIGINT) AS best FROM no_bids GROUP BY book_id, round(1e0 - p, 4)""",
-        "market_category": f"WITH {_TITLES} SELECT id, CASE {categories} ELSE 'other' END AS category FROM titles",
-        "market_ticker_underlying": f"""WITH t AS (SELECT * FROM (VALUES ('KXBTCD-25DEC31'), ('KXETH-26'), ('SOLY-1'), ('KXDOGEMAXY-2'), ('FED-25')) AS x(ticker))
-SELECT ticker, {d.regex_one(d.at(d.split("ticker", "-"), 1), "^(?:KX)?(BTC|ETH|SOL|XRP|DOGE)(?:D|H|Y|MAXY?|MINY?)?$")} AS underlying FROM t""",
+        "market_category": f"WITH {R.titles(d)} SELECT id, CASE {categories} ELSE 'other' END AS category FROM titles",
+        "market_ticker_underlying": f"""WITH t AS (SELECT p_partkey AS id, concat({d.at(d.array(*(d.lit(x) for x in TICKERS)), f"CAST(p_partkey % {len(TICKERS)} + 1 AS INT)")}, '-', CAST(p_size AS VARCHAR(10)), 'DEC31') AS ticker FROM part)
+SELECT id, ticker, nullif({d.regex_one(d.at(d.split("ticker", "-"), 1), "^(?:KX)?(BTC|ETH|SOL|XRP|DOGE)(?:D|H|Y|MAXY?|MINY?)?$")}, '') AS underlying FROM t""",
         "market_status": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'settled' WHEN o_orderkey % 5 = 0 THEN 'closed' WHEN o_orderkey % 7 = 0 THEN 'suspended' WHEN o_orderkey % 2 = 0 THEN 'open' ELSE 'unknown' END AS status FROM orders",
         "liquidity_scores": f"WITH {quotes}, {liq} SELECT market, venue, round(s_spread, 5) AS spread_score, round(s_volume, 5) AS volume_score, round(score, 5) AS score, {grade} AS grade FROM graded",
-        "liquidity_depth": f"""WITH {book}, m AS (SELECT book_id, (max(CASE WHEN side = 'bid' THEN price END) + min(CASE WHEN side = 'ask' THEN price END)) / 2e0 AS mid FROM book GROUP BY book_id),
-z AS (SELECT b.book_id, sum(CASE WHEN abs(b.price - m.mid) <= 0.55e0 THEN qty ELSE 0e0 END) AS v FROM book b JOIN m ON m.book_id = b.book_id GROUP BY b.book_id) SELECT book_id, round({log_score("v", 1, 4)}, 5) AS depth FROM z""",
+        "liquidity_depth": f"""WITH {R.market_books(d)}, m AS (SELECT book_id, (max(CASE WHEN side = 'bid' THEN price END) + min(CASE WHEN side = 'ask' THEN price END)) / 2e0 AS mid FROM market_books GROUP BY book_id),
+z AS (SELECT b.book_id, sum(CASE WHEN abs(b.price - m.mid) <= 0.05e0 + 1e-9 THEN qty ELSE 0e0 END) AS v FROM market_books b JOIN m ON m.book_id = b.book_id GROUP BY b.book_id) SELECT book_id, round({log_score("v", 1, 4)}, 5) AS depth FROM z""",
+        "liquidity_composite": f"""WITH {quotes}, {liq}, {R.market_books(d)}, mid AS (SELECT book_id, (max(CASE WHEN side = 'bid' THEN price END) + min(CASE WHEN side = 'ask' THEN price END)) / 2e0 AS mid FROM market_books GROUP BY book_id),
+near AS (SELECT b.book_id, sum(CASE WHEN abs(b.price - m.mid) <= 0.05e0 + 1e-9 THEN qty ELSE 0e0 END) AS v FROM market_books b JOIN mid m ON m.book_id = b.book_id GROUP BY b.book_id),
+with_depth AS (SELECT g.market, g.venue, g.s_spread, g.s_volume, CASE WHEN g.market % 3 > 0 THEN {log_score("n.v", 1, 4)} END AS depth FROM graded g LEFT JOIN near n ON n.book_id = g.venue),
+final AS (SELECT market, venue, depth, CASE WHEN depth IS NULL THEN least(70e0, (0.45e0 * s_spread + 0.30e0 * s_volume) / 0.75e0) ELSE 0.45e0 * s_spread + 0.30e0 * s_volume + 0.25e0 * depth END AS score FROM with_depth)
+SELECT market, venue, round(depth, 5) AS depth, round(score, 5) AS score, {grade} AS grade FROM final""",
         "liquidity_slippage": f"""WITH {book}, a AS (SELECT book_id, price, qty, sum(price * qty) OVER (PARTITION BY book_id ORDER BY price ROWS UNBOUNDED PRECEDING) AS cum FROM book WHERE side = 'ask'),
 f AS (SELECT book_id, price, qty, least(greatest(20000e0 - (cum - price * qty), 0e0), price * qty) AS spent, cum FROM a)
 SELECT book_id, CASE WHEN max(cum) < 20000e0 THEN NULL ELSE round(greatest(0e0, 20000e0 / sum(spent / price) - min(price)), 6) END AS slippage FROM f GROUP BY book_id""",
-        "resolution_risk": f"""WITH {_TITLES}, s AS (SELECT id, CASE WHEN description IS NULL THEN 2 ELSE
+        "resolution_risk": f"""WITH {R.titles(d)}, s AS (SELECT id, CASE WHEN description IS NULL THEN 2 ELSE
     CASE WHEN {risk_text} LIKE '%in the sole discretion%' THEN 1 ELSE 0 END + CASE WHEN {risk_text} LIKE '%may be determined%' THEN 1 ELSE 0 END + CASE WHEN {risk_text} LIKE '%or similar%' THEN 1 ELSE 0 END + CASE WHEN {risk_text} LIKE '%consensus of%' THEN 1 ELSE 0 END
     + CASE WHEN {risk_text} LIKE '%official source%' AND NOT {sourced} THEN 1 ELSE 0 END + CASE WHEN NOT {sourced} THEN 1 ELSE 0 END
     + CASE WHEN {d.matches(risk_text, "\\bsignificant\\b")} THEN 1 ELSE 0 END + CASE WHEN {d.matches(risk_text, "\\bmajor\\b")} THEN 1 ELSE 0 END + CASE WHEN {d.matches(risk_text, "\\bwidely reported\\b")} THEN 1 ELSE 0 END END
@@ -86,7 +88,7 @@ SELECT id, points, CASE WHEN points = 0 THEN 'low' WHEN points <= 2 THEN 'medium
 SELECT market, venue, e, moved, signed_edge FROM top ORDER BY moved DESC, e DESC, market, venue LIMIT 100""",
         "opportunity_list_ending_soon": f"WITH {opp} SELECT market, venue, hours FROM opps ORDER BY hours ASC NULLS LAST, market, venue LIMIT 100",
         "opportunity_list_risk": f"WITH {opp} SELECT market, venue, risk, news FROM opps ORDER BY CASE risk WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, news, market, venue LIMIT 100",
-        "threshold_parse": f"""WITH {_TITLES}, t AS (SELECT id, lower(title) AS t FROM titles), x AS (SELECT id,
+        "threshold_parse": f"""WITH {R.titles(d)}, t AS (SELECT id, lower(title) AS t FROM titles), x AS (SELECT id,
     {d.distinct(d.map(d.regex_all("t", "bitcoin|btc|ethereum|eth\\b|solana|xrp|dogecoin|litecoin"), "w", "CASE w WHEN 'btc' THEN 'bitcoin' WHEN 'eth' THEN 'ethereum' ELSE w END"))} AS sym,
     {d.distinct(d.map(d.regex_all("t", "above|over|exceed|reach|hit|below|under|drop"), "w", "CASE WHEN w IN ('below', 'under', 'drop') THEN 'below' ELSE 'above' END"))} AS dir,
     {d.distinct(d.map(d.regex_all("t", "[$]?[0-9][0-9,.]*[km]\\b|[$][0-9][0-9,]*|[0-9]{{5,}}".replace("{{", "{").replace("}}", "}")), "w", "CASE WHEN w LIKE '%k' THEN CAST(replace(replace(replace(w, '$', ''), ',', ''), 'k', '') AS DOUBLE) * 1000e0 WHEN w LIKE '%m' THEN CAST(replace(replace(replace(w, '$', ''), ',', ''), 'm', '') AS DOUBLE) * 1000000e0 ELSE CAST(replace(replace(w, '$', ''), ',', '') AS DOUBLE) END"))} AS strike FROM t)
@@ -98,8 +100,7 @@ SELECT event_id, CASE WHEN hi <= lo THEN NULL ELSE round(least(greatest({digital
         "market_scan": f"""WITH {R.bars(d, 86_400_000)}, r AS (SELECT asset, rn, ln(c / lag(c) OVER (PARTITION BY asset ORDER BY rn)) AS r, c FROM bars), v AS (SELECT asset, stddev_pop(r) * sqrt(365e0) AS vol, max_by(c, rn) AS spot FROM r GROUP BY asset),
 m AS (SELECT p_partkey AS market, CASE p_partkey % 7 WHEN 0 THEN 'click' WHEN 1 THEN 'purchase' WHEN 2 THEN 'view' ELSE 'none' END AS asset, 20e0 + CAST(p_size AS DOUBLE) AS strike, CAST(p_partkey % 90 + 1 AS DOUBLE) / 365.25e0 AS t FROM part)
 SELECT count(*) AS scanned, count(v.asset) AS covered, count(*) - count(v.asset) AS no_coverage, round(avg(CASE WHEN v.vol > 0e0 THEN {digital("v.spot", "m.strike", "greatest(v.vol, 0.000001e0)", "m.t")} END), 5) AS mean_p FROM m LEFT JOIN v ON v.asset = m.asset""",
-        "title_tokens": f"WITH {_TITLES} SELECT id, {d.join(tokens, ' ')} AS tokens FROM titles",
-        "title_jaccard_links": f"WITH {pairs} SELECT a, b, round(j, 6) AS jaccard FROM links WHERE j > 0.3e0",
+        "title_tokens": f"WITH {R.titles(d)} SELECT id, {d.join(tokens, ' ')} AS tokens FROM titles",
         "dislocation_detect": f"""WITH {quotes}, g AS (SELECT market, count(*) AS n, max(p) - min(p) AS spread FROM quotes WHERE p > 0e0 AND p < 1e0 GROUP BY market),
 e AS (SELECT market, venue, abs(0.5e0 - p) AS edge, row_number() OVER (PARTITION BY market ORDER BY round(abs(0.5e0 - p), 9) DESC, venue) AS rk FROM quotes)
 SELECT g.market, g.n, round(g.spread, 6) AS spread, e.venue AS widest, round(e.edge, 6) AS edge FROM g JOIN e ON e.market = g.market AND e.rk = 1 WHERE g.n >= 2 AND g.spread >= 0.05e0""",

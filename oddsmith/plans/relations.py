@@ -38,14 +38,36 @@ team_games AS (
 
 
 def book(d: Spark) -> str:
-    """Order book of each supplier: levels from lineitem, side by line status, prices spread around 100."""
+    """Order book of each supplier: levels from lineitem, side by line status, prices spread around 100; one level a side is a wall."""
     return """book AS (
   SELECT l_suppkey AS book_id, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side,
     CASE WHEN l_linestatus = 'O' THEN 100e0 - (l_partkey % 60 + 1) * 0.05e0 ELSE 100e0 + (l_partkey % 60 + 1) * 0.05e0 END AS price,
-    sum(l_quantity) AS qty
+    sum(l_quantity * CASE WHEN l_partkey % 60 = l_suppkey % 60 THEN 12e0 ELSE 1e0 END) AS qty
   FROM lineitem GROUP BY 1, 2, 3)"""
 
 
+def market_books(d: Spark) -> str:
+    """Books of binary markets, a supplier each: prices are probabilities around one half."""
+    return """market_books AS (
+  SELECT l_suppkey AS book_id, CASE WHEN l_linestatus = 'O' THEN 'bid' ELSE 'ask' END AS side,
+    CASE WHEN l_linestatus = 'O' THEN 0.5e0 - (l_partkey % 60 + 1) * 0.0025e0 ELSE 0.5e0 + (l_partkey % 60 + 1) * 0.0025e0 END AS price, sum(l_quantity) AS qty
+  FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+def asset_books(d: Spark) -> str:
+    """Each asset's book: those of every so many suppliers, level by level."""
+    return f"""{book(d)},
+assets AS (SELECT asset, row_number() OVER (ORDER BY asset) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT event_type AS asset FROM events) AS e),
+asset_books AS (SELECT a.asset, b.side, b.price, sum(b.qty) AS qty FROM book b JOIN assets a ON b.book_id % a.n = a.k GROUP BY a.asset, b.side, b.price)"""
+
+
+def derivatives(d: Spark) -> str:
+    """Funding and open interest of each asset but the last by name, from its events."""
+    return """derivatives AS (
+  SELECT event_type AS asset, (avg(CASE WHEN user_id % 2 = 0 THEN 1e0 ELSE -1e0 END)) / 1000e0 AS funding_rate, sum(CASE WHEN event_id % 3 = 0 THEN value ELSE 0e0 END) AS open_interest_value, sum(value) AS quote_volume
+  FROM events WHERE event_type < (SELECT max(event_type) FROM events) GROUP BY event_type)"""
+
+
 def quotes(d: Spark) -> str:
     """Binary market quotes: part = market, supplier = venue, probability by an integer hash."""
     return """quotes AS (
@@ -137,3 +159,28 @@ headlines AS (
   SELECT id, published, source, class, category, lead, concat(lead, CASE WHEN id % 4 = 0 THEN ' ' ELSE ': ' END, own) AS title,
     min(id) OVER (PARTITION BY lead, CAST(floor(published / 172800000e0) AS BIGINT)) AS cluster
   FROM led)"""
+
+
+#: What the derived market titles ask: of what, in which words, by when; four markets in a row ask one question on four venues.
+ASKED = (
+    "Bitcoin above $120k", "BTC below $60,000", "Ethereum hit 5k", "the Fed cuts rates", "Lakers win the NBA championship", "Solana above $300", "Inflation CPI exceeds 4", "it rain in Paris",
+    "Hurricane landfall in Florida", "new movie tops the box office", "NASA launches a moon mission", "Nvidia earnings beat", "XRP reach $3.50", "Dogecoin under 0.1 or over 1", "the president wins the election", "something else entirely",
+)
+RULES = (
+    "Resolves by CoinDesk price at https://example.com/price", "May be determined by the exchange", "In the sole discretion of the admin, or similar", "Official source: federalreserve.gov", "a consensus of credible reporting",
+    "Widely reported major result", "Price from Binance Exchange", "a significant amount", "plain text",
+)
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def titles(d: Spark) -> str:
+    """Market titles and resolution rules of all parts: (id, title, description); a question in four wordings, a tenth without rules."""
+    pick = lambda items, i: d.at(d.array(*(d.lit(x) for x in items)), f"CAST({i} % {len(items)} + 1 AS INT)")
+    k = "CAST(floor(p_partkey / 4e0) AS BIGINT)"
+    asked, month, rule = pick(ASKED, k), pick(MONTHS, f"CAST(floor({k} / 16e0) AS BIGINT)"), pick(RULES, "p_partkey * 7")
+    year = f"CAST(2026 + CAST(floor({k} / 192e0) AS BIGINT) % 3 AS VARCHAR(4))"
+    return f"""titles AS (
+  SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat('Will ', {asked}, ' by ', {month}, ' ', {year}, '? ', p_name) WHEN 1 THEN concat({asked}, ' in ', {month}, ': ', p_name)
+      WHEN 2 THEN concat({asked}, ' before the end of ', {month}, ' ', {year}, '? ', p_name) ELSE concat(p_name, ' - ', {asked}, ' by ', {month}, ' 31?') END AS title,
+    CASE WHEN p_partkey % 10 = 9 THEN NULL ELSE {rule} END AS description
+  FROM part)"""

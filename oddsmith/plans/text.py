@@ -13,6 +13,25 @@ def tokens(d: Spark, text: str) -> str:
     return d.filter(d.regex_all(plain, "[a-z0-9]+(?:[-.][a-z0-9]+)*"), "w", f"length(w) >= 2 AND w NOT IN ({stop})")
 
 
+#: Symbols as venues write them: bases, then separators and quotes.
+BASES, QUOTES = ("btc", "ETH", "doge", "SOL", "XBT", "xdg", " xrp"), ("-usd", "/USDT", "USDT", "_usdc", "USD", "")
+#: Query parameters that tell of a click and not of a document; named character references of feeds.
+TRACKING = "^(utm_|ref$|ref_|fbclid$|gclid$|msclkid$|mc_|cmp$|cmpid$|smid$|ito$|ns_|sref$|mod$|taid$|guccounter$|guce_)"
+REFERENCES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "hellip": "…", "amp": "&",
+}
+
+
+def plain_text(d: Spark, html: str) -> str:
+    """Text without tags, numeric and named references decoded (the ampersand's last, so that nothing is decoded twice), white space collapsed."""
+    out = d.replace_all(html, "<[^>]*>", " ")
+    for pattern, code in (("(?i)&#x[0-9a-f]+;", d.from_hex("substr(m, 4, length(m) - 4)")), ("&#[0-9]{1,9};", "CAST(substr(m, 3, length(m) - 3) AS BIGINT)")):
+        out = d.fold(d.distinct(d.regex_all(out, pattern)), out, "acc", "m", f"replace(acc, m, {d.char(code)})")
+    for name, by in REFERENCES.items():
+        out = d.replace_all(out, f"(?i)&{name};", by)
+    return f"trim({d.replace_all(out, '[ \t\n\r\f\x0b\xa0]+', ' ')})"
+
+
 def fnv1a(d: Spark, s: str) -> str:
     """32-bit FNV-1a over the characters of ASCII text, as BIGINT."""
     chars = d.filter(f"string_split({s}, '')" if d.name == "duckdb" else f"split({s}, '')", "c", "c <> ''")
@@ -23,16 +42,12 @@ def fnv1a(d: Spark, s: str) -> str:
 def plans(d: Spark) -> dict[str, str]:
     art = R.articles(d)
     head_tokens = tokens(d, "title")
-    tags = d.replace_all(d.replace_all("html", "<[^>]*>", " "), "&nbsp;", " ")
-    decoded = tags
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-        decoded = f"replace({decoded}, '{a}', '{b}')"
-    plain = f"trim({d.replace_all(decoded, '[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]+', ' ')})"
-    host = f"lower({d.regex_one('url', '^[a-z]+://([^/?#]+)')})"
-    path = d.regex_one("url", "^[a-z]+://[^/?#]+([^?#]*)")
-    query = d.regex_one("url", "[?]([^#]*)")
-    kept = d.sort(d.filter(d.split(query, "&"), "q", f"q <> '' AND NOT {d.matches('q', '^(utm_[a-z]+|ref|fbclid|gclid)=')}"))
-    canonical = f"concat({host}, {d.replace_all(path, '/+$', '')}, CASE WHEN {d.size(kept)} > 0 THEN concat('?', {d.join(kept, '&')}) ELSE '' END)"
+    host = f"lower({d.regex_one('url', '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)')})"
+    path = d.replace_all(d.regex_one("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)"), "/$", "")
+    query = d.regex_one("url", "^[^?#]*[?]([^#]*)")
+    kept = d.sort(d.map(d.filter(d.split(query, "&"), "q", f"q <> '' AND NOT {d.matches(f'lower({d.at(d.split("q", "="), 1)})', TRACKING)}"), "q", "CASE WHEN q LIKE '%=%' THEN q ELSE concat(q, '=') END"))
+    canonical = f"CASE WHEN {host} = '' THEN lower(trim(url)) ELSE concat({host}, {path}, CASE WHEN {d.size(kept)} > 0 THEN concat('?', {d.join(kept, '&')}) ELSE '' END) END"
+    plain, print_of = plain_text(d, "html"), lambda tok: d.base36(fnv1a(d, d.join(d.sort(d.distinct(tok)), " ")))
     tfidf = f"""{art}, tk AS (SELECT id, published, {head_tokens} AS tok FROM articles), fl AS (SELECT id, {d.unnest("tok")} AS w FROM tk), tf AS (SELECT id, w, CAST(count(*) AS DOUBLE) AS tf FROM fl GROUP BY id, w),
 nd AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM articles), idf AS (SELECT w, ln((min(nd.n) + 1e0) / (count(*) + 1e0)) + 1e0 AS idf FROM tf CROSS JOIN nd GROUP BY w),
 vec AS (SELECT tf.id, tf.w, tf.tf * idf.idf / sqrt(sum(power(tf.tf * idf.idf, 2)) OVER (PARTITION BY tf.id)) AS x FROM tf JOIN idf ON idf.w = tf.w)"""
@@ -42,8 +57,8 @@ vec AS (SELECT tf.id, tf.w, tf.tf * idf.idf / sqrt(sum(power(tf.tf * idf.idf, 2)
         "text_strip_html": f"SELECT page_id, md5({plain}) AS digest, CAST(length({plain}) AS BIGINT) AS n FROM pages",
         "text_tokenize": f"WITH {art} SELECT id, {d.size(tokens(d, 'title'))} AS n, {d.join(tokens(d, 'title'), ' ')} AS tokens FROM articles",
         "text_canonical_url": f"SELECT page_id, {canonical} AS url FROM pages",
-        "text_fnv1a": f"SELECT page_id, {fnv1a(d, canonical)} AS hash FROM pages",
-        "text_fingerprint": f"WITH {art} SELECT id, md5({d.join(d.sort(d.distinct(tokens(d, 'title'))), ' ')}) AS fingerprint FROM articles",
+        "text_fnv1a": f"SELECT page_id, {fnv1a(d, canonical)} AS hash, {d.base36(fnv1a(d, canonical))} AS id FROM pages",
+        "text_fingerprint": f"WITH {art} SELECT id, {print_of(tokens(d, 'title'))} AS fingerprint FROM articles",
         "text_normalize_article": f"WITH {art} SELECT id, title, CASE WHEN length(body) <= length(title) + 40 THEN NULL ELSE md5(body) END AS summary FROM articles WHERE length(trim(title)) > 0",
         "text_dedupe": f"""WITH {art}, f AS (SELECT id, published, md5(body) AS url_hash, {d.sort(d.distinct(tokens(d, "title")))} AS tk FROM articles), a AS (SELECT *, row_number() OVER (PARTITION BY url_hash ORDER BY published DESC, id DESC) AS r1 FROM f),
 b AS (SELECT id, published, {d.size("tk")} AS n, {d.join("tk", " ")} AS print FROM a WHERE r1 = 1), c AS (SELECT *, row_number() OVER (PARTITION BY print ORDER BY published DESC, id DESC) AS r2 FROM b)
@@ -59,7 +74,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cos, 9) DESC, v
         "date_ages": f"SELECT o_orderkey, round(({d.epoch_ms('l_shipdate')} - {d.epoch_ms('o_orderdate')}) / 86400000e0, 6) AS days, round(({d.epoch_ms('l_shipdate')} - {d.epoch_ms('o_orderdate')}) / 31557600000e0, 6) AS years FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
         "capability_fallback": """WITH s AS (SELECT doc_id % 50 AS k, source, CASE source WHEN 'src1' THEN 0 WHEN 'src2' THEN 1 WHEN 'src3' THEN 2 ELSE 3 END AS priority, min(doc_id) AS doc FROM documents GROUP BY 1, 2, 3)
 SELECT k, source, doc FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY priority, source) AS r FROM s) AS x WHERE r = 1""",
-        "symbol_canonical": f"SELECT s, {d.replace_all(d.replace_all('upper(s)', '[-/]', ''), 'USDT?$', 'USDT')} AS canonical FROM (VALUES ('btc-usd'), ('ETH/USDT'), ('doge-usd'), ('SOLUSDT')) AS t(s)",
+        "symbol_canonical": f"""WITH s AS (SELECT p_partkey AS id, concat({d.at(d.array(*(d.lit(x) for x in BASES)), f"CAST(p_partkey % {len(BASES)} + 1 AS INT)")}, {d.at(d.array(*(d.lit(x) for x in QUOTES)), f"CAST(floor(p_partkey / 3e0) % {len(QUOTES)} + 1 AS INT)")}) AS s FROM part),
+p AS (SELECT id, s, {d.regex_one(d.replace_all("upper(trim(s))", "[-/_: ]", ""), "^(.+?)(USDT|USDC|USD|EUR)?$")} AS base FROM s)
+SELECT id, s, concat(CASE base WHEN 'XBT' THEN 'BTC' WHEN 'XDG' THEN 'DOGE' ELSE base END, 'USDT') AS canonical FROM p""",
         "market_stats_24h": f"""WITH {R.bars(d)}, x AS (SELECT *, lag(c, 24) OVER (PARTITION BY asset ORDER BY rn) AS past, sum(v) OVER (PARTITION BY asset ORDER BY rn ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS vol24 FROM bars)
 SELECT asset, rn, round(CASE WHEN past <= 0e0 THEN 0e0 ELSE (c - past) / nullif(past, 0e0) * 100e0 END, 5) AS change_pct, round(vol24 * c, 6) AS quote_volume FROM x WHERE past IS NOT NULL""",
         "candles_tail_limit": f"WITH {R.bars(d)} SELECT asset, open_time, o, h, l, c FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY open_time DESC) AS back FROM bars) AS x WHERE back <= 300",
