@@ -112,6 +112,16 @@ class Spark:
     def base36(self, n: str) -> str:
         return f"lower(conv({n}, 10, 36))"
 
+    def map_of(self, key: str, value: str) -> str:
+        return f"map_from_entries(collect_list(named_struct('k', CAST({key} AS BIGINT), 'v', CAST({value} AS BIGINT))))"
+
+    def map_get(self, m: str, key: str) -> str:
+        """The value of a key; null without it."""
+        return f"try_element_at({m}, CAST({key} AS BIGINT))"
+
+    def map_total(self, m: str) -> str:
+        return f"aggregate(map_values({m}), CAST(0 AS BIGINT), (s, v) -> s + v)"
+
 
 class Duck(Spark):
     name = "duckdb"
@@ -215,5 +225,15 @@ class Duck(Spark):
         digits = f"list_transform(generate_series(6, 0, -1), lambda e: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(({n} // CAST(power(36, e) AS BIGINT)) % 36 AS INT) + 1, 1))"
         return f"coalesce(nullif(ltrim(array_to_string({digits}, ''), '0'), ''), '0')"
 
+    def map_of(self, key: str, value: str) -> str:
+        return f"map_from_entries(list({{'k': CAST({key} AS BIGINT), 'v': CAST({value} AS BIGINT)}}))"
+
+    def map_get(self, m: str, key: str) -> str:
+        return f"map_extract_value({m}, CAST({key} AS BIGINT))"
+
+    def map_total(self, m: str) -> str:
+        return f"CAST(list_sum(map_values({m})) AS BIGINT)"
+
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -23,6 +23,14 @@ seed AS (SELECT asset, {period + seed_from - 1} AS rn, avg(x) AS e FROM src WHER
 rec AS (SELECT asset, CAST(rn AS BIGINT) AS rn, e FROM seed UNION ALL SELECT s.asset, s.rn, {alpha!r}e0 * s.x + (1e0 - {alpha!r}e0) * r.e FROM rec r JOIN src s ON s.asset = r.asset AND s.rn = r.rn + 1)"""
 
 
+def cci_deviation(d: Spark) -> str:
+    """CTE dev: m with the mean absolute deviation of the last twenty typical prices; the checking engine joins what Spark keeps in the frame."""
+    if d.name == "duckdb":
+        return """dev AS (SELECT a.asset, a.rn, min(a.tp) AS tp, min(a.mean) AS mean, avg(abs(b.tp - a.mean)) AS mad FROM m a JOIN m b ON b.asset = a.asset AND b.rn BETWEEN a.rn - 19 AND a.rn WHERE a.rn >= 20 GROUP BY a.asset, a.rn)"""
+    return """held AS (SELECT *, collect_list(tp) OVER (PARTITION BY asset ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS last FROM m),
+dev AS (SELECT asset, rn, tp, mean, aggregate(last, 0e0, (s, x) -> s + abs(x - mean)) / 20e0 AS mad FROM held WHERE rn >= 20)"""
+
+
 def plans(d: Spark) -> dict[str, str]:
     bars = R.bars(d)
     tp = "(h + l + c) / 3e0"
@@ -50,8 +58,8 @@ SELECT asset, rn, round(k, 6) AS k, CASE WHEN rn >= 16 THEN round(avg(k) OVER {f
         "ta_roc_momentum": f"""WITH {bars}, x AS (SELECT asset, rn, c, lag(c, 10) OVER (PARTITION BY asset ORDER BY rn) AS past FROM bars)
 SELECT asset, rn, round({P.safe_div("(c - past) * 100e0", "past")}, 6) AS roc, round(c - past, 6) AS momentum FROM x""",
         "ta_cci": f"""WITH {bars}, t AS (SELECT asset, rn, {tp} AS tp FROM bars), m AS (SELECT *, {over("avg(tp)", 20)} AS mean FROM t),
-dev AS (SELECT a.asset, a.rn, avg(abs(b.tp - a.mean)) AS mad FROM m a JOIN m b ON b.asset = a.asset AND b.rn BETWEEN a.rn - 19 AND a.rn WHERE a.rn >= 20 GROUP BY a.asset, a.rn)
-SELECT m.asset, m.rn, round(CASE WHEN v.mad < 1e-12 THEN 0e0 ELSE (m.tp - m.mean) / nullif(0.015e0 * v.mad, 0e0) END, 5) AS cci FROM m JOIN dev v ON v.asset = m.asset AND v.rn = m.rn""",
+{cci_deviation(d)}
+SELECT asset, rn, round(CASE WHEN mad < 1e-12 THEN 0e0 ELSE (tp - mean) / nullif(0.015e0 * mad, 0e0) END, 5) AS cci FROM dev""",
         "ta_williams_r": f"WITH {bars}, {ranged} SELECT asset, rn, round(CASE WHEN hh IS NULL THEN NULL WHEN hh = ll THEN -50e0 ELSE -100e0 * (hh - c) / nullif(hh - ll, 0e0) END, 6) + 0e0 AS williams FROM ranged",
         "ta_mfi": f"""WITH {bars}, t AS (SELECT asset, rn, v, {tp} AS tp, lag({tp}) OVER (PARTITION BY asset ORDER BY rn) AS past FROM bars),
 f AS (SELECT asset, rn, CASE WHEN tp > past THEN tp * v ELSE 0e0 END AS up, CASE WHEN tp < past THEN tp * v ELSE 0e0 END AS down FROM t),
@@ -65,6 +73,12 @@ SELECT asset, rn, round({P.safe_div("sum(tp * v) OVER w", "sum(v) OVER w")}, 6)
         "ta_vwap_rolling": f"WITH {bars}, x AS (SELECT asset, rn, v, {tp} * v AS tv FROM bars) SELECT asset, rn, CASE WHEN rn >= 20 THEN round(sum(tv) OVER {frame(20)} / nullif(sum(v) OVER {frame(20)}, 0e0), 6) END AS vwap20 FROM x",
         "ta_typical_price": f"WITH {bars} SELECT asset, rn, round({tp}, 6) AS typical FROM bars",
         "vol_realised_annualised": f"WITH {bars}, {ret} SELECT asset, rn, CASE WHEN rn >= 21 THEN round(stddev_pop(r) OVER {frame(20)}, 6) END AS vol, CASE WHEN rn >= 21 THEN round(stddev_pop(r) OVER {frame(20)} * sqrt(8760e0), 5) END AS annual FROM ret",
+        "vol_annualise_timeframes": f"""WITH {bars}, {ret}, s AS (SELECT asset, stddev_pop(r) AS vol FROM ret GROUP BY asset), f AS (SELECT * FROM (VALUES ('1m', 525600e0), ('5m', 105120e0), ('15m', 35040e0), ('1h', 8760e0), ('4h', 2190e0), ('1d', 365e0)) AS t(timeframe, periods))
+SELECT asset, timeframe, round(vol * sqrt(periods), 4) AS annual FROM s CROSS JOIN f""",
+        "window_tail_percentile": f"""WITH {bars}, t AS (SELECT asset, rn, c, row_number() OVER (PARTITION BY asset ORDER BY rn DESC) AS back FROM bars), now AS (SELECT asset, c FROM t WHERE back = 1)
+SELECT t.asset, count(*) AS n, round((sum(CASE WHEN t.c < n.c THEN 1e0 ELSE 0e0 END) + sum(CASE WHEN t.c = n.c THEN 0.5e0 ELSE 0e0 END)) / count(*), 6) AS percentile FROM t JOIN now n ON n.asset = t.asset WHERE t.back <= 100 GROUP BY t.asset""",
+        "window_last_defined": f"""WITH {bars}, x AS (SELECT asset, rn, CASE WHEN n % 3 = 0 THEN NULL ELSE c END AS c FROM bars)
+SELECT asset, max_by(c, CASE WHEN c IS NOT NULL THEN rn END) AS last_known, min_by(c, CASE WHEN c IS NOT NULL THEN rn END) AS first_known FROM x GROUP BY asset""",
         "vol_parkinson": f"""WITH {bars}, x AS (SELECT asset, rn, CASE WHEN h > 0e0 AND l > 0e0 THEN power(ln(h / l), 2) END AS q FROM bars)
 SELECT asset, rn, CASE WHEN rn >= 20 THEN round(sqrt(avg(q) OVER {frame(20)} / (4e0 * ln(2e0))), 6) END AS parkinson FROM x""",
         "vol_garman_klass": f"""WITH {bars}, x AS (SELECT asset, rn, CASE WHEN h > 0e0 AND l > 0e0 AND o > 0e0 AND c > 0e0 THEN 0.5e0 * power(ln(h / l), 2) - (2e0 * ln(2e0) - 1e0) * power(ln(c / o), 2) END AS q FROM bars)
@@ -96,8 +110,8 @@ FROM close_levels l JOIN med m ON m.book_id = l.book_id AND m.side = l.side WHER
         "orderflow_depth_score": f"""WITH {book}, {depth("0.01")} SELECT m.book_id, round(CASE WHEN coalesce(n.bids, 0e0) = 0e0 OR coalesce(n.asks, 0e0) = 0e0 THEN 0e0 ELSE
   0.35e0 * exp(-((m.ask - m.bid) / m.mid * 10000e0) / 10e0) + 0.3e0 * least(1e0, n.n / 40e0) + 0.2e0 * (1e0 - abs(n.bids - n.asks) / nullif(n.bids + n.asks, 0e0)) + 0.15e0 * (1e0 - n.largest / nullif(n.bids + n.asks, 0e0)) END, 6) AS depth_score
 FROM mids m LEFT JOIN near n ON n.book_id = m.book_id""",
-        "orderflow_aggressor": f"""WITH {bars}, t AS (SELECT asset, v, least(greatest(tb, 0e0), v) AS buy, row_number() OVER (PARTITION BY asset ORDER BY rn DESC) AS back FROM bars)
-SELECT asset, round((2e0 * sum(buy) - sum(v)) / nullif(sum(v), 0e0), 6) AS imbalance, count(*) / 30e0 AS coverage FROM t WHERE back <= 30 GROUP BY asset""",
+        "orderflow_aggressor": f"""WITH {bars}, t AS (SELECT asset, v, CASE WHEN n % 4 = 0 OR asset = 'error' THEN NULL ELSE least(greatest(tb, 0e0), v) END AS buy, row_number() OVER (PARTITION BY asset ORDER BY rn DESC) AS back FROM bars)
+SELECT asset, round(sum(CASE WHEN buy IS NULL THEN 0e0 ELSE 2e0 * buy - v END) / nullif(sum(CASE WHEN buy IS NULL THEN 0e0 ELSE v END), 0e0), 6) AS imbalance, round(count(buy) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM t WHERE back <= 30 GROUP BY asset""",
         "scenarios": f"""WITH s AS (SELECT event_id AS id, CAST(event_id % 98 + 1 AS DOUBLE) / 100e0 AS p, 0.01e0 + CAST(event_id % 20 AS DOUBLE) / 200e0 AS sigma, 100e0 + value AS spot FROM events),
 q AS (SELECT *, {P.normal_quantile("p")} AS z FROM s)
 SELECT id, round({P.normal_cdf("(-0.5e0 - z)")}, 6) AS bear, round(1e0 - {P.normal_cdf("(0.5e0 - z)")}, 6) AS bull, round({P.normal_cdf("(0.5e0 - z)")} - {P.normal_cdf("(-0.5e0 - z)")}, 6) AS base,

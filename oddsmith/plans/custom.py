@@ -110,6 +110,10 @@ def candle_predict(spark, sf_dir):
     return _rounded(features.predict(_features(spark, sf_dir), skills, graded, curve))
 
 
+def feature_completeness(spark, sf_dir):
+    return _rounded(features.completeness(_features(spark, sf_dir)))
+
+
 def vol_atr_regime(spark, sf_dir):
     rows = volatility.regimes(folds.recursive_indicators(bars(spark, sf_dir)).select("asset", "rn", "atr14"))
     return _rounded(rows.where("atr_percentile is not null").select("asset", "rn", "atr_percentile", "vol_regime"))
@@ -176,6 +180,32 @@ def store_upsert(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def store_opportunities(spark, sf_dir):
+    """A market is stored first, then the opportunity on (market, outcome, time); saving again adds nothing."""
+    rows = _sql(spark, sf_dir, f"WITH {relations.quotes(SPARK)} SELECT market, 'yes' AS outcome, max(updated) AS generated_at, max(p) AS p FROM quotes GROUP BY market")
+    markets_at, found_at = _scratch(spark, "markets"), _scratch(spark, "opportunities")
+    for batch in (rows.where("market % 3 > 0"), rows, rows):
+        store.append_new(batch.select("market"), markets_at, ["market"])
+        store.append_new(batch, found_at, ["market", "outcome", "generated_at"])
+    return _rounded(spark.read.parquet(found_at).join(spark.read.parquet(markets_at), "market"))
+
+
+def store_market_links(spark, sf_dir):
+    """Links of markets to events, added once each; a confidence outside 0 to 1 or an unknown method is refused."""
+    path = _scratch(spark, "market-links")
+    rows = _sql(spark, sf_dir, "SELECT concat('event-', l_suppkey % 10) AS event_key, l_partkey AS market, CASE l_linenumber % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'embedding' WHEN 2 THEN 'ticker' ELSE 'guess' END AS method, l_quantity / 45e0 AS confidence FROM lineitem")
+    good = rows.where("confidence BETWEEN 0e0 AND 1e0 AND method IN ('manual', 'embedding', 'ticker')").groupBy("event_key", "market").agg(F.min("method").alias("method"), F.max("confidence").alias("confidence"))
+    for batch in (good.where("market % 2 = 0"), good, good):
+        store.append_new(batch, path, ["event_key", "market"])
+    return _rounded(spark.read.parquet(path))
+
+
+def store_prekickoff(spark, sf_dir):
+    """Predictions of scheduled games before their kick-off and not of demonstrations, at least half an hour apart for a subject."""
+    rows = _sql(spark, sf_dir, f"SELECT user_id AS subject, event_id, {SPARK.epoch_ms('ts')} AS at FROM events WHERE event_id % 11 <> 0 AND event_type <> 'error' AND event_id % 5 <> 4")
+    return store.throttled(rows, "subject", "at")
+
+
 def text_story_clusters(spark, sf_dir):
     rows = _sql(spark, sf_dir, f"WITH {relations.articles(SPARK)} SELECT id, published, {texts.tokens(SPARK, 'title')} AS tokens FROM articles")
     return clusters.story_clusters(rows)
@@ -222,9 +252,9 @@ def stream_throttled(spark, sf_dir):
 
 REGISTERED = (
     ta_ema, ta_rsi, ta_atr, ta_macd_adx_stochrsi, vol_ewma, structure_levels, structure_value_area, structure_breakout, sports_match_ensemble, candle_features, candle_models, candle_predict,
-    vol_atr_regime, vol_forecast, structure_consolidation, orderflow_book_features,
+    feature_completeness, vol_atr_regime, vol_forecast, structure_consolidation, orderflow_book_features,
     sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_features, learn_walk_forward, metric_isotonic_fit,
-    store_throttle, store_upsert, text_story_clusters, title_jaccard_links, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
+    store_throttle, store_upsert, store_opportunities, store_market_links, store_prekickoff, text_story_clusters, title_jaccard_links, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
 )
 
 
@@ -288,5 +318,16 @@ FROM s LEFT JOIN w wb ON wb.asset = s.asset AND wb.side = 'bid' AND wb.r = 1 LEF
 SELECT league, 1500e0 * count(DISTINCT team) AS total, count(DISTINCT team) AS teams, count(*) AS sides FROM t GROUP BY league""",
         "store_upsert": """WITH r AS (SELECT o_custkey AS subject, o_orderstatus AS timeframe, o_orderkey AS id, o_orderdate AS generated_at, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END, o_orderkey DESC) AS n FROM orders)
 SELECT subject, timeframe, id, generated_at FROM r WHERE n = 1""",
+        "store_opportunities": f"WITH {relations.quotes(d)} SELECT market, 'yes' AS outcome, max(updated) AS generated_at, round(max(p), 6) AS p FROM quotes GROUP BY market",
+        "store_market_links": """SELECT 'event-' || (l_suppkey % 10) AS event_key, l_partkey AS market, min(CASE l_linenumber % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'embedding' ELSE 'ticker' END) AS method, round(max(l_quantity / 45e0), 6) AS confidence
+FROM lineitem WHERE l_linenumber % 4 <> 3 AND l_quantity BETWEEN 0 AND 45 GROUP BY 1, 2""",
+        "store_prekickoff": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE event_id % 11 <> 0 AND event_type <> 'error' AND event_id % 5 <> 4),
+pass AS (SELECT user_id, event_id, t, k, t AS last, true AS kept FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.t, e.k, CASE WHEN e.t - p.last >= 1800000 THEN e.t ELSE p.last END, e.t - p.last >= 1800000 FROM pass p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1)
+SELECT user_id AS subject, event_id, t AS "at" FROM pass WHERE kept""",
+        "store_throttle": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+pass AS (SELECT user_id, event_id, t, k, t AS last, true AS kept FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.t, e.k, CASE WHEN e.t - p.last >= 1800000 THEN e.t ELSE p.last END, e.t - p.last >= 1800000 FROM pass p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1)
+SELECT user_id, event_id, t AS "at" FROM pass WHERE kept""",
         "stream_deduplicated": "SELECT DISTINCT event_type, user_id FROM events",
     }

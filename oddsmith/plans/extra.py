@@ -26,15 +26,19 @@ SELECT a.league, a.team AS team_a, b.team AS team_b, round(a.gf - b.gf, 6) AS at
   round(1e0 - power(avg(CASE WHEN hs > aws THEN 1e0 ELSE 0e0 END), 2) - power(avg(CASE WHEN hs = aws THEN 1e0 ELSE 0e0 END), 2) - power(avg(CASE WHEN hs < aws THEN 1e0 ELSE 0e0 END), 2), 6) AS base_brier FROM games GROUP BY league""",
         "sports_venue_rates": f"""WITH {games}, {team} SELECT league, team, round(avg(CASE WHEN is_home = 1 THEN gf END), 6) AS home_for, round(avg(CASE WHEN is_home = 0 THEN gf END), 6) AS away_for,
   round({P.shrink("avg(CASE WHEN is_home = 1 THEN result END)", "sum(is_home)", "0.5e0", "6e0")}, 6) AS home_result FROM team_games GROUP BY league, team""",
-        "text_cluster_summary": """WITH c AS (SELECT doc_id % 200 AS cluster, doc_id, source, lang, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END AS class FROM documents)
-SELECT cluster, count(*) AS articles, count(DISTINCT source) AS sources, min(class) AS best_class, min_by(doc_id, class * 1000000 + doc_id) AS headline, max(doc_id) AS latest FROM c GROUP BY cluster""",
-        "text_cluster_wire": """WITH c AS (SELECT doc_id % 200 AS cluster, CAST(doc_id * 7 % 100 AS DOUBLE) / 100e0 AS conf, doc_id * 13 % 201 - 100 AS sentiment FROM documents)
+        "text_cluster_summary": f"""WITH {R.headlines(d)}, c AS (SELECT cluster, id, source, published, CASE class WHEN 'OFFICIAL' THEN 0 WHEN 'PRIMARY_SOURCE' THEN 1 WHEN 'HIGH_RELIABILITY' THEN 2 WHEN 'ESTABLISHED_MEDIA' THEN 3 WHEN 'SECONDARY' THEN 4 WHEN 'SOCIAL' THEN 5 ELSE 6 END AS class FROM headlines)
+SELECT cluster, count(*) AS articles, count(DISTINCT source) AS sources, min(class) AS best_class, min_by(id, class * 1000000000000 + published / 60000) AS headline, min(published) AS first_seen, max(published) AS latest FROM c GROUP BY cluster""",
+        "text_cluster_wire": f"""WITH {R.headlines(d)}, c AS (SELECT cluster, CASE WHEN class IN ('SOCIAL', 'UNVERIFIED') THEN 0.2e0 ELSE 0.7e0 END AS conf, length(title) % 201 - 100 AS sentiment FROM headlines)
 SELECT cluster, count(*) AS n, round(max(conf), 6) AS conf, CASE WHEN max(conf) < 0.3e0 THEN NULL ELSE max(sentiment) END AS sentiment FROM c GROUP BY cluster""",
         "text_novelty": f"""WITH {R.articles(d)}, h AS (SELECT id, published, md5(lower(title)) AS k FROM articles), o AS (SELECT k, min(published) AS first_seen FROM h GROUP BY k)
 SELECT h.id, CASE WHEN o.first_seen < h.published THEN 0 ELSE 1 END AS novel FROM h JOIN o ON o.k = h.k""",
         "entity_cooccurrence": """WITH w AS (SELECT o_custkey AS event, o_orderpriority AS entity FROM orders), p AS (SELECT DISTINCT event, entity FROM w)
 SELECT a.entity AS src, b.entity AS dst, count(*) AS evidence, round(count(*) / 1000e0, 6) AS weight FROM p a JOIN p b ON b.event = a.event AND a.entity < b.entity GROUP BY a.entity, b.entity""",
         "alert_triggers_once": """SELECT o_custkey AS alert, o_orderkey AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS r FROM orders WHERE o_totalprice > 100000e0) AS x WHERE r = 1""",
+        # an alert fires again no sooner than an hour after the event before it
+        "alert_cooldown": f"""WITH e AS (SELECT user_id AS alert, event_id, {d.epoch_ms("ts")} AS t FROM events WHERE value > 50e0), g AS (SELECT *, lag(t) OVER (PARTITION BY alert ORDER BY t, event_id) AS past FROM e)
+SELECT alert, event_id FROM g WHERE past IS NULL OR t - past >= 3600000""",
+        "season_start": f"""WITH {games}, newest AS (SELECT league, max_by(season, kickoff) AS season FROM games GROUP BY league) SELECT n.league, n.season, min(g.kickoff) AS start FROM newest n JOIN games g ON g.league = n.league AND g.season = n.season GROUP BY n.league, n.season""",
         "trader_profile": """WITH t AS (SELECT user_id AS trader, ts, event_id, value - 50e0 AS pnl FROM events)
 SELECT trader, count(*) AS n, round(avg(CASE WHEN pnl > 0e0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, round(sum(CASE WHEN pnl > 0e0 THEN pnl ELSE 0e0 END) / nullif(-sum(CASE WHEN pnl < 0e0 THEN pnl ELSE 0e0 END), 0e0), 5) AS profit_factor,
   round(avg(pnl), 6) AS expectancy, round(avg(pnl) / nullif(stddev_pop(pnl), 0e0), 6) AS sharpe FROM t GROUP BY trader""",

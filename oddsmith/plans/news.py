@@ -61,7 +61,16 @@ def text_board_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("cluster", "headline", "importance", "breaking", "n")
 
 
-REGISTERED = (text_entities, text_sentiment, text_entity_sentiment, text_importance, text_breaking, text_board_order)
+def briefing_moving_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four first verified stories - breaking ones, then by importance - each with its three most mentioned entities."""
+    rows = _headlines(spark, sf_dir)
+    named = news.entity_rows(rows).join(rows.select("id", "cluster"), "id").groupBy("cluster", "entity").agg(F.sum("n").alias("n"))
+    most = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "entity"))), 1, 3)["entity"]
+    top = _importance(spark, sf_dir).where("not unverified").orderBy(F.desc("breaking"), F.desc("importance"), "cluster").limit(4)
+    return top.join(named.groupBy("cluster").agg(F.array_join(most, ", ").alias("about")), "cluster", "left").select("cluster", "importance", "breaking", "about")
+
+
+REGISTERED = (briefing_moving_news, text_entities, text_sentiment, text_entity_sentiment, text_importance, text_breaking, text_board_order)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -121,5 +130,8 @@ ranked AS (SELECT *, CAST(least(CASE WHEN unverified THEN 35 ELSE 100 END, floor
         "text_entity_sentiment": f"{base} {around}, {scored} SELECT r.id, r.entity, {score} FROM ranges r LEFT JOIN adjusted a ON a.id = r.id AND a.part = r.part GROUP BY r.id, r.entity",
         "text_importance": f"{base} {stories} SELECT cluster, importance, unverified, round(novelty, 6) AS novelty FROM ranked",
         "text_breaking": f"{base} {stories} SELECT cluster, breaking, round(per_hour, 6) AS velocity FROM ranked",
+        "briefing_moving_news": f"""{base} {stories}, top AS (SELECT cluster, importance, breaking FROM ranked WHERE NOT unverified ORDER BY breaking DESC, importance DESC, cluster LIMIT 4),
+named3 AS (SELECT cluster, entity, sum(n) AS n, row_number() OVER (PARTITION BY cluster ORDER BY sum(n) DESC, entity) AS r FROM ent GROUP BY cluster, entity)
+SELECT t.cluster, t.importance, t.breaking, string_agg(entity, ', ' ORDER BY r) AS about FROM top t LEFT JOIN named3 e ON e.cluster = t.cluster AND r <= 3 GROUP BY ALL""",
         "text_board_order": f"{base} {stories} SELECT cluster, headline, importance, breaking, n FROM ranked ORDER BY breaking DESC, importance DESC, latest DESC, cluster LIMIT 100",
     }

@@ -67,7 +67,8 @@ SELECT id, n FROM c WHERE r2 = 1 OR n < 3""",
         "text_search": f"WITH {art} SELECT id FROM articles WHERE lower(concat(title, ' ', body)) LIKE '%thea%'",
         "text_idf": f"WITH {tfidf} SELECT w, round(idf, 6) AS idf FROM idf",
         "text_tfidf_cosine": f"WITH {tfidf}, asked AS (SELECT id AS q FROM articles ORDER BY published DESC, id DESC LIMIT 100), qv AS (SELECT v.id, v.w, v.x FROM vec v JOIN asked ON asked.q = v.id) SELECT a.id AS a, b.id AS b, round(sum(a.x * b.x), 6) AS cosine FROM qv a JOIN vec b ON a.w = b.w AND a.id <> b.id GROUP BY a.id, b.id",
-        "embedding_cosine_knn": f"""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT a.vec_id AS q, b.vec_id AS v, {dot} / sqrt({norm("a")} * {norm("b")}) AS cos FROM q a JOIN embeddings b ON a.vec_id <> b.vec_id),
+        "embedding_cosine_knn": f"""WITH unit AS (SELECT vec_id, embedding, sqrt({norm("a")}) AS size FROM embeddings AS a), q AS (SELECT vec_id, embedding, size FROM unit WHERE vec_id % 50 = 0),
+s AS (SELECT a.vec_id AS q, b.vec_id AS v, {dot} / (a.size * b.size) AS cos FROM q a JOIN unit b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cos, 9) DESC, v) AS rk FROM s) SELECT q, v, CAST(rk AS BIGINT) AS rk, round(cos, 6) AS cosine FROM r WHERE rk <= 5""",
         "json_extract": f"SELECT event_id, {d.json_text('props', 'k')} AS k FROM events",
         "date_parts": f"SELECT o_orderkey, {d.date_text('o_orderdate', 'yyyyMMdd')} AS ymd, {d.date_text('o_orderdate', 'yyyy')} AS y, {d.epoch_ms('o_orderdate')} AS ms, {d.month_start('o_orderdate')} AS month_start FROM orders",
@@ -95,6 +96,7 @@ SELECT CAST(ord AS BIGINT) AS ord, section, line FROM lines""",
         "briefing_hedge_phrases": "SELECT event_id, CASE WHEN c < 0.35e0 THEN 'weak' WHEN c <= 0.6e0 THEN 'moderate' ELSE 'strong' END AS tier, CASE WHEN c >= 0.6e0 THEN 'clearly up' WHEN c >= 0.52e0 THEN 'leaning up' WHEN c > 0.48e0 THEN 'balanced' WHEN c > 0.4e0 THEN 'leaning down' ELSE 'clearly down' END AS phrase FROM (SELECT event_id, CAST(event_id % 100 AS DOUBLE) / 100e0 AS c FROM events) AS x",
         "briefing_what_changed": """WITH a AS (SELECT o_custkey AS k, max(o_orderkey % 100) / 100e0 AS conf, max(o_orderkey % 3) AS dir FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY o_custkey), b AS (SELECT o_custkey AS k, max(o_orderkey % 100) / 100e0 AS conf, max(o_orderkey % 3) AS dir FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' GROUP BY o_custkey)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'removed' WHEN a.dir <> b.dir THEN 'flip' ELSE 'moved' END AS change FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.dir <> b.dir OR abs(a.conf - b.conf) > 0.1e0""",
-        "map_lookup_default": "SELECT n_name, coalesce(CASE n_regionkey WHEN 0 THEN 'AF' WHEN 1 THEN 'AM' WHEN 2 THEN 'AS' END, 'other') AS short FROM nation",
+        "map_lookup_default": f"""WITH m AS (SELECT {d.map_of("n_nationkey", "n_regionkey")} AS m FROM nation), k AS (SELECT DISTINCT s_nationkey + (s_suppkey % 3) * 20 AS k FROM supplier)
+SELECT k.k, coalesce({d.map_get("m.m", "k.k")}, -1) AS region, {d.map_total("m.m")} AS total FROM k CROSS JOIN m""",
         "stream_dedupe_batch": "SELECT event_type, user_id, count(*) AS seen, min(event_id) AS kept FROM events GROUP BY event_type, user_id",
     }
