@@ -26,7 +26,7 @@ _HASHES = 1 << 20
 #: The linear program ends when it is this close to its bound.
 GAP = 0.0005
 #: Pricing ends after so many rounds at the latest; cutting_stock then warns of the gap it reached.
-ROUNDS = 200
+ROUNDS = 60
 
 
 def price(lengths, duals, capacity: int):
@@ -83,8 +83,8 @@ def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, gap: float =
     """Patterns (a count by length) with fractional multiplicities that meet the demand, and a bound on their number.
 
     Revised simplex with delayed columns from a first-fit basis: each pricing solves one knapsack and offers the best
-    pattern that ends with each length; those that still price out enter one by one. It ends at the gap to Farley's
-    bound, or after ROUNDS pricings with a warning that names the gap reached; the patterns meet the demand at any time.
+    pattern that ends with each length; those that still price out enter one by one. It ends at the gap to the
+    greater of Farley's bound and the volume's, or after ROUNDS pricings with a warning that names the gap reached; the patterns meet the demand at any time.
     """
     import numpy as np
 
@@ -97,7 +97,7 @@ def cutting_stock(demand: dict[int, int], capacity: int = CAPACITY, gap: float =
     for j, c in enumerate(basis):
         a[list(c), j] = list(c.values())
     inverse, x = np.linalg.inv(a), np.array(start)
-    bound = 0.0
+    bound = sum(n * c for n, c in demand.items()) / capacity  # no pattern holds more than the capacity
     for _ in range(ROUNDS):
         duals = inverse.sum(axis=0)
         best, last = price(lengths, np.maximum(duals, 0), capacity)
