@@ -268,6 +268,17 @@ def oracle_sql() -> dict[str, str]:
     wilder = lambda name, x: f"""{name}_src AS (SELECT asset, rn, {x} AS x FROM step WHERE rn >= 2),
 {name} AS (SELECT asset, CAST(15 AS BIGINT) AS rn, avg(x) AS e FROM {name}_src WHERE rn <= 15 GROUP BY asset HAVING count(*) = 14
   UNION ALL SELECT s.asset, s.rn, s.x / 14e0 + r.e * 13e0 / 14e0 FROM {name} r JOIN {name}_src s ON s.asset = r.asset AND s.rn = r.rn + 1)"""
+    # an average over source(asset, rn, x) from row `first` on, seeded with the mean of its first `period` values
+    average = lambda name, source, first, period, alpha: f"""{name} AS (SELECT asset, CAST({first + period - 1} AS BIGINT) AS rn, avg(x) AS e FROM {source} WHERE rn BETWEEN {first} AND {first + period - 1} GROUP BY asset HAVING count(*) = {period}
+  UNION ALL SELECT s.asset, s.rn, {alpha} * s.x + (1e0 - {alpha}) * r.e FROM {name} r JOIN {source} s ON s.asset = r.asset AND s.rn = r.rn + 1)"""
+    summed = lambda name, x: f"""{name} AS (SELECT asset, CAST(15 AS BIGINT) AS rn, sum({x}) AS e FROM moves WHERE rn BETWEEN 2 AND 15 GROUP BY asset HAVING count(*) = 14
+  UNION ALL SELECT s.asset, s.rn, r.e - r.e / 14e0 + s.{x} FROM {name} r JOIN moves s ON s.asset = r.asset AND s.rn = r.rn + 1)"""
+    # the state of a league is a list of ratings and one of games played, a place for each of the 25 nations
+    gain = lambda step, home: f"{step} * (CASE WHEN g.hs > g.aws THEN 1e0 WHEN g.hs = g.aws THEN 0.5e0 ELSE 0e0 END - 1e0 / (1e0 + power(10e0, -(s.r[g.home + 1] + {home} - s.r[g.away + 1]) / 400e0)))"
+    elo = lambda step, home: f"""WITH RECURSIVE {relations.games(d)}, g AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY kickoff, game_id) AS k FROM games),
+rec AS (SELECT DISTINCT league, CAST(0 AS BIGINT) AS k, list_transform(range(25), lambda x: 1500e0) AS r, list_transform(range(25), lambda x: CAST(0 AS BIGINT)) AS n, CAST(NULL AS BIGINT) AS game_id, CAST(0 AS INT) AS home, CAST(0 AS INT) AS away, 0e0 AS a, 0e0 AS b, 0e0 AS step FROM g
+  UNION ALL SELECT league, k, list_transform(r, lambda v, i: v + CASE WHEN i = home + 1 THEN step WHEN i = away + 1 THEN -step ELSE 0e0 END), list_transform(n, lambda v, i: v + CASE WHEN i IN (home + 1, away + 1) THEN 1 ELSE 0 END), game_id, home, away, a, b, step
+  FROM (SELECT s.league, g.k, s.r, s.n, g.game_id, g.home, g.away, s.r[g.home + 1] AS a, s.r[g.away + 1] AS b, {gain(step, home)} AS step FROM rec s JOIN g ON g.league = s.league AND g.k = s.k + 1))"""
     title_pairs = f"""WITH RECURSIVE {relations.titles(d)}, named_tokens AS (SELECT id, title, {markets.title_tokens(d, "title")} AS tk FROM titles),
 toks AS (SELECT *, min(id) OVER (PARTITION BY tk) AS first FROM named_tokens WHERE len(tk) > 0), sets AS (SELECT DISTINCT first AS id, tk FROM toks), flat AS (SELECT id, len(tk) AS n, unnest(tk) AS w FROM sets),
 pairs AS (SELECT a.id AS a, b.id AS b, count(*) / CAST(min(a.n) + min(b.n) - count(*) AS DOUBLE) AS j FROM flat a JOIN flat b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / CAST(min(a.n) + min(b.n) - count(*) AS DOUBLE) > 0.6)"""
@@ -275,6 +286,18 @@ pairs AS (SELECT a.id AS a, b.id AS b, count(*) / CAST(min(a.n) + min(b.n) - cou
         "ta_ema": f"WITH RECURSIVE {b}, {candles.ema_sql(12, 2 / 13)} SELECT asset, rn, round(e, 6) AS ema12 FROM rec",
         "ta_rsi": f"""WITH RECURSIVE {b}, {step}, {wilder("up", "greatest(s, 0e0)")}, {wilder("down", "greatest(-s, 0e0)")}
 SELECT u.asset, u.rn, round(CASE WHEN u.e + d.e = 0e0 THEN 50e0 ELSE 100e0 * u.e / (u.e + d.e) END, 5) AS rsi14 FROM up u JOIN down d ON d.asset = u.asset AND d.rn = u.rn""",
+        "ta_macd_adx_stochrsi": f"""WITH RECURSIVE {b}, {step}, closes AS (SELECT asset, rn, c AS x FROM bars), {average("e12", "closes", 1, 12, "(2e0 / 13e0)")}, {average("e26", "closes", 1, 26, "(2e0 / 27e0)")},
+line AS (SELECT a.asset, a.rn, a.e - b.e AS x FROM e12 a JOIN e26 b ON b.asset = a.asset AND b.rn = a.rn), {average("sig", "line", 26, 9, "0.2e0")}, {wilder("up", "greatest(s, 0e0)")}, {wilder("down", "greatest(-s, 0e0)")},
+rsi AS (SELECT u.asset, u.rn, CASE WHEN u.e + d.e = 0e0 THEN 50e0 ELSE 100e0 * u.e / (u.e + d.e) END AS r FROM up u JOIN down d ON d.asset = u.asset AND d.rn = u.rn),
+raw AS (SELECT asset, rn, CASE WHEN count(*) OVER w = 14 THEN CASE WHEN max(r) OVER w > min(r) OVER w THEN 100e0 * (r - min(r) OVER w) / (max(r) OVER w - min(r) OVER w) ELSE 50e0 END END AS x FROM rsi WINDOW w AS (PARTITION BY asset ORDER BY rn ROWS 13 PRECEDING)),
+k AS (SELECT asset, rn, CASE WHEN count(x) OVER w = 3 THEN avg(x) OVER w END AS x FROM raw WINDOW w AS (PARTITION BY asset ORDER BY rn ROWS 2 PRECEDING)), dd AS (SELECT asset, rn, CASE WHEN count(x) OVER w = 3 THEN avg(x) OVER w END AS x FROM k WINDOW w AS (PARTITION BY asset ORDER BY rn ROWS 2 PRECEDING)),
+diffs AS (SELECT asset, rn, h - lag(h) OVER w AS u, lag(l) OVER w - l AS v, count(*) OVER (PARTITION BY asset) AS n FROM bars WINDOW w AS (PARTITION BY asset ORDER BY rn)),
+moves AS (SELECT d.asset, d.rn, CASE WHEN u > v AND u > 0 THEN u ELSE 0e0 END AS p, CASE WHEN v > u AND v > 0 THEN v ELSE 0e0 END AS q, t.tr AS t FROM diffs d JOIN step t ON t.asset = d.asset AND t.rn = d.rn WHERE d.rn >= 2 AND n >= 28),
+{summed("ps", "p")}, {summed("qs", "q")}, {summed("ts", "t")},
+di AS (SELECT p.asset, p.rn, CASE WHEN t.e > 0 THEN 100e0 * p.e / t.e ELSE 0e0 END AS plus, CASE WHEN t.e > 0 THEN 100e0 * q.e / t.e ELSE 0e0 END AS minus FROM ps p JOIN qs q ON q.asset = p.asset AND q.rn = p.rn JOIN ts t ON t.asset = p.asset AND t.rn = p.rn),
+dx AS (SELECT asset, rn, CASE WHEN plus + minus > 0 THEN 100e0 * abs(plus - minus) / (plus + minus) ELSE 0e0 END AS x FROM di), {average("adx", "dx", 15, 14, "(1e0 / 14e0)")}
+SELECT b.asset, b.rn, round(l.x, 6) AS macd, round(g.e, 6) AS macd_signal, round(l.x - g.e, 6) AS macd_histogram, round(k.x, 6) AS stoch_rsi_k, round(dd.x, 6) AS stoch_rsi_d, round(CASE WHEN a.e IS NOT NULL THEN least(100e0, greatest(0e0, a.e)) END, 6) AS adx14, round(di.plus, 6) AS plus_di, round(di.minus, 6) AS minus_di
+FROM bars b LEFT JOIN line l USING (asset, rn) LEFT JOIN sig g USING (asset, rn) LEFT JOIN k USING (asset, rn) LEFT JOIN dd USING (asset, rn) LEFT JOIN adx a USING (asset, rn) LEFT JOIN di USING (asset, rn)""",
         "ta_atr": f"WITH RECURSIVE {b}, {step}, {wilder('atr', 'tr')} SELECT asset, rn, round(e, 6) AS atr14 FROM atr",
         "vol_ewma": f"""WITH RECURSIVE {b}, ret AS (SELECT asset, rn, ln(c / lag(c) OVER (PARTITION BY asset ORDER BY rn)) AS r FROM bars),
 rec AS (SELECT asset, CAST(2 AS BIGINT) AS rn, r * r AS s FROM ret WHERE rn = 2 UNION ALL SELECT n.asset, n.rn, 0.94e0 * x.s + 0.06e0 * p.r * p.r FROM rec x JOIN ret n ON n.asset = x.asset AND n.rn = x.rn + 1 JOIN ret p ON p.asset = x.asset AND p.rn = x.rn)
@@ -290,6 +313,11 @@ past AS (SELECT a.asset, a.rn, a.e, count(*) AS n, (sum(CASE WHEN b.e < a.e THEN
   FROM atr a JOIN atr b ON b.asset = a.asset AND b.rn BETWEEN a.rn - 99 AND a.rn GROUP BY a.asset, a.rn, a.e),
 graded AS (SELECT *, CASE WHEN rank < 0.25e0 THEN 0 WHEN rank < 0.7e0 THEN 1 WHEN rank < 0.9e0 THEN 2 ELSE 3 END + CASE WHEN n >= 5 AND middle > 0 AND e / middle >= 1.75e0 THEN 1 ELSE 0 END AS level FROM past WHERE n >= 2)
 SELECT asset, rn, round(rank, 6) AS atr_percentile, ['low', 'normal', 'elevated', 'extreme'][least(level, 3) + 1] AS vol_regime FROM graded""",
+        "structure_value_area": f"""WITH RECURSIVE bins AS ({candles.plans(d)["structure_volume_bins"]}), v AS (SELECT asset, list(volume ORDER BY bin) AS v FROM bins GROUP BY asset),
+grow AS (SELECT asset, v, list_sum(v) AS total, list_position(v, list_max(v)) AS poc, list_position(v, list_max(v)) AS lo, list_position(v, list_max(v)) AS hi, list_max(v) AS held FROM v
+  UNION ALL SELECT asset, v, total, poc, CASE WHEN up THEN lo ELSE lo - 1 END, CASE WHEN up THEN hi + 1 ELSE hi END, held + CASE WHEN up THEN v[hi + 1] ELSE v[lo - 1] END
+  FROM (SELECT *, hi < len(v) AND (lo = 1 OR v[hi + 1] >= v[lo - 1]) AS up FROM grow WHERE held < 0.7e0 * total AND (lo > 1 OR hi < len(v))))
+SELECT asset, CAST(min(poc) - 1 AS BIGINT) AS poc_bin, CAST(min(lo) - 1 AS BIGINT) AS low_bin, CAST(max(hi) - 1 AS BIGINT) AS high_bin, round(max(held) / max(total), 6) AS share FROM grow GROUP BY asset""",
         "vol_forecast": f"""WITH RECURSIVE {b}, ret AS (SELECT asset, rn, ln(c / lag(c) OVER (PARTITION BY asset ORDER BY rn)) AS r FROM bars),
 rec AS (SELECT asset, CAST(2 AS BIGINT) AS rn, r * r AS s FROM ret WHERE rn = 2 UNION ALL SELECT n.asset, n.rn, 0.94e0 * x.s + 0.06e0 * p.r * p.r FROM rec x JOIN ret n ON n.asset = x.asset AND n.rn = x.rn + 1 JOIN ret p ON p.asset = x.asset AND p.rn = x.rn),
 e AS (SELECT asset, sqrt(arg_max(s, rn)) AS ewma FROM rec GROUP BY asset), size AS (SELECT asset, count(*) AS n FROM bars GROUP BY asset HAVING count(*) >= 30),
@@ -314,6 +342,10 @@ SELECT s.asset, round(CASE WHEN b0 + a0 = 0 THEN 0 ELSE (b0 - a0) / (b0 + a0) EN
   round(CASE WHEN b1 > 0 AND a1 > 0 THEN 0.35 * exp(-bps / 10) + 0.3 * least(1, n / 40) + 0.2 * (1 - abs(b1 - a1) / (b1 + a1)) + 0.15 * (1 - largest / (b1 + a1)) ELSE 0 END, 6) AS book_depth,
   round(wb.multiple, 6) AS bid_wall, round(wb.dist, 6) AS bid_wall_distance, round(wa.multiple, 6) AS ask_wall, round(wa.dist, 6) AS ask_wall_distance
 FROM s LEFT JOIN w wb ON wb.asset = s.asset AND wb.side = 'bid' AND wb.r = 1 LEFT JOIN w wa ON wa.asset = s.asset AND wa.side = 'ask' AND wa.r = 1""",
+        "sports_elo_batch": f"""{elo("20e0 * sqrt(greatest(1, abs(g.hs - g.aws)))", 60)}
+SELECT league, CAST(team AS INT) AS team, round(rating, 4) AS rating, games FROM (SELECT league, unnest(range(0, 25)) AS team, unnest(r) AS rating, unnest(n) AS games FROM (SELECT league, arg_max(r, k) AS r, arg_max(n, k) AS n FROM rec GROUP BY league)) WHERE games > 0""",
+        "sports_elo_history": f"""{elo("(40e0 + 20e0 * exp(-s.n[g.home + 1] / 25e0) + 20e0 * exp(-s.n[g.away + 1] / 25e0)) / 2e0 * ln(1e0 + greatest(1, abs(g.hs - g.aws))) / ln(2e0)", 65)}
+SELECT league, game_id, home AS team, round(a, 4) AS "before", round(a + step, 4) AS "after" FROM rec WHERE k > 0 UNION ALL SELECT league, game_id, away, round(b, 4), round(b - step, 4) FROM rec WHERE k > 0""",
         "sports_elo_sum": f"""WITH {relations.games(d)}, t AS (SELECT league, home AS team FROM games UNION ALL SELECT league, away FROM games)
 SELECT league, 1500e0 * count(DISTINCT team) AS total, count(DISTINCT team) AS teams, count(*) AS sides FROM t GROUP BY league""",
         "store_upsert": """WITH r AS (SELECT o_custkey AS subject, o_orderstatus AS timeframe, o_orderkey AS id, o_orderdate AS generated_at, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END, o_orderkey DESC) AS n FROM orders)
