@@ -25,6 +25,49 @@ def predict(w, x):
     return z / z.sum(axis=1, keepdims=True)
 
 
+#: Least games to learn from, games at which a model's confidence is half, and its cap.
+LEAST_SAMPLES, HALF_SAMPLES, MOST_CONFIDENCE = 120, 250, 0.75
+
+
+def learned_outcomes(fixtures: DataFrame, games: DataFrame, rate: float = 0.5, steps: int = 300, l2: float = 0.02) -> DataFrame:
+    """(league, home, away, model, home_p, draw_p, away_p, confidence, factors) of fixtures(league, home, away) by a model of the league's games.
+
+    A league with fewer than LEAST_SAMPLES games to learn from abstains, and so does a fixture whose teams have played too
+    few: neither has a row. factors are the three largest (feature, contribution), the gap of the home and away
+    coefficients times the feature, a tenth of it.
+    """
+
+    def each(pdf, asked):
+        import numpy as np
+        import pandas as pd
+
+        from oddsmith.operators import ratings
+
+        samples, state = ratings.replay(pdf)
+        rows = []
+        if len(samples) >= LEAST_SAMPLES:
+            x = np.array([s[4:] for s in samples], float)
+            w = train_logistic(x, np.array([s[3] for s in samples]), 3, rate, steps, l2)
+            confidence = min(MOST_CONFIDENCE, len(samples) / (len(samples) + HALF_SAMPLES))
+            now = float(pdf["kickoff"].max())
+            for league, home, away in asked[["of", "first", "second"]].itertuples(index=False):
+                values = ratings.fixture_values(state, home, away, now)
+                if values is None:
+                    continue
+                p = predict(w, np.array([values]))[0]
+                shares = (w[0, :-1] - w[2, :-1]) * np.array(values) * 0.1
+                top = [{"feature": ratings.FEATURES[i], "contribution": float(shares[i])} for i in np.argsort(-np.abs(shares), kind="stable") if shares[i] != 0][:3]
+                rows.append((league, home, away, "learned", *map(float, p), confidence, top))
+        return pd.DataFrame(rows, columns=["league", "home", "away", "model", "home_p", "draw_p", "away_p", "confidence", "factors"])
+
+    from pyspark.sql import functions as F
+
+    schema = "league int, home int, away int, model string, home_p double, draw_p double, away_p double, confidence double, factors array<struct<feature:string,contribution:double>>"
+    # names of their own, as fixtures may come from the games themselves
+    asked = fixtures.select(F.col("league").alias("of"), F.col("home").alias("first"), F.col("away").alias("second"))
+    return games.groupBy("league").cogroup(asked.groupBy("of")).applyInPandas(each, schema)
+
+
 def walk_forward(samples: DataFrame, features: tuple[str, ...], first: int = 120, step: int = 40, rate: float = 0.5, steps: int = 300, l2: float = 0.02) -> DataFrame:
     """(league, fold, n, brier, log_loss, accuracy, base_brier): each fold is scored by a model of all earlier games and by their base rates."""
 
@@ -47,38 +90,57 @@ def walk_forward(samples: DataFrame, features: tuple[str, ...], first: int = 120
     return samples.groupBy("league").applyInPandas(each, "league int, fold bigint, n bigint, brier double, log_loss double, accuracy double, base_brier double")
 
 
+def _pool(pools: list[list[float]], x: float, y: float, weight: float) -> None:
+    """Adds a point behind the pools and merges while the last two do not rise."""
+    pools.append([x, y, weight])
+    while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
+        b, a = pools.pop(), pools.pop()
+        w = a[2] + b[2]
+        pools.append([(a[0] * a[2] + b[0] * b[2]) / w, (a[1] * a[2] + b[1] * b[2]) / w, w])
+
+
 def pool_adjacent_violators(p, y) -> list[tuple[float, float, float]]:
     """(position, value, weight) of the pools of a non-decreasing fit, in order of p; the order of y breaks ties."""
     pools: list[list[float]] = []
     for x, v in sorted(zip(p, y, strict=True)):
-        pools.append([x, v, 1.0])
-        while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
-            b, a = pools.pop(), pools.pop()
-            w = a[2] + b[2]
-            pools.append([(a[0] * a[2] + b[0] * b[2]) / w, (a[1] * a[2] + b[1] * b[2]) / w, w])
+        _pool(pools, x, v, 1.0)
     return [tuple(q) for q in pools]
 
 
 def isotonic_fit(observations: DataFrame, least: int = 500) -> DataFrame:
-    """(domain, x, y, weight, usable): the pools of each domain's fit.
+    """(domain, x, y, weight, usable): the pools of each domain's fit; null probabilities and outcomes are left out.
 
-    Observations of equal probability are summed before they are gathered, rounded to six places: a domain has a million of those at most.
+    Observations of equal probability are summed first. Ranges of the sorted points are then pooled each in its own task:
+    the pools of a stretch are parts of the whole fit's pools, so pooling them once more gives that fit, and a domain
+    gathers pools only.
     """
     from pyspark.sql import functions as F
 
-    counted = observations.groupBy("domain", F.round("p", 6).alias("p")).agg(F.sum("y").alias("hits"), F.count(F.lit(1)).alias("n"))
+    counted = observations.where("p is not null and y is not null").groupBy("domain", "p").agg(F.sum("y").alias("hits"), F.count(F.lit(1)).alias("n"))
+    points = counted.select("domain", F.col("p").alias("x"), (F.col("hits") / F.col("n")).alias("y"), F.col("n").cast("double").alias("weight"))
 
-    def each(pdf):
+    def stretch(batches):
+        import pandas as pd
+
+        domain, pools = None, []
+        for pdf in batches:
+            out = []
+            for d, x, y, w in zip(pdf["domain"], pdf["x"], pdf["y"], pdf["weight"], strict=True):
+                if d != domain:
+                    out += [(domain, *q) for q in pools]
+                    domain, pools = d, []
+                _pool(pools, x, y, w)
+            yield pd.DataFrame(out, columns=["domain", "x", "y", "weight"])
+        yield pd.DataFrame([(domain, *q) for q in pools], columns=["domain", "x", "y", "weight"])
+
+    def whole(pdf):
         import pandas as pd
 
         pools: list[list[float]] = []
-        for r in pdf.sort_values("p").itertuples():
-            pools.append([r.p, r.hits / r.n, float(r.n)])
-            while len(pools) > 1 and pools[-2][1] >= pools[-1][1]:
-                b, a = pools.pop(), pools.pop()
-                w = a[2] + b[2]
-                pools.append([(a[0] * a[2] + b[0] * b[2]) / w, (a[1] * a[2] + b[1] * b[2]) / w, w])
+        for x, y, w in pdf.sort_values("x")[["x", "y", "weight"]].itertuples(index=False):
+            _pool(pools, x, y, w)
         n = sum(q[2] for q in pools)
         return pd.DataFrame([(pdf["domain"].iloc[0], *q, n >= least) for q in pools], columns=["domain", "x", "y", "weight", "usable"])
 
-    return counted.groupBy("domain").applyInPandas(each, "domain string, x double, y double, weight double, usable boolean")
+    parts = points.repartitionByRange("domain", "x").sortWithinPartitions("domain", "x").mapInPandas(stretch, "domain string, x double, y double, weight double")
+    return parts.groupBy("domain").applyInPandas(whole, "domain string, x double, y double, weight double, usable boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Prior weights of the models; adaptive weights multiply them where a record exists.
-WEIGHTS = {"rates": 0.4, "elo": 0.3, "form": 0.2}
+WEIGHTS = {"rates": 0.4, "elo": 0.3, "form": 0.2, "learned": 0.1}
 LEAST_GAMES = 5
 
 

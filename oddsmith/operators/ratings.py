@@ -95,28 +95,43 @@ def attack_defence(games: DataFrame, decay: float = 0.0065, prior: float = 6.0,
 FEATURES = ("elo_diff", "attack_diff", "defence_diff", "form_diff", "rest_diff")
 
 
+def fixture_values(state: dict[int, list], home: int, away: int, at: float, least: int = 5) -> tuple[float, ...] | None:
+    """FEATURES of a fixture at a time, in milliseconds, from what replay knows; None if a team has played fewer than `least` games."""
+    a, b = state.get(home), state.get(away)
+    if a is None or b is None or min(a[5], b[5]) < least:
+        return None
+    rest = lambda s: min(14.0, (at - s[6]) / 86_400_000)
+    values = ((a[0] + 60 - b[0]) / 400, a[1] / a[4] - b[1] / b[4], b[2] / b[4] - a[2] / a[4], a[3] / a[4] - b[3] / b[4], (rest(a) - rest(b)) / 7)
+    return tuple(max(-3.0, min(3.0, v)) for v in values)
+
+
+def replay(pdf, least: int = 5, fade: float = 0.92) -> tuple[list[tuple], dict[int, list]]:
+    """The samples (league, game_id, kickoff, outcome, *FEATURES) of one league's games in order, and what is known after them.
+
+    By team: rating, faded sums of goals for and against and result, their weight, games, last kickoff.
+    """
+    state: dict[int, list] = {}
+    rows = []
+    for g in _in_order(pdf).itertuples():
+        values = fixture_values(state, g.home, g.away, g.kickoff, least)
+        if values is not None:
+            rows.append((g.league, g.game_id, g.kickoff, 0 if g.hs > g.aws else 1 if g.hs == g.aws else 2, *values))
+        a, b = (state.setdefault(t, [START, 0.0, 0.0, 0.0, 0.0, 0, None]) for t in (g.home, g.away))
+        won = 1.0 if g.hs > g.aws else 0.5 if g.hs == g.aws else 0.0
+        step = 20 * (won - expected(a[0] + 60 - b[0]))
+        for s, own, other, result, move in ((a, g.hs, g.aws, won, step), (b, g.aws, g.hs, 1 - won, -step)):
+            s[0] += move
+            s[1], s[2], s[3], s[4] = fade * s[1] + own, fade * s[2] + other, fade * s[3] + result, fade * s[4] + 1
+            s[5], s[6] = s[5] + 1, g.kickoff
+    return rows, state
+
+
 def learned_features(games: DataFrame, least: int = 5, fade: float = 0.92) -> DataFrame:
     """(league, game_id, kickoff, outcome, FEATURES): what was known before each game; a game changes nothing before it is over."""
 
     def each(pdf):
         import pandas as pd
 
-        state: dict[int, list[float]] = {}
-        rows = []
-        for g in _in_order(pdf).itertuples():
-            # rating, faded sums of goals for and against and result, their weight, games, last kickoff
-            a, b = (state.setdefault(t, [START, 0.0, 0.0, 0.0, 0.0, 0, None]) for t in (g.home, g.away))
-            if min(a[5], b[5]) >= least:
-                rest = lambda s: min(14.0, (g.kickoff - s[6]) / 86_400_000)  # noqa: B023, E731
-                values = ((a[0] + 60 - b[0]) / 400, a[1] / a[4] - b[1] / b[4], b[2] / b[4] - a[2] / a[4], a[3] / a[4] - b[3] / b[4], (rest(a) - rest(b)) / 7)
-                outcome = 0 if g.hs > g.aws else 1 if g.hs == g.aws else 2
-                rows.append((g.league, g.game_id, g.kickoff, outcome, *(max(-3.0, min(3.0, v)) for v in values)))
-            won = 1.0 if g.hs > g.aws else 0.5 if g.hs == g.aws else 0.0
-            step = 20 * (won - expected(a[0] + 60 - b[0]))
-            for s, own, other, result, move in ((a, g.hs, g.aws, won, step), (b, g.aws, g.hs, 1 - won, -step)):
-                s[0] += move
-                s[1], s[2], s[3], s[4] = fade * s[1] + own, fade * s[2] + other, fade * s[3] + result, fade * s[4] + 1
-                s[5], s[6] = s[5] + 1, g.kickoff
-        return pd.DataFrame(rows, columns=["league", "game_id", "kickoff", "outcome", *FEATURES])
+        return pd.DataFrame(replay(pdf, least, fade)[0], columns=["league", "game_id", "kickoff", "outcome", *FEATURES])
 
     return games.groupBy("league").applyInPandas(each, "league int, game_id bigint, kickoff bigint, outcome int, " + ", ".join(f"{f} double" for f in FEATURES))

@@ -83,6 +83,7 @@ def sports_match_ensemble(spark, sf_dir):
     form = _sql(spark, sf_dir, sports.form_frame(SPARK))
     fixtures = played.select("league", "home", "away").distinct()
     outcomes = matches.outcome_rows(fixtures, ratings.batch_elo(played), ratings.attack_defence(played), form)
+    outcomes = outcomes.unionByName(learning.learned_outcomes(fixtures, played).select(*outcomes.columns))
     return _rounded(matches.pooled(outcomes), 4)
 
 
@@ -155,6 +156,12 @@ def sports_learned_features(spark, sf_dir):
     return _rounded(ratings.learned_features(games(spark, sf_dir)), 5)
 
 
+def sports_learned_model(spark, sf_dir):
+    played = games(spark, sf_dir)
+    found = learning.learned_outcomes(played.select("league", "home", "away").distinct(), played)
+    return _rounded(found.select("league", "home", "away", "home_p", "draw_p", "away_p", "confidence", F.get("factors", F.lit(0))["feature"].alias("most"), F.get("factors", F.lit(0))["contribution"].alias("share")), 4)
+
+
 def learn_walk_forward(spark, sf_dir):
     return _rounded(learning.walk_forward(ratings.learned_features(games(spark, sf_dir)), ratings.FEATURES), 4)
 
@@ -253,7 +260,7 @@ def stream_throttled(spark, sf_dir):
 REGISTERED = (
     ta_ema, ta_rsi, ta_atr, ta_macd_adx_stochrsi, vol_ewma, structure_levels, structure_value_area, structure_breakout, sports_match_ensemble, candle_features, candle_models, candle_predict,
     feature_completeness, vol_atr_regime, vol_forecast, structure_consolidation, orderflow_book_features,
-    sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_features, learn_walk_forward, metric_isotonic_fit,
+    sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_features, sports_learned_model, learn_walk_forward, metric_isotonic_fit,
     store_throttle, store_upsert, store_opportunities, store_market_links, store_prekickoff, text_story_clusters, title_jaccard_links, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
 )
 

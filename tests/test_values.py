@@ -227,3 +227,31 @@ def test_tfidf_reads_all_articles(spark):
     assert found["text_idf"](spark, SF).count() == n > 50
     rows = found["text_tfidf_cosine"](spark, SF).collect()
     assert len({r.a for r in rows}) > 50 and len({r.b for r in rows}) > 100 and all(r.a != r.b and 0 < r.cosine <= 1 for r in rows)
+
+
+def test_isotonic_fit_over_stretches(spark):
+    rng = random.Random(4)
+    rows = [(d, round(rng.random(), 4), float(rng.random() < 0.4)) for d in ("a", "b") for _ in range(700)] + [("a", None, 1.0), ("b", 0.5, None)]
+    data = spark.createDataFrame(rows, "domain string, p double, y double").repartition(7)
+    got = learning.isotonic_fit(data).collect()
+    for domain in ("a", "b"):
+        sums = {}
+        for d, p, y in rows:
+            if d == domain and p is not None and y is not None:
+                sums.setdefault(p, []).append(y)
+        points = [(p, sum(v) / len(v), len(v)) for p, v in sorted(sums.items())]
+        want = learning.pool_adjacent_violators([p for p, _, n in points for _ in range(n)], [y for _, y, n in points for _ in range(n)])
+        own = sorted((r.x, r.y, r.weight) for r in got if r.domain == domain)
+        assert np.allclose(own, want) and all(r.usable for r in got)
+
+
+def test_learned_voter(spark):
+    rng = random.Random(8)
+    rows = [(1, i, i * 86_400_000, h, a, 3 if h < a else rng.randrange(2), rng.randrange(2)) for i in range(260) for h, a in [tuple(rng.sample(range(6), 2))]]
+    rows += [(2, 1000 + i, i * 86_400_000, 1, 2, 1, 0) for i in range(20)]
+    games = spark.createDataFrame(rows, "league int, game_id long, kickoff long, home int, away int, hs int, aws int")
+    fixtures = spark.createDataFrame([(1, 0, 5), (1, 5, 0), (1, 0, 9), (2, 1, 2)], "league int, home int, away int")
+    got = {(r.league, r.home, r.away): r for r in learning.learned_outcomes(fixtures, games).collect()}
+    assert set(got) == {(1, 0, 5), (1, 5, 0)} and all(abs(r.home_p + r.draw_p + r.away_p - 1) < 1e-9 for r in got.values())
+    assert got[1, 0, 5].home_p > 0.6 > got[1, 5, 0].home_p and 1 <= len(got[1, 0, 5].factors) <= 3
+    assert abs(got[1, 0, 5].confidence - 0.5) < 0.02
