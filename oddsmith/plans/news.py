@@ -100,7 +100,7 @@ flip AS (SELECT DISTINCT h.id, h.part, h.pos FROM hit h JOIN words w ON w.id = h
 boost AS (SELECT h.id, h.part, h.pos, arg_max(s.factor, w.pos) AS factor FROM hit h JOIN words w ON w.id = h.id AND w.pos BETWEEN greatest(h.first, h.pos - 2) AND h.pos - 1 JOIN stretch s ON s.word = w.word GROUP BY ALL),
 adjusted AS (SELECT h.id, h.part, h.weight * CASE WHEN f.pos IS NULL THEN 1e0 ELSE -1e0 END * coalesce(b.factor, 1e0) AS x FROM hit h
   LEFT JOIN flip f ON f.id = h.id AND f.part = h.part AND f.pos = h.pos LEFT JOIN boost b ON b.id = h.id AND b.part = h.part AND b.pos = h.pos)"""
-    score = "CAST(coalesce(greatest(-100, least(100, floor(avg(a.x) * 25e0 + 0.5e0))), 0) AS BIGINT) AS score, count(a.x) AS hits, round(least(0.95e0, count(a.x) / (count(a.x) + 3e0)), 6) AS confidence"
+    score = "CAST(CASE WHEN count(a.x) = 0 THEN 0 ELSE greatest(-100, least(100, floor(avg(a.x) * 25e0 + 0.5e0))) END AS BIGINT) AS score, count(a.x) AS hits, round(least(0.95e0, count(a.x) / (count(a.x) + 3e0)), 6) AS confidence"
     around = f"""seen AS (SELECT DISTINCT id, entity, greatest(0, len(regexp_extract_all(lower(substr(title, 1, place + 1)), '{word}')) - 1) AS i FROM mentions),
 starts AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY id, entity ORDER BY i) <= 25 THEN 0 ELSE 1 END AS new FROM seen),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY id, entity ORDER BY i) AS g FROM starts),
