@@ -92,7 +92,9 @@ def aliases() -> list[tuple[str, str, str, bool]]:
 
 
 def alias_pattern(alias: str) -> str:
-    """A regular expression for an alias as whole words; after a full stop no letter or digit may follow."""
-    body = alias.replace(".", "[.]")
-    end = r"\b" if alias[-1].isascii() and alias[-1].isalnum() else "(?![a-zA-Z0-9])"
-    return rf"\b{body}{end}"
+    """A regular expression for an alias as whole words: no ASCII letter, digit or underscore around it, after a full stop no letter or digit.
+
+    Look-arounds say so, as the word boundary of Java's expressions also counts letters beyond ASCII.
+    """
+    end = "(?![A-Za-z0-9_])" if alias[-1].isascii() and alias[-1].isalnum() else "(?![A-Za-z0-9])"
+    return f"(?<![A-Za-z0-9_]){alias.replace('.', '[.]')}{end}"

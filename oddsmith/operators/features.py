@@ -33,8 +33,11 @@ def _clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def _series(bars: DataFrame, indicators: DataFrame) -> DataFrame:
-    """One row per bar: windows over closes, ranges and volumes beside the recursive indicators."""
+def series(bars: DataFrame) -> DataFrame:
+    """One row per bar: windows over closes, ranges and volumes beside the recursive indicators and the volatility regime.
+
+    feature_vector reads it several times, so a caller stores it first.
+    """
     by = Window.partitionBy("asset").orderBy("rn")
     last = lambda n: by.rowsBetween(-(n - 1), 0)
     full = lambda f, n: F.when(F.count(F.lit(1)).over(last(n)) == n, f.over(last(n)))
@@ -58,16 +61,12 @@ def _series(bars: DataFrame, indicators: DataFrame) -> DataFrame:
         "aggressor": (2 * F.sum("buys").over(last(AGGRESSOR_BARS)) - F.sum("known").over(last(AGGRESSOR_BARS))) / F.nullif(F.sum("known").over(last(AGGRESSOR_BARS)), F.lit(0.0)),
         "coverage": F.count("known").over(last(AGGRESSOR_BARS)) / F.count(F.lit(1)).over(last(AGGRESSOR_BARS)),
     })
-    return volatility.regimes(rows.join(indicators, ["asset", "rn"]))
+    return volatility.regimes(rows.join(folds.recursive_indicators(bars), ["asset", "rn"]))
 
 
-def consolidation(bars: DataFrame) -> DataFrame:
-    """(asset, consolidation) of the last bar: half from how much longer the path of the last RANGE_BARS bars is than their range, half
+def consolidation(rows: DataFrame) -> DataFrame:
+    """(asset, consolidation) of the last bar of series: half from how much longer the path of the last RANGE_BARS bars is than their range, half
     from how narrow the bands are within their own history. Fewer than RANGE_BARS + 2 bars: no row."""
-    return _consolidation(_series(bars, folds.recursive_indicators(bars)))
-
-
-def _consolidation(rows: DataFrame) -> DataFrame:
     final = rows.groupBy("asset").agg(F.max("bars").alias("bars"), F.max_by("path", "rn").alias("path"), F.max_by("span", "rn").alias("span"), F.max_by("bandwidth", "rn").alias("now"))
     final = final.where(F.col("bars") >= RANGE_BARS + 2)
     ranks = rows.where("bandwidth is not null").join(final.select("asset", "now"), "asset").groupBy("asset").agg(
@@ -78,28 +77,25 @@ def _consolidation(rows: DataFrame) -> DataFrame:
     return final.join(ranks, "asset", "left").select("asset", _clamp(0.5 * path + 0.5 * narrow).alias("consolidation"))
 
 
-def feature_vector(bars: DataFrame, trends: DataFrame, book: DataFrame, derivatives: DataFrame, horizon: int = 1) -> DataFrame:
+def feature_vector(rows: DataFrame, levels: DataFrame, trends: DataFrame, book: DataFrame, derivatives: DataFrame, horizon: int = 1) -> DataFrame:
     """One row per asset with the features of its last bar.
 
-    bars(asset, rn, o, h, l, c, v, tb), trends(asset, trend, strength), book(asset, side, price, qty), derivatives(asset,
-    funding_rate, open_interest_value, quote_volume); assets may be missing from all but bars, and any value may be null.
+    rows are those of series, levels those of folds.support_levels, trends(asset, trend, strength), book(asset, side, price, qty), derivatives(asset,
+    funding_rate, open_interest_value, quote_volume); assets may be missing from all but rows, and any value may be null.
     """
-    indicators = folds.recursive_indicators(bars)
-    rows = _series(bars, indicators)
     newest = rows.withColumn("newest", F.row_number().over(Window.partitionBy("asset").orderBy(F.col("rn").desc()))).where("newest = 1")
     rsi_past = rows.where("rsi14 is not null").withColumn("back", F.row_number().over(Window.partitionBy("asset").orderBy(F.col("rn").desc()))).where("back <= 100")
     rsi_rank = rsi_past.groupBy("asset").agg(F.collect_list("rsi14").alias("past"), F.max_by("rsi14", "rn").alias("now")).where(F.size("past") >= 3)
     rsi_rank = rsi_rank.select("asset", volatility.percentile_rank(F.col("past"), F.col("now")).alias("rsi_percentile"))
-    levels = folds.support_levels(bars)
     near = levels.where(F.col("strength") >= STRONG).join(newest.select("asset", "c", "atr14"), "asset").where("atr14 > 0").withColumn("distance", F.abs(F.col("c") - F.col("level")) / F.col("atr14"))
     near = near.groupBy("asset", "is_support").agg(F.min(F.struct("distance", "level", "strength")).alias("n"))
     of = lambda support, field: F.max(F.when(F.col("is_support") == support, F.col(f"n.{field}")))
     near = near.groupBy("asset").agg(*(of(side == "support", f).alias(f"{side}_{f}") for side in ("support", "resistance") for f in ("distance", "strength", "level")))
-    broken = folds.breakouts(bars, levels).select("asset", F.col("kind").alias("breakout"), F.col("strength").alias("breakout_strength"), F.col("is_support").alias("breakout_at_support"))
+    broken = folds.breakouts(rows, levels).select("asset", F.col("kind").alias("breakout"), F.col("strength").alias("breakout_strength"), F.col("is_support").alias("breakout_at_support"))
     trends = trends.select("asset", F.col("trend").alias("trend"), F.col("strength").alias("trend_strength"))
     derivatives = derivatives.select("asset", "funding_rate", F.col("open_interest_value").alias("open_interest"), F.when(F.col("quote_volume") > 0, F.col("open_interest_value") / F.col("quote_volume")).alias("oi_to_volume"))
     joined = newest
-    for side in (rsi_rank, near, broken, trends, _consolidation(rows), book_features(book), derivatives, volatility.forecasts(bars, indicators, horizon)):
+    for side in (rsi_rank, near, broken, trends, consolidation(rows), book_features(book), derivatives, volatility.forecasts(rows, rows, horizon)):
         joined = joined.join(side, "asset", "left")
     versus = lambda n: F.when(F.col(f"sma{n}") > 0, F.col("c") / F.col(f"sma{n}") - 1).alias(f"vs_sma{n}")
     return joined.select(

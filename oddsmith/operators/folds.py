@@ -147,15 +147,18 @@ def support_levels(bars: DataFrame, width: float = 0.005, top: int = 8) -> DataF
         swings = [(h[i], i) for i in range(2, n - 2) if h[i] > max(h[i - 2], h[i - 1], h[i + 1], h[i + 2])]
         swings += [(low[i], i) for i in range(2, n - 2) if low[i] < min(low[i - 2], low[i - 1], low[i + 1], low[i + 2])]
         groups: list[list[tuple[float, int]]] = []
+        total = 0.0  # of the last group's prices
         for price, i in sorted(swings):
-            mean = np.mean([p for p, _ in groups[-1]]) if groups else None
+            mean = total / len(groups[-1]) if groups else None
             if mean is not None and abs(price - mean) <= width * mean:
                 groups[-1].append((price, i))
+                total += price
             else:
                 groups.append([(price, i)])
+                total = price
         rows = []
         for g in (g for g in groups if len(g) >= 2):
-            level, age = float(np.mean([p for p, _ in g])), n - 1 - max(i for _, i in g)
+            level, age = sum(p for p, _ in g) / len(g), n - 1 - max(i for _, i in g)
             near = v[(low <= level * (1 + width)) & (h >= level * (1 - width))].sum()
             strength = 0.4 * min(1, (len(g) - 1) / 3) + 0.3 * np.exp(-np.log(2) / (n / 4) * age) + 0.3 * min(1, near / max(v.sum(), 1e-12) / 0.15)
             rows.append((pdf["asset"].iloc[0], level, len(g), float(strength), bool(level < pdf["c"].iloc[-1])))

@@ -87,10 +87,19 @@ def sports_match_ensemble(spark, sf_dir):
     return _rounded(matches.pooled(outcomes), 4)
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back, for what several branches of a plan read."""
+    path = _scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _features(spark, sf_dir):
     trends = _sql(spark, sf_dir, candles.plans(SPARK)["structure_trend"])
     book = _sql(spark, sf_dir, f"WITH {relations.asset_books(SPARK)} SELECT * FROM asset_books")
-    return features.feature_vector(bars(spark, sf_dir), trends, book, _sql(spark, sf_dir, f"WITH {relations.derivatives(SPARK)} SELECT * FROM derivatives"))
+    series = _stored(features.series(bars(spark, sf_dir)), "series")
+    levels = _stored(folds.support_levels(series), "levels")
+    return _stored(features.feature_vector(series, levels, trends, book, _sql(spark, sf_dir, f"WITH {relations.derivatives(SPARK)} SELECT * FROM derivatives")), "features")
 
 
 def candle_features(spark, sf_dir):
@@ -128,7 +137,7 @@ def vol_forecast(spark, sf_dir):
 
 
 def structure_consolidation(spark, sf_dir):
-    return _rounded(features.consolidation(bars(spark, sf_dir)))
+    return _rounded(features.consolidation(_stored(features.series(bars(spark, sf_dir)), "series")))
 
 
 def orderflow_book_features(spark, sf_dir):

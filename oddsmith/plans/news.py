@@ -84,7 +84,7 @@ def _values(rows: list[tuple]) -> str:
 
 def oracle_sql() -> dict[str, str]:
     word = "[a-z0-9]+(?:[''’][a-z]+)?"
-    pattern = lambda alias, cased: ("" if cased else "(?i)") + L.alias_pattern(alias).replace("(?![a-zA-Z0-9])", "(?:[^a-zA-Z0-9]|$)")
+    pattern = lambda alias, cased: ("" if cased else "(?i)") + rf"\b{alias.replace('.', '[.]')}" + ("(?:[^a-zA-Z0-9]|$)" if alias[-1] == "." else r"\b")
     aliases = [(entity, kind, pattern(alias, cased)) for entity, kind, alias, cased in L.aliases()]
     base = f"""WITH {R.headlines(DUCK)},
 names(entity, kind, pattern) AS ({_values(aliases)}), lexicon(word, weight) AS ({_values(L.sentiment_words())}), negators(word) AS ({_values([(w,) for w in L.NEGATORS])}),
