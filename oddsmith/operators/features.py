@@ -34,7 +34,7 @@ def _clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def series(bars: DataFrame) -> DataFrame:
-    """One row per bar: windows over closes, ranges and volumes beside the recursive indicators and the volatility regime.
+    """One row per bar: windows over closes, ranges and volumes beside the recursive indicators.
 
     feature_vector reads it several times, so a caller stores it first.
     """
@@ -61,7 +61,7 @@ def series(bars: DataFrame) -> DataFrame:
         "aggressor": (2 * F.sum("buys").over(last(AGGRESSOR_BARS)) - F.sum("known").over(last(AGGRESSOR_BARS))) / F.nullif(F.sum("known").over(last(AGGRESSOR_BARS)), F.lit(0.0)),
         "coverage": F.count("known").over(last(AGGRESSOR_BARS)) / F.count(F.lit(1)).over(last(AGGRESSOR_BARS)),
     })
-    return volatility.regimes(rows.join(folds.recursive_indicators(bars), ["asset", "rn"]))
+    return rows.join(folds.recursive_indicators(bars), ["asset", "rn"])
 
 
 def consolidation(rows: DataFrame) -> DataFrame:
@@ -83,7 +83,8 @@ def feature_vector(rows: DataFrame, levels: DataFrame, trends: DataFrame, book:
     rows are those of series, levels those of folds.support_levels, trends(asset, trend, strength), book(asset, side, price, qty), derivatives(asset,
     funding_rate, open_interest_value, quote_volume); assets may be missing from all but rows, and any value may be null.
     """
-    newest = rows.withColumn("newest", F.row_number().over(Window.partitionBy("asset").orderBy(F.col("rn").desc()))).where("newest = 1")
+    recent = rows.withColumn("newest", F.row_number().over(Window.partitionBy("asset").orderBy(F.col("rn").desc()))).where(F.col("newest") <= volatility.LOOKBACK)
+    newest = volatility.regimes(recent).where("newest = 1")
     rsi_past = rows.where("rsi14 is not null").withColumn("back", F.row_number().over(Window.partitionBy("asset").orderBy(F.col("rn").desc()))).where("back <= 100")
     rsi_rank = rsi_past.groupBy("asset").agg(F.collect_list("rsi14").alias("past"), F.max_by("rsi14", "rn").alias("now")).where(F.size("past") >= 3)
     rsi_rank = rsi_rank.select("asset", volatility.percentile_rank(F.col("past"), F.col("now")).alias("rsi_percentile"))
