@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import audio, decontaminate, langid, packing, pii, sharding, simhash, tokencounts, toxicity, warc
+from oddsmith.llm import audio, conversations, decontaminate, langid, oracles, packing, pii, sharding, simhash, tokencounts, toxicity, warc
 from oddsmith.llm.common import fresh_path, table
 
 
@@ -76,6 +76,10 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.maintained_totals(docs, fresh_path(spark, "token-ledger"), tokenizer_path(), "byte_bpe_50k")
 
 
+def op13_repair_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 REGISTERED = (
     op1_cutting_stock_packing,
     op2_suffix_array_decontamination,
@@ -87,6 +91,7 @@ REGISTERED = (
     op8_simhash_ball,
     op9_toxic_segments,
     op10_token_rollups,
+    op13_repair_layers,
 )
 
 
@@ -95,5 +100,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten can be written in DuckDB's SQL (tokenizers, XXH64, CRC-32, suffix arrays, trained models): they are tested against brute force."""
-    return {}
+    """The others cannot be written in DuckDB's SQL (tokenizers, XXH64, suffix arrays, trained models, rounding by hashes): they are tested against brute force."""
+    return {"op13_repair_layers": oracles.OP13}
