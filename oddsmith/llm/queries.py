@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import audio, conversations, decontaminate, langid, oracles, packing, pii, sharding, simhash, tokencounts, toxicity, warc
+from oddsmith.llm import audio, conversations, decontaminate, langid, mixing, oracles, packing, pii, sharding, simhash, tokencounts, toxicity, warc
 from oddsmith.llm.common import fresh_path, table
 
 
@@ -76,6 +76,11 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.maintained_totals(docs, fresh_path(spark, "token-ledger"), tokenizer_path(), "byte_bpe_50k")
 
 
+def op12_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 def op13_repair_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digests(conversations.damage(table(spark, sf_dir, "conversations")))
 
@@ -91,6 +96,7 @@ REGISTERED = (
     op8_simhash_ball,
     op9_toxic_segments,
     op10_token_rollups,
+    op12_entropy_balancing,
     op13_repair_layers,
 )
 

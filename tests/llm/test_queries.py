@@ -17,6 +17,7 @@ PROMISED = {
     "op8_": "doc_id bigint, fingerprint string, component_id bigint",
     "op9_": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_": "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint, n_bytes bigint",
+    "op12_": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op13_": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
 
@@ -33,7 +34,7 @@ def test_promised_columns(spark, prefix):
     assert [t for t in df.dtypes if t in promised] == promised
     rows = df.collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
-    if prefix in ("op2_", "op3_", "op5_", "op7_", "op8_", "op9_"):
+    if prefix in ("op2_", "op3_", "op5_", "op7_", "op8_", "op9_", "op12_"):
         assert len(rows) == docs
     if prefix == "op8_":
         assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in rows)
