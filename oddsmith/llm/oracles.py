@@ -81,3 +81,38 @@ LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
 """
+
+OP11 = r"""
+WITH terms AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+  FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT DISTINCT lang, doc, unnest(found) AS term FROM terms) GROUP BY lang, term HAVING count(*) >= 3
+), groups AS (
+  SELECT DISTINCT lang, source FROM terms
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(found) AS term FROM terms) JOIN kept USING (lang, term) GROUP BY ALL
+), in_lang AS (
+  SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, v,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) + v) AS p
+  FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), lang_shares AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q FROM in_lang JOIN sizes USING (lang)
+), pairs AS (
+  SELECT g.lang, g.source, o.source AS item,
+    coalesce((SELECT sum(((a.p - b.p) * (a.p - b.p)) // b.p) FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term
+      WHERE a.lang = g.lang AND a.source = g.source AND b.source = o.source), 0)::BIGINT AS value
+  FROM groups g JOIN groups o ON o.lang = g.lang AND o.source <> g.source
+), own AS (
+  SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank
+FROM own QUALIFY rank <= 200
+"""

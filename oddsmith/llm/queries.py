@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsmith.llm import audio, conversations, decontaminate, langid, mixing, oracles, packing, pii, sharding, simhash, tokencounts, toxicity, warc
+from oddsmith.llm import audio, conversations, decontaminate, divergence, langid, mixing, oracles, packing, pii, sharding, simhash, tokencounts, toxicity, warc
 from oddsmith.llm.common import fresh_path, table
 
 
@@ -76,6 +76,10 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.maintained_totals(docs, fresh_path(spark, "token-ledger"), tokenizer_path(), "byte_bpe_50k")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def op12_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -96,6 +100,7 @@ REGISTERED = (
     op8_simhash_ball,
     op9_toxic_segments,
     op10_token_rollups,
+    op11_source_divergence,
     op12_entropy_balancing,
     op13_repair_layers,
 )
@@ -107,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The others cannot be written in DuckDB's SQL (tokenizers, XXH64, suffix arrays, trained models, rounding by hashes): they are tested against brute force."""
-    return {"op13_repair_layers": oracles.OP13}
+    return {"op11_source_divergence": oracles.OP11, "op13_repair_layers": oracles.OP13}

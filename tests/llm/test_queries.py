@@ -17,6 +17,7 @@ PROMISED = {
     "op8_": "doc_id bigint, fingerprint string, component_id bigint",
     "op9_": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_": "source string, lang string, tokenizer_version string, n_docs bigint, n_tokens bigint, n_bytes bigint",
+    "op11_": "lang string, source string, part string, item string, value bigint, rank int",
     "op12_": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op13_": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
