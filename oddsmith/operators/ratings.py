@@ -92,37 +92,61 @@ def attack_defence(games: DataFrame, decay: float = 0.0065, prior: float = 6.0,
     return games.groupBy("league").applyInPandas(each, "league int, team int, attack double, defence double, effective double, mean_goals double, home_ratio double")
 
 
-FEATURES = ("elo_diff", "attack_diff", "defence_diff", "form_diff", "rest_diff")
+FEATURES = ("elo_diff", "points_diff", "venue_diff", "goals_diff", "rest_diff")
+#: What a decayed mean is before any game (points, points at home, points away, goal difference), and the longest rest in days.
+UNKNOWN, LONGEST_REST = (1.35, 1.5, 1.2, 0.0), 14.0
+#: The step and the home advantage of the rating that is a feature.
+FEATURE_STEP, FEATURE_ADVANTAGE = 20.0, 60.0
+DAY_MS = 86_400_000
 
 
-def fixture_values(state: dict[int, list], home: int, away: int, at: float, least: int = 5) -> tuple[float, ...] | None:
+class Side:
+    """What is known of a team before its next game: a rating, decayed (sum, weight) of four measures, games, last kickoff."""
+
+    def __init__(self) -> None:
+        self.rating, self.games, self.last = START, 0, None
+        self.means = [[0.0, 0.0] for _ in UNKNOWN]
+
+    def mean(self, which: int) -> float:
+        total, weight = self.means[which]
+        return total / weight if weight else UNKNOWN[which]
+
+    def rest(self, at: float) -> float:
+        return LONGEST_REST if self.last is None else max(0.0, min(LONGEST_REST, (at - self.last) / DAY_MS))
+
+    def played(self, at_home: bool, points: int, margin: int, step: float, kickoff: float, fade: float) -> None:
+        self.rating += step
+        for which, value in ((0, points), (1 if at_home else 2, points), (3, margin)):
+            own = self.means[which]
+            own[:] = own[0] * fade + value, own[1] * fade + 1
+        self.games, self.last = self.games + 1, kickoff
+
+
+def fixture_values(state: dict[int, Side], home: int, away: int, at: float, least: int = 5) -> tuple[float, ...] | None:
     """FEATURES of a fixture at a time, in milliseconds, from what replay knows; None if a team has played fewer than `least` games."""
     a, b = state.get(home), state.get(away)
-    if a is None or b is None or min(a[5], b[5]) < least:
+    if a is None or b is None or min(a.games, b.games) < least:
         return None
-    rest = lambda s: min(14.0, (at - s[6]) / 86_400_000)
-    values = ((a[0] + 60 - b[0]) / 400, a[1] / a[4] - b[1] / b[4], b[2] / b[4] - a[2] / a[4], a[3] / a[4] - b[3] / b[4], (rest(a) - rest(b)) / 7)
-    return tuple(max(-3.0, min(3.0, v)) for v in values)
-
+    within = lambda x, most: max(-most, min(most, x))
+    return (
+        within((a.rating - b.rating) / 400, 1.5), within((a.mean(0) - b.mean(0)) / 3, 1.0), within((a.mean(1) - b.mean(2)) / 3, 1.0), within((a.mean(3) - b.mean(3)) / 3, 1.0),
+        (a.rest(at) - b.rest(at)) / LONGEST_REST,
+    )
 
-def replay(pdf, least: int = 5, fade: float = 0.92) -> tuple[list[tuple], dict[int, list]]:
-    """The samples (league, game_id, kickoff, outcome, *FEATURES) of one league's games in order, and what is known after them.
 
-    By team: rating, faded sums of goals for and against and result, their weight, games, last kickoff.
-    """
-    state: dict[int, list] = {}
+def replay(pdf, least: int = 5, fade: float = 0.92) -> tuple[list[tuple], dict[int, Side]]:
+    """The samples (league, game_id, kickoff, outcome, *FEATURES) of one league's games in order, and what is known after them."""
+    state: dict[int, Side] = {}
     rows = []
     for g in _in_order(pdf).itertuples():
         values = fixture_values(state, g.home, g.away, g.kickoff, least)
+        outcome = 0 if g.hs > g.aws else 1 if g.hs == g.aws else 2
         if values is not None:
-            rows.append((g.league, g.game_id, g.kickoff, 0 if g.hs > g.aws else 1 if g.hs == g.aws else 2, *values))
-        a, b = (state.setdefault(t, [START, 0.0, 0.0, 0.0, 0.0, 0, None]) for t in (g.home, g.away))
-        won = 1.0 if g.hs > g.aws else 0.5 if g.hs == g.aws else 0.0
-        step = 20 * (won - expected(a[0] + 60 - b[0]))
-        for s, own, other, result, move in ((a, g.hs, g.aws, won, step), (b, g.aws, g.hs, 1 - won, -step)):
-            s[0] += move
-            s[1], s[2], s[3], s[4] = fade * s[1] + own, fade * s[2] + other, fade * s[3] + result, fade * s[4] + 1
-            s[5], s[6] = s[5] + 1, g.kickoff
+            rows.append((g.league, g.game_id, g.kickoff, outcome, *values))
+        a, b = (state.setdefault(t, Side()) for t in (g.home, g.away))
+        step = FEATURE_STEP * ((1.0, 0.5, 0.0)[outcome] - expected(a.rating + FEATURE_ADVANTAGE - b.rating))
+        a.played(True, (3, 1, 0)[outcome], g.hs - g.aws, step, g.kickoff, fade)
+        b.played(False, (0, 1, 3)[outcome], g.aws - g.hs, -step, g.kickoff, fade)
     return rows, state
 
 

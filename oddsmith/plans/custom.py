@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from oddsmith.functions.dialect import DUCK, SPARK
 from oddsmith.operators import clusters, features, folds, learning, matches, ratings, store, volatility
 from oddsmith.operators.orderflow import book_features
-from oddsmith.plans import candles, markets, relations, sports
+from oddsmith.operators.fixtures import league_form
+from oddsmith.plans import candles, fixtures, markets, relations
 from oddsmith.plans import text as texts
 from oddsmith.streaming import candles as streams
 
@@ -79,11 +80,10 @@ def structure_breakout(spark, sf_dir):
 
 
 def sports_match_ensemble(spark, sf_dir):
-    played = games(spark, sf_dir)
-    form = _sql(spark, sf_dir, sports.form_frame(SPARK))
-    fixtures = played.select("league", "home", "away").distinct()
-    outcomes = matches.outcome_rows(fixtures, ratings.batch_elo(played), ratings.attack_defence(played), form)
-    outcomes = outcomes.unionByName(learning.learned_outcomes(fixtures, played).select(*outcomes.columns))
+    season = fixtures._Season(spark, sf_dir)
+    played, pairs = season.games, season.pairs()
+    outcomes = matches.outcome_rows(pairs, ratings.batch_elo(played), ratings.attack_defence(played), league_form(season.form()))
+    outcomes = outcomes.unionByName(learning.learned_outcomes(pairs, played).select(*outcomes.columns))
     return _rounded(matches.pooled(outcomes), 4)
 
 
@@ -161,10 +161,6 @@ def sports_attack_defence(spark, sf_dir):
     return _rounded(ratings.attack_defence(games(spark, sf_dir)), 4)
 
 
-def sports_learned_features(spark, sf_dir):
-    return _rounded(ratings.learned_features(games(spark, sf_dir)), 5)
-
-
 def sports_learned_model(spark, sf_dir):
     played = games(spark, sf_dir)
     found = learning.learned_outcomes(played.select("league", "home", "away").distinct(), played)
@@ -269,7 +265,7 @@ def stream_throttled(spark, sf_dir):
 REGISTERED = (
     ta_ema, ta_rsi, ta_atr, ta_macd_adx_stochrsi, vol_ewma, structure_levels, structure_value_area, structure_breakout, sports_match_ensemble, candle_features, candle_models, candle_predict,
     feature_completeness, vol_atr_regime, vol_forecast, structure_consolidation, orderflow_book_features,
-    sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_features, sports_learned_model, learn_walk_forward, metric_isotonic_fit,
+    sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_model, learn_walk_forward, metric_isotonic_fit,
     store_throttle, store_upsert, store_opportunities, store_market_links, store_prekickoff, text_story_clusters, title_jaccard_links, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
 )
 
@@ -289,12 +285,7 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT s.asset, s.rn, {alpha} * s.x + (1e0 - {alpha}) * r.e FROM {name} r JOIN {source} s ON s.asset = r.asset AND s.rn = r.rn + 1)"""
     summed = lambda name, x: f"""{name} AS (SELECT asset, CAST(15 AS BIGINT) AS rn, sum({x}) AS e FROM moves WHERE rn BETWEEN 2 AND 15 GROUP BY asset HAVING count(*) = 14
   UNION ALL SELECT s.asset, s.rn, r.e - r.e / 14e0 + s.{x} FROM {name} r JOIN moves s ON s.asset = r.asset AND s.rn = r.rn + 1)"""
-    # the state of a league is a list of ratings and one of games played, a place for each of the 25 nations
-    gain = lambda step, home: f"{step} * (CASE WHEN g.hs > g.aws THEN 1e0 WHEN g.hs = g.aws THEN 0.5e0 ELSE 0e0 END - 1e0 / (1e0 + power(10e0, -(s.r[g.home + 1] + {home} - s.r[g.away + 1]) / 400e0)))"
-    elo = lambda step, home: f"""WITH RECURSIVE {relations.games(d)}, g AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY kickoff, game_id) AS k FROM games),
-rec AS (SELECT DISTINCT league, CAST(0 AS BIGINT) AS k, list_transform(range(25), lambda x: 1500e0) AS r, list_transform(range(25), lambda x: CAST(0 AS BIGINT)) AS n, CAST(NULL AS BIGINT) AS game_id, CAST(0 AS INT) AS home, CAST(0 AS INT) AS away, 0e0 AS a, 0e0 AS b, 0e0 AS step FROM g
-  UNION ALL SELECT league, k, list_transform(r, lambda v, i: v + CASE WHEN i = home + 1 THEN step WHEN i = away + 1 THEN -step ELSE 0e0 END), list_transform(n, lambda v, i: v + CASE WHEN i IN (home + 1, away + 1) THEN 1 ELSE 0 END), game_id, home, away, a, b, step
-  FROM (SELECT s.league, g.k, s.r, s.n, g.game_id, g.home, g.away, s.r[g.home + 1] AS a, s.r[g.away + 1] AS b, {gain(step, home)} AS step FROM rec s JOIN g ON g.league = s.league AND g.k = s.k + 1))"""
+    elo = lambda step, home: f"WITH RECURSIVE {fixtures.elo_replay(d, step, home)}"
     title_pairs = f"""WITH RECURSIVE {relations.titles(d)}, named_tokens AS (SELECT id, title, {markets.title_tokens(d, "title")} AS tk FROM titles),
 toks AS (SELECT *, min(id) OVER (PARTITION BY tk) AS first FROM named_tokens WHERE len(tk) > 0), sets AS (SELECT DISTINCT first AS id, tk FROM toks), flat AS (SELECT id, len(tk) AS n, unnest(tk) AS w FROM sets),
 pairs AS (SELECT a.id AS a, b.id AS b, count(*) / CAST(min(a.n) + min(b.n) - count(*) AS DOUBLE) AS j FROM flat a JOIN flat b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / CAST(min(a.n) + min(b.n) - count(*) AS DOUBLE) > 0.6)"""
@@ -358,9 +349,9 @@ SELECT s.asset, round(CASE WHEN b0 + a0 = 0 THEN 0 ELSE (b0 - a0) / (b0 + a0) EN
   round(CASE WHEN b1 > 0 AND a1 > 0 THEN 0.35 * exp(-bps / 10) + 0.3 * least(1, n / 40) + 0.2 * (1 - abs(b1 - a1) / (b1 + a1)) + 0.15 * (1 - largest / (b1 + a1)) ELSE 0 END, 6) AS book_depth,
   round(wb.multiple, 6) AS bid_wall, round(wb.dist, 6) AS bid_wall_distance, round(wa.multiple, 6) AS ask_wall, round(wa.dist, 6) AS ask_wall_distance
 FROM s LEFT JOIN w wb ON wb.asset = s.asset AND wb.side = 'bid' AND wb.r = 1 LEFT JOIN w wa ON wa.asset = s.asset AND wa.side = 'ask' AND wa.r = 1""",
-        "sports_elo_batch": f"""{elo("20e0 * sqrt(greatest(1, abs(g.hs - g.aws)))", 60)}
+        "sports_elo_batch": f"""{elo(fixtures.CONSTANT, "60e0")}
 SELECT league, CAST(team AS INT) AS team, round(rating, 4) AS rating, games FROM (SELECT league, unnest(range(0, 25)) AS team, unnest(r) AS rating, unnest(n) AS games FROM (SELECT league, arg_max(r, k) AS r, arg_max(n, k) AS n FROM rec GROUP BY league)) WHERE games > 0""",
-        "sports_elo_history": f"""{elo("(40e0 + 20e0 * exp(-s.n[g.home + 1] / 25e0) + 20e0 * exp(-s.n[g.away + 1] / 25e0)) / 2e0 * ln(1e0 + greatest(1, abs(g.hs - g.aws))) / ln(2e0)", 65)}
+        "sports_elo_history": f"""{elo(fixtures.ADAPTIVE, "65e0")}
 SELECT league, game_id, home AS team, round(a, 4) AS "before", round(a + step, 4) AS "after" FROM rec WHERE k > 0 UNION ALL SELECT league, game_id, away, round(b, 4), round(b - step, 4) FROM rec WHERE k > 0""",
         "sports_elo_sum": f"""WITH {relations.games(d)}, t AS (SELECT league, home AS team FROM games UNION ALL SELECT league, away FROM games)
 SELECT league, 1500e0 * count(DISTINCT team) AS total, count(DISTINCT team) AS teams, count(*) AS sides FROM t GROUP BY league""",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from oddsmith.functions import probability as P
 from oddsmith.functions.dialect import Spark
 from oddsmith.plans import relations as R
-from oddsmith.plans.sports import _form
 
 
 def plans(d: Spark) -> dict[str, str]:
@@ -20,8 +19,6 @@ latest AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY chunk DESC
 SELECT game_id, home, away, hs, aws FROM latest WHERE r = 1 AND hs IS NOT NULL AND aws IS NOT NULL""",
         "dataset_quality": """SELECT count(*) AS chunks, round(avg(CASE WHEN n >= 100 THEN 1e0 ELSE 0e0 END), 6) AS success_ratio, min(first_seen) AS data_as_of
 FROM (SELECT o_orderpriority, count(*) AS n, min(o_orderdate) AS first_seen FROM orders GROUP BY o_orderpriority) AS c""",
-        "sports_compare_teams": f"""WITH {games}, {team}, {_form(d)}, s AS (SELECT t.league, t.team, avg(t.gf) AS gf, avg(t.ga) AS ga, min(f.raw) AS raw FROM team_games t JOIN form f ON f.league = t.league AND f.team = t.team GROUP BY t.league, t.team)
-SELECT a.league, a.team AS team_a, b.team AS team_b, round(a.gf - b.gf, 6) AS attack_gap, round(b.ga - a.ga, 6) AS defence_gap, round(a.raw - b.raw, 6) AS form_gap FROM s a JOIN s b ON b.league = a.league AND a.team < b.team""",
         "sports_model_lab": f"""WITH {games} SELECT league, count(*) AS finished, count(*) < 30 AS early_season, round(avg(CASE WHEN hs > aws THEN 1e0 ELSE 0e0 END), 6) AS home_rate, round(avg(CASE WHEN hs = aws THEN 1e0 ELSE 0e0 END), 6) AS draw_rate,
   round(1e0 - power(avg(CASE WHEN hs > aws THEN 1e0 ELSE 0e0 END), 2) - power(avg(CASE WHEN hs = aws THEN 1e0 ELSE 0e0 END), 2) - power(avg(CASE WHEN hs < aws THEN 1e0 ELSE 0e0 END), 2), 6) AS base_brier FROM games GROUP BY league""",
         "sports_venue_rates": f"""WITH {games}, {team} SELECT league, team, round(avg(CASE WHEN is_home = 1 THEN gf END), 6) AS home_for, round(avg(CASE WHEN is_home = 0 THEN gf END), 6) AS away_for,

@@ -26,6 +26,16 @@ games AS (
   WHERE c.c_nationkey <> s.s_nationkey)"""
 
 
+def expected_goals(d: Spark) -> str:
+    """Expected goals of both sides by the first order's lines; games of fewer than three lines have none."""
+    return """expected AS (SELECT l_orderkey AS game_id, 20e0 * avg(l_discount) AS home_xg, 25e0 * avg(l_tax) AS away_xg FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3)"""
+
+
+def absences(d: Spark) -> str:
+    """Players that may miss games: a nation's suppliers in debt, one status each."""
+    return """absences AS (SELECT s_nationkey AS team, CASE s_suppkey % 6 WHEN 0 THEN 'out' WHEN 1 THEN 'suspended' WHEN 2 THEN 'doubtful' WHEN 3 THEN 'questionable' WHEN 4 THEN 'probable' ELSE 'unknown' END AS status FROM supplier WHERE s_acctbal < 0)"""
+
+
 def team_games(d: Spark) -> str:
     """Each game from both sides, latest first; needs games."""
     return """team_rows AS (

@@ -7,34 +7,10 @@ from oddsmith.functions.dialect import Spark
 from oddsmith.plans import relations as R
 from oddsmith.plans.core import devig_power
 
-#: The weights of a team's strength by part, for the mean-anchored and the percentile form.
-STRENGTH = {"attack": "0.22e0", "defence": "0.22e0", "form": "0.18e0", "home_away": "0.10e0", "momentum": "0.10e0"}
-PERCENTILE = {"attack": "0.22e0", "defence": "0.22e0", "form": "0.20e0", "home_away": "0.14e0", "momentum": "0.10e0"}
-
-
-def _weighted(parts: dict[str, str]) -> str:
-    """Weights renormalised over the parts that are not null."""
-    top = " + ".join(f"coalesce({w} * {k}, 0e0)" for k, w in parts.items())
-    low = " + ".join(f"CASE WHEN {k} IS NULL THEN 0e0 ELSE {w} END" for k, w in parts.items())
-    return f"({top}) / nullif({low}, 0e0)"
-
-
-def _form(d: Spark) -> str:
-    sq = lambda x: f"(0.5e0 * (1e0 + tanh(({x}) / 3e0)))"
-    return f"""per AS (SELECT league, team, ago, exp(-0.18e0 * ago) AS w, (0.40e0 * result + 0.25e0 * {sq("gf - ga")} + 0.20e0 * CAST(opponent % 101 AS DOUBLE) / 100e0) / 0.85e0 AS raw FROM team_games WHERE ago < 15),
-form AS (SELECT league, team, sum(w * raw) / sum(w) AS raw, count(*) AS n FROM per GROUP BY league, team)"""
-
-
-def form_frame(d: Spark) -> str:
-    """(league, team, raw, n): the recency-weighted form of each team."""
-    return f"WITH {R.games(d)}, {R.team_games(d)}, {_form(d)} SELECT league, team, raw, n FROM form"
-
-
 def plans(d: Spark) -> dict[str, str]:
     games, team = R.games(d), R.team_games(d)
     cells, raw = R.matrix(d), R.matrix(d, -0.13, normalised=False)
     rec = "WITH RECURSIVE" if d.name == "duckdb" else "WITH"
-    form = _form(d)
     elo = """elo AS (SELECT n_nationkey AS team, 1400e0 + CAST(n_nationkey * 37 % 250 AS DOUBLE) AS rating FROM nation),
 ties AS (SELECT h.team AS home, a.team AS away, 1e0 / (1e0 + power(10e0, -(h.rating + 60e0 - a.rating) / 400e0)) AS e, h.rating + 60e0 - a.rating AS diff FROM elo h JOIN elo a ON h.team <> a.team)"""
     odds = """game_odds AS (SELECT g.game_id AS gid, b.book AS book, g.game_id * 10 + b.book AS id, k.key AS key, k.ord AS ord, 1.5e0 + CAST((g.game_id * k.m + b.book * 13) % 45 AS DOUBLE) / 10e0 AS odds
@@ -55,22 +31,6 @@ FROM team_games t JOIN m ON m.league = t.league GROUP BY t.league, t.team""",
 SELECT h.team AS home, a.team AS away, round(least(greatest(1.35e0 * 1.25e0 * h.att * a.def, 0.05e0), 6e0), 6) AS lh, round(least(greatest(1.35e0 * a.att * h.def, 0.05e0), 6e0), 6) AS la FROM t h JOIN t a ON h.team <> a.team""",
         "sports_dc_weights": f"""WITH {games}, w AS (SELECT league, home, away, hs, aws, exp(-0.0065e0 * (max(kickoff) OVER (PARTITION BY league) - kickoff) / 86400000e0) AS w FROM games)
 SELECT league, round(sum(w * (hs + aws)) / (2e0 * sum(w)), 6) AS mu, round(sum(w * hs) / sum(w * aws), 6) AS home_ratio, round(sum(w), 6) AS effective FROM w GROUP BY league""",
-        "sports_form_score": f"WITH {games}, {team}, {form} SELECT league, team, n, round(raw, 6) AS raw, round(100e0 * {P.sigmoid('(raw - 0.5e0) / 0.12e0')}, 6) AS score FROM form",
-        "sports_form_league_scaled": f"""WITH {games}, {team}, {form}, s AS (SELECT league, {d.quantile("raw", 0.5)} AS centre, ({d.quantile("raw", 0.75)} - {d.quantile("raw", 0.25)}) / (2e0 * ln(3e0)) AS scale, count(*) AS teams FROM form GROUP BY league),
-x AS (SELECT f.league, f.team, f.n, CASE WHEN s.teams < 4 OR s.scale * 2e0 * ln(3e0) <= 1e-9 THEN (f.raw - 0.5e0) / 0.12e0 ELSE (f.raw - s.centre) / nullif(s.scale, 0e0) END AS z FROM form f JOIN s ON s.league = f.league)
-SELECT league, team, n < 5 AS insufficient, round(100e0 * {P.sigmoid("z")}, 5) AS score FROM x""",
-        "sports_team_strength": f"""WITH {games}, {team}, m AS (SELECT league, avg(gf) AS mean FROM team_rows GROUP BY league), {form},
-t AS (SELECT t.league, t.team, count(*) AS n, 100e0 * {P.sigmoid("2e0 * (avg(t.gf) / min(m.mean) - 1e0)")} AS attack, 100e0 * {P.sigmoid("2e0 * (1e0 - avg(t.ga) / min(m.mean))")} AS defence,
-    CASE WHEN sum(t.is_home) >= 3 THEN 100e0 * avg(CASE WHEN t.is_home = 1 THEN CASE WHEN t.result = 1e0 THEN 3e0 WHEN t.result = 0.5e0 THEN 1e0 ELSE 0e0 END END) / 3e0 END AS home_away,
-    CASE WHEN count(*) >= 4 THEN least(greatest(50e0 + 50e0 * (avg(CASE WHEN t.ago < 3 THEN t.result END) - avg(CASE WHEN t.ago >= 3 THEN t.result END)), 0e0), 100e0) END AS momentum
-  FROM team_games t JOIN m ON m.league = t.league GROUP BY t.league, t.team),
-x AS (SELECT t.*, 100e0 * {P.sigmoid("(f.raw - 0.5e0) / 0.12e0")} AS form FROM t JOIN form f ON f.league = t.league AND f.team = t.team)
-SELECT league, team, round(attack, 5) AS attack, round(defence, 5) AS defence, round(momentum, 5) AS momentum, round({_weighted(STRENGTH)}, 5) AS strength FROM x""",
-        "sports_strength_percentile": f"""WITH {games}, {team}, t AS (SELECT league, team, round(avg(gf), 9) AS gf, round(avg(ga), 9) AS ga, avg(result) AS res, count(*) AS n,
-    CASE WHEN count(*) >= 8 THEN 50e0 + 50e0 * (avg(CASE WHEN ago < 5 THEN result END) - avg(CASE WHEN ago < 15 THEN result END)) END AS momentum FROM team_games GROUP BY league, team),
-r AS (SELECT *, 100e0 * (rank() OVER (PARTITION BY league ORDER BY gf) - 1 + count(*) OVER (PARTITION BY league, gf) / 2e0) / count(*) OVER (PARTITION BY league) AS attack,
-    100e0 * (rank() OVER (PARTITION BY league ORDER BY ga DESC) - 1 + count(*) OVER (PARTITION BY league, ga) / 2e0) / count(*) OVER (PARTITION BY league) AS defence, 100e0 * res AS form, CAST(NULL AS DOUBLE) AS home_away FROM t)
-SELECT league, team, round(attack, 5) AS attack, round(defence, 5) AS defence, round({_weighted(PERCENTILE)}, 5) AS strength FROM r""",
         "sports_absence_impact": f"""WITH {games}, {team}, x AS (SELECT team, avg(CASE WHEN game_id % 3 = 0 THEN gf END) AS without_p, avg(CASE WHEN game_id % 3 <> 0 THEN gf END) AS with_p,
     avg(CASE WHEN game_id % 3 = 0 THEN CASE WHEN gf > ga THEN 1e0 ELSE 0e0 END END) AS w0, avg(CASE WHEN game_id % 3 <> 0 THEN CASE WHEN gf > ga THEN 1e0 ELSE 0e0 END END) AS w1,
     count(CASE WHEN game_id % 3 = 0 THEN 1 END) AS n0, count(CASE WHEN game_id % 3 <> 0 THEN 1 END) AS n1 FROM team_games GROUP BY team)
