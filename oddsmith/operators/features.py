@@ -155,7 +155,7 @@ def model_outputs(features: DataFrame) -> DataFrame:
         _logistic_model("momentum", {"return_5": 0.9 * trend_gate * F.tanh(c("ret5") / (2 * sigma * 5**0.5)), "return_20": 0.7 * trend_gate * F.tanh(c("ret20") / (2 * sigma * 20**0.5)), "obv": 0.5 * squash(c("obv_slope"), 0.5)}, 0.7, 1),
         _logistic_model("structure", {"trend": trend, "levels": proximity, "breakout": broke}, 0.65, 1),
         _logistic_model("orderflow", {"aggressor": 1.2 * c("aggressor") * F.coalesce("coverage", F.lit(1.0)), "book": 0.4 * c("book_imbalance"), "walls": F.when(c("book_imbalance").isNotNull(), wall("bid") - wall("ask"))},
-            F.when(c("aggressor").isNull(), 0.35).otherwise(0.7), 1),
+            F.when(c("aggressor").isNull(), 0.3).otherwise(0.7), 1),
         _logistic_model("derivatives", {"funding": funding, "crowding": funding * 0.4 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("oi_to_volume")) / 1.5)}, 0.6, 1),
         _logistic_model("volatility_regime", {"regime": F.when(c("vol_regime").isNotNull(), 0.0)}, _named(REGIME_CONFIDENCE, "vol_regime", 0.5), 1),
         _logistic_model("mean_reversion", {"z": -0.9 * range_gate * squash(c("z"), 2.0), "percent_b": -0.6 * range_gate * F.tanh((c("percent_b") - 0.5) * 2)}, 0.6, 1, F.coalesce(directed & (c("trend_strength") >= 0.6), F.lit(False))),

@@ -32,9 +32,6 @@ SELECT h.id, CASE WHEN o.first_seen < h.published THEN 0 ELSE 1 END AS novel FRO
         "entity_cooccurrence": """WITH w AS (SELECT o_custkey AS event, o_orderpriority AS entity FROM orders), p AS (SELECT DISTINCT event, entity FROM w)
 SELECT a.entity AS src, b.entity AS dst, count(*) AS evidence, round(count(*) / 1000e0, 6) AS weight FROM p a JOIN p b ON b.event = a.event AND a.entity < b.entity GROUP BY a.entity, b.entity""",
         "alert_triggers_once": """SELECT o_custkey AS alert, o_orderkey AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS r FROM orders WHERE o_totalprice > 100000e0) AS x WHERE r = 1""",
-        # an alert fires again no sooner than an hour after the event before it
-        "alert_cooldown": f"""WITH e AS (SELECT user_id AS alert, event_id, {d.epoch_ms("ts")} AS t FROM events WHERE value > 50e0), g AS (SELECT *, lag(t) OVER (PARTITION BY alert ORDER BY t, event_id) AS past FROM e)
-SELECT alert, event_id FROM g WHERE past IS NULL OR t - past >= 3600000""",
         "season_start": f"""WITH {games}, newest AS (SELECT league, max_by(season, kickoff) AS season FROM games GROUP BY league) SELECT n.league, n.season, min(g.kickoff) AS start FROM newest n JOIN games g ON g.league = n.league AND g.season = n.season GROUP BY n.league, n.season""",
         "trader_profile": """WITH t AS (SELECT user_id AS trader, ts, event_id, value - 50e0 AS pnl FROM events)
 SELECT trader, count(*) AS n, round(avg(CASE WHEN pnl > 0e0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, round(sum(CASE WHEN pnl > 0e0 THEN pnl ELSE 0e0 END) / nullif(-sum(CASE WHEN pnl < 0e0 THEN pnl ELSE 0e0 END), 0e0), 5) AS profit_factor,

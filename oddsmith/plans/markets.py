@@ -12,14 +12,6 @@ TITLE_STOPWORDS = (
 )
 #: Fixed value: titles are linked above this similarity.
 LINK_ABOVE = 0.6
-#: Ordered keyword patterns of market categories, the first that matches counts.
-CATEGORIES = (
-    ("crypto", "bitcoin|btc|ethereum|eth|solana|crypto"), ("sports", "nba|nfl|cup|league|match|championship"), ("politics", "election|president|senate|congress|minister"),
-    ("economics", "inflation|cpi|fed|rate|gdp|recession"), ("companies", "earnings|ipo|stock|shares"), ("entertainment", "movie|oscar|album|box office"),
-    ("weather", "hurricane|temperature|rain|snow"), ("science", "nasa|vaccine|launch|quantum"),
-)
-
-
 #: Series of venue tickers, with and without a known underlying.
 TICKERS = ("KXBTCD", "KXETH", "SOLY", "KXDOGEMAXY", "FED", "BTC", "KXXRPH", "KXBTCMINY", "DOGEX", "KXNBA", "ETHMAX")
 
@@ -35,7 +27,7 @@ def title_tokens(d: Spark, title: str) -> str:
 def plans(d: Spark) -> dict[str, str]:
     quotes, book = R.quotes(d), R.book(d)
     log_score = lambda v, lo, hi: P.clamp(f"(100e0 * (log10({v} + 1e0) - {lo}e0) / ({hi}e0 - {lo}e0))", "0e0", "100e0")
-    liq = f"""liq AS (SELECT *, 100e0 / (1e0 + power(coalesce(spread, 0.04e0) / 0.04e0, 2)) AS s_spread,
+    liq = f"""liq AS (SELECT *, CASE WHEN spread IS NULL THEN 35e0 ELSE 100e0 / (1e0 + power(spread / 0.04e0, 2)) END AS s_spread,
     0.5e0 * {log_score("volume", 2, 6)} + 0.3e0 * {log_score("volume24h", 1.5, 5)} + 0.2e0 * {log_score("liquidity", 2, 5)} AS s_volume FROM quotes),
 graded AS (SELECT *, least(70e0, (0.45e0 * s_spread + 0.30e0 * s_volume) / 0.75e0) AS score FROM liq)"""
     grade = "CASE WHEN score >= 80e0 THEN 'excellent' WHEN score >= 60e0 THEN 'good' WHEN score >= 40e0 THEN 'fair' WHEN score >= 20e0 THEN 'poor' ELSE 'illiquid' END"
@@ -53,18 +45,16 @@ opps AS (SELECT *, CASE WHEN spread >= abs(edge) THEN least(35e0, raw) ELSE raw
         "CASE WHEN spread >= abs(edge) THEN 'spread' ELSE '' END", "CASE WHEN risk = 'high' AND abs(edge) < 0.10e0 THEN 'risk' ELSE '' END", "CASE WHEN total < 45e0 THEN 'score' ELSE '' END"), "x", "x <> ''")
     tokens = title_tokens(d, "title")
     digital = lambda s, k, v, t: P.normal_cdf(f"(ln({s} / {k}) / ({v} * sqrt({t})))")
-    categories = " ".join(f"WHEN {d.matches('lower(title)', p)} THEN '{c}'" for c, p in CATEGORIES)
     risk_text = "lower(coalesce(description, ''))"
     sourced = f"({d.matches('description', 'https?://')} OR {d.matches('description', '[a-z0-9][.](com|org|gov|net|test)')} OR {d.matches('description', '[A-Z][a-z]+ [A-Z][a-z]+')})"
     return {
         "market_binary_outcomes": f"WITH {quotes} SELECT market, venue, round(p, 6) AS yes, round(1e0 - p, 6) AS no, round(least(greatest(p - spread / 2e0, 0e0), 1e0), 6) AS bid, round(least(p + spread / 2e0, 1e0), 6) AS ask FROM quotes",
         "market_book_reflection": f"""WITH {book}, no_bids AS (SELECT book_id, round(qty / 1000e0, 4) AS size, CAST(CAST(round(price * 100) AS BIGINT) % 100 AS DOUBLE) / 100e0 AS p FROM book WHERE side = 'bid')
 SELECT book_id, round(1e0 - p, 4) AS yes_ask, sum(size) AS size, CAST(row_number() OVER (PARTITION BY book_id ORDER BY round(1e0 - p, 4)) AS BIGINT) AS best FROM no_bids GROUP BY book_id, round(1e0 - p, 4)""",
-        "market_category": f"WITH {R.titles(d)} SELECT id, CASE {categories} ELSE 'other' END AS category FROM titles",
         "market_ticker_underlying": f"""WITH t AS (SELECT p_partkey AS id, concat({d.at(d.array(*(d.lit(x) for x in TICKERS)), f"CAST(p_partkey % {len(TICKERS)} + 1 AS INT)")}, '-', CAST(p_size AS VARCHAR(10)), 'DEC31') AS ticker FROM part)
 SELECT id, ticker, nullif({d.regex_one(d.at(d.split("ticker", "-"), 1), "^(?:KX)?(BTC|ETH|SOL|XRP|DOGE)(?:D|H|Y|MAXY?|MINY?)?$")}, '') AS underlying FROM t""",
         "market_status": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'settled' WHEN o_orderkey % 5 = 0 THEN 'closed' WHEN o_orderkey % 7 = 0 THEN 'suspended' WHEN o_orderkey % 2 = 0 THEN 'open' ELSE 'unknown' END AS status FROM orders",
-        "liquidity_scores": f"WITH {quotes}, {liq} SELECT market, venue, round(s_spread, 5) AS spread_score, round(s_volume, 5) AS volume_score, round(score, 5) AS score, {grade} AS grade FROM graded",
+        "liquidity_scores": f"WITH {quotes.replace('quotes AS (', 'all_quotes AS (', 1)}, quotes AS (SELECT market, venue, p, volume, volume24h, liquidity, CASE WHEN venue % 7 > 0 THEN spread END AS spread, updated FROM all_quotes), {liq} SELECT market, venue, round(s_spread, 5) AS spread_score, round(s_volume, 5) AS volume_score, round(score, 5) AS score, {grade} AS grade FROM graded",
         "liquidity_depth": f"""WITH {R.market_books(d)}, m AS (SELECT book_id, (max(CASE WHEN side = 'bid' THEN price END) + min(CASE WHEN side = 'ask' THEN price END)) / 2e0 AS mid FROM market_books GROUP BY book_id),
 z AS (SELECT b.book_id, sum(CASE WHEN abs(b.price - m.mid) <= 0.05e0 + 1e-9 THEN qty ELSE 0e0 END) AS v FROM market_books b JOIN m ON m.book_id = b.book_id GROUP BY b.book_id) SELECT book_id, round({log_score("v", 1, 4)}, 5) AS depth FROM z""",
         "liquidity_composite": f"""WITH {quotes}, {liq}, {R.market_books(d)}, mid AS (SELECT book_id, (max(CASE WHEN side = 'bid' THEN price END) + min(CASE WHEN side = 'ask' THEN price END)) / 2e0 AS mid FROM market_books GROUP BY book_id),
@@ -92,11 +82,6 @@ SELECT market, venue, round(total, 5) AS score, part, reason FROM best UNION ALL
 SELECT market, venue, e, moved, signed_edge FROM top ORDER BY moved DESC, e DESC, market, venue LIMIT 100""",
         "opportunity_list_ending_soon": f"WITH {opp} SELECT market, venue, hours FROM opps ORDER BY hours ASC NULLS LAST, market, venue LIMIT 100",
         "opportunity_list_risk": f"WITH {opp} SELECT market, venue, risk, news FROM opps ORDER BY CASE risk WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, news, market, venue LIMIT 100",
-        "threshold_parse": f"""WITH {R.titles(d)}, t AS (SELECT id, lower(title) AS t FROM titles), x AS (SELECT id,
-    {d.distinct(d.map(d.regex_all("t", "bitcoin|btc|ethereum|eth\\b|solana|xrp|dogecoin|litecoin"), "w", "CASE w WHEN 'btc' THEN 'bitcoin' WHEN 'eth' THEN 'ethereum' ELSE w END"))} AS sym,
-    {d.distinct(d.map(d.regex_all("t", "above|over|exceed|reach|hit|below|under|drop"), "w", "CASE WHEN w IN ('below', 'under', 'drop') THEN 'below' ELSE 'above' END"))} AS dir,
-    {d.distinct(d.map(d.regex_all("t", "[$]?[0-9][0-9,.]*[km]\\b|[$][0-9][0-9,]*|[0-9]{{5,}}".replace("{{", "{").replace("}}", "}")), "w", "CASE WHEN w LIKE '%k' THEN CAST(replace(replace(replace(w, '$', ''), ',', ''), 'k', '') AS DOUBLE) * 1000e0 WHEN w LIKE '%m' THEN CAST(replace(replace(replace(w, '$', ''), ',', ''), 'm', '') AS DOUBLE) * 1000000e0 ELSE CAST(replace(replace(w, '$', ''), ',', '') AS DOUBLE) END"))} AS strike FROM t)
-SELECT id, {d.at("sym", 1)} AS symbol, {d.at("dir", 1)} AS direction, {d.at("strike", 1)} AS strike FROM x WHERE {d.size("sym")} = 1 AND {d.size("dir")} = 1 AND {d.size("strike")} = 1""",
         "threshold_probability": f"""WITH q AS (SELECT event_id, 100e0 + value AS spot, 80e0 + CAST(event_id % 160 AS DOUBLE) AS strike, 0.3e0 + CAST(event_id % 8 AS DOUBLE) / 10e0 AS vol, CAST(event_id % 400 AS DOUBLE) / 365.25e0 AS years FROM events)
 SELECT event_id, round(CASE WHEN years < 1e0 / 8766e0 THEN CASE WHEN spot > strike THEN 1e0 WHEN spot = strike THEN 0.5e0 ELSE 0e0 END ELSE {digital("spot", "strike", "vol", "greatest(years, 0.0001e0)")} END, 6) AS above FROM q""",
         "threshold_range": f"""WITH q AS (SELECT event_id, 100e0 + value AS spot, 80e0 + CAST(event_id % 60 AS DOUBLE) AS lo, 90e0 + CAST(event_id % 90 AS DOUBLE) AS hi, 0.5e0 AS vol, 0.25e0 AS t FROM events)

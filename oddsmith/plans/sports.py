@@ -65,10 +65,6 @@ g AS (SELECT pair, line, sum(CASE WHEN outcome = 2e0 THEN p ELSE 0e0 END) AS fw,
 SELECT pair, line, round(fw, 6) AS full_win, round(hw, 6) AS half_win, round(push, 6) AS push, round(hl, 6) AS half_loss, round(fl, 6) AS full_loss, round(1e0 + (fl + hl / 2e0) / nullif(fw + hw / 2e0, 0e0), 5) AS fair_odds FROM g""",
         "bets_european_handicap": f"""WITH {cells} SELECT pair, CAST(l.line AS BIGINT) AS line, round(sum(CASE WHEN h + l.line > a THEN p ELSE 0e0 END), 6) AS home, round(sum(CASE WHEN h + l.line = a THEN p ELSE 0e0 END), 6) AS draw, round(sum(CASE WHEN h + l.line < a THEN p ELSE 0e0 END), 6) AS away
 FROM cells CROSS JOIN (VALUES (-2), (-1), (1), (2)) AS l(line) GROUP BY pair, l.line""",
-        "odds_team_match": f"""WITH names AS (SELECT n_nationkey AS k, concat(n_name, ' FC') AS a, concat('The ', lower(substr(n_name, 1, 5)), ' Club') AS b FROM nation),
-clean AS (SELECT k, {d.filter(d.split("trim(" + d.replace_all("lower(" + d.strip_accents("a") + ")", "[^a-z0-9]+", " ") + ")", " "), "t", "t NOT IN ('fc', 'cf', 'afc', 'sc', 'ac', 'club', 'de', 'the')")} AS ta,
-    {d.filter(d.split("trim(" + d.replace_all("lower(" + d.strip_accents("b") + ")", "[^a-z0-9]+", " ") + ")", " "), "t", "t NOT IN ('fc', 'cf', 'afc', 'sc', 'ac', 'club', 'de', 'the')")} AS tb FROM names)
-SELECT x.k AS left_k, y.k AS right_k FROM clean x JOIN clean y ON {d.at("x.ta", 1)} = {d.at("y.tb", 1)} OR {d.at("x.ta", 1)} LIKE concat({d.at("y.tb", 1)}, '%')""",
         "odds_book_comparison": f"""{rec} {games}, {odds}, {devig_power(d, "game_odds")}, per AS (SELECT o.gid, v.key, min(v.ord) AS ord, {d.quantile("v.fair", 0.5)} AS med, max(v.odds) AS best, {d.quantile("v.odds", 0.5)} AS med_odds FROM devig v JOIN (SELECT DISTINCT gid, id FROM game_odds) AS o ON o.id = v.id GROUP BY o.gid, v.key),
 m AS (SELECT *, med / sum(med) OVER (PARTITION BY gid) AS market, CAST((gid * 3 + ord * 7) % 50 + 20 AS DOUBLE) / 120e0 AS model FROM per)
 SELECT gid, key, round(market, 6) AS market, round(model - market, 6) AS edge, best, med_odds, CASE WHEN model - market > 0e0 AND model > 1e0 / best THEN round(least(0.02e0, 0.25e0 * {P.kelly_fraction("model", "best")}), 6) END AS stake FROM m""",
