@@ -15,7 +15,6 @@ have the same share, and last the terms that both have, in one pass over the pos
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -35,7 +34,6 @@ LONG = 256
 HELD = 1 << 18
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
-_LONG = re.compile(rb"[^ ]{%d,}" % (LONG + 1))
 
 
 def terms_of(data: bytes | None) -> list[bytes]:
@@ -57,8 +55,17 @@ def _pieces(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _names(words: list[bytes]) -> dict[bytes, bytes]:
-    return {_key(w): w for w in words if len(w) > LONG}
+def _squeezed(held: list) -> bytes:
+    """A size and words, as compressed text with a space at either end."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b" " + b" ".join(held[1:]) + b" ")
+
+
+def _unsqueezed(words: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(words)
 
 
 class _Chunk:
@@ -75,15 +82,17 @@ class _Chunk:
         held, seen = self.texts.setdefault((lang, source), [0]), set()
         for piece in _pieces(data.translate(_LETTERS)) if data else ():
             words = piece.split()
-            if _LONG.search(piece):
-                self.names |= _names(words)
+            own = set(words)
+            if own and max(map(len, own)) > LONG:
+                self.names |= {_key(w): w for w in own if len(w) > LONG}
                 words = [_key(w) for w in words]
-            seen.update(words)
+                own = set(words)
+            seen |= own
             held.append(b" ".join(words))
             held[0] += len(held[-1])
             self.size += len(held[-1]) + 64
             if held[0] > PIECE:
-                yield (lang, source, b" " + b" ".join(held[1:]) + b" ", None, None, None)
+                yield (lang, source, _squeezed(held), None, None, None)
                 held[:] = [0]
         self.freq.setdefault(lang, Counter()).update(seen)
 
@@ -92,7 +101,7 @@ class _Chunk:
 
     def rows(self) -> Iterator[tuple]:
         for (lang, source), held in self.texts.items():
-            yield (lang, source, b" " + b" ".join(held[1:]) + b" ", None, None, None)
+            yield (lang, source, _squeezed(held), None, None, None)
         for lang, own in self.freq.items():
             for term, n in own.items():
                 yield (lang, None, None, term, self.names.get(term), n)
@@ -101,21 +110,21 @@ class _Chunk:
 def chunks(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", size: int = CHUNK) -> DataFrame:
     """(chunk, lang, source, words, term, name, docs): rows of words of one group, and rows of a chunk's document frequencies.
 
-    words is the group's terms between spaces, a space at either end; name is the term of a digest. Every group has a
-    row of words, if only an empty one.
+    words is the group's terms between spaces, a space at either end, compressed; name is the term of a digest. Every group
+    has a row of words, if only an empty one.
     """
 
     def each(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        binary = ("words", "term", "name")
-        schema = pa.schema([("chunk", pa.int64()), *((c, pa.string()) for c in ("lang", "source", *binary)), ("docs", pa.int64())])
+        text = ("term", "name")
+        schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("words", pa.binary()), *((c, pa.string()) for c in text), ("docs", pa.int64())])
         task, number, chunk = TaskContext.get().partitionId(), 0, _Chunk()
 
         def packed(rows: list[tuple]):
             columns = [[task << 32 | number] * len(rows), *zip(*rows, strict=True)]
-            arrays = [pa.array(c, pa.binary()).cast(pa.string()) if f.name in binary else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+            arrays = [pa.array(c, pa.binary()).cast(pa.string()) if f.name in text else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         for batch in batches:
@@ -128,8 +137,8 @@ def chunks(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
                     chunk, number = _Chunk(), number + 1
         yield from map(packed, _grouped(chunk.rows()))
 
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
-    return docs.select(*text).mapInArrow(each, "chunk long, lang string, source string, words string, term string, name string, docs long")
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
+    return docs.select(*named).mapInArrow(each, "chunk long, lang string, source string, words binary, term string, name string, docs long")
 
 
 def _grouped(rows: Iterator[tuple], most: int = 1 << 15, size: int = 4 << 20) -> Iterator[list[tuple]]:
@@ -145,44 +154,50 @@ def _grouped(rows: Iterator[tuple], most: int = 1 << 15, size: int = 4 << 20) ->
 
 
 def kept_terms(rows: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, name): terms of at least `least` documents of the language, counted exactly over all chunks."""
-    found = rows.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.max("name").alias("name"))
-    return found.where(F.col("docs") >= least).select("lang", "term", "name")
+    """(chunk, lang, term): of each chunk's terms those of at least `least` documents of the language, counted exactly over all chunks."""
+    found = rows.where("term IS NOT NULL").select("chunk", "lang", "term", "docs")
+    return found.withColumn("all", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(F.col("all") >= least).select("chunk", "lang", "term")
 
 
 def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n): occurrences of kept terms per group, n > 0.
+    """(lang, term, source, n, lang_n): occurrences of kept terms per group, n > 0, and in the whole language.
 
     A chunk's kept terms of a language come first, then its words: the automaton of the terms runs over the words.
     """
-    own = rows.where("term IS NOT NULL").select("chunk", "lang", "term").join(kept.select("lang", "term"), ["lang", "term"])
-    heads = own.select("chunk", "lang", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("words"), "term")
+    heads = kept.select("chunk", "lang", F.lit(None).cast("string").alias("source"), F.lit(None).cast("binary").alias("words"), "term")
     bodies = rows.where("words IS NOT NULL").select("chunk", "lang", "source", "words", F.lit(None).cast("string").alias("term"))
     placed = heads.union(bodies).repartition("chunk", "lang").sortWithinPartitions("chunk", "lang", F.col("source").asc_nulls_first())
 
     def each(batches: Iterator) -> Iterator:
         import ahocorasick
+        import numpy as np
         import pyarrow as pa
 
-        at, terms, machine, counts = None, [], None, {}
-        schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
+        at, terms, machine, found = None, [], None, []
+        schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
         def summed():
-            for source, own in counts.items():
-                listed = list(own)
-                for i in range(0, len(listed), 1 << 16):
-                    part = listed[i : i + (1 << 16)]
-                    names = pa.array([terms[k] for k in part], pa.binary()).cast(pa.string())
-                    columns = [pa.array([at[1]] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), names, pa.array([own[k] for k in part], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            if not found:
+                return
+            ids, counts = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+            sources = np.repeat(np.arange(len(found)), [len(f[1]) for f in found])
+            order = np.argsort(ids, kind="stable")
+            ids, counts, sources = ids[order], counts[order], pa.array([f[0] for f in found], pa.string()).take(pa.array(sources[order]))
+            starts = np.flatnonzero(np.diff(ids, prepend=-1))
+            ends = np.append(starts, len(ids)).astype(np.int32)
+            names = pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(ids[starts]))
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (sources, pa.array(counts))]
+            whole = pa.RecordBatch.from_arrays([pa.array([at[1]] * len(starts), pa.string()), names, *lists], schema=schema)
+            for i in range(0, len(starts), 1 << 14):
+                yield whole.slice(i, 1 << 14)
 
         for batch in batches:
             for part in small_batches(batch, 3):
-                columns = [part.column(i).to_pylist() for i in range(3)]
-                for chunk, lang, source, words, term in zip(*columns, utf8_list(part.column(3)), utf8_list(part.column(4)), strict=True):
+                columns = [part.column(i).to_pylist() for i in range(4)]
+                for chunk, lang, source, words, term in zip(*columns, utf8_list(part.column(4)), strict=True):
                     if (chunk, lang) != at:
                         yield from summed()
-                        at, terms, machine, counts = (chunk, lang), [], None, {}
+                        at, terms, machine, found = (chunk, lang), [], None, []
                     if term is not None:
                         terms.append(term)
                     elif terms:
@@ -191,10 +206,16 @@ def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
                             for i, t in enumerate(terms):
                                 machine.add_word(f" {t.decode('latin-1')} ", i)  # bytes as characters
                             machine.make_automaton()
-                        counts.setdefault(source, Counter()).update(map(itemgetter(1), machine.iter(words.decode("latin-1"))))
+                        text = _unsqueezed(words).decode("latin-1")
+                        ids, counts = np.unique(np.fromiter(map(itemgetter(1), machine.iter(text)), np.int64), return_counts=True)
+                        if len(ids):
+                            found.append((source, ids, counts))
         yield from summed()
 
-    return placed.mapInArrow(each, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    packed = placed.mapInArrow(each, "lang string, term string, sources array<string>, counts array<bigint>")
+    flat = packed.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
+    sums = flat.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
+    return sums.withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term")))
 
 
 def _share(n: str, total: str, terms: str) -> Column:
@@ -206,11 +227,15 @@ def _gap(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q}) div {q})"
 
 
-def group_totals(rows: DataFrame, kept: DataFrame, counts: DataFrame) -> DataFrame:
-    """(gid, lang, source, total, lang_total, terms, absent): a row per occurring group; absent is the share of a term that it lacks."""
+def group_totals(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gid, lang, source, total, lang_total, terms, absent): a row per occurring group; absent is the share of a term that it lacks.
+
+    terms is the number of the language's kept terms. Each of them occurs in a group.
+    """
     groups = rows.where("words IS NOT NULL").select("lang", "source").distinct()
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    both = groups.join(sums, ["lang", "source"], "left").join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms")), "lang", "left")
+    terms = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
+    both = groups.join(sums, ["lang", "source"], "left").join(terms, "lang", "left")
     both = both.withColumns({"total": F.coalesce("total", F.lit(0)), "terms": F.coalesce("terms", F.lit(0))})
     found = materialize(both, "groups")
     found = found.join(found.groupBy("lang").agg(F.sum("total").alias("lang_total")), "lang")
@@ -218,12 +243,10 @@ def group_totals(rows: DataFrame, kept: DataFrame, counts: DataFrame) -> DataFra
     return materialize(found, "totals")
 
 
-def scored(kept: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
+def scored(rows: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
     """(gid, lang, term, item, p, q, absent): the postings with their group's and their language's share of the term."""
-    in_lang = F.sum("n").over(Window.partitionBy("lang", "term"))
-    rows = counts.withColumn("lang_n", in_lang).join(broadcast_if_small(totals), ["lang", "source"])
-    named = materialize(kept.where("name IS NOT NULL"), "named")
-    rows = rows.join(broadcast_if_small(named), ["lang", "term"], "left")
+    named = materialize(rows.where("name IS NOT NULL").groupBy("lang", "term").agg(F.max("name").alias("name")), "named")
+    rows = counts.join(broadcast_if_small(totals), ["lang", "source"]).join(broadcast_if_small(named), ["lang", "term"], "left")
     return rows.select(
         "gid", "lang", "term", F.coalesce("name", "term").alias("item"), _share("n", "total", "terms").alias("p"), _share("lang_n", "lang_total", "terms").alias("q"), "absent"
     )
@@ -313,10 +336,9 @@ def divergences(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, size:
     table gives none; other columns are dropped. Values are exact as long as they are longs. size is a chunk's bytes.
     """
     rows = materialize(chunks(docs, size=size), "chunks")
-    kept = materialize(kept_terms(rows, least), "kept")
-    counts = materialize(occurrences(rows, kept), "occurrences")
-    totals = group_totals(rows, kept, counts)
-    posts = materialize(scored(kept, counts, totals), "postings")
+    counts = materialize(occurrences(rows, kept_terms(rows, least)), "occurrences")
+    totals = group_totals(rows, counts)
+    posts = materialize(scored(rows, counts, totals), "postings")
     about = totals.select("gid", "lang", "source")
     pairs = pair_values(posts, totals).join(broadcast_if_small(about), "gid")
     pairs = pairs.join(broadcast_if_small(about.select(F.col("gid").alias("other"), F.col("source").alias("item"))), "other")

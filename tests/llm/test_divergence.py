@@ -54,4 +54,4 @@ def test_pieces_of_long_texts():
     pieces = list(divergence._pieces(data))
     assert b"".join(pieces) == data and [w for p in pieces for w in p.split()] == data.split()
     rows = list(divergence._Chunk().add("l", "s", data))
-    assert len(rows) >= 2 and all(len(r[2]) < divergence.PIECE + (1 << 13) for r in rows)
+    assert len(rows) >= 2 and all(len(divergence._unsqueezed(r[2])) < divergence.PIECE + (1 << 13) for r in rows)
