@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 STORY_HOURS, LEAST_SIMILARITY = 48, 0.45
 
 
-def _vectors(articles: DataFrame) -> DataFrame:
+def vectors(articles: DataFrame) -> DataFrame:
     """articles with `words`, the sorted (w, x) of each: term count times the IDF over all articles, of length one."""
     n = articles.agg(F.count(F.lit(1)).cast("double").alias("n"))
     tf = articles.select("id", F.explode("tokens").alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("tf"))
@@ -27,7 +27,7 @@ def story_clusters(articles: DataFrame, window_ms: int = STORY_HOURS * 3_600_000
     in_order = Window.orderBy("bucket")
     breaks = buckets.select("bucket", F.when(F.col("bucket") - F.lag("bucket").over(in_order) > 1, 1).otherwise(0).alias("new"))
     stretches = breaks.select("bucket", F.sum("new").over(in_order).alias("stretch"))
-    rows = _vectors(articles.select("id", "published", "tokens")).withColumn("bucket", F.floor(F.col("published") / window_ms)).join(stretches, "bucket")
+    rows = vectors(articles.select("id", "published", "tokens")).withColumn("bucket", F.floor(F.col("published") / window_ms)).join(stretches, "bucket")
     rows = rows.select("stretch", "published", "id", F.col("words.w").alias("w"), F.col("words.x").alias("x"))
 
     def each(batches):

@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from oddsmith.functions.dialect import DUCK, SPARK
-from oddsmith.plans import candles, core, custom, extra, fixtures, markets, news, relational, rules, sports, text
+from oddsmith.plans import candles, core, custom, extra, fixtures, markets, news, relational, rules, sports, streams, text
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 PACKS = [relational, core, candles, sports, markets, text, extra]
 #: Plans that need Python on the executors, by name; their oracles, where SQL can express them, are in their modules.
-CUSTOM = [custom, fixtures, news, rules]
+CUSTOM = [custom, fixtures, news, rules, streams]
 
 
 def register(spark: SparkSession, sf_dir: str, text: str | None = None) -> None:
