@@ -159,14 +159,19 @@ def kept_terms(rows: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     return found.withColumn("all", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(F.col("all") >= least).select("chunk", "lang", "term")
 
 
-def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, term, source, n, lang_n): occurrences of kept terms per group, n > 0, and in the whole language.
+def occurring_groups(rows: DataFrame) -> DataFrame:
+    """(gid, lang, source): every group of a document, with or without terms, by a number."""
+    return materialize(rows.where("words IS NOT NULL").select("lang", "source").distinct(), "groups").withColumn("gid", F.monotonically_increasing_id())
+
+
+def occurrences(rows: DataFrame, kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, term, gid, n, lang_n): occurrences of kept terms per group, n > 0, and in the whole language.
 
     A chunk's kept terms of a language come first, then its words: the automaton of the terms runs over the words.
     """
-    heads = kept.select("chunk", "lang", F.lit(None).cast("string").alias("source"), F.lit(None).cast("binary").alias("words"), "term")
-    bodies = rows.where("words IS NOT NULL").select("chunk", "lang", "source", "words", F.lit(None).cast("string").alias("term"))
-    placed = heads.union(bodies).repartition("chunk", "lang").sortWithinPartitions("chunk", "lang", F.col("source").asc_nulls_first())
+    heads = kept.select("chunk", "lang", F.lit(None).cast("long").alias("gid"), F.lit(None).cast("binary").alias("words"), "term")
+    bodies = rows.where("words IS NOT NULL").join(broadcast_if_small(groups), ["lang", "source"]).select("chunk", "lang", "gid", "words", F.lit(None).cast("string").alias("term"))
+    placed = heads.union(bodies).repartition("chunk", "lang").sortWithinPartitions("chunk", "lang", F.col("gid").asc_nulls_first())
 
     def each(batches: Iterator) -> Iterator:
         import ahocorasick
@@ -174,19 +179,19 @@ def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         at, terms, machine, found = None, [], None, []
-        schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+        schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("gids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
         def summed():
             if not found:
                 return
             ids, counts = (np.concatenate([f[i] for f in found]) for i in (1, 2))
-            sources = np.repeat(np.arange(len(found)), [len(f[1]) for f in found])
+            gids = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
             order = np.argsort(ids, kind="stable")
-            ids, counts, sources = ids[order], counts[order], pa.array([f[0] for f in found], pa.string()).take(pa.array(sources[order]))
+            ids, counts, gids = ids[order], counts[order].astype(np.int32), gids[order]
             starts = np.flatnonzero(np.diff(ids, prepend=-1))
             ends = np.append(starts, len(ids)).astype(np.int32)
             names = pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(ids[starts]))
-            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (sources, pa.array(counts))]
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (pa.array(gids), pa.array(counts))]
             whole = pa.RecordBatch.from_arrays([pa.array([at[1]] * len(starts), pa.string()), names, *lists], schema=schema)
             for i in range(0, len(starts), 1 << 14):
                 yield whole.slice(i, 1 << 14)
@@ -194,7 +199,7 @@ def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
         for batch in batches:
             for part in small_batches(batch, 3):
                 columns = [part.column(i).to_pylist() for i in range(4)]
-                for chunk, lang, source, words, term in zip(*columns, utf8_list(part.column(4)), strict=True):
+                for chunk, lang, gid, words, term in zip(*columns, utf8_list(part.column(4)), strict=True):
                     if (chunk, lang) != at:
                         yield from summed()
                         at, terms, machine, found = (chunk, lang), [], None, []
@@ -209,12 +214,12 @@ def occurrences(rows: DataFrame, kept: DataFrame) -> DataFrame:
                         text = _unsqueezed(words).decode("latin-1")
                         ids, counts = np.unique(np.fromiter(map(itemgetter(1), machine.iter(text)), np.int64), return_counts=True)
                         if len(ids):
-                            found.append((source, ids, counts))
+                            found.append((gid, ids, counts))
         yield from summed()
 
-    packed = placed.mapInArrow(each, "lang string, term string, sources array<string>, counts array<bigint>")
-    flat = packed.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("x"))
-    sums = flat.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
+    packed = placed.mapInArrow(each, "lang string, term string, gids array<bigint>, counts array<int>")
+    flat = packed.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("gids", "counts")).alias("x"))
+    sums = flat.groupBy("lang", "term", F.col("x.gids").alias("gid")).agg(F.sum("x.counts").alias("n"))
     return sums.withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term")))
 
 
@@ -227,26 +232,25 @@ def _gap(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q}) div {q})"
 
 
-def group_totals(rows: DataFrame, counts: DataFrame) -> DataFrame:
+def group_totals(groups: DataFrame, counts: DataFrame) -> DataFrame:
     """(gid, lang, source, total, lang_total, terms, absent): a row per occurring group; absent is the share of a term that it lacks.
 
     terms is the number of the language's kept terms. Each of them occurs in a group.
     """
-    groups = rows.where("words IS NOT NULL").select("lang", "source").distinct()
-    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    sums = counts.groupBy("gid").agg(F.sum("n").alias("total"))
     terms = counts.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
-    both = groups.join(sums, ["lang", "source"], "left").join(terms, "lang", "left")
+    both = groups.join(sums, "gid", "left").join(terms, "lang", "left")
     both = both.withColumns({"total": F.coalesce("total", F.lit(0)), "terms": F.coalesce("terms", F.lit(0))})
-    found = materialize(both, "groups")
+    found = materialize(both, "group-sums")
     found = found.join(found.groupBy("lang").agg(F.sum("total").alias("lang_total")), "lang")
-    found = found.withColumns({"gid": F.monotonically_increasing_id(), "absent": F.when(F.col("terms") > 0, _share("0", "total", "terms"))})
+    found = found.withColumn("absent", F.when(F.col("terms") > 0, _share("0", "total", "terms")))
     return materialize(found, "totals")
 
 
 def scored(rows: DataFrame, counts: DataFrame, totals: DataFrame) -> DataFrame:
     """(gid, lang, term, item, p, q, absent): the postings with their group's and their language's share of the term."""
     named = materialize(rows.where("name IS NOT NULL").groupBy("lang", "term").agg(F.max("name").alias("name")), "named")
-    rows = counts.join(broadcast_if_small(totals), ["lang", "source"]).join(broadcast_if_small(named), ["lang", "term"], "left")
+    rows = counts.join(broadcast_if_small(totals.drop("lang", "source")), "gid").join(broadcast_if_small(named), ["lang", "term"], "left")
     return rows.select(
         "gid", "lang", "term", F.coalesce("name", "term").alias("item"), _share("n", "total", "terms").alias("p"), _share("lang_n", "lang_total", "terms").alias("q"), "absent"
     )
@@ -336,8 +340,9 @@ def divergences(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, size:
     table gives none; other columns are dropped. Values are exact as long as they are longs. size is a chunk's bytes.
     """
     rows = materialize(chunks(docs, size=size), "chunks")
-    counts = materialize(occurrences(rows, kept_terms(rows, least)), "occurrences")
-    totals = group_totals(rows, counts)
+    groups = materialize(occurring_groups(rows), "numbered-groups")
+    counts = materialize(occurrences(rows, kept_terms(rows, least), groups), "occurrences")
+    totals = group_totals(groups, counts)
     posts = materialize(scored(rows, counts, totals), "postings")
     about = totals.select("gid", "lang", "source")
     pairs = pair_values(posts, totals).join(broadcast_if_small(about), "gid")
