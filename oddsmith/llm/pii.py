@@ -13,8 +13,8 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +42,12 @@ _NUMBER = re.compile(
     r"|(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)"
     r"|\+(?:[2-9][0-9]{0,2})[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?!\w))"
 )
-_LOCAL = re.compile(r"[\w.+%-]{1,64}\Z")
-_DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}")
+_LOCAL = re.compile(r"(?<![\w.+%-])[\w.+%-]++@")
+_DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]*[\w:])")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _CLOUD_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
-_KEYWORD = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*\Z")
+_KEYWORD = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*+[=:]")
 _SECRET = re.compile(r"\s*[\"']?([^\s\"',;<>]{6,})")
 _TITLE = re.compile("(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + r")\.?[  ](?=[^\W\d_])")
 _NAME = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -64,8 +65,30 @@ HEADS = (
     "his", "her", "its", "their", "he", "she", "it", "we", "they", "you", "i", "who", "what", "no", "all", "some", "der", "die", "das", "ein", "eine", "und", "le", "la",
     "les", "un", "une", "el", "los", "las", "una", "et", "y",
 )
-_VERB = re.compile(r"(?<=[  ])(?:" + "|".join(VERBS) + r")(?!\w)")
-_BEFORE_VERB = re.compile(r"(?<![^\s\"'“„«(\[—–-])([^\W\d_]+(?:['’-][^\W\d_]+)*)[  ]([^\W\d_]+(?:['’-][^\W\d_]+)*)[  ]\Z")
+#: Words of places, bodies and streets; they are no part of a person's name and end one.
+PLACES = frozenset(
+    (
+        "north", "south", "east", "west", "northern", "southern", "eastern", "western", "new", "old", "upper", "lower", "great", "central", "united", "federal", "european", "national",
+        "international", "royal", "supreme", "white", "wall", "saint", "san", "los", "las", "santa", "mount", "lake", "river", "cape", "fort", "port", "street", "road", "avenue", "lane",
+        "square", "bridge", "park", "place", "drive", "boulevard", "station", "airport", "city", "county", "state", "states", "kingdom", "republic", "union", "island", "islands", "sea",
+        "ocean", "valley", "hills", "beach", "york", "england", "korea", "africa", "america", "asia", "europe", "zealand", "reserve", "bank", "house", "court", "council", "congress",
+        "senate", "parliament", "ministry", "department", "office", "agency", "commission", "committee", "party", "army", "police", "university", "college", "school", "hospital", "church",
+        "museum", "company", "corporation", "group", "times", "post", "news", "press", "journal", "league", "club", "association", "institute", "foundation", "street.", "inc", "ltd", "gmbh",
+    )
+)
+#: Names that are words of their own; a further mention counts only beside another part of a detected name.
+AMBIGUOUS = frozenset(
+    (
+        "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "monday", "tuesday", "wednesday", "thursday", "friday",
+        "saturday", "sunday", "christian", "will", "mark", "grace", "hope", "faith", "rose", "bill", "frank", "grant", "rich", "page", "price", "king", "queen", "prince", "day", "summer",
+        "winter", "spring", "autumn", "joy", "art", "paris", "victoria", "georgia", "virginia", "sydney", "florence", "china", "india",
+    )
+)
+#: Small words inside names, which stay as they are.
+PARTICLES = ("de", "del", "della", "di", "da", "dos", "das", "do", "la", "las", "los", "le", "van", "von", "der", "den", "zu", "y", "e", "bin", "ibn", "al", "el", "af", "av", "ter", "ten")
+_PARTICLE = re.compile(r"(?:(?:" + "|".join(PARTICLES) + r")[ \u00a0]){1,3}")
+_WORD = r"[^\W\d_]++(?:['’-][^\W\d_]++)*+"
+_BEFORE_VERB = re.compile(r"(?:(?<![\w'’-])|(?<=[\s(]['’]))(" + _WORD + r")[ \u00a0](" + _WORD + r")[ \u00a0](?=(?:" + "|".join(VERBS) + r")(?!\w))")
 _LABEL = re.compile(r"(?i:(?<!\w)(?:" + "|".join(LABELS) + r"))[  ]?:[  ]*(?=[^\W\d_])")
 _GIVEN = re.compile(r"(?<!\w)(?:" + "|".join(n.capitalize() for n in MALE + FEMALE) + r")(?![\w])")
 _SYMBOLS = frozenset("!@#$%^&*+=~|")
@@ -74,8 +97,7 @@ CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52
 _POSSESSIVE = re.compile("['’][sS]$")
 
 
-@dataclass(frozen=True)
-class Entity:
+class Entity(NamedTuple):
     kind: str
     start: int
     end: int
@@ -89,6 +111,16 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def is_ipv6(value: str) -> bool:
+    """An address of version 6 with a digit in it; words joined by colons and times of day are none."""
+    if not any(c.isdigit() for c in value):
+        return False
+    try:
+        return bool(ipaddress.IPv6Address(value))
+    except ValueError:
+        return False
+
+
 def _numbers(text: str) -> Iterator[Entity]:
     at = 0
     while m := _NUMBER_START.search(text, at):
@@ -115,18 +147,44 @@ def _numbers(text: str) -> Iterator[Entity]:
 
 
 def _named(word: str) -> bool:
-    return word[0].isupper() or unicodedata.category(word[0]) == "Lo"
+    return word[0].isupper() or not word[0].isascii() and unicodedata.category(word[0]) == "Lo"
+
 
+def _mentions(text: str, genders: dict[str, str], known: dict[int, Entity]) -> Iterator[Entity]:
+    """The known names, by where they start, and capitalised mentions of them anywhere: whole words, without a possessive, or parts of a compound.
 
-def _mentions(text: str, genders: dict[str, str]) -> Iterator[Entity]:
-    """Capitalised mentions of detected names anywhere in the text: whole words, without a possessive, or parts of a compound."""
+    A name that is a word of its own counts only next to another detected name.
+    """
+    doubtful, last_end = None, -2
     for m in _NAME.finditer(text):
+        start = m.start()
+        if start in known:
+            if doubtful and start - last_end == 1:
+                yield doubtful
+            yield known[start]
+            doubtful, last_end = None, m.end()
+            continue
         word = m.group()
-        bare = _POSSESSIVE.sub("", word)
-        spans = [(0, len(w)) for w in (word, bare) if w.lower() in genders][:1] or [p.span() for p in _PART.finditer(word)]
-        for i, j in spans:
-            if word[i:j].lower() in genders and _named(word[i:j]):
-                yield Entity("name", m.start() + i, m.start() + j, word[i:j].lower(), genders[word[i:j].lower()])
+        lower = _canonical(word)
+        if lower in genders:
+            hits = [(0, len(word))] if _named(word) else []
+        elif word.isalpha():
+            continue
+        else:
+            bare = _POSSESSIVE.sub("", word)
+            spans = [(0, len(bare))] if _canonical(bare) in genders else [p.span() for p in _PART.finditer(word)]
+            hits = [(i, j) for i, j in spans if _canonical(word[i:j]) in genders and _named(word[i:j])]
+        own = [Entity("name", start + i, start + j, c := _canonical(word[i:j]), genders[c]) for i, j in hits]
+        near = start - last_end == 1
+        if not own:
+            continue
+        if len(own) == 1 and own[0].canonical in AMBIGUOUS and not near:
+            doubtful, last_end = own[0], m.end()
+            continue
+        if near and doubtful:
+            yield doubtful
+        yield from own
+        doubtful, last_end = None, m.end()
 
 
 def _secretive(value: str) -> bool:
@@ -141,68 +199,82 @@ def country_code(digits: str) -> int:
     return 1 if digits[:1] in CODES else 2 if digits[:2] in CODES else 3
 
 
-def _run(text: str, at: int) -> list[tuple[int, int, str]]:
-    """(start, end, word) of the capitalised words from `at` on, single spaces between them; a possessive ends the run."""
-    out = []
-    while (word := _NAME.match(text, at)) and _named(word.group()):
-        shown = _POSSESSIVE.sub("", word.group())
-        out.append((word.start(), word.start() + len(shown), shown))
-        at = word.end() + 1
-        if shown != word.group() or text[word.end() : at] not in (" ", " "):
+def _canonical(word: str) -> str:
+    return word.lower().replace("’", "'")
+
+
+def _run(text: str, at: int) -> tuple[list[tuple[int, int, str]], int]:
+    """(start, end, word) of the words of a name from `at` on, single spaces between them, and where the search ended.
+
+    A possessive, a title, and a word of a place end it; small words between two of a name are passed over.
+    """
+    out: list[tuple[int, int, str]] = []
+    while (word := _NAME.match(text, at)) and _named(whole := word.group()):
+        shown = whole if whole.isalpha() else _POSSESSIVE.sub("", whole)
+        if whole in TITLES or shown.lower() in PLACES:
             break
-    return out
+        out.append((at, at + len(shown), shown))
+        at = word.end()
+        if shown != whole or text[at : at + 1] not in (" ", " "):
+            break
+        at += 1
+        if small := _PARTICLE.match(text, at):
+            at = small.end()
+    return out, max(at, out[-1][1]) if out else at
 
 
 def _names(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, word, gender) of names by context: after a title or a label, from a listed given name on, before a verb of people."""
+    """(start, end, word, gender) of names by context: after a title or a label, from a listed given name on, before a verb of people.
+
+    A start inside a name that the same rule has taken is part of it, so each rule passes over a text once.
+    """
     found = []
-    for m in _TITLE.finditer(text):
-        if not text[m.start() - 1 : m.start()].isalnum():
-            found += [(*w, TITLES[m.group().rstrip(" . ")]) for w in _run(text, m.end())]
-    for m in _LABEL.finditer(text):
-        words = _run(text, m.end())
-        found += [(*w, "n") for w in words] if 2 <= len(words) <= 4 else []
-    for m in _GIVEN.finditer(text):
-        gender = "m" if m.group().lower() in MALE else "f"
-        own = _run(text, m.start()) if not text[m.end() : m.end() + 1] in ("'", "’", "-") else [(m.start(), m.end(), m.group())]
-        found += [(*w, gender) for w in own if w[2].lower() not in HEADS]
-    for m in _VERB.finditer(text):
-        pair = _BEFORE_VERB.search(text[max(0, m.start() - 160) : m.start()])
-        if pair and all(_named(pair.group(i)) and pair.group(i)[1:].islower() for i in (1, 2)) and pair.group(1).lower() not in HEADS:
-            shift = max(0, m.start() - 160)
-            found += [(shift + pair.start(i), shift + pair.end(i), pair.group(i), "n") for i in (1, 2)]
+    for pattern in (_TITLE, _LABEL, _GIVEN):
+        covered = 0
+        for m in pattern.finditer(text):
+            given = pattern is _GIVEN
+            start = m.start() if given else m.end()
+            if start < covered or pattern is _TITLE and text[m.start() - 1 : m.start()].isalnum():
+                continue
+            if given and text[m.end() : m.end() + 1] in ("'", "’", "-"):
+                words, covered = [(m.start(), m.end(), m.group())], m.end()
+            else:
+                words, covered = _run(text, start)
+            gender = TITLES[m.group().rstrip(" .\u00a0")] if pattern is _TITLE else "n" if not given else "m" if m.group().lower() in MALE else "f"
+            found += [(a, b, w, gender) for a, b, w in words if pattern is _TITLE or w.lower() not in HEADS]
+    for m in _BEFORE_VERB.finditer(text):
+        pair = m.group(1), m.group(2)
+        if all(_named(w) and w[1:].islower() and w.lower() not in PLACES for w in pair) and pair[0].lower() not in HEADS:
+            found += [(m.start(i), m.end(i), m.group(i), "n") for i in (1, 2)]
     return found
 
 
 def find_entities(text: str) -> list[Entity]:
     """Entities in order, without overlaps; of two that overlap the one that begins first (then the longer) counts.
 
-    Kinds: email, phone, ip, card, ssn, iban, secret (cloud keys, and values after a password or token keyword that do
-    not look like words), name (see _names, and every further capitalised mention of such a word in the text). Each
-    search starts at a rare string, so long texts cost one scan per kind.
+    Kinds: email, phone, ip, ipv6, card, ssn, iban, secret (cloud keys, and values after a password or token keyword that do
+    not look like words), name (see _names, and every further capitalised mention of such a word in the text, see
+    _mentions). Each search passes over the text once, runs of names, labels and verbs included.
     """
     found = list(_numbers(text))
-    at = text.find("@")
-    while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if local and domain:
-            found.append(Entity("email", local.start(), domain.end(), text[local.start() : domain.end()].lower()))
-        at = text.find("@", at + 1)
+    for m in _LOCAL.finditer(text):
+        if domain := _DOMAIN.match(text, m.end()):
+            found.append(Entity("email", m.start(), domain.end(), text[m.start() : domain.end()].lower()))
+    for m in _IPV6.finditer(text):
+        if is_ipv6(m.group()):
+            found.append(Entity("ipv6", m.start(), m.end(), ipaddress.IPv6Address(m.group()).exploded))
     for pattern, kind in ((_CLOUD_KEY, "secret"), (_IBAN, "iban")):
         found += [Entity(kind, m.start(), m.end(), m.group().replace(" ", "")) for m in pattern.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()]
-    for mark in "=:":
-        at = text.find(mark)
-        while at >= 0:
-            if _KEYWORD.search(text, max(0, at - 24), at) and (m := _SECRET.match(text, at + 1)) and _secretive(m.group(1)):
-                found.append(Entity("secret", m.start(1), m.end(1), m.group(1)))
-                at = m.end(1) - 1
-            at = text.find(mark, at + 1)
+    for m in _KEYWORD.finditer(text):
+        if (value := _SECRET.match(text, m.end())) and _secretive(value.group(1)):
+            found.append(Entity("secret", value.start(1), value.end(1), value.group(1)))
     genders: dict[str, str] = {}
+    known: dict[int, Entity] = {}
     for start, end, word, gender in _names(text):
-        found.append(Entity("name", start, end, word.lower(), gender))
-        genders[word.lower()] = gender
+        known.setdefault(start, Entity("name", start, end, _canonical(word), gender))
+        genders.setdefault(known[start].canonical, gender)
     if genders:
-        found += _mentions(text, genders)
+        found += _mentions(text, genders, known)
     kept: list[Entity] = []
     for e in sorted(found, key=lambda e: (e.start, -e.end)):
         if not kept or e.start >= kept[-1].end:
@@ -265,6 +337,8 @@ class Surrogates:
             x = list(first).index(octets[0]) << 24 | octets[1] << 16 | octets[2] << 8 | octets[3]
             y = self.moved(x, len(first) << 24, f"ip\0{len(first)}")
             return f"{list(first)[y >> 24]}.{ipaddress.IPv4Address(y & 0xFFFFFF).exploded.split('.', 1)[1]}"
+        if kind == "ipv6":  # the first group tells the kind of network and stays
+            return self.respelled(canonical, ["" if i < 4 or c == ":" else "0123456789abcdef" for i, c in enumerate(canonical)], f"ipv6\0{canonical[:4]}")
         if kind == "card":
             off = luhn(canonical)
             body = canonical[0] + self.respelled(canonical[1:-1], ["0123456789"] * (len(canonical) - 2), f"card\0{off}\0{canonical[0]}")
@@ -316,7 +390,8 @@ def _letters(c: str) -> str:
 def in_format(shown: str, surrogate: str) -> str:
     """The canonical surrogate in the mention's format: its separators and letter case."""
     if len(shown) == len(surrogate):
-        return "".join(s.upper() if c.isupper() and len(s.upper()) == 1 else s for c, s in zip(shown, surrogate, strict=True))
+        cased = lambda c, s: s.upper() if c.isupper() and len(s.upper()) == 1 else s
+        return "".join(cased(c, s) if s.isalnum() else c for c, s in zip(shown, surrogate, strict=True))
     alnum = sum(c.isalnum() for c in shown)
     if alnum == len(shown):  # a listed name of another length
         return surrogate.upper() if shown.isupper() else surrogate[:1].upper() + surrogate[1:]
@@ -332,7 +407,7 @@ def pseudonymize(text: str | None, surrogates: Surrogates) -> tuple[str | None,
     for e in find_entities(text):
         shown = text[e.start : e.end]
         made = surrogates.of(e.kind, e.canonical, e.gender)
-        new = made if e.kind == "ip" else in_format(shown, made)
+        new = made if e.kind in ("ip", "ipv6") else in_format(shown, made)
         found.append((e, new, made))
         out += [text[at : e.start], new]
         at = e.end

@@ -116,3 +116,55 @@ def test_a_collision_is_an_error(spark):
     assert pii.collisions(entities).count() == 1
     with pytest.raises(ValueError):
         pii.checked(entities)
+
+
+@pytest.mark.parametrize("unit", ["John ", "Mr A ", "A B said ", "Contact: Bob ", "Dr. O’Brien ", "Maria de la ", "aaaaaaaaa@", "x@y.", "password = ", "1:", "ab:", "a-", "a'", "Mr ", "+1 "])
+def test_long_runs_take_linear_time(unit):
+    import time
+
+    def took(n):
+        text, start = unit * (n // len(unit)), time.process_time()
+        pii.find_entities(text)
+        return time.process_time() - start
+
+    took(1000)
+    small = max(took(40_000), took(40_000), 0.004)
+    assert took(400_000) < 30 * small  # a hundred times if it were quadratic
+
+
+def replaced(text):
+    return [text[e.start : e.end] for e in pii.find_entities(text)]
+
+
+def test_nothing_is_cut_off():
+    local = "x" * 70
+    assert replaced(f"to {local}@mail.example.org now") == [f"{local}@mail.example.org"]
+    assert replaced("Contact: Bob") == ["Bob"] and replaced("Contact: Abc Def Ghi Jkl Mno") == ["Abc", "Def", "Ghi", "Jkl", "Mno"]
+    assert replaced("Author: Maria del Carmen Ruiz") == ["Maria", "Carmen", "Ruiz"]
+    assert replaced("A" + "b" * 300 + " C" + "d" * 300 + " said so") == ["A" + "b" * 300, "C" + "d" * 300]
+    assert replaced("password" + " " * 500 + "= hunter22x") == ["hunter22x"]
+    assert replaced("at 2001:db8::1 by 12:30:45 in a std::string") == ["2001:db8::1"]
+
+
+def test_places_months_and_words_stay():
+    for text in ("New York said no", "Federal Reserve said so", "North Korea said", "The White House said"):
+        assert replaced(text) == []
+    assert replaced("Paul Street is long") == ["Paul"]
+    assert replaced("Name: Christian Dior. The Christian faith, says Dior.") == ["Christian", "Dior", "Dior"]
+    assert replaced("Dr May went in May. Dr May, May Day.") == ["May", "May", "May"][:2]
+    assert replaced("Dr. O'Brien met her. O’Brien left.") == ["O'Brien", "O’Brien"]
+
+
+def test_precision_and_recall_on_a_labelled_sample():
+    people = [("Robert", "Ngata"), ("Elena", "Kowalski"), ("Yusuf", "Demir"), ("Ingrid", "Solberg"), ("Thomas", "Achterberg"), ("Aisha", "Balogun"), ("Peter", "Lindqvist"), ("Mary", "Castellano")]
+    told = ["Mr {1} arrived late. {1} was tired.", "{0} {1} said that rain would come.", "Contact: {0} {1}, first floor.", "Dear Dr. {1}, thank you.", "{0} {1} wrote a letter, and {1}'s sister read it.", "We saw {0} {1} in the garden.", "Signed: {0} {1}"]
+    clean = ["New York said no.", "In May the Federal Reserve met.", "The Christian faith grew in North Africa.", "Paris and London met halfway.", "Green tea is good, said nobody.", "Summer Street runs east.", "On Monday the Senate voted.", "Hope is a good thing."]
+    right = wrong = missed = 0
+    for first, last in people:
+        for t in told:
+            text = t.format(first, last)
+            want, got = sorted(w for w in re.findall(r"\w+", text) if w in (first, last)), sorted(x for x in replaced(text))
+            right += len(want) - len(missing := [w for w in want if w not in got])
+            missed, wrong = missed + len(missing), wrong + len([x for x in got if x not in want])
+    wrong += sum(len(replaced(t)) for t in clean)
+    assert right / (right + missed) >= 0.9 and right / (right + wrong) >= 0.95, (right, missed, wrong)
