@@ -276,3 +276,33 @@ def compared_teams(views: DataFrame, history: DataFrame) -> DataFrame:
         "league", "team_a", "team_b", (F.col("scored_a") - F.col("scored_b")).alias("attack_gap"), (F.col("conceded_b") - F.col("conceded_a")).alias("defence_gap"), (F.col("form_a") - F.col("form_b")).alias("form_gap"),
         gap.alias("rating_gap"), chance(gap).alias("neutral_chance"), F.coalesce("meetings", F.lit(0)).alias("meetings"), F.coalesce("won", F.lit(0)).alias("won"), "last_meeting",
     )
+
+
+def rating_chances(fixtures: DataFrame, elo: DataFrame) -> DataFrame:
+    """(league, home, away, home_win, draw, away_win, goal_diff): outcomes and expected margin by the ratings of the two sides."""
+    rows = _sides(fixtures, elo, ["rating"]).dropna()
+    diff = F.col("home_rating") + ENSEMBLE_RATING - F.col("away_rating")
+    win, draw, loss = rating_outcomes(diff)
+    return rows.select("league", "home", "away", win.alias("home_win"), draw.alias("draw"), loss.alias("away_win"), (diff / RATING_PER_GOAL).alias("goal_diff"))
+
+
+#: What form, rating, meetings and rest may add to a home side's chance, and the days of rest that count.
+FORM_SHARE, RATING_SHARE, MEETINGS_SHARE, REST_SHARE, REST_MOST, REST_DAYS = 0.25, 0.5, 0.03, 0.004, 0.02, 14
+FACTOR_PRIOR = 6
+
+
+def match_factors(games: DataFrame, views: DataFrame, history: DataFrame, elo: DataFrame) -> DataFrame:
+    """(league, home, away, form, elo, venue, h2h, rest) of every pairing as of the league's last game: what each adds to the home side's chance."""
+    last = views.where("ago = 0").select("league", "team", F.col("kickoff").alias("last"))
+    teams = elo.join(form(views, history).select("league", "team", form_score(F.col("raw")).alias("form")), ["league", "team"]).join(last, ["league", "team"])
+    now = games.groupBy("league").agg(F.max("kickoff").alias("now"))
+    met = views.groupBy("league", F.col("team").alias("home"), F.col("opponent").alias("away")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("result") == 1.0, 1)).alias("wins"))
+    rows = _sides(games.select("league", "home", "away").distinct(), teams, ["rating", "form", "last"]).join(now, "league").join(met, ["league", "home", "away"], "left")
+    rest = lambda side: F.least(F.lit(float(REST_DAYS)), (F.col("now") - F.col(f"{side}_last")) / 86_400_000)
+    chance_at = lambda home: chance(F.col("home_rating") + home - F.col("away_rating"))
+    shrunk = (F.coalesce("wins", F.lit(0)) + 0.5 * FACTOR_PRIOR) / (F.coalesce("n", F.lit(0)) + FACTOR_PRIOR)
+    return rows.select(
+        "league", "home", "away", (FORM_SHARE * (F.col("home_form") - F.col("away_form")) / 100).alias("form"), (RATING_SHARE * (chance_at(0.0) - 0.5)).alias("elo"),
+        (RATING_SHARE * (chance_at(ENSEMBLE_RATING) - chance_at(0.0))).alias("venue"), _clamp(shrunk - 0.5, -MEETINGS_SHARE, MEETINGS_SHARE).alias("h2h"),
+        _clamp(REST_SHARE * (rest("home") - rest("away")), -REST_MOST, REST_MOST).alias("rest"),
+    )

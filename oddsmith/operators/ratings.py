@@ -159,3 +159,23 @@ def learned_features(games: DataFrame, least: int = 5, fade: float = 0.92) -> Da
         return pd.DataFrame(replay(pdf, least, fade)[0], columns=["league", "game_id", "kickoff", "outcome", *FEATURES])
 
     return games.groupBy("league").applyInPandas(each, "league int, game_id bigint, kickoff bigint, outcome int, " + ", ".join(f"{f} double" for f in FEATURES))
+
+
+def decayed_rates(views: DataFrame, least: int = 5, fade: float = 0.92) -> DataFrame:
+    """(league, team, game_id, scored, conceded): faded means of goals over all of a team's games before each, from its game `least` + 1 on.
+
+    Two sums and a weight a side are carried from game to game, so a team's history costs one pass over it.
+    """
+
+    def each(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values(["kickoff", "game_id"])
+        sums, weight, out = np.zeros(2), 0.0, []
+        for goals in pdf[["gf", "ga"]].to_numpy(float):
+            out.append(sums / weight if weight else sums)
+            sums, weight = sums * fade + goals, weight * fade + 1
+        pdf[["scored", "conceded"]] = np.array(out).reshape(-1, 2)
+        return pdf[["league", "team", "game_id", "scored", "conceded"]].iloc[least:]
+
+    return views.groupBy("league", "team").applyInPandas(each, "league int, team int, game_id bigint, scored double, conceded double")

@@ -83,7 +83,22 @@ def sports_compare_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fixtures.compared_teams(season.views, season.history), 5)
 
 
-REGISTERED = (sports_compare_teams, sports_form_score, sports_form_league_scaled, sports_two_models, sports_counterfactuals, sports_team_strength, sports_strength_percentile, sports_learned_features)
+def sports_decayed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    games = _sql(spark, sf_dir, f"WITH {relations.games(SPARK)} SELECT * FROM games")
+    return _rounded(ratings.decayed_rates(fixtures.team_views(games)), 5)
+
+
+def sports_elo_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    games = _sql(spark, sf_dir, f"WITH {relations.games(SPARK)} SELECT * FROM games")
+    return _rounded(fixtures.rating_chances(games.select("league", "home", "away").distinct(), ratings.batch_elo(games)), 5)
+
+
+def sports_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    season = _Season(spark, sf_dir)
+    return _rounded(fixtures.match_factors(season.games, season.views, season.history, ratings.batch_elo(season.games)), 5)
+
+
+REGISTERED = (sports_decayed_features, sports_elo_davidson, sports_factors, sports_compare_teams, sports_form_score, sports_form_league_scaled, sports_two_models, sports_counterfactuals, sports_team_strength, sports_strength_percentile, sports_learned_features)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -175,6 +190,20 @@ s AS (SELECT u.league, u.game_id, u.team, u.k, u.kickoff, least(14e0, greatest(0
 SELECT r.league, r.game_id, h.kickoff, CASE WHEN x.hs > x.aws THEN 0 WHEN x.hs = x.aws THEN 1 ELSE 2 END AS outcome, round(least(1.5e0, greatest(-1.5e0, (r.a - r.b) / 400e0)), 5) AS elo_diff, round(least(1e0, greatest(-1e0, (h.p - a.p) / 3e0)), 5) AS points_diff,
   round(least(1e0, greatest(-1e0, (h.ph - a.pa) / 3e0)), 5) AS venue_diff, round(least(1e0, greatest(-1e0, (h.g - a.g) / 3e0)), 5) AS goals_diff, round((h.rest - a.rest) / 14e0, 5) AS rest_diff
 FROM rec r JOIN games x USING (league, game_id) JOIN s h ON h.league = r.league AND h.game_id = r.game_id AND h.team = r.home JOIN s a ON a.league = r.league AND a.game_id = r.game_id AND a.team = r.away WHERE r.k > 0 AND h.k > 5 AND a.k > 5""",
+        "sports_decayed_features": f"""WITH {relations.games(d)}, s AS (SELECT league, home AS team, game_id, kickoff, hs AS gf, aws AS ga FROM games UNION ALL SELECT league, away, game_id, kickoff, aws, hs FROM games),
+k AS (SELECT *, row_number() OVER (PARTITION BY league, team ORDER BY kickoff, game_id) AS k FROM s)
+SELECT a.league, a.team, a.game_id, round(sum(power(0.92e0, a.k - 1 - b.k) * b.gf) / sum(power(0.92e0, a.k - 1 - b.k)), 5) AS scored, round(sum(power(0.92e0, a.k - 1 - b.k) * b.ga) / sum(power(0.92e0, a.k - 1 - b.k)), 5) AS conceded
+FROM k a JOIN k b ON b.league = a.league AND b.team = a.team AND b.k < a.k WHERE a.k > 5 GROUP BY a.league, a.team, a.game_id""",
+        "sports_elo_davidson": f"""WITH {relations.games(d)}, plain AS ({_batch_ratings(d)}), q AS (SELECT p.league, p.home, p.away, h.rating + 60e0 - a.rating AS diff FROM (SELECT DISTINCT league, home, away FROM games) p JOIN plain h ON h.league = p.league AND h.team = p.home JOIN plain a ON a.league = p.league AND a.team = p.away),
+e AS (SELECT *, 1e0 / (1e0 + power(10e0, -diff / 400e0)) AS e FROM q), x AS (SELECT *, 0.85e0 * sqrt(e * (1e0 - e)) AS dr FROM e)
+SELECT league, home, away, round(e / (1e0 + dr), 5) AS home_win, round(dr / (1e0 + dr), 5) AS draw, round((1e0 - e) / (1e0 + dr), 5) AS away_win, round(diff / 175e0, 5) AS goal_diff FROM x""",
+        "sports_factors": f"""WITH RECURSIVE {form}, plain AS ({_batch_ratings(d)}), now AS (SELECT league, max(kickoff) AS now FROM games GROUP BY league),
+t AS (SELECT f.league, f.team, {score} AS score, p.rating, l.kickoff AS last FROM form f JOIN plain p ON p.league = f.league AND p.team = f.team JOIN latest l ON l.league = f.league AND l.team = f.team AND l.ago = 0),
+met AS (SELECT league, team, opponent, count(*) AS n, count(*) FILTER (gf > ga) AS wins FROM latest GROUP BY league, team, opponent),
+q AS (SELECT p.league, p.home, p.away, h.score - a.score AS gap, h.rating - a.rating AS diff, (now - h.last) / 86400000e0 AS rh, (now - a.last) / 86400000e0 AS ra, coalesce(m.n, 0) AS n, coalesce(m.wins, 0) AS wins
+  FROM (SELECT DISTINCT league, home, away FROM games) p JOIN t h ON h.league = p.league AND h.team = p.home JOIN t a ON a.league = p.league AND a.team = p.away JOIN now w ON w.league = p.league LEFT JOIN met m ON m.league = p.league AND m.team = p.home AND m.opponent = p.away)
+SELECT league, home, away, round(gap / 400e0, 5) AS form, round(0.5e0 / (1e0 + power(10e0, -diff / 400e0)) - 0.25e0, 5) AS elo, round(0.5e0 / (1e0 + power(10e0, -(diff + 60e0) / 400e0)) - 0.5e0 / (1e0 + power(10e0, -diff / 400e0)), 5) AS venue,
+  round(least(0.03e0, greatest(-0.03e0, (wins + 3e0) / (n + 6e0) - 0.5e0)), 5) AS h2h, round(least(0.02e0, greatest(-0.02e0, 0.004e0 * (least(14e0, rh) - least(14e0, ra)))), 5) AS rest FROM q""",
         "sports_compare_teams": f"""WITH RECURSIVE {form}, t AS (SELECT f.league, f.team, scored, conceded, {score} AS score, l.own + l.step AS rating FROM form f JOIN latest l ON l.league = f.league AND l.team = f.team AND l.ago = 0),
 met AS (SELECT league, team, opponent, count(*) AS n, count(*) FILTER (gf > ga) AS won, arg_max(game_id, [kickoff, game_id]) AS last FROM latest GROUP BY league, team, opponent)
 SELECT a.league, a.team AS team_a, b.team AS team_b, round(a.scored - b.scored, 5) AS attack_gap, round(b.conceded - a.conceded, 5) AS defence_gap, round(a.score - b.score, 5) AS form_gap, round(a.rating - b.rating, 5) AS rating_gap,

@@ -110,14 +110,23 @@ model_outputs AS (
   FROM (SELECT *, max(score) OVER (PARTITION BY id, model) AS smax FROM model_scores) AS x)"""
 
 
+def rates(d: Spark) -> str:
+    """Scoring rates of every pairing that was played, by the sides' goals over the league's mean, shrunk to it: (league, home, away, pair, lh, la)."""
+    shrunk = lambda x: f"(avg({x}) / min(mean) * count(*) + 6e0) / (count(*) + 6e0)"
+    return f"""{games(d)}, both_sides AS (SELECT league, home AS team, hs AS gf, aws AS ga FROM games UNION ALL SELECT league, away, aws, hs FROM games),
+league_mean AS (SELECT league, (avg(hs) + avg(aws)) / 2e0 AS mean FROM games GROUP BY league),
+team_rates AS (SELECT s.league, s.team, {shrunk("gf")} AS att, {shrunk("ga")} AS def, min(mean) AS mean FROM both_sides s JOIN league_mean m ON m.league = s.league GROUP BY s.league, s.team),
+pairs AS (
+  SELECT f.league, f.home, f.away, f.league * 10000 + f.home * 100 + f.away AS pair, least(greatest((h.mean + 0.125e0) * h.att * a.def, 0.05e0), 6e0) AS lh, least(greatest((h.mean - 0.125e0) * a.att * h.def, 0.05e0), 6e0) AS la
+  FROM (SELECT DISTINCT league, home, away FROM games) AS f JOIN team_rates h ON h.league = f.league AND h.team = f.home JOIN team_rates a ON a.league = f.league AND a.team = f.away)"""
+
+
 def matrix(d: Spark, rho: float = -0.11, normalised: bool = True) -> str:
-    """Dixon-Coles score matrices of nation pairs with rates by integer remainders: rows (pair, lh, la, h, a, p)."""
+    """Dixon-Coles score matrices of all pairings: rows (pair, lh, la, h, a, p)."""
     tau = f"""CASE WHEN h = 0 AND a = 0 THEN greatest(0e0, 1e0 - lh * la * ({rho}e0)) WHEN h = 0 AND a = 1 THEN greatest(0e0, 1e0 + lh * ({rho}e0))
       WHEN h = 1 AND a = 0 THEN greatest(0e0, 1e0 + la * ({rho}e0)) WHEN h = 1 AND a = 1 THEN greatest(0e0, 1e0 - ({rho}e0)) ELSE 1e0 END"""
     last = "p_raw / sum(p_raw) OVER (PARTITION BY pair)" if normalised else "p_raw"
-    return f"""pairs AS (
-  SELECT h.n_nationkey * 100 + a.n_nationkey AS pair, 0.6e0 + CAST(h.n_nationkey % 7 AS DOUBLE) * 0.3e0 AS lh, 0.5e0 + CAST(a.n_nationkey % 5 AS DOUBLE) * 0.35e0 AS la
-  FROM nation h JOIN nation a ON h.n_regionkey = a.n_regionkey AND h.n_nationkey <> a.n_nationkey),
+    return f"""{rates(d)},
 goals AS (SELECT {d.series(0, 10)} AS g),
 fact AS (SELECT g, CASE g WHEN 0 THEN 1e0 WHEN 1 THEN 1e0 WHEN 2 THEN 2e0 WHEN 3 THEN 6e0 WHEN 4 THEN 24e0 WHEN 5 THEN 120e0 WHEN 6 THEN 720e0 WHEN 7 THEN 5040e0 WHEN 8 THEN 40320e0 WHEN 9 THEN 362880e0 ELSE 3628800e0 END AS f FROM goals),
 cells_raw AS (

@@ -11,13 +11,9 @@ def plans(d: Spark) -> dict[str, str]:
     games, team = R.games(d), R.team_games(d)
     cells, raw = R.matrix(d), R.matrix(d, -0.13, normalised=False)
     rec = "WITH RECURSIVE" if d.name == "duckdb" else "WITH"
-    elo = """elo AS (SELECT n_nationkey AS team, 1400e0 + CAST(n_nationkey * 37 % 250 AS DOUBLE) AS rating FROM nation),
-ties AS (SELECT h.team AS home, a.team AS away, 1e0 / (1e0 + power(10e0, -(h.rating + 60e0 - a.rating) / 400e0)) AS e, h.rating + 60e0 - a.rating AS diff FROM elo h JOIN elo a ON h.team <> a.team)"""
     odds = """game_odds AS (SELECT g.game_id AS gid, b.book AS book, g.game_id * 10 + b.book AS id, k.key AS key, k.ord AS ord, 1.5e0 + CAST((g.game_id * k.m + b.book * 13) % 45 AS DOUBLE) / 10e0 AS odds
   FROM games g CROSS JOIN (VALUES (1), (2), (3)) AS b(book) CROSS JOIN (VALUES ('home', 0, 3), ('draw', 1, 7), ('away', 2, 11)) AS k(key, ord, m))"""
     return {
-        "sports_elo_davidson": f"""WITH {elo}, x AS (SELECT *, 0.85e0 * sqrt(e * (1e0 - e)) AS dr FROM ties)
-SELECT home, away, round(e / (1e0 + dr), 6) AS home_win, round(dr / (1e0 + dr), 6) AS draw, round((1e0 - e) / (1e0 + dr), 6) AS away_win, round(diff / 175e0, 6) AS goal_diff FROM x""",
         "sports_league_means": f"WITH {games} SELECT league, season, round(avg(hs), 6) AS home_goals, round(avg(aws), 6) AS away_goals, count(*) AS n FROM games GROUP BY league, season",
         "sports_team_rates": f"""WITH {games}, {team}, m AS (SELECT league, avg(gf) AS mean FROM team_rows GROUP BY league)
 SELECT t.league, t.team, round({P.shrink("avg(t.gf) / min(m.mean)", "count(*)", "1e0", "6e0")}, 6) AS attack, round({P.shrink("avg(t.ga) / min(m.mean)", "count(*)", "1e0", "6e0")}, 6) AS defence,
@@ -27,8 +23,7 @@ FROM team_games t JOIN m ON m.league = t.league GROUP BY t.league, t.team""",
         "sports_dc_matrix_normalised": f"WITH {cells} SELECT pair, CAST(h AS BIGINT) AS h, CAST(a AS BIGINT) AS a, round(p, 9) AS p FROM cells",
         "sports_dc_outcomes": f"""WITH {raw} SELECT pair, round(sum(CASE WHEN h > a THEN p ELSE 0e0 END) / sum(p), 6) AS home, round(sum(CASE WHEN h = a THEN p ELSE 0e0 END) / sum(p), 6) AS draw,
   round(sum(CASE WHEN h < a THEN p ELSE 0e0 END) / sum(p), 6) AS away, round(sum(CASE WHEN h + a > 2 THEN p ELSE 0e0 END) / sum(p), 6) AS over25, round(sum(CASE WHEN h > 0 AND a > 0 THEN p ELSE 0e0 END) / sum(p), 6) AS btts FROM cells GROUP BY pair""",
-        "sports_expected_goals": """WITH t AS (SELECT n_nationkey AS team, 0.7e0 + CAST(n_nationkey % 9 AS DOUBLE) / 10e0 AS att, 0.8e0 + CAST(n_nationkey % 6 AS DOUBLE) / 10e0 AS def FROM nation)
-SELECT h.team AS home, a.team AS away, round(least(greatest(1.35e0 * 1.25e0 * h.att * a.def, 0.05e0), 6e0), 6) AS lh, round(least(greatest(1.35e0 * a.att * h.def, 0.05e0), 6e0), 6) AS la FROM t h JOIN t a ON h.team <> a.team""",
+        "sports_expected_goals": f"WITH {R.rates(d)} SELECT league, home, away, round(lh, 6) AS lh, round(la, 6) AS la FROM pairs",
         "sports_dc_weights": f"""WITH {games}, w AS (SELECT league, home, away, hs, aws, exp(-0.0065e0 * (max(kickoff) OVER (PARTITION BY league) - kickoff) / 86400000e0) AS w FROM games)
 SELECT league, round(sum(w * (hs + aws)) / (2e0 * sum(w)), 6) AS mu, round(sum(w * hs) / sum(w * aws), 6) AS home_ratio, round(sum(w), 6) AS effective FROM w GROUP BY league""",
         "sports_absence_impact": f"""WITH {games}, {team}, x AS (SELECT team, avg(CASE WHEN game_id % 3 = 0 THEN gf END) AS without_p, avg(CASE WHEN game_id % 3 <> 0 THEN gf END) AS with_p,
@@ -36,14 +31,6 @@ SELECT league, round(sum(w * (hs + aws)) / (2e0 * sum(w)), 6) AS mu, round(sum(w
     count(CASE WHEN game_id % 3 = 0 THEN 1 END) AS n0, count(CASE WHEN game_id % 3 <> 0 THEN 1 END) AS n1 FROM team_games GROUP BY team)
 SELECT team, CASE WHEN least(n0, n1) < 4 THEN NULL ELSE round(least(0.8e0, n0 / (n0 + 6e0)) * (without_p - with_p) / nullif(with_p, 0e0) * 100e0, 5) END AS goals_pct,
   CASE WHEN least(n0, n1) < 4 THEN NULL ELSE round(least(0.8e0, n0 / (n0 + 6e0)) * (w0 - w1) * 100e0, 5) END AS win_pp FROM x""",
-        "sports_decayed_features": f"""WITH {games}, {team}, a AS (SELECT league, team, game_id, gf, ga, row_number() OVER (PARTITION BY league, team ORDER BY kickoff, game_id) AS k FROM team_rows),
-p AS (SELECT x.league, x.team, x.game_id, x.k, sum(power(0.92e0, x.k - 1 - y.k) * y.gf) / sum(power(0.92e0, x.k - 1 - y.k)) AS scored, sum(power(0.92e0, x.k - 1 - y.k) * y.ga) / sum(power(0.92e0, x.k - 1 - y.k)) AS conceded
-  FROM a x JOIN a y ON y.league = x.league AND y.team = x.team AND y.k < x.k AND y.k >= x.k - 200 WHERE x.k > 5 GROUP BY x.league, x.team, x.game_id, x.k)
-SELECT league, team, game_id, round(scored, 5) AS scored, round(conceded, 5) AS conceded FROM p""",
-        "sports_factors": f"""WITH {elo}, f AS (SELECT home, away, e, CAST((home * 7 + away) % 100 AS DOUBLE) AS fh, CAST((home + away * 5) % 100 AS DOUBLE) AS fa, (home + away) % 6 AS n, home % 4 AS wins, (home * 3) % 20 AS rest_h, (away * 5) % 20 AS rest_a FROM ties)
-SELECT home, away, round(0.25e0 * (fh - fa) / 100e0, 6) AS form, round((e - 0.5e0) * 0.5e0, 6) AS elo,
-  round(least(greatest({P.shrink("wins / nullif(CAST(n AS DOUBLE), 0e0)", "n", "0.5e0", "6e0")} - 0.5e0, -0.03e0), 0.03e0), 6) AS h2h,
-  round(least(greatest(0.004e0 * (least(rest_h, 14) - least(rest_a, 14)), -0.02e0), 0.02e0), 6) AS rest FROM f WHERE n > 0""",
         "sports_season_start": f"WITH {games} SELECT league, max_by(season, kickoff) AS newest, min(kickoff) AS first_kickoff FROM games GROUP BY league",
         "sports_league_board": f"""WITH {games}, s AS (SELECT *, kickoff > 883612800000 AS upcoming, row_number() OVER (PARTITION BY league ORDER BY CASE WHEN kickoff > 883612800000 THEN 0 ELSE 1 END, kickoff, game_id) AS rk FROM games)
 SELECT league, game_id, rk <= 12 AS predicted FROM s WHERE upcoming AND rk <= 20""",

@@ -66,7 +66,7 @@ SELECT id, n FROM c WHERE r2 = 1 OR n < 3""",
         "text_latest_news": f"WITH {art}, u AS (SELECT *, row_number() OVER (PARTITION BY md5(body) ORDER BY published DESC, id DESC) AS r FROM articles) SELECT id, source FROM u WHERE r = 1 ORDER BY published DESC, id DESC LIMIT 40",
         "text_search": f"WITH {art} SELECT id FROM articles WHERE lower(concat(title, ' ', body)) LIKE '%thea%'",
         "text_idf": f"WITH {tfidf} SELECT w, round(idf, 6) AS idf FROM idf",
-        "text_tfidf_cosine": f"WITH {tfidf}, asked AS (SELECT id AS q FROM articles ORDER BY published DESC, id DESC LIMIT 100), qv AS (SELECT v.id, v.w, v.x FROM vec v JOIN asked ON asked.q = v.id) SELECT a.id AS a, b.id AS b, round(sum(a.x * b.x), 6) AS cosine FROM qv a JOIN vec b ON a.w = b.w AND a.id <> b.id GROUP BY a.id, b.id",
+        "text_tfidf_cosine": f"WITH {tfidf}, asked AS (SELECT id AS q FROM articles WHERE id % 50 = 0), qv AS (SELECT v.id, v.w, v.x FROM vec v JOIN asked ON asked.q = v.id) SELECT a.id AS a, b.id AS b, round(sum(a.x * b.x), 6) AS cosine FROM qv a JOIN vec b ON a.w = b.w AND a.id <> b.id GROUP BY a.id, b.id",
         "embedding_cosine_knn": f"""WITH unit AS (SELECT vec_id, embedding, sqrt({norm("a")}) AS size FROM embeddings AS a), q AS (SELECT vec_id, embedding, size FROM unit WHERE vec_id % 50 = 0),
 s AS (SELECT a.vec_id AS q, b.vec_id AS v, {dot} / (a.size * b.size) AS cos FROM q a JOIN unit b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(cos, 9) DESC, v) AS rk FROM s) SELECT q, v, CAST(rk AS BIGINT) AS rk, round(cos, 6) AS cosine FROM r WHERE rk <= 5""",
