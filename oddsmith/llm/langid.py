@@ -139,7 +139,7 @@ def text_and_declared(data: bytes) -> tuple[bytes, str]:
         if end < 0:
             end = after(b">", m.end())
             if end >= 0 and m.group(2) and not declared:
-                tag = low[start : min(end, m.end() + 4096)]
+                tag = low[start:end]
                 said = _LANG.search(tag) if m.group(2) == b"html" else b"content-language" in tag and _CONTENT.search(tag)
                 declared = said.group(1).decode() if said else ""
         out.append(data[at:start])

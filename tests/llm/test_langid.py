@@ -68,3 +68,9 @@ def test_many_suffixes_and_languages(spark, monkeypatch):
     pages = spark.range(10_050).selectExpr("id as page_id", "concat('http://a.t', id, '/x') as url", "'the and of this' as html")
     rows = langid.identify(pages, docs)
     assert rows.where("lang = 'en'").count() == 10_050 and rows.select("suffix").distinct().count() == 10_050
+
+
+def test_language_behind_a_long_attribute():
+    long = b"x" * 500_000
+    assert langid.text_and_declared(b"<html data-x='" + long + b"' lang='fr'>le")[1] == "fr"
+    assert langid.text_and_declared(b"<meta data-x='" + long + b"' http-equiv='content-language' content='de'>der")[1] == "de"
