@@ -77,6 +77,14 @@ def consolidation(rows: DataFrame) -> DataFrame:
     return final.join(ranks, "asset", "left").select("asset", _clamp(0.5 * path + 0.5 * narrow).alias("consolidation"))
 
 
+def _side_by_side(first: DataFrame, sides: list[DataFrame]) -> DataFrame:
+    """first with the columns of sides, all of one row an asset at most: one union and one grouping in place of a join each."""
+    from functools import reduce
+
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides, first.withColumn("known", F.lit(True)))
+    return rows.groupBy("asset").agg(*(F.max(c).alias(c) for c in rows.columns if c != "asset")).where("known").drop("known")
+
+
 def feature_vector(rows: DataFrame, levels: DataFrame, trends: DataFrame, book: DataFrame, derivatives: DataFrame, horizon: int = 1) -> DataFrame:
     """One row per asset with the features of its last bar.
 
@@ -95,9 +103,7 @@ def feature_vector(rows: DataFrame, levels: DataFrame, trends: DataFrame, book:
     broken = folds.breakouts(rows, levels).select("asset", F.col("kind").alias("breakout"), F.col("strength").alias("breakout_strength"), F.col("is_support").alias("breakout_at_support"))
     trends = trends.select("asset", F.col("trend").alias("trend"), F.col("strength").alias("trend_strength"))
     derivatives = derivatives.select("asset", "funding_rate", F.col("open_interest_value").alias("open_interest"), F.when(F.col("quote_volume") > 0, F.col("open_interest_value") / F.col("quote_volume")).alias("oi_to_volume"))
-    joined = newest
-    for side in (rsi_rank, near, broken, trends, consolidation(rows), book_features(book), derivatives, volatility.forecasts(rows, rows, horizon)):
-        joined = joined.join(side, "asset", "left")
+    joined = _side_by_side(newest, [rsi_rank, near, broken, trends, consolidation(rows), book_features(book), derivatives, volatility.forecasts(rows, rows, horizon)])
     versus = lambda n: F.when(F.col(f"sma{n}") > 0, F.col("c") / F.col(f"sma{n}") - 1).alias(f"vs_sma{n}")
     return joined.select(
         "asset", "rn", F.col("bars").alias("candles"), F.col("c").alias("spot"), F.col("rsi14").alias("rsi"), "rsi_percentile", (F.col("macd_histogram") / F.nullif("atr14", F.lit(0.0))).alias("histogram_atr"),

@@ -68,26 +68,55 @@ def learned_outcomes(fixtures: DataFrame, games: DataFrame, rate: float = 0.5, s
     return games.groupBy("league").cogroup(asked.groupBy("of")).applyInPandas(each, schema)
 
 
-def walk_forward(samples: DataFrame, features: tuple[str, ...], first: int = 120, step: int = 40, rate: float = 0.5, steps: int = 300, l2: float = 0.02) -> DataFrame:
-    """(league, fold, n, brier, log_loss, accuracy, base_brier): each fold is scored by a model of all earlier games and by their base rates."""
+def logistic_trainer(x, y):
+    """The default trainer: a function from feature rows to class probabilities, learned from x and y."""
+    w = train_logistic(x, y, 3, 0.5, 300, 0.02)
+    return lambda asked: predict(w, asked)
 
-    def each(pdf):
+
+def walk_forward(samples: DataFrame, features: tuple[str, ...], trainer=logistic_trainer, first: int = 120, step: int = 40, most: int | None = None, classes: int = 3) -> DataFrame:
+    """(league, fold, trained, n, brier, log_loss, accuracy, base_brier): each fold of `step` games is scored by a model of all games before it.
+
+    trainer(x, y) gives a function from feature rows to class probabilities; it must travel to the executors. base_brier is that
+    of the outcome shares so far. With `most` only a league's latest folds are kept, and only they are trained. A fold is a
+    group of its own, so folds are trained side by side; games go to every fold that learns from them.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    order = Window.partitionBy("league").orderBy("kickoff", "game_id")
+    rows = samples.withColumn("k", F.row_number().over(order) - 1).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("league")))
+    last = F.floor((F.col("all") - 1 - first) / step)  # the last fold has a game at least
+    oldest = F.lit(0) if most is None else F.greatest(F.lit(0), last - (most - 1))
+    own = F.floor((F.col("k") - first) / step)  # the fold that a game is judged in, the first that does not learn from it
+    start = F.greatest(oldest, own)
+    rows = rows.where(F.col("all") > first).withColumn("fold", F.explode(F.when(start <= last, F.sequence(start, last)).otherwise(F.array().cast("array<bigint>"))))
+
+    def each(key, pdf):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values(["kickoff", "game_id"])
-        x, y = pdf[list(features)].to_numpy(float), pdf["outcome"].to_numpy(int)
-        rows = []
-        for fold, cut in enumerate(range(first, len(y), step)):
-            end = min(len(y), cut + step)
-            p = predict(train_logistic(x[:cut], y[:cut], 3, rate, steps, l2), x[cut:end])
-            base = np.bincount(y[:cut], minlength=3) / cut
-            truth = np.eye(3)[y[cut:end]]
-            own = p[np.arange(end - cut), y[cut:end]]
-            rows.append((pdf["league"].iloc[0], fold, end - cut, float(((p - truth) ** 2).sum(1).mean()), float(-np.log(np.clip(own, 1e-9, 1)).mean()), float((p.argmax(1) == y[cut:end]).mean()), float(((base - truth) ** 2).sum(1).mean())))
-        return pd.DataFrame(rows, columns=["league", "fold", "n", "brier", "log_loss", "accuracy", "base_brier"])
-
-    return samples.groupBy("league").applyInPandas(each, "league int, fold bigint, n bigint, brier double, log_loss double, accuracy double, base_brier double")
+        pdf = pdf.sort_values("k")
+        cut = first + int(key[1]) * step
+        x, y, old = pdf[list(features)].to_numpy(float), pdf["outcome"].to_numpy(int), pdf["k"].to_numpy() < cut
+        p, truth = trainer(x[old], y[old])(x[~old]), np.eye(classes)[y[~old]]
+        if np.abs(p.sum(axis=1) - 1).max() > 1e-6:
+            raise ValueError("the trainer's class probabilities do not sum to one")
+        base, n = np.bincount(y[old], minlength=classes) / old.sum(), len(p)
+        chosen = p[np.arange(n), y[~old]]
+        scores = (((p - truth) ** 2).sum(1).mean(), -np.log(np.maximum(chosen, 1e-12)).mean(), (p.argmax(1) == y[~old]).mean(), ((base - truth) ** 2).sum(1).mean())
+        return pd.DataFrame([(key[0], int(key[1]), int(old.sum()), n, *map(float, scores))], columns=["league", "fold", "trained", "n", "brier", "log_loss", "accuracy", "base_brier"])
+
+    return rows.groupBy("league", "fold").applyInPandas(each, "league int, fold bigint, trained bigint, n bigint, brier double, log_loss double, accuracy double, base_brier double")
+
+
+def walk_forward_totals(folds: DataFrame) -> DataFrame:
+    """(league, folds, n, brier, log_loss, accuracy, base_brier, skill): the folds of a league together, weighted by their games."""
+    from pyspark.sql import functions as F
+
+    mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+    sums = folds.groupBy("league").agg(F.count(F.lit(1)).alias("folds"), F.sum("n").alias("n"), *map(mean, ("brier", "log_loss", "accuracy", "base_brier")))
+    return sums.withColumn("skill", 1 - F.col("brier") / F.col("base_brier"))
 
 
 def _pool(pools: list[list[float]], x: float, y: float, weight: float) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsmith.functions.dialect import DUCK, SPARK
-from oddsmith.operators import clusters, features, folds, learning, matches, ratings, store, volatility
+from oddsmith.operators import clusters, features, folds, learning, matches, ratings, registry, store, volatility
 from oddsmith.operators.orderflow import book_features
 from oddsmith.operators.fixtures import league_form
 from oddsmith.plans import candles, fixtures, markets, relations
@@ -167,8 +167,38 @@ def sports_learned_model(spark, sf_dir):
     return _rounded(found.select("league", "home", "away", "home_p", "draw_p", "away_p", "confidence", F.get("factors", F.lit(0))["feature"].alias("most"), F.get("factors", F.lit(0))["contribution"].alias("share")), 4)
 
 
+#: Folds of a league that are validated, the latest; each is trained anew from all games before it.
+VALIDATED_FOLDS = 25
+
+
+def _folds(spark, sf_dir):
+    return learning.walk_forward(ratings.learned_features(games(spark, sf_dir)), ratings.FEATURES, most=VALIDATED_FOLDS)
+
+
 def learn_walk_forward(spark, sf_dir):
-    return _rounded(learning.walk_forward(ratings.learned_features(games(spark, sf_dir)), ratings.FEATURES), 4)
+    return _rounded(_folds(spark, sf_dir), 4)
+
+
+def learn_walk_forward_totals(spark, sf_dir):
+    return _rounded(learning.walk_forward_totals(_folds(spark, sf_dir)), 4)
+
+
+def match_registry(elo, rates, form, pairs):
+    """The three rated models of a pairing under the model contract."""
+    names = matches.OUTCOMES
+    of = lambda model: lambda asked: matches.outcome_rows(asked, elo, rates, form).where(F.col("model") == model)
+    models = registry.Registry(("league", "home", "away"), names)
+    for model, version, reason in (("elo", "1.0.0", "too few rated games"), ("rates", "1.0.0", "no fitted rates"), ("form", "1.0.0", "too few games of form")):
+        models.register(registry.Model(model, version, names, of(model), reason))
+    return models.outputs(pairs)
+
+
+def sports_model_outputs(spark, sf_dir):
+    """What each model says of every two teams of a league, met or not, or why it says nothing."""
+    season = fixtures._Season(spark, sf_dir)
+    teams = season.views.select("league", "team").distinct()
+    pairs = teams.select("league", F.col("team").alias("home")).join(teams.select("league", F.col("team").alias("away")), "league").where("home <> away")
+    return _rounded(match_registry(ratings.batch_elo(season.games), ratings.attack_defence(season.games), league_form(season.form()), pairs), 4)
 
 
 def _observations(spark, sf_dir):
@@ -265,7 +295,7 @@ def stream_throttled(spark, sf_dir):
 REGISTERED = (
     ta_ema, ta_rsi, ta_atr, ta_macd_adx_stochrsi, vol_ewma, structure_levels, structure_value_area, structure_breakout, sports_match_ensemble, candle_features, candle_models, candle_predict,
     feature_completeness, vol_atr_regime, vol_forecast, structure_consolidation, orderflow_book_features,
-    sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_model, learn_walk_forward, metric_isotonic_fit,
+    sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_model, sports_model_outputs, learn_walk_forward, learn_walk_forward_totals, metric_isotonic_fit,
     store_throttle, store_upsert, store_opportunities, store_market_links, store_prekickoff, text_story_clusters, title_jaccard_links, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
 )
 
