@@ -44,3 +44,19 @@ def throttled(rows: DataFrame, key: str, at: str, gap_ms: int = 1_800_000) -> Da
         return pdf[kept]
 
     return rows.groupBy(key).applyInPandas(each, rows.schema)
+
+
+def hydrated(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """parents with an array of structs for each kind of child, in the order of the columns named for it.
+
+    Children of all kinds meet in one grouped pass, a row each with the columns of its kind, so a parent is joined once
+    however many kinds there are. A parent without children of a kind has an empty array; children without a parent are left out.
+    """
+    rows = None
+    for kind, (frame, order) in children.items():
+        columns = [*order, *(c for c in frame.columns if c not in (key, *order))]
+        own = frame.select(key, F.struct(*columns).alias(kind))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    grouped = rows.groupBy(key).agg(*(F.sort_array(F.collect_list(kind)).alias(kind) for kind in children))
+    empty = [F.coalesce(kind, F.array().cast(grouped.schema[kind].dataType)).alias(kind) for kind in children]
+    return parents.join(grouped, key, "left").select(*parents.columns, *empty)

@@ -248,6 +248,22 @@ def store_prekickoff(spark, sf_dir):
     return store.throttled(rows, "subject", "at")
 
 
+def latest_prediction_hydrated(spark, sf_dir):
+    """Each subject's latest prediction with its outcomes, its models' outputs and its factors, as text."""
+    d = SPARK
+    outcomes = _sql(spark, sf_dir, f"WITH {relations.predictions(d)} SELECT id, subject, generated_at, ord, key, p, confidence FROM predictions")
+    latest = store.latest_of(outcomes.select("subject", "generated_at", "id", "confidence").distinct().withColumn("newest", F.struct("generated_at", "id")), ["subject"], "newest").select("id", "subject", "confidence")
+    outputs = _sql(spark, sf_dir, f"WITH {relations.predictions(d)}, {relations.model_outputs(d)} SELECT id, model, ord, key, p, abstained FROM model_outputs")
+    factors = _sql(spark, sf_dir, "SELECT l_orderkey AS id, l_linenumber AS line, l_discount - l_tax AS contribution FROM lineitem")
+    found = store.hydrated(latest, "id", {"outcomes": (outcomes.select("id", "ord", "key", "p"), ["ord"]), "outputs": (outputs, ["model", "ord"]), "factors": (factors, ["line"])})
+    told = lambda xs, f: F.array_join(F.transform(xs, f), " ")
+    return found.select(
+        "subject", "id", "confidence", told("outcomes", lambda x: F.format_string("%s=%.4f", x["key"], x["p"])).alias("outcomes"),
+        told(F.filter("outputs", lambda x: ~x["abstained"]), lambda x: F.format_string("%s:%s=%.4f", x["model"], x["key"], x["p"])).alias("outputs"), F.size(F.filter("outputs", lambda x: x["abstained"])).cast("bigint").alias("abstained"),
+        told("factors", lambda x: F.format_string("%d=%.2f", x["line"], x["contribution"])).alias("factors"),
+    )
+
+
 def text_story_clusters(spark, sf_dir):
     rows = _sql(spark, sf_dir, f"WITH {relations.articles(SPARK)} SELECT id, published, {texts.tokens(SPARK, 'title')} AS tokens FROM articles")
     return clusters.story_clusters(rows)
@@ -296,7 +312,7 @@ REGISTERED = (
     ta_ema, ta_rsi, ta_atr, ta_macd_adx_stochrsi, vol_ewma, structure_levels, structure_value_area, structure_breakout, sports_match_ensemble, candle_features, candle_models, candle_predict,
     feature_completeness, vol_atr_regime, vol_forecast, structure_consolidation, orderflow_book_features,
     sports_elo_batch, sports_elo_sum, sports_elo_history, sports_attack_defence, sports_learned_model, sports_model_outputs, learn_walk_forward, learn_walk_forward_totals, metric_isotonic_fit,
-    store_throttle, store_upsert, store_opportunities, store_market_links, store_prekickoff, text_story_clusters, title_jaccard_links, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
+    store_throttle, store_upsert, store_opportunities, store_market_links, store_prekickoff, latest_prediction_hydrated, text_story_clusters, title_jaccard_links, title_link_groups, stream_candles, stream_deduplicated, stream_throttled,
 )
 
 
@@ -385,6 +401,11 @@ SELECT league, CAST(team AS INT) AS team, round(rating, 4) AS rating, games FROM
 SELECT league, game_id, home AS team, round(a, 4) AS "before", round(a + step, 4) AS "after" FROM rec WHERE k > 0 UNION ALL SELECT league, game_id, away, round(b, 4), round(b - step, 4) FROM rec WHERE k > 0""",
         "sports_elo_sum": f"""WITH {relations.games(d)}, t AS (SELECT league, home AS team FROM games UNION ALL SELECT league, away FROM games)
 SELECT league, 1500e0 * count(DISTINCT team) AS total, count(DISTINCT team) AS teams, count(*) AS sides FROM t GROUP BY league""",
+        "latest_prediction_hydrated": f"""WITH {relations.predictions(d)}, {relations.model_outputs(d)}, last AS (SELECT subject, arg_max(id, [epoch_us(generated_at), id]) AS id FROM predictions GROUP BY subject),
+o AS (SELECT id, max(confidence) AS confidence, string_agg(printf('%s=%.4f', key, p), ' ' ORDER BY ord) AS outcomes FROM predictions GROUP BY id),
+m AS (SELECT id, coalesce(string_agg(printf('%s:%s=%.4f', model, key, p), ' ' ORDER BY model, ord) FILTER (NOT abstained), '') AS outputs, count(*) FILTER (abstained) AS abstained FROM model_outputs GROUP BY id),
+f AS (SELECT l_orderkey AS id, string_agg(printf('%d=%.2f', l_linenumber, l_discount - l_tax), ' ' ORDER BY l_linenumber, l_discount - l_tax) AS factors FROM lineitem GROUP BY l_orderkey)
+SELECT subject, id, confidence, outcomes, coalesce(outputs, '') AS outputs, coalesce(abstained, 0) AS abstained, coalesce(factors, '') AS factors FROM last JOIN o USING (id) LEFT JOIN m USING (id) LEFT JOIN f USING (id)""",
         "store_upsert": """WITH r AS (SELECT o_custkey AS subject, o_orderstatus AS timeframe, o_orderkey AS id, o_orderdate AS generated_at, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 END, o_orderkey DESC) AS n FROM orders)
 SELECT subject, timeframe, id, generated_at FROM r WHERE n = 1""",
         "store_opportunities": f"WITH {relations.quotes(d)} SELECT market, 'yes' AS outcome, max(updated) AS generated_at, round(max(p), 6) AS p FROM quotes GROUP BY market",
