@@ -49,12 +49,17 @@ def _hit(tokens: Column, i: Column, low: Column) -> Column:
     return weight * F.when(flipped, -1.0).otherwise(1.0) * stretch
 
 
+def _sureness(hits: Column) -> Column:
+    """Of a score by its number of hits."""
+    return F.least(F.lit(0.95), hits / (hits + 3))
+
+
 def _scored(hits: Column) -> Column:
     """(score, hits, confidence) of an array of adjusted weights."""
     n = F.size(hits)
     mean = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x) / n
     score = F.when(n > 0, F.greatest(F.lit(-100), F.least(F.lit(100), js_round(mean * 25)))).otherwise(0)
-    return F.struct(score.cast("bigint").alias("score"), n.cast("bigint").alias("hits"), F.least(F.lit(0.95), n / (n + 3)).alias("confidence"))
+    return F.struct(score.cast("bigint").alias("score"), n.cast("bigint").alias("hits"), _sureness(n).alias("confidence"))
 
 
 def _indexes(low: Column, high: Column) -> Column:
@@ -113,6 +118,38 @@ def entity_sentiment(articles: DataFrame, text: str = "title") -> DataFrame:
     return rows.select("id", "entity", _scored(F.filter(inside, lambda x: x.isNotNull())).alias("s")).select("id", "entity", "s.score", "s.hits", "s.confidence")
 
 
+def story_entities(members: DataFrame, entities: DataFrame, sentiments: DataFrame) -> DataFrame:
+    """(cluster, entity, mentions, score, hits, confidence) of the stories of members(id, cluster): mentions summed, sentiment as a mean weighted by hits.
+
+    entities(id, entity, n) and sentiments(id, entity, score, hits) are those of the articles; an entity without hits is neutral.
+    """
+    of = members.select("id", "cluster")
+    named = entities.join(of, "id").groupBy("cluster", "entity").agg(F.sum("n").alias("mentions"))
+    felt = sentiments.where("hits > 0").join(of, "id").groupBy("cluster", "entity").agg(F.sum(F.col("score") * F.col("hits")).alias("weighted"), F.sum("hits").alias("hits"))
+    rows = named.join(felt, ["cluster", "entity"], "left")
+    felt = F.col("hits") > 0
+    score = F.when(felt, F.greatest(F.lit(-100), F.least(F.lit(100), js_round(F.col("weighted") / F.col("hits"))))).otherwise(0)
+    return rows.select(
+        "cluster", "entity", "mentions", score.cast("bigint").alias("score"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"), F.when(felt, _sureness(F.col("hits"))).otherwise(0.0).alias("confidence")
+    )
+
+
+def story_summaries(members: DataFrame) -> DataFrame:
+    """(cluster, articles, sources, best_class, headline, first_seen, latest, mix) of members(id, cluster, source, class, published, title).
+
+    best_class is the most reliable of the members', and the headline that of its earliest article; mix counts members by class.
+    """
+    order = F.array(*map(F.lit, RELIABILITY))  # from the best
+    place = F.coalesce(F.array_position(order, F.col("class")), F.lit(0))
+    rows = members.withColumn("rank", F.when(place == 0, len(RELIABILITY)).otherwise(place))
+    mix = rows.groupBy("cluster", "rank").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n"))), lambda x: F.format_string("%d:%d", x["rank"], x["n"])), " ").alias("mix"))
+    found = rows.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("articles"), F.count_distinct("source").alias("sources"), F.min("rank").alias("best"), F.min_by("id", F.struct("rank", "published", "id")).alias("headline"),
+        F.min("published").alias("first_seen"), F.max("published").alias("latest"),
+    )
+    return found.join(mix, "cluster").select("cluster", "articles", "sources", F.element_at(order, F.col("best").cast("int")).alias("best_class"), "headline", "first_seen", "latest", "mix")
+
+
 def story_importance(members: DataFrame, vectors: DataFrame, entities: DataFrame, as_of: int, window_ms: int = WINDOW_MS) -> DataFrame:
     """(cluster, importance, breaking, unverified, per_hour, novelty) of each story at the instant as_of, in milliseconds.
 

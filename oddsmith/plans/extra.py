@@ -23,10 +23,6 @@ FROM (SELECT o_orderpriority, count(*) AS n, min(o_orderdate) AS first_seen FROM
   round(1e0 - power(avg(CASE WHEN hs > aws THEN 1e0 ELSE 0e0 END), 2) - power(avg(CASE WHEN hs = aws THEN 1e0 ELSE 0e0 END), 2) - power(avg(CASE WHEN hs < aws THEN 1e0 ELSE 0e0 END), 2), 6) AS base_brier FROM games GROUP BY league""",
         "sports_venue_rates": f"""WITH {games}, {team} SELECT league, team, round(avg(CASE WHEN is_home = 1 THEN gf END), 6) AS home_for, round(avg(CASE WHEN is_home = 0 THEN gf END), 6) AS away_for,
   round({P.shrink("avg(CASE WHEN is_home = 1 THEN result END)", "sum(is_home)", "0.5e0", "6e0")}, 6) AS home_result FROM team_games GROUP BY league, team""",
-        "text_cluster_summary": f"""WITH {R.headlines(d)}, c AS (SELECT cluster, id, source, published, CASE class WHEN 'OFFICIAL' THEN 0 WHEN 'PRIMARY_SOURCE' THEN 1 WHEN 'HIGH_RELIABILITY' THEN 2 WHEN 'ESTABLISHED_MEDIA' THEN 3 WHEN 'SECONDARY' THEN 4 WHEN 'SOCIAL' THEN 5 ELSE 6 END AS class FROM headlines)
-SELECT cluster, count(*) AS articles, count(DISTINCT source) AS sources, min(class) AS best_class, min_by(id, class * 1000000000000 + published / 60000) AS headline, min(published) AS first_seen, max(published) AS latest FROM c GROUP BY cluster""",
-        "text_cluster_wire": f"""WITH {R.headlines(d)}, c AS (SELECT cluster, CASE WHEN class IN ('SOCIAL', 'UNVERIFIED') THEN 0.2e0 ELSE 0.7e0 END AS conf, length(title) % 201 - 100 AS sentiment FROM headlines)
-SELECT cluster, count(*) AS n, round(max(conf), 6) AS conf, CASE WHEN max(conf) < 0.3e0 THEN NULL ELSE max(sentiment) END AS sentiment FROM c GROUP BY cluster""",
         "text_novelty": f"""WITH {R.articles(d)}, h AS (SELECT id, published, md5(lower(title)) AS k FROM articles), o AS (SELECT k, min(published) AS first_seen FROM h GROUP BY k)
 SELECT h.id, CASE WHEN o.first_seen < h.published THEN 0 ELSE 1 END AS novel FROM h JOIN o ON o.k = h.k""",
         "entity_cooccurrence": """WITH w AS (SELECT o_custkey AS event, o_orderpriority AS entity FROM orders), p AS (SELECT DISTINCT event, entity FROM w)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import lexicons as L
 from oddsmith.functions.dialect import DUCK, SPARK
-from oddsmith.operators import news
+from oddsmith.operators import clusters, news
 from oddsmith.plans import relations as R
 from oddsmith.plans import text as texts
 
@@ -70,7 +70,23 @@ def briefing_moving_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(named.groupBy("cluster").agg(F.array_join(most, ", ").alias("about")), "cluster", "left").select("cluster", "importance", "breaking", "about")
 
 
-REGISTERED = (briefing_moving_news, text_entities, text_sentiment, text_entity_sentiment, text_importance, text_breaking, text_board_order)
+def text_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return news.story_summaries(_headlines(spark, sf_dir))
+
+
+def text_cluster_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _headlines(spark, sf_dir)
+    return _rounded(news.story_entities(rows, news.entity_rows(rows), news.entity_sentiment(rows)))
+
+
+def text_story_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of the stories that the headlines themselves form."""
+    rows = _headlines(spark, sf_dir)
+    members = clusters.story_clusters(rows.select("id", "published", "tokens"))
+    return _rounded(news.story_entities(members, news.entity_rows(rows), news.entity_sentiment(rows)))
+
+
+REGISTERED = (text_cluster_summary, text_cluster_entities, text_story_entities, briefing_moving_news, text_entities, text_sentiment, text_entity_sentiment, text_importance, text_breaking, text_board_order)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -128,6 +144,12 @@ ranked AS (SELECT *, CAST(least(CASE WHEN unverified THEN 35 ELSE 100 END, floor
         "text_entities": f"{base} done AS (SELECT 1) SELECT id, entity, kind, n FROM entities",
         "text_sentiment": f"{base} ranges AS (SELECT id, 'all' AS part, 0 AS first, 1000000 AS last FROM headlines), {scored} SELECT h.id, {score} FROM headlines h LEFT JOIN adjusted a ON a.id = h.id GROUP BY h.id",
         "text_entity_sentiment": f"{base} {around}, {scored} SELECT r.id, r.entity, {score} FROM ranges r LEFT JOIN adjusted a ON a.id = r.id AND a.part = r.part GROUP BY r.id, r.entity",
+        "text_cluster_entities": f"""{base} {around}, {scored}, felt AS (SELECT r.id, r.entity, {score} FROM ranges r LEFT JOIN adjusted a ON a.id = r.id AND a.part = r.part GROUP BY r.id, r.entity),
+both_of AS (SELECT h.cluster, e.entity, sum(e.n) AS mentions, sum(f.score * f.hits) AS weighted, sum(f.hits) AS hits FROM entities e JOIN headlines h USING (id) LEFT JOIN felt f ON f.id = e.id AND f.entity = e.entity GROUP BY h.cluster, e.entity)
+SELECT cluster, entity, CAST(mentions AS BIGINT) AS mentions, CAST(CASE WHEN coalesce(hits, 0) = 0 THEN 0 ELSE greatest(-100, least(100, floor(weighted / hits + 0.5e0))) END AS BIGINT) AS score, CAST(coalesce(hits, 0) AS BIGINT) AS hits, round(coalesce(least(0.95e0, hits / (hits + 3e0)), 0), 6) AS confidence FROM both_of""",
+        "text_cluster_summary": f"""WITH {R.headlines(DUCK)}, r AS (SELECT *, coalesce(list_position({list(news.RELIABILITY)!r}, class), 7) AS rank FROM headlines),
+mixed AS (SELECT cluster, string_agg(rank || ':' || n, ' ' ORDER BY rank) AS mix FROM (SELECT cluster, rank, count(*) AS n FROM r GROUP BY ALL) GROUP BY cluster)
+SELECT r.cluster, count(*) AS articles, count(DISTINCT source) AS sources, arg_min(class, rank) AS best_class, arg_min(id, [rank, published, id]) AS headline, min(published) AS first_seen, max(published) AS latest, any_value(mix) AS mix FROM r JOIN mixed USING (cluster) GROUP BY r.cluster""",
         "text_importance": f"{base} {stories} SELECT cluster, importance, unverified, round(novelty, 6) AS novelty FROM ranked",
         "text_breaking": f"{base} {stories} SELECT cluster, breaking, round(per_hour, 6) AS velocity FROM ranked",
         "briefing_moving_news": f"""{base} {stories}, top AS (SELECT cluster, importance, breaking FROM ranked WHERE NOT unverified ORDER BY breaking DESC, importance DESC, cluster LIMIT 4),
