@@ -33,17 +33,28 @@ def deduplicated(events: DataFrame, keys: list[str], lateness: str = "1 day") ->
 
 
 def throttled(events: DataFrame, gap_s: int = 1800) -> DataFrame:
-    """Per user at most one row per gap_s after the last one let through; the state is that row's time."""
+    """Per user at most one row per gap_s after the last one let through; the state is that row's time.
+
+    A user's rows of a micro-batch may come in several frames, in any order, so they are put in order before the first
+    passes. Of the rows of one second only the first can pass: no more than that is held.
+    """
 
     def each(key, frames, state):
-        last = state.get[0] if state.exists else None
-        for pdf in frames:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            kept = []
-            for t in pdf["ts"].astype("int64") // 1_000_000_000:
-                kept.append(last is None or t - last >= gap_s)
-                last = int(t) if kept[-1] else last
-            yield pdf[kept][["user_id", "event_id", "ts"]].rename(columns={"ts": "at"})
+        import pandas as pd
+
+        last, pdf = state.get[0] if state.exists else None, None
+        for frame in frames:
+            pdf = (frame if pdf is None else pd.concat([pdf, frame])).sort_values(["ts", "event_id"])
+            seconds = pdf["ts"].astype("int64") // 1_000_000_000
+            if gap_s > 0:
+                pdf, seconds = pdf[~seconds.duplicated()], seconds.drop_duplicates()
+        if pdf is None:
+            return
+        kept = []
+        for t in seconds:
+            kept.append(last is None or t - last >= gap_s)
+            last = int(t) if kept[-1] else last
+        yield pdf[kept][["user_id", "event_id", "ts"]].rename(columns={"ts": "at"})
         if last is not None:
             state.update((last,))
 

@@ -74,3 +74,26 @@ def test_open_windows_are_left_out(spark, name):
     assert end < str(last)
 
 
+
+
+def test_throttle_orders_a_user_across_frames(spark, tmp_path):
+    random.seed(3)
+    times = random.sample(range(100_000), 120)
+    rows = [(i % 3, i, float(1_700_000_000 + t)) for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "user_id long, event_id long, s double").select("user_id", "event_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    want = set()
+    for user in range(3):
+        last = None
+        for event, t in sorted(((e, t) for u, e, t in rows if u == user), key=lambda r: r[1]):
+            if last is None or t - last >= 1800:
+                want.add(event)
+                last = t
+    source = spark.readStream.schema("user_id long, event_id long, ts timestamp").parquet(f"{tmp_path}/in")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        got = candles.run_to_table(candles.throttled(source), f"{tmp_path}/out").collect()
+    finally:
+        spark.conf.set(size, before)
+    assert len(got) == len(want) and {r.event_id for r in got} == want
