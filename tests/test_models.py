@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +80,19 @@ def test_form_shares_missing_expected_goals(spark):
     form = lambda xg: {r.team: r.raw for r in fixtures.form(fixtures.team_views(games, xg), history).collect()}
     none, some = form(None), form(level)
     assert none[1] > some[1] > 0.5 > some[2] > none[2]  # an even expectation pulls towards the middle, a missing one does not
+
+
+def test_no_league_is_held_whole(spark):
+    random.seed(1)
+    rows = [(i % 2, i, 86_400_000 * i, *random.sample(range(6), 2), random.randint(0, 4), random.randint(0, 3)) for i in range(300)]
+    games = spark.createDataFrame(rows, "league int, game_id long, kickoff long, home int, away int, hs long, aws long")
+    for found in (ratings.batch_elo(games), ratings.elo_history(games), ratings.learned_features(games), learning.learned_outcomes(games.select("league", "home", "away").distinct(), games), learning.walk_forward(ratings.learned_features(games), ratings.FEATURES)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" in plan and "FlatMap" not in plan
+    size, want = "spark.sql.execution.arrow.maxRecordsPerBatch", sorted(map(tuple, ratings.elo_history(games).collect()))
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        assert sorted(map(tuple, ratings.elo_history(games).collect())) == want
+    finally:
+        spark.conf.set(size, before)
