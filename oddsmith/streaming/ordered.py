@@ -2,7 +2,8 @@
 
 Ratings of a league and clusters of stories depend on the order of games and articles. Each key keeps the rows that are
 not yet due, its fold's state as a map, and an event-time timer at its last row; when the watermark passes, due rows are
-applied in order. Rows behind the watermark are dropped. State is in the store, so a restarted query goes on.
+applied in order. Rows behind the watermark are dropped. Waiting rows are stored a frame at a time, so that a row costs no call to
+the store of its own. State is in the store, so a restarted query goes on.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Rows of a frame that a fold gives, and rows of one micro-batch of a replay.
+FRAME, BATCH_ROWS = 10_000, 1_000_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,7 +32,8 @@ class OrderedFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, tie long", "row binary")
+        self.serial = handle.getValueState("serial", "n long")
+        self.waiting = handle.getMapState("waiting", "n long", "first long, rows binary")
         self.entries = handle.getMapState("entries", "entry long", "value binary")
 
     def step(self, entries: dict, row: tuple) -> Iterator[tuple]:
@@ -39,16 +43,36 @@ class OrderedFold(StatefulProcessor):
         """Entries that no row from now on can change."""
         return []
 
+    def _ms(self, pdf):
+        return pdf[self.time].astype("datetime64[us]").astype("int64") // 1000
+
+    def _keep(self, pdf) -> None:
+        """Rows that are not yet due, a frame as one value."""
+        n = self.serial.get()[0] + 1 if self.serial.exists() else 0
+        self.serial.update((n,))
+        self.waiting.updateValue((n,), (int(self._ms(pdf).min()), pickle.dumps(pdf)))
+
     def _due(self, key: tuple, now_ms: int):
         import pandas as pd
 
-        due = sorted((k, pickle.loads(v[0])) for k, v in self.waiting.iterator() if k[0] < now_ms)
+        found = sorted((k[0], v[1]) for k, v in self.waiting.iterator() if v[0] < now_ms)
+        if found:
+            rows = pd.concat([pickle.loads(v) for _, v in found], ignore_index=True)
+            for n, _ in found:
+                self.waiting.removeKey((n,))
+            # a row that comes again before it is due replaces the one before it
+            rows = rows.assign(__ms=self._ms(rows)).drop_duplicates(["__ms", self.order], keep="last").sort_values(["__ms", self.order])
+            later, rows = rows[rows["__ms"] >= now_ms], rows[rows["__ms"] < now_ms]
+            if len(later):
+                self._keep(later[list(self.columns)])
+            rows = rows[list(self.columns)]
         held = {k[0]: pickle.loads(v[0]) for k, v in self.entries.iterator()}
         before = {k: pickle.dumps(v) for k, v in held.items()}
-        out = []
-        for at, row in due:
-            out += [(*key, *r) for r in self.step(held, row)]
-            self.waiting.removeKey(at)
+        for at in range(0, len(rows) if found else 0, FRAME):
+            out = []
+            for row in rows.iloc[at : at + FRAME].itertuples(index=False, name=None):
+                out += [(*key, *r) for r in self.step(held, row)]
+            yield pd.DataFrame(out, columns=self.output)
         for entry in self.closed(held, now_ms):
             del held[entry]
         for entry in before.keys() - held.keys():
@@ -56,28 +80,24 @@ class OrderedFold(StatefulProcessor):
         for entry, value in held.items():
             if before.get(entry) != (packed := pickle.dumps(value)):
                 self.entries.updateValue((entry,), (packed,))
-        return pd.DataFrame(out, columns=self.output)
 
     def handleInputRows(self, key, rows, timerValues):
         now, last = timerValues.getCurrentWatermarkInMs(), None
         for pdf in rows:
-            for row in pdf[list(self.columns)].itertuples(index=False, name=None):
-                named = dict(zip(self.columns, row, strict=True))
-                at = int(named[self.time].timestamp() * 1000)
-                tie = named[self.order]
-                if tie is None or tie != tie:
-                    continue  # only moves time
-                if at >= now:
-                    self.waiting.updateValue((at, int(tie)), (pickle.dumps(row),))
-                    last = at if last is None else max(last, at)
+            pdf = pdf.loc[pdf[self.order].notna(), list(self.columns)]  # rows without it only move time
+            at = self._ms(pdf)
+            pdf = pdf[at >= now]
+            if len(pdf):
+                self._keep(pdf)
+                last = int(at.max()) if last is None else max(last, int(at.max()))
         if last is not None:
             self.handle.registerTimer(last + 1)
             if self.closes_after_ms is not None:
                 self.handle.registerTimer(last + 1 + self.closes_after_ms)
-        yield self._due(key, now)
+        yield from self._due(key, now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self._due(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._due(key, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -118,34 +138,22 @@ class StoryClusters(OrderedFold):
 
     def __init__(self, window_ms: int, least: float) -> None:
         self.window_ms, self.least = window_ms, least
-        self.closes_after_ms = window_ms
+        self.closes_after_ms, self.stories = window_ms, None
+
+    def _due(self, key: tuple, now_ms: int):
+        self.stories = None  # the entries are read anew
+        yield from super()._due(key, now_ms)
 
     def closed(self, entries: dict, now_ms: int) -> list[int]:
         return [k for k, (_, _, time, n) in entries.items() if now_ms - time / n > self.window_ms]
 
     def step(self, entries: dict, row: tuple) -> Iterator[tuple]:
+        from oddsmith.operators.clusters import Stories
+
+        if self.stories is None:
+            self.stories = Stories(self.window_ms, self.least, entries)
         _, article, published, words, weights = row
-        vector = dict(zip(words, weights, strict=True)) if words is not None else {}
-        size = math.sqrt(sum(x * x for x in vector.values())) or 1.0
-        vector = {w: x / size for w, x in vector.items()}
-        best, found = self.least, None
-        for k in sorted(entries, key=lambda k: entries[k][1]):  # in the order of their founding
-            total, _, time, n = entries[k]
-            if vector and abs(published - time / n) <= self.window_ms:
-                shared = vector.keys() & total.keys()
-                if shared:
-                    norm = math.sqrt(sum(x * x for x in total.values())) or 1.0
-                    alike = sum(vector[w] * total[w] for w in vector if w in total) / norm
-                    if alike > best or (found is None and alike >= best):
-                        best, found = alike, k
-        if found is None:
-            found = int(article)
-            if vector:
-                entries[found] = (vector, (published, found), published, 1)
-        else:
-            total, founded, time, n = entries[found]
-            entries[found] = ({**total, **{w: total.get(w, 0.0) + x for w, x in vector.items()}}, founded, time + published, n + 1)
-        yield int(article), found
+        yield int(article), self.stories.place(int(article), published, dict(zip(words, weights, strict=True)) if words is not None else {})
 
 
 def ordered_fold(rows: DataFrame, by: str, fold: OrderedFold, lateness: str) -> DataFrame:
@@ -155,22 +163,24 @@ def ordered_fold(rows: DataFrame, by: str, fold: OrderedFold, lateness: str) ->
 
 
 def replayed(rows: DataFrame, path: str, batches: int, by: str | None = None, last_at: str = "2200-01-01") -> DataFrame:
-    """rows as a stream of `batches` batches in order of time `at`; with `by`, one more batch moves time past all rows.
+    """rows as a stream of `batches` batches or more in order of time `at`; with `by`, one more batch moves time past all rows.
 
-    A batch is a folder of its own, written after the one before it; the last holds a row a key with nothing but its time.
+    A batch is a file of its own, written after the one before it, so there are as many as keep a file to BATCH_ROWS rows; the
+    last holds a row a key with nothing but its time. rows are computed once, and each batch reads its own part of them.
     """
-    spark = rows.sparkSession
-    edges = rows.select(F.percentile_approx(F.unix_micros("at"), F.array(*(F.lit(i / batches) for i in range(1, batches))), F.lit(10_000)).alias("e")).first()["e"] if batches > 1 else []
-    bounds = [None, *(edges or []), None]
-    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        part = rows
-        if low is not None:
-            part = part.where(F.unix_micros("at") > low)
-        if high is not None:
-            part = part.where(F.unix_micros("at") <= high)
-        part.coalesce(1).write.parquet(f"{path}/part={i}")
+    spark, kind = rows.sparkSession, rows.schema
+    rows.write.parquet(f"{path}-rows")
+    rows = spark.read.schema(kind).parquet(f"{path}-rows")
+    batches = max(batches, -(-rows.count() // BATCH_ROWS)) if batches > 1 else 1
+    if batches > 1:
+        edges = rows.select(F.percentile_approx(F.unix_micros("at"), F.array(*(F.lit(i / batches) for i in range(1, batches))), F.lit(10_000)).alias("e")).first()["e"] or []
+        part = sum((F.when(F.unix_micros("at") > e, 1).otherwise(0) for e in edges), F.lit(0))
+        rows.where("at is not null").withColumn("part", part).repartition(batches, "part").write.partitionBy("part").parquet(f"{path}-parts")
+        cut = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kind)}, part int").parquet(f"{path}-parts")
+    for i in range(batches):
+        (rows if batches == 1 else cut.where(F.col("part") == i).drop("part")).coalesce(1).write.parquet(f"{path}/part={i}")
     if by is not None:
         end = rows.select(by).distinct().withColumn("at", F.lit(last_at).cast("timestamp"))
         blank = [F.col(c) if c in end.columns else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
         end.select(*blank).coalesce(1).write.parquet(f"{path}/part={batches}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")

@@ -97,3 +97,23 @@ def test_throttle_orders_a_user_across_frames(spark, tmp_path):
     finally:
         spark.conf.set(size, before)
     assert len(got) == len(want) and {r.event_id for r in got} == want
+
+
+def test_a_replay_reads_its_rows_once_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "BATCH_ROWS", 10)
+    games = spark.createDataFrame(season(), GAME)
+    rows = games.select("league", "game_id", F.timestamp_millis("kickoff").alias("at"), "home", "away", "hs", "aws")
+    ordered.replayed(rows, f"{tmp_path}/in", 2, "league")
+    sizes = [spark.read.parquet(f"{tmp_path}/in/part={i}").count() for i in range(6)]
+    assert sum(sizes) == 60 and max(sizes) <= 15 and spark.read.parquet(f"{tmp_path}/in/part=6").count() == 2
+    last = [spark.read.parquet(f"{tmp_path}/in/part={i}").agg(F.min("at"), F.max("at")).first() for i in range(6)]
+    assert all(a[1] < b[0] for a, b in zip(last, last[1:]))
+
+
+def test_stories_let_go_within_a_batch():
+    from oddsmith.operators.clusters import Stories
+
+    stories = Stories(1000, 0.45)
+    for i in range(500):
+        stories.place(i, 100 * i, {f"w{i}": 1.0, "common": 0.1})
+    assert len(stories.open) < 20 and set(stories.norms) == set(stories.open) == set(stories.holders["common"])
