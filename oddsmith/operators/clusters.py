@@ -17,6 +17,67 @@ def vectors(articles: DataFrame) -> DataFrame:
     return articles.join(words, "id", "left")
 
 
+class Stories:
+    """The stories of the last window_ms, oldest first, and what an article joins: the one most alike, the elder at ties.
+
+    open holds a story under its first article's id: (sum of unit vectors, (published, id) of its founding, sum of times,
+    members), and may be given. Words lead to the stories that have them, with the word's weight there, so an article meets
+    only stories that share a word and adds up only what is shared; stories whose mean time is out of reach are let go.
+    """
+
+    def __init__(self, window_ms: int, least: float, open: dict | None = None) -> None:
+        self.window_ms, self.least, self.open = window_ms, least, {} if open is None else open
+        self.norms, self.holders, self.swept = {}, {}, None
+        for k in self.open:
+            self._index(k)
+
+    def _index(self, k: int) -> None:
+        import math
+
+        total = self.open[k][0]
+        self.norms[k] = math.sqrt(sum(x * x for x in total.values())) or 1.0
+        for w, x in total.items():
+            self.holders.setdefault(w, {})[k] = x
+
+    def _close(self, k: int) -> None:
+        for w in self.open.pop(k)[0]:
+            own = self.holders[w]
+            del own[k]
+            if not own:
+                del self.holders[w]
+        del self.norms[k]
+
+    def place(self, article: int, published: int, vector: dict[str, float]) -> int:
+        import math
+
+        if self.swept is None or published - self.swept > self.window_ms // 16:
+            self.swept = published
+            for k in [k for k, (_, _, time, n) in self.open.items() if published - time / n > self.window_ms]:
+                self._close(k)
+        if not vector:
+            return article
+        size = math.sqrt(sum(x * x for x in vector.values())) or 1.0
+        vector = {w: x / size for w, x in vector.items()}
+        shared: dict[int, float] = {}
+        for w, x in vector.items():
+            for k, y in self.holders.get(w, {}).items():
+                shared[k] = shared.get(k, 0.0) + x * y
+        best, found = None, article
+        for k, s in shared.items():
+            alike = s / self.norms[k]
+            if alike >= self.least:
+                _, founded, time, n = self.open[k]
+                if abs(published - time / n) <= self.window_ms and (best is None or (-alike, founded) < best):
+                    best, found = (-alike, founded), k
+        total, founded, time, n = self.open.get(found, ({}, (published, article), 0, 0))
+        total = dict(total)
+        for w, x in vector.items():
+            total[w] = total.get(w, 0.0) + x
+        self.open[found] = (total, founded, time + published, n + 1)
+        self._index(found)
+        return found
+
+
 def story_clusters(articles: DataFrame, window_ms: int = STORY_HOURS * 3_600_000) -> DataFrame:
     """(id, cluster): articles(id, published, tokens), oldest first, join the cluster whose normalised centroid is most alike.
 
@@ -31,50 +92,18 @@ def story_clusters(articles: DataFrame, window_ms: int = STORY_HOURS * 3_600_000
     rows = rows.select("stretch", "published", "id", F.col("words.w").alias("w"), F.col("words.x").alias("x"))
 
     def each(batches):
-        import math
-
         import pandas as pd
 
-        def close(opened, holders, k):
-            for w in opened.pop(k)["sum"]:
-                holders[w].discard(k)
-                if not holders[w]:
-                    del holders[w]
-
-        stretch, made, opened, holders = None, 0, {}, {}
+        stretch, stories = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            found_ids = []
+            found = []
             for r in pdf.itertuples():
                 if r.stretch != stretch:
-                    stretch, made, opened, holders = r.stretch, 0, {}, {}
-                v = dict(zip(r.w, r.x, strict=True)) if r.w is not None else {}
-                size = math.sqrt(sum(x * x for x in v.values())) or 1.0
-                v = {w: x / size for w, x in v.items()}
-                best, found = LEAST_SIMILARITY, None
-                for k in sorted({k for w in v for k in holders.get(w, ())}):
-                    c = opened[k]
-                    if abs(r.published - c["time"] / c["n"]) > window_ms:
-                        close(opened, holders, k)
-                        continue
-                    alike = sum(x * c["sum"].get(w, 0.0) for w, x in v.items()) / c["norm"]
-                    if alike > best or (found is None and alike >= best):
-                        best, found = alike, k
-                if found is None:
-                    found, made = made, made + 1
-                    opened[found] = {"id": r.id, "sum": {}, "time": 0, "n": 0}
-                c = opened[found]
-                for w, x in v.items():
-                    c["sum"][w] = c["sum"].get(w, 0.0) + x
-                    holders.setdefault(w, set()).add(found)
-                c["time"], c["n"], c["norm"] = c["time"] + r.published, c["n"] + 1, math.sqrt(sum(x * x for x in c["sum"].values())) or 1.0
-                found_ids.append(c["id"])
-                if not v:
-                    del opened[found]
-            for k in [k for k, c in opened.items() if abs(r.published - c["time"] / c["n"]) > window_ms]:
-                close(opened, holders, k)
-            yield pd.DataFrame({"id": pdf["id"], "cluster": pd.Series(found_ids, dtype="int64")})
+                    stretch, stories = r.stretch, Stories(window_ms, LEAST_SIMILARITY)
+                found.append(stories.place(r.id, r.published, dict(zip(r.w, r.x, strict=True)) if r.w is not None else {}))
+            yield pd.DataFrame({"id": pdf["id"], "cluster": pd.Series(found, dtype="int64")})
 
     return rows.repartition("stretch").sortWithinPartitions("stretch", "published", "id").mapInPandas(each, "id bigint, cluster bigint")
 
