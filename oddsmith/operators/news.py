@@ -5,6 +5,9 @@ Everything is built-in expressions: an article's matches and scores come from on
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,34 +81,46 @@ def with_entities(articles: DataFrame, text: str = "title") -> DataFrame:
 
     A mention that two names of one entity share counts once. Null texts name nothing.
     """
-    by: dict[tuple[str, str], list[str]] = {}
+    by: dict[tuple[str, str], list[tuple[str, str]]] = {}
     for entity, kind, alias, cased in L.aliases():
-        by.setdefault((entity, kind), []).append(L.alias_pattern(alias) if cased else f"(?i){L.alias_pattern(alias)}")
-    given = F.coalesce(F.col(text), F.lit(""))
-    names = F.array(*(F.struct(F.lit(entity).alias("entity"), F.lit(kind).alias("kind"), F.array(*map(F.lit, own)).alias("patterns")) for (entity, kind), own in by.items()))
+        by.setdefault((entity, kind), []).append((alias.lower(), L.alias_pattern(alias) if cased else f"(?i){L.alias_pattern(alias)}"))
 
     def offsets(pattern: Column) -> Column:
         sizes = lambda parts: F.transform(parts, F.length)
-        gaps, own = sizes(F.split(given, pattern, -1)), sizes(F.regexp_extract_all(given, pattern, F.lit(0)))
+        gaps, own = sizes(F.split("__given", pattern, -1)), sizes(F.regexp_extract_all("__given", pattern, F.lit(0)))
         start = lambda i: F.aggregate(F.concat(F.slice(gaps, F.lit(1), i), F.slice(own, F.lit(1), i - 1)), F.lit(0), lambda a, x: a + x)
         return F.transform(_indexes(F.lit(1), F.size(own)), start)
 
-    # one test of all names at once spares most texts the rest
-    some = given.rlike("(?i)" + "|".join(L.alias_pattern(alias) for _, _, alias, _ in L.aliases()))
-    named = F.filter(names, lambda e: F.exists(e["patterns"], lambda p: F.regexp_like(given, p)))
+    # a search for the names' own characters is cheap and leaves few entities, whose patterns then decide
+    rows = articles.withColumn("__given", F.coalesce(F.col(text), F.lit(""))).withColumn("__low", F.lower("__given"))
+    near = F.array_compact(F.array(*(
+        F.when(reduce(or_, (F.col("__low").contains(literal) for literal, _ in own)), F.struct(F.lit(entity).alias("entity"), F.lit(kind).alias("kind"), F.array(*(F.lit(p) for _, p in own)).alias("patterns")))
+        for (entity, kind), own in by.items()
+    )))
     places = lambda e: F.array_sort(F.array_distinct(F.flatten(F.transform(e["patterns"], offsets))))
-    found = F.transform(named, lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), F.size(places(e)).cast("bigint").alias("n"), places(e).alias("offsets")))
-    return articles.withColumn("found", F.when(some, found).otherwise(F.array().cast("array<struct<entity:string,kind:string,n:bigint,offsets:array<int>>>")))
+    placed = F.transform(near, lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), places(e).alias("offsets")))
+    found = F.transform(F.filter(placed, lambda e: F.size(e["offsets"]) > 0), lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), F.size(e["offsets"]).cast("bigint").alias("n"), e["offsets"].alias("offsets")))
+    return rows.withColumn("found", found).drop("__given", "__low")
+
+
+def _each_found(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each entity of `found`, as e.
+
+    By the outer form: the plain one puts a filter on `found` before itself, which is pushed below the projections that
+    hold the text, so that the text would be derived anew for every name.
+    """
+    return rows.select(*columns, F.explode_outer("found").alias("e")).where("e is not null")
 
 
 def entity_rows(articles: DataFrame, text: str = "title") -> DataFrame:
     """(id, entity, kind, n): the most mentioned first within an article is for the reader to order."""
-    return with_entities(articles, text).select("id", F.explode("found").alias("e")).select("id", "e.entity", "e.kind", "e.n")
+    return _each_found(with_entities(articles, text), "id").select("id", "e.entity", "e.kind", "e.n")
 
 
 def entity_sentiment(articles: DataFrame, text: str = "title") -> DataFrame:
     """(id, entity, score, hits, confidence): weights of words within AROUND words of a mention; overlapping surroundings count once."""
-    rows = with_entities(articles, text).select("id", words(F.coalesce(F.col(text), F.lit(""))).alias("tokens"), F.col(text).alias("text"), F.explode("found").alias("e"))
+    rows = with_entities(articles, text).select("id", words(F.coalesce(F.col(text), F.lit(""))).alias("tokens"), F.col(text).alias("text"), "found")
+    rows = _each_found(rows, "id", "tokens", "text")
     # the word that a mention begins in, or the one before it: the words of the text up to and with the mention's first character, less one
     at = F.transform("e.offsets", lambda o: F.greatest(F.lit(0), F.size(words(F.substring(F.col("text"), F.lit(1), o + 1))) - 1))
     joined = lambda a, i: F.when(

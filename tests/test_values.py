@@ -9,7 +9,7 @@ import pytest
 
 from oddsmith.functions import probability as P
 from oddsmith.functions.dialect import SPARK
-from oddsmith.operators import clusters, folds, learning, ratings, store
+from oddsmith.operators import clusters, folds, learning, news, ratings, store
 from oddsmith.plans import catalog, custom, markets, relations
 from oddsmith.plans import text as texts
 from oddsmith.sources import adapters
@@ -257,3 +257,13 @@ def test_learned_voter(spark):
     assert set(got) == {(1, 0, 5), (1, 5, 0)} and all(abs(r.home_p + r.draw_p + r.away_p - 1) < 1e-9 for r in got.values())
     assert got[1, 0, 5].home_p > 0.6 > got[1, 5, 0].home_p and 1 <= len(got[1, 0, 5].factors) <= 3
     assert abs(got[1, 0, 5].confidence - 0.5) < 0.02
+
+
+def test_entities_derive_the_text_once_and_not_for_every_name(spark):
+    from pyspark.sql import functions as F
+
+    said = [(1, "Bitcoin ETF and bitcoin; BTC, btc"), (2, None), (3, "the fed, the Fed"), (4, "apple pie"), (5, "İBİTCOİN bitcoiné Bitcoin")]
+    articles = spark.createDataFrame([(i, t and t[::-1]) for i, t in said], "id long, backwards string").select("id", F.reverse("backwards").alias("title"))
+    for found in (news.entity_rows(articles), news.entity_sentiment(articles)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    assert {(r.id, r.entity): r.n for r in news.entity_rows(articles).collect()} == {(1, "btc"): 3, (1, "crypto-etf"): 1, (3, "fed"): 1, (5, "btc"): 2}
