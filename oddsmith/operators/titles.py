@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names of the assets whose thresholds are read, as whole words.
@@ -124,14 +124,21 @@ def club_pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def game_odds_matches(games: DataFrame, events: DataFrame) -> DataFrame:
     """(game, event) of games(game, kickoff, home, away) and events(event, kickoff, home, away) with words for names.
 
-    Both names must match and the kick-offs lie within KICKOFF_HOURS; games with more than one such event have none. Kick-offs
-    fall into buckets of that width and an event into its neighbours' too, so the join is one of equal keys.
+    Both names must match and the kick-offs lie within KICKOFF_HOURS; games with more than one such event have none. Which
+    spellings name one club is found once for each pair of spellings. Events are then counted by game's names and kick-off,
+    in the buckets of that width around their own, and a game takes the sum over its window: no pair of a game and an
+    event is formed, however many share a kick-off.
     """
     width = KICKOFF_HOURS * 3_600_000
-    bucket = lambda c: F.floor(c / width)
-    near = events.select("*", F.explode(F.array(*(bucket(F.col("kickoff")) + i for i in (-1, 0, 1)))).alias("bucket"))
-    left = games.select(F.col("game").alias("l"), F.col("home").alias("words"), bucket(F.col("kickoff")).alias("bucket"))
-    found = club_pairs(left, near.select(F.col("event").alias("r"), F.col("home").alias("words"), "bucket"), ["bucket"]).distinct()
-    rows = found.join(games.select(F.col("game").alias("l"), "kickoff", F.col("away").alias("lw")), "l").join(events.select(F.col("event").alias("r"), F.col("kickoff").alias("at"), F.col("away").alias("rw")), "r")
-    rows = rows.where((F.abs(F.col("kickoff") - F.col("at")) <= width) & same_club(F.col("lw"), F.col("rw")))
-    return rows.groupBy(F.col("l").alias("game")).agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("event")).where("n = 1").select("game", "event")
+    bucket = F.floor(F.col("kickoff") / width)
+    spelled = lambda rows, key: rows.select(F.explode(F.array("home", "away")).alias(key)).distinct().withColumn("words", F.col(key))
+    alike = club_pairs(spelled(games, "l"), spelled(events, "r"), [])
+    told = events.groupBy("home", "away", "kickoff").agg(F.count(F.lit(1)).alias("n"), F.min("event").alias("event"))
+    for side in ("home", "away"):
+        told = told.join(alike.select(F.col("l").alias(f"own_{side}"), F.col("r").alias(side)), side)
+    told = told.groupBy(F.col("own_home").alias("home"), F.col("own_away").alias("away"), "kickoff").agg(F.sum("n").alias("n"), F.min("event").alias("event"))
+    near = told.select("*", F.explode(F.array(*(bucket + i for i in (-1, 0, 1)))).alias("bucket"), F.lit(False).alias("asks"))
+    rows = games.select("game", "home", "away", "kickoff", bucket.alias("bucket"), F.lit(True).alias("asks")).unionByName(near, allowMissingColumns=True)
+    around = Window.partitionBy("home", "away", "bucket").orderBy("kickoff").rangeBetween(-width, width)
+    met = rows.select("game", "asks", F.sum("n").over(around).alias("n"), F.min("event").over(around).alias("event")).where("asks and n > 0")
+    return met.groupBy("game").agg(F.sum("n").alias("n"), F.min("event").alias("event")).where("n = 1").select("game", "event")

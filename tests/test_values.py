@@ -9,7 +9,7 @@ import pytest
 
 from oddsmith.functions import probability as P
 from oddsmith.functions.dialect import SPARK
-from oddsmith.operators import clusters, folds, learning, news, ratings, store
+from oddsmith.operators import clusters, folds, learning, news, ratings, store, titles
 from oddsmith.plans import catalog, custom, markets, relations
 from oddsmith.plans import text as texts
 from oddsmith.sources import adapters
@@ -267,3 +267,14 @@ def test_entities_derive_the_text_once_and_not_for_every_name(spark):
     for found in (news.entity_rows(articles), news.entity_sentiment(articles)):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
     assert {(r.id, r.entity): r.n for r in news.entity_rows(articles).collect()} == {(1, "btc"): 3, (1, "crypto-etf"): 1, (3, "fed"): 1, (5, "btc"): 2}
+
+
+def test_odds_are_matched_by_spelling_and_not_by_pairs_of_games_and_events(spark, monkeypatch):
+    sizes, inner = [], titles.club_pairs
+    monkeypatch.setattr(titles, "club_pairs", lambda left, right, on: (sizes.append((left.count(), right.count())), inner(left, right, on))[1])
+    hour, row = 3_600_000, "long, kickoff long, home array<string>, away array<string>"
+    games = [(i, 0, ["united", "kingdom"], ["iran"]) for i in range(50)] + [(50, 10 * hour, ["china"], ["peru"]), (51, 20 * hour, ["china"], ["peru"]), (52, -hour, ["iraq"], ["peru"]), (53, None, ["iraq"], ["peru"]), (54, 0, [], ["peru"])]
+    events = [(i, hour, ["united", "kingdom", "north"], ["ira"]) for i in range(100, 150)] + [(7, 13 * hour, ["ch"], ["peru", "united"]), (8, 24 * hour, ["china"], ["peru"]), (9, -3 * hour, ["i"], ["peru"]), (10, 0, [], ["peru"])]
+    found = titles.game_odds_matches(spark.createDataFrame(games, f"game {row}"), spark.createDataFrame(events, f"event {row}"))
+    assert sorted(map(tuple, found.collect())) == [(50, 7), (52, 9)]
+    assert sizes == [(6, 8)]
