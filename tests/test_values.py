@@ -9,7 +9,7 @@ import pytest
 
 from oddsmith.functions import probability as P
 from oddsmith.functions.dialect import SPARK
-from oddsmith.operators import clusters, folds, learning, news, ratings, store, titles
+from oddsmith.operators import clusters, folds, learning, neighbours, news, ratings, store, titles
 from oddsmith.plans import catalog, custom, markets, relations
 from oddsmith.plans import text as texts
 from oddsmith.sources import adapters
@@ -278,3 +278,26 @@ def test_odds_are_matched_by_spelling_and_not_by_pairs_of_games_and_events(spark
     found = titles.game_odds_matches(spark.createDataFrame(games, f"game {row}"), spark.createDataFrame(events, f"event {row}"))
     assert sorted(map(tuple, found.collect())) == [(50, 7), (52, 9)]
     assert sizes == [(6, 8)]
+
+
+def test_nearest_neighbours_by_blocks_equal_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    vectors = [[rng.uniform(-1, 1) for _ in range(8)] for _ in range(60)]
+    rows = [(i, vectors[i % 60]) for i in range(400)] + [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [1.0, 2.0]), (403, [2.0, 4.0]), (450, None)]
+    known = {i: v for i, v in rows if v is not None and None not in v}
+
+    def cosine(a, b):
+        if a not in known or b not in known or len(known[a]) != len(known[b]):
+            return None
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        x, y = known[a], known[b]
+        return round(dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y))), 9)
+
+    want = set()
+    for q in (i for i, _ in rows if i % 50 == 0 or i == 402):
+        all_of = sorted(((c is None, -(c or 0), v) for v, _ in rows if v != q for c in [cosine(q, v)]))
+        want |= {(q, v, rk) for rk, (*_, v) in enumerate(all_of[:5], 1)}
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(7)
+    monkeypatch.setattr(neighbours, "_QUERIES", 3)
+    found = neighbours.nearest(df, df.where("id % 50 = 0 or id = 402"))
+    assert {(r.q, r.v, r.rk) for r in found.collect()} == want
