@@ -1,4 +1,4 @@
-"""SimHash classes, found by meet-in-the-middle ball hashing, and near copies by exact Jaccard similarity of MinHash candidates."""
+"""SimHash classes, found by meet-in-the-middle ball hashing, and near copies by exact Jaccard similarity of the ball's pairs and of MinHash keys beyond its reach."""
 
 from __future__ import annotations
 
@@ -131,7 +131,7 @@ def minhash_bands(hashes):
 
 
 def _with_bands(docs: DataFrame, text_col: str, k: int) -> DataFrame:
-    """docs and __row (a number of the row), __set (a digest of its shingles), __bands (null without words)."""
+    """docs and __row (a number of the row), __set (a digest of its shingles), __fp (its SimHash) and __bands, both null without words."""
     at = docs.columns.index(text_col)
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
 
@@ -142,15 +142,17 @@ def _with_bands(docs: DataFrame, text_col: str, k: int) -> DataFrame:
 
         for batch in batches:
             for part in small_batches(batch, at):
-                sets, bands = [], []
+                sets, fps, bands = [], [], []
                 for data in utf8_list(part.column(at)):
                     hashes = shingle_hashes(data, k)
                     sets.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
+                    fps.append(simhash64(data) if len(hashes) else None)
                     bands.append(minhash_bands(hashes) if len(hashes) else None)
-                part = part.append_column("__set", pa.array(sets, pa.binary()))
+                part = part.append_column("__set", pa.array(sets, pa.binary())).append_column("__fp", pa.array(fps, pa.uint64()).view(pa.int64()))
                 yield part.append_column("__bands", pa.array(bands, pa.list_(pa.int64())))
 
-    return numbered.mapInArrow(each, T.StructType([*numbered.schema, T.StructField("__set", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))]))
+    added = [T.StructField("__set", T.BinaryType()), T.StructField("__fp", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))]
+    return numbered.mapInArrow(each, T.StructType([*numbered.schema, *added]))
 
 
 def _shingle_sets(rows: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -180,19 +182,33 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
     return met.select(F.greatest("row", "end").alias("u"), F.least("row", "end").alias("v")).distinct()
 
 
+def ball_pairs(sets: DataFrame, bits: int = 2) -> DataFrame:
+    """(u, v), u > v, of sets(row, fp): in a fingerprint rows meet as in candidate_pairs, and the least rows of two fingerprints that ball_links joins meet.
+
+    Rows without a fingerprint meet none. A fingerprint has at most 65 links of its own, so pairs grow with the rows.
+    """
+    known = sets.where("fp is not null")
+    firsts = materialize(known.groupBy("fp").agg(F.min("row").alias("row")), "firsts")
+    one, two = (firsts.select(F.col("fp").alias(x), F.col("row").alias(f"row_{x}")) for x in "uv")
+    met = ball_links(firsts.select("fp"), bits).join(one, "u").join(two, "v")
+    near = met.select(F.greatest("row_u", "row_v").alias("u"), F.least("row_u", "row_v").alias("v"))
+    return candidate_pairs(known.select("row", F.array("fp").alias("bands"))).union(near)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each class of docs, with all its columns: a class is connected by pairs whose sets of k-word shingles have a Jaccard similarity of `least` or more.
 
-    Candidates share one of BANDS MinHash keys (a pair of 0.8 does so in all but 5 of 100,000 cases); the similarity of
-    every candidate is then counted exactly. Rows of equal shingles are one class before any pair is formed; all null
+    Candidates are the pairs of SimHash's ball and, for what lies beyond its two bits, those that share one of BANDS
+    MinHash keys (a pair of 0.8 does so in all but 5 of 100,000 cases); the similarity of every candidate is then counted
+    exactly. Rows of equal shingles are one class before any pair is formed; all null
     and blank texts are one class. The row with the smallest id is kept, one with a null id only if the class has no
     other; among rows with equal ids exactly one is kept. An empty table gives an empty result.
     """
     rows = materialize(_with_bands(docs, text_col, k), "shingled")
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    distinct = rows.groupBy("__set").agg(F.min(F.struct(*(order[c].alias(c) for c in ("no_id", "id", "row")), F.col("__bands").alias("bands"))).alias("first"))
+    distinct = rows.groupBy("__set").agg(F.min(F.struct(*(order[c].alias(c) for c in ("no_id", "id", "row")), F.col("__fp").alias("fp"), F.col("__bands").alias("bands"))).alias("first"))
     distinct = materialize(distinct.select("__set", "first.*"), "distinct")
-    pairs = materialize(candidate_pairs(distinct.select("row", "bands")), "pairs")
+    pairs = materialize(ball_pairs(distinct.select("row", "fp")).union(candidate_pairs(distinct.select("row", "bands"))).distinct(), "pairs")
     nodes = materialize(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), "nodes")
     nodes = broadcast_if_small(nodes)
     sets = materialize(_shingle_sets(rows.join(nodes, rows["__row"] == nodes["row"], "left_semi"), text_col, k), "sets")

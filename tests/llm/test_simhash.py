@@ -120,3 +120,21 @@ def test_candidates_of_a_large_group_stay_linear(spark):
     n = 300
     sets = spark.createDataFrame([(i, list(range(simhash.BANDS))) for i in range(n)], "row long, bands array<long>")
     assert n - 1 <= simhash.candidate_pairs(sets).count() <= 2 * simhash.BANDS * n
+
+
+def test_stage_links_by_the_ball(spark, monkeypatch):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:1100], "new", *words[1101:]]), "quite another text of seven words", None]
+    fps = [simhash.simhash64(t.encode()) if t else None for t in texts]
+    assert 0 < (fps[0] ^ fps[1]).bit_count() <= 2
+    signed = [None if x is None else x - (1 << 64) if x >> 63 else x for x in fps]
+    rows = [*enumerate(signed), (4, signed[2])]
+    assert sorted(simhash.ball_pairs(spark.createDataFrame(rows, "row long, fp long")).collect()) == [(1, 0), (4, 2)]
+    monkeypatch.setattr(simhash, "candidate_pairs", lambda sets: sets.selectExpr("row u", "row v").where("false"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, 2, 3]
+
+
+def test_ball_pairs_of_a_large_group_stay_linear(spark):
+    n = 300
+    assert n - 1 <= simhash.ball_pairs(spark.createDataFrame([(i, 5) for i in range(n)], "row long, fp long")).count() <= 2 * n
