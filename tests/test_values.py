@@ -308,3 +308,22 @@ def test_forecast_of_a_series_that_fell_to_zero(spark):
     found = {r.asset: r for r in volatility.forecasts(own, own.withColumn("ewma_vol", F.lit(0.1))).collect()}
     assert math.isfinite(found["a"].expected_move) and math.isnan(found["c"].expected_move) and math.isnan(found["c"].vol_confidence)
     assert (found["b"].expected_move, found["b"].range_low) == (math.inf, -math.inf) and abs(found["b"].vol_confidence - 0.45 * 0.2 / (1 + math.log(2) / 6)) < 1e-12
+
+
+def test_word_cosines_over_blocks(spark):
+    from collections import defaultdict
+
+    from oddsmith.operators import neighbours
+
+    rows = [(i, f"w{(i * k) % 97}", 0.1 + k / 10) for i in range(1500) for k in (1, 3, 7)] + [(None, "w1", 1.0), (7000, "alone", 1.0)]
+    asked = [r for r in rows if r[0] is not None and r[0] % 50 == 0] + [r for r in rows if r[0] == 50]  # asked twice, counts twice
+    by, expected = defaultdict(list), defaultdict(float)
+    for b, w, x in rows:
+        by[w].append((b, x))
+    for a, w, x in asked:
+        for b, y in by[w]:
+            if b is not None and a != b:
+                expected[a, b] += x * y
+    frame = lambda r: spark.createDataFrame(r, "id long, w string, x double")
+    found = {(r.a, r.b): r.cosine for r in neighbours.word_cosines(frame(rows), frame(asked)).collect()}
+    assert found.keys() == expected.keys() and all(abs(found[k] - v) < 1e-9 for k, v in expected.items())
