@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+from collections import namedtuple
 
 import numpy as np
 import pytest
@@ -96,3 +98,28 @@ def test_no_league_is_held_whole(spark):
         assert sorted(map(tuple, ratings.elo_history(games).collect())) == want
     finally:
         spark.conf.set(size, before)
+
+
+def test_samples_of_a_league_wait_outside_memory(spark, monkeypatch):
+    used = {}
+    monkeypatch.setattr(ratings, "in_time", lambda rows, start, step, *_: used.update(start=start, step=step))
+    games = spark.createDataFrame([], "league int, game_id long, kickoff long, home int, away int, hs long, aws long")
+    learning.learned_outcomes(games.select("league", "home", "away"), games)
+    game = namedtuple("game", "league asked kickoff game_id home away hs aws")
+    rng, known, sizes, samples, sides = random.Random(3), used["start"](), [], [], {}
+    tracemalloc.start()
+    for i in range(50_000):
+        row = game(1, False, 3_600_000 * i, i, *rng.sample(range(25), 2), rng.randrange(5), rng.randrange(4))
+        used["step"](known, row)
+        if i in (10_000, 49_999):
+            sizes.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert sizes[1] - sizes[0] < 500_000  # 40,000 samples of 41 bytes are 1,640,000
+    rng = random.Random(3)
+    for i in range(50_000):
+        sample = ratings.replay_step(sides, game(1, False, 3_600_000 * i, i, *rng.sample(range(25), 2), rng.randrange(5), rng.randrange(4)))
+        samples += [] if sample is None else [sample[3:]]
+    (got,) = used["step"](known, game(1, True, 0, 0, 0, 1, 0, 0))
+    x, y = np.array([s[1:] for s in samples], float), np.array([s[0] for s in samples], np.int8)
+    w = learning.train_logistic(x, y, 3, 0.5, 300, 0.02)
+    assert np.array_equal(known.w, w) and got[4:7] == tuple(learning.predict(w, np.array([ratings.fixture_values(sides, 0, 1, 3_600_000 * 49_999)]))[0])
