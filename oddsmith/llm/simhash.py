@@ -1,4 +1,4 @@
-"""SimHash classes, found by meet-in-the-middle ball hashing, and near copies by exact Jaccard similarity of the ball's pairs and of MinHash keys beyond its reach."""
+"""SimHash classes, found by meet-in-the-middle ball hashing, and near copies by exact Jaccard similarity: of the ball's pairs, of MinHash keys beyond its reach, and of all that is left by prefixes."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ SEED = 42
 _CHUNK = 1 << 16
 #: Keys of a shingle set and minima in each.
 BANDS, BAND_ROWS = 25, 5
+#: Counters that order shingles, rare ones first; any order is exact, this one keeps common shingles out of the prefixes.
+_COUNTERS, _PIECES = 1 << 20, 16
 
 
 def simhash64(data: bytes | None, k: int = 3) -> int:
@@ -173,7 +175,8 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
     """(u, v), u > v, of sets(row, bands): in each bucket every row meets the first and the last row in the bucket's own random order.
 
     That is all pairs of buckets of up to three rows; in a larger one, whose order differs from band to band, a row
-    meets up to 2 * BANDS others, so pairs grow with the rows and not with the square of a group.
+    meets up to 2 * BANDS others, so pairs grow with the rows and not with the square of a group. It is a first round:
+    what it leaves apart meets in remaining_pairs.
     """
     keyed = sets.select("row", F.explode("bands").alias("key"))
     at = F.struct(F.xxhash64("row", "key"), "row")
@@ -195,12 +198,108 @@ def ball_pairs(sets: DataFrame, bits: int = 2) -> DataFrame:
     return candidate_pairs(known.select("row", F.array("fp").alias("bands"))).union(near)
 
 
+def _counts(rows: DataFrame, text_col: str, k: int):
+    """How many texts of rows have a shingle of each remainder modulo _COUNTERS: an array of 4 MB at any size, which only orders shingles."""
+    import numpy as np
+
+    size = _COUNTERS // _PIECES
+
+    def each(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        counts = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            for part in small_batches(batch, 0):
+                found = [shingle_hashes(x, k) for x in utf8_list(part.column(0))]
+                counts += np.bincount(np.concatenate(found) & (_COUNTERS - 1), minlength=_COUNTERS)
+        if counts.any():
+            held = np.minimum(counts, 65535).astype(np.uint16).reshape(_PIECES, size)
+            yield pa.RecordBatch.from_arrays([pa.array(range(_PIECES), pa.int32()), pa.array([x.tobytes() for x in held], pa.binary())], names=["piece", "counts"])
+
+    def summed(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        total: dict = {}
+        for batch in batches:
+            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[piece] = total.get(piece, 0) + np.frombuffer(counts.as_buffer(), np.uint16).astype(np.int64)
+        kept = [np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(kept, pa.binary())], names=["piece", "counts"])
+
+    kind = "piece int, counts binary"
+    total = np.zeros((_PIECES, size), np.uint32)
+    for r in rows.select(text_col).mapInArrow(each, kind).repartition(_PIECES, "piece").mapInArrow(summed, kind).collect():
+        total[r["piece"]] = np.frombuffer(r["counts"], np.uint32)
+    return total.ravel()
+
+
+def _prefixes(rows: DataFrame, text_col: str, k: int, least: float, counts) -> DataFrame:
+    """(row, n, at, token): of a row's n shingles, in order of (count, hash), the first n - ceil(least * n) + 1 with their places from 0.
+
+    Two sets that are `least` alike share at least ceil(least * n) shingles of each, so they share one of these.
+    """
+
+    def each(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in small_batches(batch, 1):
+                sizes, firsts = [], []
+                for data in utf8_list(part.column(1)):
+                    hashes = shingle_hashes(data, k)
+                    n = len(hashes)
+                    sizes.append(n)
+                    order = np.argsort(counts[hashes & (_COUNTERS - 1)], kind="stable")
+                    firsts.append(hashes[order[: n - int(np.ceil(least * n - 1e-9)) + 1]] if n else hashes)
+                many = np.array([len(x) for x in firsts], np.int64)
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                own = np.repeat(np.arange(part.num_rows), many)
+                columns = [part.column(0).take(pa.array(own)), pa.array(np.array(sizes, np.int32)[own]), pa.array(at.astype(np.int32)), pa.array(np.concatenate(firsts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "at", "token"])
+
+    return rows.select("__row", text_col).mapInArrow(each, "row bigint, n int, at int, token bigint")
+
+
+def remaining_pairs(prefixes: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """(u, v), u > v: all pairs of prefixes(row, n, at, token) that may be `least` alike and that parts(node, root) does not hold together.
+
+    A prefix filter with the bounds of sizes and places, so every pair that is `least` alike is among them. Pairs of one
+    part connect nothing new, so a large group of near copies makes none once it is connected; otherwise pairs grow with
+    the square of the rows of a token, which are those that have nothing rarer.
+    """
+    span = Window.partitionBy("token")
+    shared = prefixes.select("*", F.min("row").over(span).alias("lo"), F.max("row").over(span).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    shared = materialize(shared, "shared")
+    owned = shared.join(broadcast_if_small(parts), shared["row"] == parts["node"], "left").select("row", "n", "at", "token", F.coalesce("root", "row").alias("part"))
+    owned = owned.select("*", F.min("part").over(span).alias("lo"), F.max("part").over(span).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    one, two = (owned.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "at", "part"))) for x in "uv")
+    sizes = F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v") - 1e-9
+    places = F.least(F.col("n_u") - F.col("at_u"), F.col("n_v") - F.col("at_v")) >= least / (1 + least) * (F.col("n_u") + F.col("n_v")) - 1e-9
+    met = one.join(two, "token").where((F.col("row_u") > F.col("row_v")) & (F.col("part_u") != F.col("part_v")) & sizes & places)
+    return met.select(F.col("row_u").alias("u"), F.col("row_v").alias("v")).distinct()
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, text_col: str, k: int, least: float) -> DataFrame:
+    """Those of pairs(u, v) of rows whose shingle sets have a Jaccard similarity of `least` or more, counted exactly."""
+    nodes = materialize(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), "nodes")
+    nodes = broadcast_if_small(nodes)
+    sets = materialize(_shingle_sets(rows.join(nodes, rows["__row"] == nodes["row"], "left_semi"), text_col, k), "sets")
+    one, two = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"h{x}"), F.size("hashes").alias(f"n{x}")) for x in "uv")
+    sized = pairs.join(one, "u").join(two, "v").where(F.least("nu", "nv") >= least * F.greatest("nu", "nv"))
+    both = F.size(F.array_intersect("hu", "hv"))
+    return sized.where(both >= least * (F.col("nu") + F.col("nv") - both)).select("u", "v")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each class of docs, with all its columns: a class is connected by pairs whose sets of k-word shingles have a Jaccard similarity of `least` or more.
 
-    Candidates are the pairs of SimHash's ball and, for what lies beyond its two bits, those that share one of BANDS
-    MinHash keys (a pair of 0.8 does so in all but 5 of 100,000 cases); the similarity of every candidate is then counted
-    exactly. Rows of equal shingles are one class before any pair is formed; all null
+    A first round takes the pairs of SimHash's ball and, for what lies beyond its two bits, those that share one of BANDS
+    MinHash keys; a second one takes all pairs that the first has left apart and that share a shingle of their prefixes,
+    which no pair of `least` or more can avoid. The similarity of every candidate is counted exactly, so the classes are
+    those of all pairs. Rows of equal shingles are one class before any pair is formed; all null
     and blank texts are one class. The row with the smallest id is kept, one with a null id only if the class has no
     other; among rows with equal ids exactly one is kept. An empty table gives an empty result.
     """
@@ -209,13 +308,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     distinct = rows.groupBy("__set").agg(F.min(F.struct(*(order[c].alias(c) for c in ("no_id", "id", "row")), F.col("__fp").alias("fp"), F.col("__bands").alias("bands"))).alias("first"))
     distinct = materialize(distinct.select("__set", "first.*"), "distinct")
     pairs = materialize(ball_pairs(distinct.select("row", "fp")).union(candidate_pairs(distinct.select("row", "bands"))).distinct(), "pairs")
-    nodes = materialize(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), "nodes")
-    nodes = broadcast_if_small(nodes)
-    sets = materialize(_shingle_sets(rows.join(nodes, rows["__row"] == nodes["row"], "left_semi"), text_col, k), "sets")
-    one, two = (sets.select(F.col("row").alias(x), F.col("hashes").alias(f"h{x}"), F.size("hashes").alias(f"n{x}")) for x in "uv")
-    sized = pairs.join(one, "u").join(two, "v").where(F.least("nu", "nv") >= least * F.greatest("nu", "nv"))
-    both = F.size(F.array_intersect("hu", "hv"))
-    roots = materialize(connected_components(sized.where(both >= least * (F.col("nu") + F.col("nv") - both)).select("u", "v")), "roots")
+    parts = materialize(connected_components(_alike(pairs, rows, text_col, k, least)), "parts")
+    single = broadcast_if_small(distinct.select("row"))
+    single = rows.join(single, rows["__row"] == single["row"], "left_semi")
+    left = materialize(remaining_pairs(_prefixes(single, text_col, k, least, _counts(single, text_col, k)), parts, least), "left")
+    links = parts.select(F.col("node").alias("u"), F.col("root").alias("v")).union(_alike(left, rows, text_col, k, least))
+    roots = materialize(connected_components(links), "roots")
     linked = distinct.join(roots, distinct["row"] == roots["node"]).select("__set", "root", F.struct("no_id", "id", "row").alias("own"))
     kept = linked.groupBy("root").agg(F.min("own")["row"].alias("best"))
     moved = linked.join(kept, "root").select("__set", "best")

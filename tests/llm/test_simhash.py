@@ -138,3 +138,42 @@ def test_stage_links_by_the_ball(spark, monkeypatch):
 def test_ball_pairs_of_a_large_group_stay_linear(spark):
     n = 300
     assert n - 1 <= simhash.ball_pairs(spark.createDataFrame([(i, 5) for i in range(n)], "row long, fp long")).count() <= 2 * n
+
+
+def edited_twins(groups):
+    """Up to 169 texts of a base of 300 words with four words changed, two texts at one place in common at most, each beside a twin of six words more.
+
+    Twins are 0.816 alike, any others less than 0.8, and most of what twins share they share with all.
+    """
+    rng, words, rows = random.Random(9), [f"w{i}" for i in range(300)], []
+    for g in range(groups):
+        own, places = list(words), [13 * j + (g % 13 + j * (g // 13)) % 13 for j in range(4)]
+        for i in places:
+            own[5 + 5 * i] = f"own{g}"
+        twin = list(own)
+        for i in rng.sample([i for i in range(58) if i not in places], 6):
+            twin[5 + 5 * i] = f"twin{g}"
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(twin))]
+    return rows
+
+
+def test_large_buckets_lose_no_link(spark):
+    rows = edited_twins(169)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = sorted((False, r.doc_id) for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == brute_kept(rows) and len(kept) == 169
+
+
+def test_remaining_pairs_hold_all_that_are_alike(spark, monkeypatch):
+    """Without any candidates of the first round the classes are the same; pairs of one part are not formed again."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = [(900000 + i, t) for i, t in edited_twins(8)] + [(900100 + n, " ".join(f"v{i}" for i in range(n))) for n in range(1, 40)] + [(None, "only null ids"), (900200, ""), (900201, None)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    none = lambda sets: sets.selectExpr("row u", "row v").where("false")
+    monkeypatch.setattr(simhash, "candidate_pairs", none)
+    monkeypatch.setattr(simhash, "ball_pairs", none)
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+    prefixes = spark.createDataFrame([(1, 5, 0, 7), (2, 5, 0, 7), (3, 5, 0, 7), (4, 9, 0, 7), (5, 5, 1, 8), (6, 5, 1, 8)], "row long, n int, at int, token long")
+    parts = spark.createDataFrame([(2, 1), (1, 1)], "node long, root long")
+    assert sorted(simhash.remaining_pairs(prefixes, parts, 0.8).collect()) == [(3, 1), (3, 2)]
