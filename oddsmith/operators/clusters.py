@@ -109,35 +109,45 @@ def story_clusters(articles: DataFrame, window_ms: int = STORY_HOURS * 3_600_000
 
 
 def link_groups(links: DataFrame) -> DataFrame:
-    """(id, root) of links(a, b): the least id spreads over links with pointer jumping until nothing changes."""
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().cache()
-    label = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
+    """(id, root) of links(a, b): alternating large and small stars bring every id to the least that it is linked with.
+
+    A round leaves about a link an id, so later ones are small however many links there were; no side of a join is sent to
+    the driver, and a round is checkpointed.
+    """
+    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    mark = None
     while True:
-        near = both.join(label, both["b"] == label["id"]).groupBy("a").agg(F.min("root").alias("near"))
-        moved = label.join(near, label["id"] == near["a"], "left").select("id", F.least("root", F.coalesce("near", "root")).alias("root"))
-        jump = moved.alias("x").join(moved.alias("y"), F.col("x.root") == F.col("y.id")).select(F.col("x.id").alias("id"), F.col("y.root").alias("root")).checkpoint()
-        if jump.join(label, "id").where(jump["root"] != label["root"]).isEmpty():
-            return jump
-        label = jump
+        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == mark or not now[0]:
+            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+        mark = now
+        both = e.union(e.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        e = large.join(least.hint("merge"), "u").where("v <> m").select("v", "m").union(least).toDF("u", "v").distinct().checkpoint()
 
 
 def title_links(titles: DataFrame, above: float = 0.6) -> DataFrame:
     """(a, b, jaccard), a < b: pairs of token sets of titles(id, tokens) whose similarity is above the bound, each set under its least id.
 
     Prefix filtering: with the rarest tokens first, two sets beyond the bound share one of the first
-    n - ceil(above * n) + 1 tokens of each, so that common words make no candidates. Empty sets link to nothing.
+    n - ceil(above * n) + 1 tokens of each, so that common words make no candidates; at the first of them both must have
+    enough words left. A candidate is counted where it meets, and only links are shuffled. Empty sets link to nothing.
     """
     sets = titles.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("id")).withColumn("n", F.size("tokens"))
     words = sets.select("id", "n", F.explode("tokens").alias("w"))
-    frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    head = words.join(frequency, "w").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(above * F.col("n")) + 1)
-    one, two = (head.select("w", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = one.join(two, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > above * F.greatest("na", "nb"))).select("a", "b").distinct()
-    one, two = (sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    both = F.size(F.array_intersect("ta", "tb"))
-    scored = pairs.join(one, "a").join(two, "b").withColumn("jaccard", both / (F.size("ta") + F.size("tb") - both))
-    return scored.where(F.col("jaccard") > above).select("a", "b", "jaccard")
+    frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).select("w", F.row_number().over(Window.orderBy("df", "w")).alias("word"))
+    own = Window.partitionBy("id")
+    head = words.join(frequency, "w").select("id", "n", "word", F.row_number().over(own.orderBy("word")).alias("rank"), F.collect_list("word").over(own).alias("words"))
+    head = head.where(F.col("rank") <= F.col("n") - F.ceil(above * F.col("n")) + 1)
+    parts = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one, two = (head.select("word", F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "rank", "words"))).repartition(parts, "word") for x in "ab")
+    left = F.least(F.col("na") - F.col("ranka"), F.col("nb") - F.col("rankb")) + 1
+    may = (F.least("na", "nb") > above * F.greatest("na", "nb")) & (left >= above / (1 + above) * (F.col("na") + F.col("nb")) - 1e-9)
+    both = F.size(F.array_intersect("wordsa", "wordsb"))
+    scored = one.join(two.hint("merge"), "word").where((F.col("a") < F.col("b")) & may).select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
+    return scored.where(F.col("jaccard") > above).distinct()
 
 
 def title_groups(titles: DataFrame, above: float = 0.6) -> DataFrame:

@@ -327,3 +327,27 @@ def test_word_cosines_over_blocks(spark):
     frame = lambda r: spark.createDataFrame(r, "id long, w string, x double")
     found = {(r.a, r.b): r.cosine for r in neighbours.word_cosines(frame(rows), frame(asked)).collect()}
     assert found.keys() == expected.keys() and all(abs(found[k] - v) < 1e-9 for k, v in expected.items())
+
+
+def test_link_groups_hold_and_send_no_links(spark, tmp_path):
+    """A dense group, a long chain and repeated links: least ids, and neither cached links nor a broadcast side stay behind."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(a, b) for a in range(40) for b in range(a)] + [(i, i + 1) for i in range(100, 160)] + [(160, 100), (7, 7), (100, 101)]
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    found = {r.id: r.root for r in clusters.link_groups(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(40)} | {i: 100 for i in range(100, 161)}
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
+
+
+def test_title_links_against_all_pairs(spark):
+    rng, rows = random.Random(6), []
+    for i in range(120):
+        tokens = sorted(rng.sample([f"t{n}" for n in range(12)], rng.randint(0, 9)))
+        rows.append((i, tokens))
+    first = {}
+    for i, tokens in rows:
+        first.setdefault(tuple(tokens), i)
+    sets = [(i, set(t)) for t, i in first.items() if t]
+    want = {(a, b, len(x & y) / len(x | y)) for a, x in sets for b, y in sets if a < b and len(x & y) / len(x | y) > 0.6}
+    assert {tuple(r) for r in clusters.title_links(spark.createDataFrame(rows, "id long, tokens array<string>"), 0.6).collect()} == want and len(want) > 50
