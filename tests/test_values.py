@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from oddsmith.functions import probability as P
 from oddsmith.functions.dialect import SPARK
-from oddsmith.operators import clusters, folds, learning, neighbours, news, ratings, store, titles, volatility
+from oddsmith.operators import clusters, folds, learning, neighbours, news, quantiles, ratings, store, titles, volatility
 from oddsmith.plans import catalog, custom, markets, relations
 from oddsmith.plans import text as texts
 from oddsmith.sources import adapters
@@ -351,3 +351,19 @@ def test_title_links_against_all_pairs(spark):
     sets = [(i, set(t)) for t, i in first.items() if t]
     want = {(a, b, len(x & y) / len(x | y)) for a, x in sets for b, y in sets if a < b and len(x & y) / len(x | y) > 0.6}
     assert {tuple(r) for r in clusters.title_links(spark.createDataFrame(rows, "id long, tokens array<string>"), 0.6).collect()} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("around", [5e-4, -2.0])  # a bracket that misses: all values are sorted
+def test_linear_quantiles_equal_percentile(spark, monkeypatch, around):
+    monkeypatch.setattr(quantiles, "_AROUND", around)
+    rng = random.Random(8)
+    rows = [(k, rng.choice([round(rng.gauss(0, 9), 2), 1.5, float("inf"), None])) for k in ("a", "b", None) for _ in range(3001)] + [("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    data = spark.createDataFrame(rows, "key string, x double").repartition(5)
+    shares = {"q1": 0.25, "mid": 0.5, "p90": 0.9, "least": 0.0, "most": 1.0}
+    want = data.groupBy("key").agg(*(F.percentile("x", F.lit(q)).alias(c) for c, q in shares.items())).collect()
+    assert {tuple(r) for r in quantiles.linear_quantiles(data, shares).collect()} == {tuple(r) for r in want} and len(want) == 6
+
+
+def test_quantiles_of_a_table_hold_no_group(spark):
+    plan = catalog.queries()["agg_quantile_linear"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan
