@@ -11,7 +11,7 @@ from oddsmith.functions.dialect import DUCK, SPARK, Spark
 from oddsmith.operators import clusters
 from oddsmith.plans import relations
 from oddsmith.plans import text as texts
-from oddsmith.plans.custom import _rounded, _scratch, _stream, games
+from oddsmith.plans.custom import _rounded, _scratch, _stored, _stream, games
 from oddsmith.plans.fixtures import ADAPTIVE, _sql, elo_replay
 from oddsmith.streaming import candles, ordered, settlement
 
@@ -56,7 +56,8 @@ predicted AS (SELECT id, subject, generated_at, h / (h + d + a) AS home_p, d / (
 def stream_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sql(spark, sf_dir, f"WITH {_predicted(SPARK)} SELECT * FROM predicted").withColumn("at", F.timestamp_millis("generated_at"))
     path = _scratch(spark, "settlement")
-    settlement.settlement(ordered.replayed(rows, f"{path}-in", BATCHES), games(spark, sf_dir), path)
+    results = _stored(games(spark, sf_dir).select("game_id", "kickoff", "hs", "aws"), "results")
+    settlement.settlement(ordered.replayed(rows, f"{path}-in", BATCHES, split=True), results, path)
     return _rounded(settlement.decisions(spark, path))
 
 

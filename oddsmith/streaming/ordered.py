@@ -162,25 +162,31 @@ def ordered_fold(rows: DataFrame, by: str, fold: OrderedFold, lateness: str) ->
     return rows.withWatermark("at", lateness).groupBy(by).transformWithStateInPandas(fold, fold.schema, "Append", "EventTime")
 
 
-def replayed(rows: DataFrame, path: str, batches: int, by: str | None = None, last_at: str = "2200-01-01") -> DataFrame:
+def replayed(rows: DataFrame, path: str, batches: int, by: str | None = None, last_at: str = "2200-01-01", split: bool = False) -> DataFrame:
     """rows as a stream of `batches` batches or more in order of time `at`; with `by`, one more batch moves time past all rows.
 
     A batch is a file of its own, written after the one before it, so there are as many as keep a file to BATCH_ROWS rows; the
     last holds a row a key with nothing but its time. rows are computed once, and each batch reads its own part of them.
+    With `split` there are `batches` batches however many rows: a batch is as many files as keep a file to BATCH_ROWS rows,
+    for streams whose every batch costs as much as all results and which need no time: rows without one come first.
     """
     spark, kind = rows.sparkSession, rows.schema
     rows.write.parquet(f"{path}-rows")
     rows = spark.read.schema(kind).parquet(f"{path}-rows")
-    batches = max(batches, -(-rows.count() // BATCH_ROWS)) if batches > 1 else 1
+    wanted = -(-rows.count() // BATCH_ROWS)
+    files = max(1, -(-wanted // batches)) if split else 1
+    batches = max(batches, 1 if split else wanted) if batches > 1 else 1
     if batches > 1:
         edges = rows.select(F.percentile_approx(F.unix_micros("at"), F.array(*(F.lit(i / batches) for i in range(1, batches))), F.lit(10_000)).alias("e")).first()["e"] or []
         part = sum((F.when(F.unix_micros("at") > e, 1).otherwise(0) for e in edges), F.lit(0))
-        rows.where("at is not null").withColumn("part", part).repartition(batches, "part").write.partitionBy("part").parquet(f"{path}-parts")
+        dealt = rows.withColumn("part", part) if split else rows.where("at is not null").withColumn("part", part).repartition(batches, "part")
+        dealt.write.partitionBy("part").parquet(f"{path}-parts")
         cut = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kind)}, part int").parquet(f"{path}-parts")
     for i in range(batches):
-        (rows if batches == 1 else cut.where(F.col("part") == i).drop("part")).coalesce(1).write.parquet(f"{path}/part={i}")
+        own = rows if batches == 1 else cut.where(F.col("part") == i).drop("part")
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.parquet(f"{path}/part={i}")
     if by is not None:
         end = rows.select(by).distinct().withColumn("at", F.lit(last_at).cast("timestamp"))
         blank = [F.col(c) if c in end.columns else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
         end.select(*blank).coalesce(1).write.parquet(f"{path}/part={batches}")
-    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(f"{path}/part=*")

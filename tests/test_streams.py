@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsmith.operators import ratings
-from oddsmith.plans import catalog
+from oddsmith.plans import catalog, streams
 from oddsmith.streaming import candles, ordered, settlement
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +117,13 @@ def test_stories_let_go_within_a_batch():
     for i in range(500):
         stories.place(i, 100 * i, {f"w{i}": 1.0, "common": 0.1})
     assert len(stories.open) < 20 and set(stories.norms) == set(stories.open) == set(stories.holders["common"])
+
+
+def test_settlement_takes_few_batches_of_many_files(spark, tmp_path, monkeypatch):
+    """However many rows, results meet four batches; rows are not lost between files, and results are derived once."""
+    want = {tuple(r) for r in catalog.queries()["stream_settlement"](spark, SF).collect()}
+    monkeypatch.setattr(ordered, "BATCH_ROWS", 100)
+    monkeypatch.setattr(streams, "_scratch", lambda spark, label: str(tmp_path / label))
+    got = catalog.queries()["stream_settlement"](spark, SF)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 1000
+    assert len(list((tmp_path / "settlement").glob("batch=*"))) == streams.BATCHES
